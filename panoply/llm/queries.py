@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, tokenfile
+from . import bpe, forest, mixing, quality, secrets, simhash, tokenfile, topk, toxicity, warc
 from .common import table
 
 
+#: The audit's drill: replica b's copy of these pages has one byte changed.
+DRILL = (101, 7)
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = DRILL
+    files = warc.write_replicas(table(spark, sf_dir, "pages"), damaged=lambda page: page % n == r)
+    return warc.audit(files).select("page_id", "record_bytes", "payload_sha256", "damaged")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfile.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=0)
     return tokenfile.read_tokens(spark, files)
@@ -19,6 +41,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, weights=(3, 1, 2), share=1.5, repeats=2, keep=["doc_id"])
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,5 +55,27 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op6_source_mix, op8_simhash, op9_byte_bpe)}
-SQL: dict[str, str] = {}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_forest, op3_secrets, op4_warc_audit, op5_token_files, op6_source_mix, op7_toxicity, op8_simhash, op9_byte_bpe, op10_quality)}
+
+SQL = {
+    "op1_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20""",
+    "op4_warc_audit": f"""
+        SELECT page_id,
+               CAST(octet_length(encode(coalesce(html, ''))) + length(CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR))
+                    + coalesce(octet_length(encode(url)) + 19, 0) + coalesce(length(CAST(page_id AS VARCHAR)) + 13, 0) + FIXED AS BIGINT) AS record_bytes,
+               sha256(coalesce(html, '')) AS payload_sha256,
+               coalesce(page_id % {DRILL[0]} = {DRILL[1]}, false) AS damaged
+        FROM pages""".replace("FIXED", str(len(warc.record(None, None, b"")) - 1)),
+}
