@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import text_blocks
-from .pieces import Memory, pieces
+from .pieces import Memory, piece, pieces
 
 NONE = np.int32(2**31 - 1)
 
@@ -216,7 +216,7 @@ class ByteBPE:
         return out
 
     def _encode_pieces(self, todo: list[str]) -> list[tuple[int, ...]]:
-        split = [self.pattern.findall(p) for p in todo]
+        split = [self.pattern.findall(piece(k)) for k in todo]
         words = list(dict.fromkeys(chain.from_iterable(split)))
         ids = dict(zip(words, self.encode_words(words), strict=True))
         return [tuple(chain.from_iterable(map(ids.__getitem__, s))) for s in split]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Rows that a bucket of a running sum holds on average.
-ROWS_PER_BUCKET = 10_000
+ROWS_PER_BUCKET = 2_000
 #: Characters other than the six ASCII white-space characters, in runs: the words that make a document's size.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: The columns that mix() adds.

@@ -16,39 +16,59 @@ _RUN = regex.compile(r"\s (?!\S)")
 _CUT = regex.compile(r"(?<=\S)(?= )", regex.V1)
 
 
+#: Marks the key of a piece without a leading blank; no text from Spark can hold it.
+START = "\ud800"
+
+
 def pieces(text: str) -> list[str]:
-    """The pieces of a text, in order; joined they are the text."""
+    """The keys of a text's pieces, in order. Every piece but the first starts with a blank, which its key leaves out."""
     if _RUN.search(text):
-        return [p for p in _CUT.split(text) if p]
-    first, *rest = text.split(" ")
-    out = [" " + p for p in rest]
-    return [first, *out] if first else out
+        first, *rest = (p for p in _CUT.split(text) if p)
+        out = [p[1:] for p in rest]
+        return [first[1:] if first[0] == " " else START + first, *out]
+    out = text.split(" ")
+    if out[0]:
+        out[0] = START + out[0]
+        return out
+    return out[1:]
+
+
+def piece(key: str) -> str:
+    return key[1:] if key[:1] == START else " " + key
+
+
+def joinable(todo: list[str]) -> bool:
+    """Whether these pieces, each with its leading blank, keep their bounds when they stand in a row."""
+    return not _RUN.search(" ".join(["", *todo])) and not any(k[:1] == START for k in todo)
 
 
 class Memory(dict):
-    """piece -> encoded, for two generations of ``limit`` pieces: rare ones are forgotten and encoded again if they return."""
+    """key of a piece -> encoded, for two generations of ``limit`` pieces: rare ones are forgotten and encoded again if they return."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 250_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest, self.old = encode, limit, longest, {}
 
-    def __missing__(self, piece: str):
-        (value,) = self.encode([piece])
+    def __missing__(self, key: str):
+        (value,) = self.encode([key])
         return value
 
     def learn(self, texts: list[str]) -> dict:
         """Makes every piece of these texts present. Pieces over ``longest`` are kept for these texts only."""
-        if len(self) > self.limit:
-            self.old = {k: v for k, v in self.items() if len(k) <= self.longest}
-            self.clear()
         new: set[str] = set()
         for text in texts:
             new.update(pieces(text))
+        return self.learn_keys(new)
+
+    def learn_keys(self, new: set[str]) -> dict:
+        if len(self) > self.limit:
+            self.old = {k: v for k, v in self.items() if len(k) <= self.longest}
+            self.clear()
         new.difference_update(self)
-        for piece in [p for p in new if p in self.old]:
-            self[piece] = self.old[piece]
-            new.discard(piece)
-        todo = sorted(new)
+        again = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in again)
+        new -= again
+        todo = list(new)
         self.update(zip(todo, self.encode(todo), strict=True))
         return self
 

@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, shared_dir, text_blocks, write_file
-from .pieces import Memory, pieces
+from .pieces import START, Memory, joinable, piece, pieces
 
 MAGIC = b"DACTOK01"
 #: Bits between two entries of a rank directory.
 STRIDE = 512
 #: A file is closed once it holds so many tokens; a document never spans files.
-TOKENS_PER_FILE = 8_000_000
+TOKENS_PER_FILE = 4_000_000
 
 
 class DirectCodes:
@@ -154,7 +154,34 @@ def _encoder(path: str) -> Memory:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return Memory(lambda todo: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(todo, add_special_tokens=False)])
+    vocabulary = t.get_vocab()
+    size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: the byte-level alphabet has a character for each
+    for token, i in vocabulary.items():
+        size[i] = len(token)
+
+    def encode(todo: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        inner = [k for k in todo if k[:1] != START]
+        rows = [inner[i : i + 500] for i in range(0, len(inner), 500)]
+        alone = [k for k in todo if k[:1] == START]
+        alone += [k for r in rows if not joinable(r) for k in r]
+        rows = [r for r in rows if joinable(r)]
+        # Pieces that stand in a row are encoded as they would be alone; the tokens' lengths tell them apart.
+        for r, e in zip(rows, t.encode_batch_fast(["".join(map(piece, r)) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(k.encode()) + 1 for k in r), np.int64, len(r)))
+            token_ends = np.cumsum(size[ids])
+            at = np.searchsorted(token_ends, ends)
+            if len(ids) == 0 or (token_ends[np.minimum(at, len(ids) - 1)] != ends).any():
+                alone += r
+                continue
+            data, bounds = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+            out.update(zip(r, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+        for k, e in zip(alone, t.encode_batch_fast([piece(k) for k in alone], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        return [out[k] for k in todo]
+
+    return Memory(encode, limit=400_000)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, tokens_per_file: int = TOKENS_PER_FILE) -> DataFrame:
@@ -178,10 +205,11 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
             write_file(uri, pack(numbers, held))
             return pa.RecordBatch.from_pylist([{"part": part, "file": count, "path": uri, "docs": len(numbers), "tokens": size}], pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-        for block, texts in text_blocks(batches, 1):
-            memory.learn(texts)
-            for number, text in zip(block.column(0).to_pylist(), texts, strict=True):
-                ids = np.frombuffer(b"".join([*map(memory.__getitem__, pieces(text)), ended]), "<u4")
+        for block, texts in text_blocks(batches, 1, 4_000_000):
+            keys = [pieces(t) for t in texts]
+            memory.learn_keys(set().union(*keys))
+            for number, own in zip(block.column(0).to_pylist(), keys, strict=True):
+                ids = np.frombuffer(b"".join([*map(memory.__getitem__, own), ended]), "<u4")
                 numbers.append(number)
                 held.append(ids)
                 size += len(ids)
