@@ -16,6 +16,8 @@ from .common import text_blocks
 from .pieces import Memory, piece, pieces
 
 NONE = np.int32(2**31 - 1)
+#: Bytes of pre-tokens that share a queue.
+QUEUE_BYTES = 1_500_000
 
 
 class RankQueue:
@@ -87,8 +89,9 @@ class ByteBPE:
         self.bytes = [b""] * self.size
         for token, rank in ranks.items():
             self.bytes[rank] = token
+        self.numbers = list(range(self.size))  # one object for each id, whatever holds it
         self.decimal = [str(i) for i in range(self.size)]
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -103,7 +106,7 @@ class ByteBPE:
         """The rank at which two neighbouring tokens merge, or NONE."""
         if not len(self.keys):
             return np.full(len(left), NONE)
-        key = left * (self.size + 1) + right
+        key = left.astype(np.int64) * (self.size + 1) + right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.values[at], NONE)
@@ -113,9 +116,9 @@ class ByteBPE:
         ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
         n = int(ends[-1]) + 1
         wall = self.size  # the id of a barrier: no pair with it merges
-        ids = np.append(self.single[np.frombuffer(b"\0".join(words) + b"\0", np.uint8)], wall)
+        ids = np.append(self.single[np.frombuffer(b"\0".join(words) + b"\0", np.uint8)], np.int32(wall))
         ids[ends] = wall
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[n], before[0] = n, n
         alive = np.ones(n + 1, bool)
         rank_at = np.append(self.pair_ranks(ids[:-1], ids[1:]), NONE)
@@ -208,11 +211,17 @@ class ByteBPE:
                 todo.append(k)
             else:
                 out[k] = []
-        if todo:
-            flat, bounds = self.merge([raw[k] for k in todo])
-            flat, bounds = flat.tolist(), bounds.tolist()
-            for j, k in enumerate(todo):
+        at = 0
+        while at < len(todo):  # one queue for about QUEUE_BYTES of pre-tokens
+            end, size = at, 0
+            while end < len(todo) and (end == at or size < QUEUE_BYTES):
+                size += len(raw[todo[end]])
+                end += 1
+            flat, bounds = self.merge([raw[k] for k in todo[at:end]])
+            flat, bounds = list(map(self.numbers.__getitem__, flat.tolist())), bounds.tolist()
+            for j, k in enumerate(todo[at:end]):
                 out[k] = flat[bounds[j] : bounds[j + 1]]
+            at = end
         return out
 
     def _encode_pieces(self, todo: list[str]) -> list[tuple[int, ...]]:
@@ -258,7 +267,7 @@ def encode_documents(docs: DataFrame, model: tuple[str, str] | None = None, text
     def run(batches):
         bpe = load(path, pattern)
         dec = bpe.decimal.__getitem__
-        for part, texts in text_blocks(batches, 1):
+        for part, texts in text_blocks(batches, 1, 12_000_000):
             memory = bpe.memory.learn(texts)
             n, a, b, all_ids = [], [], [], []
             for t in texts:
@@ -267,7 +276,7 @@ def encode_documents(docs: DataFrame, model: tuple[str, str] | None = None, text
                 a.append(hashlib.sha256(" ".join(map(dec, got)).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(got)).hexdigest())
                 if ids:
-                    all_ids.append(got)
+                    all_ids.append(np.array(got, np.int32))
             memory.forget_long()
             columns = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -64,10 +64,10 @@ class Memory(dict):
         if len(self) > self.limit:
             self.old = {k: v for k, v in self.items() if len(k) <= self.longest}
             self.clear()
-        # Membership goes by the new keys: set methods would walk all that is remembered instead.
-        again = {k: self.old[k] for k in new if k in self.old and k not in self}
+        new = new.difference(self)  # walks the new keys; difference_update() would walk all that is remembered
+        again = {k: self.old[k] for k in new if k in self.old}
         self.update(again)
-        new = {k for k in new if k not in self}
+        new.difference_update(again)
         todo = list(new)
         self.update(zip(todo, self.encode(todo), strict=True))
         return self
