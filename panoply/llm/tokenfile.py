@@ -154,8 +154,6 @@ def _encoder(path: str) -> Memory:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    if hasattr(t.model, "_resize_cache"):
-        t.model._resize_cache(0)  # each piece comes once, so the library's own cache only costs
     vocabulary = t.get_vocab()
     size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: the byte-level alphabet has a character for each
     for token, i in vocabulary.items():
