@@ -34,7 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: not, once or twice. Those without words are never taken."""
     mixed = mixing.mix(docs)
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("_")).drop("_")
+    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int"))).alias("_")).drop("_")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,7 +267,7 @@ def encode_documents(docs: DataFrame, model: tuple[str, str] | None = None, text
     def run(batches):
         bpe = load(path, pattern)
         dec = bpe.decimal.__getitem__
-        for part, texts in text_blocks(batches, 1, 12_000_000):
+        for part, texts in text_blocks(batches, 1, 8_000_000):
             memory = bpe.memory.learn(texts)
             n, a, b, all_ids = [], [], [], []
             for t in texts:

@@ -45,7 +45,7 @@ def joinable(todo: list[str]) -> bool:
 class Memory(dict):
     """key of a piece -> encoded, for two generations of ``limit`` pieces: rare ones are forgotten and encoded again if they return."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 250_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 180_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest, self.old = encode, limit, longest, {}
 

@@ -1,0 +1,372 @@
+"""The corpus operators against brute force, round trips and held-out rows; nulls, empties, ties, repeats, clashing columns."""
+
+import base64
+import gzip
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from panoply.llm import bpe, components, forest, mixing, pieces, quality, secrets, simhash, tokenfile, topk, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", " ", "a", "a  b", "a   b\n\n c", "\n \n", "x\t y", "it's we'll 12 34!!", "é 中文 😀", "<|endoftext|> a", "aaaa" * 3000, "ab " * 2000, "\x1c \x85\xa0 ", "ſKtoken=abcdefghijklmnop"]
+
+
+def rows(spark, texts, schema=DOCS):
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], schema)
+
+
+@pytest.fixture(scope="module")
+def mixed_texts():
+    rnd = random.Random(3)
+    parts = ["the", "of ", " ", "\n", "  ", "ab", "123", "!?", "é", "中", "\t", "'s", "Thhe", "."]
+    return ODD + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 80))) for _ in range(200)]
+
+
+def library():
+    import public_tokenizers as P
+    import tiktoken
+
+    model = bpe.load(*bpe.default_model())
+    return model, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=model.ranks, special_tokens={})
+
+
+def test_pieces_join_to_the_text(mixed_texts):
+    for t in mixed_texts:
+        assert "".join(map(pieces.piece, pieces.pieces(t))) == t
+
+
+def test_bpe_equals_the_library_and_round_trips(mixed_texts):
+    model, reference = library()
+    for t, ids in zip(mixed_texts, model.encode_batch(mixed_texts), strict=True):
+        assert ids == reference.encode_ordinary(t)
+        assert model.decode(ids) == t.encode()
+
+
+def test_bpe_one_by_one_agrees_with_the_batched_queue():
+    model, _ = library()
+    words = [b"abababab", b"aaaaaaa", b"thestonanhe", "ééé".encode(), b"zqxj"]
+    flat, bounds = model.merge(words)
+    for k, w in enumerate(words):
+        assert flat[bounds[k] : bounds[k + 1]].tolist() == model._one_by_one(w).tolist()
+
+
+def test_rank_queue_gives_lowest_rank_first():
+    q = bpe.RankQueue(300_000)
+    rnd = random.Random(1)
+    held = [rnd.randrange(300_000) for _ in range(500)]
+    for r in held:
+        q.push(r, np.array([r]))
+    out = []
+    while (got := q.take()) is not None:
+        out.append(got[0])
+    assert out == sorted(set(held))
+
+
+def test_encode_documents_nulls_and_extra_columns(spark):
+    docs = spark.createDataFrame([(1, None, 5), (1, None, 5), (None, "a b", 6)], "doc_id long, text string, n_tokens int")
+    got = bpe.encode_documents(docs, ids=True).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256 == empty) for r in got) == [(-1, 2, False), (1, 0, True), (1, 0, True)]
+    assert bpe.encode_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("high", [1, 255, 256, 70_000, 2**31])
+def test_direct_codes_random_access(high):
+    rng = np.random.default_rng(high)
+    v = rng.integers(0, high, 3000, dtype=np.uint32) * rng.integers(0, 2, 3000, dtype=np.uint32)
+    codes = tokenfile.DirectCodes.parse(*(lambda s, b: (s, memoryview(b)))(*tokenfile.DirectCodes.build(v).dump()))
+    assert [codes[i] for i in range(0, 3000, 7)] == v[::7].tolist()
+    for a, b in ((0, 3000), (5, 5), (511, 513), (1234, 2999)):
+        assert codes.range(a, b).tolist() == v[a:b].tolist()
+
+
+def test_token_files_round_trip(spark, mixed_texts):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = [*mixed_texts, None]
+    files = tokenfile.write_tokens(rows(spark, texts), tokens_per_file=500)
+    got = {r.doc_id: r for r in tokenfile.read_tokens(spark, files, ids=True).collect()}
+    start = 0
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        r = got[i]
+        assert (r.start, r.n_tokens, r.ids) == (start, len(ids), ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    assert files.count() > 3
+    assert tokenfile.read_tokens(spark, tokenfile.write_tokens(rows(spark, []))).count() == 0
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_fingerprints():
+    texts = [*ODD, "A b c d", "a B C D", " ".join(map(str, range(500)))]
+    assert [int(x) for x in simhash.fingerprints(texts, chunk=50)] == [brute_fingerprint(t) for t in texts]
+
+
+@pytest.mark.parametrize("most", [128, 3])
+def test_links_connect_exactly_what_hamming_distance_does(spark, most):
+    rnd = random.Random(8)
+    fps = {0, 1, 3, 7}
+    for _ in range(40):
+        x = rnd.getrandbits(64)
+        for _ in range(rnd.randint(1, 12)):
+            fps.add(x)
+            for _ in range(rnd.randint(1, 3)):
+                x ^= 1 << rnd.randrange(64)
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = components.connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most)).collect()
+    root = dict(zip(signed, signed, strict=True)) | {r.node: r.root for r in got}
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, s in enumerate(signed):
+        groups.setdefault(find(i), []).append(s)
+    for members in groups.values():
+        assert {root[m] for m in members} == {min(members)}
+
+
+def test_near_duplicates_nulls_copies_and_near_copies(spark):
+    base = " ".join(f"w{i}" for i in range(4000))
+    texts = [None, "", "a b c", "a b c", base, base + " more", "A B C"]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows(spark, texts)).collect()}
+    assert got[0] == got[1] == 0 and got[2] == got[3] == got[6] == 2 and got[4] == got[5] == 4
+    assert simhash.near_duplicates(rows(spark, [])).count() == 0
+
+
+def test_mixing_against_a_plain_queue(spark):
+    rnd = random.Random(5)
+    data = [(i, " ".join(["w"] * rnd.randint(0, 60)), rnd.choice(["a", "b", "B", None])) for i in range(3000)] + [(5000, None, "a"), (None, "w w", "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    again = mixing.mix(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    size = {}
+    for r in got:
+        size[r.source] = size.get(r.source, 0) + r["size"]
+        assert 0 <= r.taken <= 2 * r["size"] and r.taken % max(1, r["size"]) == 0
+    order = sorted((s for s in size if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(size.values())
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+            free.discard(s)
+    target |= {s: level * weight[s] for s in free}
+    taken = {}
+    for r in got:
+        assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 60 for s in order)
+    assert sum(taken.values()) <= 1.5 * sum(size.values()) < sum(taken.values()) + 60
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert {r.taken for r in mixing.mix(docs.where("text is null")).collect()} == {0}
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+RSA = der(0x30, der(2, b"\0"), *[der(2, b"\x01" * 30)] * 8)
+
+
+def test_secret_scan():
+    b64 = lambda x: base64.b64encode(x).decode()
+    url = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = f"{url(json.dumps({'alg': 'HS256'}).encode())}.{url(b'{}' + b' ' * 9)}.{url(b's' * 32)}"
+    fake = f"{url(json.dumps({'alg': 'HS256'}).encode())}.{url(b'{}' + b' ' * 9)}.{url(b's' * 31)}"
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64(RSA)}\n-----END RSA PRIVATE KEY-----"
+    bad = f"-----BEGIN RSA PRIVATE KEY-----\n{b64(RSA[:-1])}\n-----END RSA PRIVATE KEY-----"
+    kinds = lambda t: [k for k, _, _ in secrets.scan_text(t)[1]]
+    assert kinds(token) == ["jwt"] and kinds(fake) == []
+    assert "pem" in kinds(pem) and "pem" not in kinds(bad)
+    assert "der" in kinds("x " + b64(RSA)) and "der" not in kinds("x " + b64(RSA[:-1]))
+    assert kinds(RSA.hex()) == ["hex", "der"]
+    assert "nested" in kinds(b64(f"some text before {token}".encode()))
+    assert kinds("token = short") == [] and kinds('PASSWORD: "abcdefghijkl"') == ["assign"]
+    assert kinds("token = secret: abcdefghijklmno") == []
+    assert kinds("AKIA1234567890123") == [] and kinds("AKIA12345678901234") == ["access"]
+    assert secrets.scan_text('é token = "abcdefghijkl" x')[0] == [("assign", 2, 23)]
+    assert secrets.redact_text('é token = "abcdefghijkl" x') == 'é [secret]" x'
+
+
+def test_secret_scan_table(spark):
+    got = secrets.scan(rows(spark, [None, "", "0123456789abcdef", *ODD])).collect()
+    assert len(got) == 3 + len(ODD) and got[2].spans == "hex:0:16" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    kept = secrets.redact(rows(spark, [None, "", "a 0123456789abcdef"])).collect()
+    assert [r.text for r in kept] == [None, "", "a [secret]"]
+
+
+def vectors(spark, data):
+    return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, score int")
+
+
+@pytest.fixture(scope="module")
+def some_vectors():
+    rng = np.random.default_rng(2)
+    v = np.round(rng.standard_normal((900, 12)), 2).astype(np.float32)
+    v[300:400] = v[7]
+    v[5] = 0
+    data = [(int(i), [float(x) for x in r], 0, 1) for i, r in enumerate(v)]
+    return data, [(900, None, 0, 1), (901, [float("nan")] * 12, 0, 1), (902, [1.0, None], 0, 1), (903, [], 0, 1), (None, [1.0] * 12, 0, 1)]
+
+
+def test_top_k_equals_brute_force(spark, some_vectors):
+    data, odd = some_vectors
+    got = topk.top_k(vectors(spark, data + odd), block=250).collect()
+    w = np.floor(64 * np.array([r[1] for r in data]))
+    for q in range(0, 900, 20):
+        s = w @ w[q]
+        want = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:20]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [(r.vec_id, r.score) for r in mine] == [(i, int(s[i])) for i in want]
+    assert topk.top_k(vectors(spark, [])).count() == 0
+    assert topk.top_k(vectors(spark, data[:1])).count() == 0
+
+
+def test_forest_recall_and_scores(spark, some_vectors):
+    data, odd = some_vectors
+    got = forest.nearest(vectors(spark, data + odd), block=500).collect()
+    v = np.array([r[1] for r in data])
+    n = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    hits = total = 0
+    for q in range(0, 900, 50):
+        c = n @ n[q]
+        want = sorted((i for i in range(900) if i not in (q, 5)), key=lambda i: (-round(c[i], 12), i))[:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert len(mine) == 5 and all(abs(r.score - c[r.vec_id]) < 1e-12 for r in mine)
+        hits += len({r.vec_id for r in mine} & set(want))
+        total += 5
+    assert hits / total >= 0.9
+    assert forest.nearest(vectors(spark, [])).count() == 0
+
+
+def test_warc_finds_the_damage_and_nothing_else(spark):
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", "x" * (i % 50), 3) for i in range(600)] + [(None, None, None, 3), (700, "http://e.org/\n", "", 3)], "page_id long, url string, html string, file int")
+    files = warc.write_replicas(pages.repartition(3), damaged=lambda p: p in (17, 18, 599), file_bytes=20_000)
+    got = warc.audit(files).collect()
+    assert len(got) == 602 and {r.page_id for r in got if r.damaged} == {17, 18, 599}
+    assert warc.audit(warc.write_replicas(pages, None)).where("damaged").count() == 0
+    assert warc.audit(warc.write_replicas(pages.limit(0), None)).count() == 0
+
+
+def test_warc_records_and_catalog():
+    whole = [gzip.compress(warc.record(i, "u", b"p" * i), mtime=0) for i in range(4)]
+    broken = bytearray(b"".join(whole))
+    broken[len(whole[0]) + len(whole[1]) // 2] ^= 1
+    assert warc.catalog(b"".join(whole)) == np.cumsum([len(x) for x in whole]).tolist()
+    assert [r is None for _, _, r in warc.read_records(bytes(broken))] == [False, True, False, False]
+    assert warc.parse_record(warc.record(3, None, b"abc"))[1] == b"abc" and warc.parse_record(b"junk") is None
+
+
+def labelled(n=240):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("aeiounrst") for _ in range(rnd.randint(2, 8)))
+    out = []
+    for i in range(n):
+        words = [word() for _ in range(rnd.randint(20, 120))]
+        bad = i % 3 == 0
+        text = " ".join(w.upper() + "!!" for w in words) if bad else " ".join(words) + "."
+        out.append((i, text, 0 if bad else 1))
+    return out
+
+
+def test_quality_network_on_held_out_rows(spark):
+    data = labelled()
+    docs = rows(spark, [t for _, t, _ in data] + [None, ""])
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in data] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.classify(docs, model).collect()}
+    held = [i for i, _, _ in data if got[i].held_out]
+    assert {i for i in got if zlib.crc32(str(i).encode()) % 4 == 2} == {i for i in got if got[i].held_out}
+    assert sum(got[i].predicted == data[i][2] for i in held) / len(held) > 0.95
+    assert got[240].score == got[241].score and 0 <= got[240].score <= 1
+    assert quality.keep_good(docs, model).columns == docs.columns
+    flat = quality.train(docs, labels.limit(0))
+    assert {r.score for r in quality.classify(docs, flat).collect()} == {0.5}
+
+
+def test_quality_gradient():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (0, 3, 256, 257, 900)]
+    chunks, starts = quality.chunks(texts)
+    assert len(chunks) == 1 + 1 + 1 + 2 + 4 and bytes(chunks[starts[4]][:256]) == texts[4][:256]
+    assert bytes(chunks[starts[4] + 1][:4]) == texts[4][256:260] and bytes(chunks[starts[4]][256:260]) == texts[4][256:260]
+
+
+def test_toxicity_orders_severity(spark):
+    rnd = random.Random(6)
+    words = [f"word{i}" for i in range(300)]
+    data = []
+    for i in range(600):
+        w = [rnd.choice(words) for _ in range(40)]
+        n = 0 if i % 2 else rnd.randint(1, 6)
+        for k in range(n):
+            w[rnd.randrange(40)] = f"vile{rnd.choice('abcdef')}"
+        data.append((i, " ".join(w), int(n > 0), n))
+    docs = rows(spark, [t for _, t, _, _ in data] + [None, ""])
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t, _ in data], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.thresholds == sorted(model.thresholds)
+    got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
+    assert sum(got[i].toxic == t for i, _, t, _ in data) / 600 > 0.97
+    assert got[600].toxic == got[601].toxic == 0
+    mean = lambda lo, hi: np.mean([got[i].severity for i, _, _, n in data if lo <= n <= hi])
+    assert mean(0, 0) < mean(1, 2) < mean(5, 6)
+    assert toxicity.severity(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
+
+
+def test_pipeline_stages_keep_columns(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    data = labelled(120)
+    texts = [t for _, t, _ in data] + [data[1][1], None, "token = 0123456789abcdef0123 and more words here"]
+    docs = rows(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, _, q in data], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append((name, now.count()))
+        if k < len(pipeline.STAGES) - 1:
+            assert now.columns == docs.columns
+    counts = dict(seen)
+    assert 80 <= counts["quality"] < 123 and counts["near_duplicates"] < counts["quality"] and counts["secrets"] == counts["near_duplicates"]
+    assert counts["mix"] > counts["secrets"] and counts["encode"] == counts["mix"]
+    empty = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
