@@ -60,7 +60,7 @@ def density_cut(points: DataFrame, density: str, keys: list[str], quantile: floa
 def scale_checks(checks: DataFrame, key: str) -> DataFrame:
     """Dimension errors from (key, name, actual_m, units, meters_per_unit)."""
     e = checks.withColumn("estimated_m", F.col("units") * F.col("meters_per_unit"))
-    return e.withColumn("absolute_error_m", F.abs(F.col("estimated_m") - F.col("actual_m"))).withColumn("percent_error", F.col("absolute_error_m") / F.col("actual_m") * 100)
+    return e.withColumn("absolute_error_m", F.abs(F.col("estimated_m") - F.col("actual_m"))).withColumn("percent_error", F.col("absolute_error_m") / F.nullif("actual_m", F.lit(0.0)) * 100)
 
 
 def scale_summary(results: DataFrame, key: str) -> DataFrame:
