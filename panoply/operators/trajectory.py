@@ -14,7 +14,7 @@ XYZ = ["cx", "cy", "cz"]
 def with_centers(poses: DataFrame) -> DataFrame:
     """Adds cx, cy, cz from arrays q and t."""
     c = X.camera_center([F.col("q")[i] for i in range(4)], [F.col("t")[i] for i in range(3)])
-    return poses.select("*", *[e.alias(n) for e, n in zip(c, XYZ, strict=True)])
+    return poses.withColumns(dict(zip(XYZ, c, strict=True)))
 
 
 def steps(poses: DataFrame, key: str = "model_id") -> DataFrame:
