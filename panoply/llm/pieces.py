@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: A blank after white space that no visible character follows: there a plain split at blanks would part a run of white space.
@@ -18,6 +21,10 @@ _CUT = regex.compile(r"(?<=\S)(?= )", regex.V1)
 
 #: Marks the key of a piece without a leading blank; no text from Spark can hold it.
 START = "\ud800"
+#: Marks the key of a piece that starts with a line end instead of a blank, in texts that don't hold this character.
+LINE = "\0"
+#: A line end after one of these is a boundary too: a visible character never joins the white space after it.
+LINE_ENDS = ".,:!?"
 
 
 def pieces(text: str) -> list[str]:
@@ -34,7 +41,7 @@ def pieces(text: str) -> list[str]:
 
 
 def piece(key: str) -> str:
-    return key[1:] if key[:1] == START else " " + key
+    return key[1:] if key[:1] == START else "\n" + key[1:] if key[:1] == LINE else " " + key
 
 
 def joinable(todo: list[str]) -> bool:
@@ -47,7 +54,7 @@ class Memory(dict):
 
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 180_000, longest: int = 64):
         super().__init__()
-        self.encode, self.limit, self.longest, self.old = encode, limit, longest, {}
+        self.encode, self.limit, self.longest, self.old, self.long = encode, limit, longest, {}, []
 
     def __missing__(self, key: str):
         (value,) = self.encode([key])
@@ -62,16 +69,57 @@ class Memory(dict):
 
     def learn_keys(self, new: set[str]) -> dict:
         if len(self) > self.limit:
-            self.old = {k: v for k, v in self.items() if len(k) <= self.longest}
+            self.forget_long()
+            self.old = dict(self)
             self.clear()
         new = new.difference(self)  # walks the new keys; difference_update() would walk all that is remembered
         again = {k: self.old[k] for k in new if k in self.old}
         self.update(again)
         new.difference_update(again)
         todo = list(new)
+        self.long += [k for k in todo if len(k) > self.longest]
         self.update(zip(todo, self.encode(todo), strict=True))
         return self
 
     def forget_long(self) -> None:
-        for k in [k for k in self if len(k) > self.longest]:
-            del self[k]
+        for k in self.long:
+            self.pop(k, None)
+        self.long = []
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids, for an ``encode`` that gives little-endian unsigned 32-bit ints as bytes.
+
+        Splitting, finding the distinct pieces and laying out the ids go over all texts at once; only distinct
+        pieces are handled one by one.
+        """
+        out = [np.zeros(0, "<u4")] * len(texts)
+        odd = [i for i, t in enumerate(texts) if LINE in t or _RUN.search(t)]
+        for i in odd:
+            keys = [START + texts[i]] if LINE in texts[i] else pieces(texts[i])
+            self.learn_keys(set(keys))
+            out[i] = np.frombuffer(b"".join(map(self.__getitem__, keys)), "<u4")
+        usual = sorted(set(range(len(texts))).difference(odd))
+        if usual:
+            cut = [texts[i] for i in usual]
+            for mark in LINE_ENDS:
+                cut = [t.replace(mark + "\n", f"{mark} {LINE}") for t in cut]
+            split = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+            first = split.offsets.to_numpy()[:-1]
+            distinct = pc.dictionary_encode(split.flatten())
+            keys, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy().astype(np.int64)
+            # No blank stands before a text's first piece; an empty one is no piece.
+            heads = [START + keys[k] if keys[k] else START for k in at[first].tolist()]
+            at[first] = np.arange(len(keys), len(keys) + len(heads))
+            keys += heads
+            self.learn_keys(set(keys))
+            encoded = list(map(self.__getitem__, keys))
+            size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+            flat, start = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum(size) - size
+            sizes = size[at]
+            end = np.cumsum(sizes)
+            ids = flat[np.repeat(start[at] - (end - sizes), sizes) + np.arange(end[-1])]
+            bounds = np.append(end[first] - sizes[first], end[-1]).tolist()
+            for i, a, b in zip(usual, bounds, bounds[1:], strict=False):
+                out[i] = ids[a:b]
+        self.forget_long()
+        return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import struct
 import zlib
 
@@ -15,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialize, shared_dir, text_blocks, write_file
-from .pieces import START, Memory, joinable, piece, pieces
+from .pieces import LINE, START, Memory, joinable, piece
 
 MAGIC = b"DACTOK01"
 #: Bits between two entries of a rank directory.
 STRIDE = 512
 #: A file is closed once it holds so many tokens; a document never spans files.
 TOKENS_PER_FILE = 4_000_000
+#: Marks after a word, and words beyond ASCII, whose bounds as pre-tokens need no pattern.
+MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 class DirectCodes:
@@ -150,7 +154,7 @@ def open_file(uri: str) -> TokenFile:
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Memory:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -158,25 +162,59 @@ def _encoder(path: str) -> Memory:
     size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: the byte-level alphabet has a character for each
     for token, i in vocabulary.items():
         size[i] = len(token)
-
-    def encode(todo: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        inner = [k for k in todo if k[:1] != START]
-        rows = [inner[i : i + 500] for i in range(0, len(inner), 500)]
-        alone = [k for k in todo if k[:1] == START]
-        alone += [k for r in rows if not joinable(r) for k in r]
-        rows = [r for r in rows if joinable(r)]
-        # Pieces that stand in a row are encoded as they would be alone; the tokens' lengths tell them apart.
-        for r, e in zip(rows, t.encode_batch_fast(["".join(map(piece, r)) for r in rows], add_special_tokens=False), strict=True):
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    spelled = lambda x: "".join(part for part, _ in level.pre_tokenize_str(x))
+    letters, blank = {c: spelled(chr(c)) for c in range(0xC0, 0x100)}, spelled(" ")
+    # The same model behind a split at newlines, for pre-tokens that are known and spelled already.
+    words = Tokenizer(t.model)
+    words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    plain = isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and not t.pre_tokenizer.add_prefix_space and t.pre_tokenizer.use_regex and t.normalizer is None and t.post_processor is None
+
+    def in_rows(encoder, keys: list[str], sizes, row) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of the keys, many in one text: the tokens' lengths tell them apart. And the keys of rows where they don't."""
+        out, failed = {}, []
+        rows = [keys[i : i + 500] for i in range(0, len(keys), 500)]
+        for r, e in zip(rows, encoder.encode_batch_fast([row(r) for r in rows], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(k.encode()) + 1 for k in r), np.int64, len(r)))
+            ends = np.cumsum(sizes(r))
             token_ends = np.cumsum(size[ids])
             at = np.searchsorted(token_ends, ends)
-            if len(ids) == 0 or (token_ends[np.minimum(at, len(ids) - 1)] != ends).any():
-                alone += r
+            if len(ids) == 0 or token_ends[-1] != ends[-1] or (token_ends[np.minimum(at, len(ids) - 1)] != ends).any():
+                failed += r
                 continue
             data, bounds = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
             out.update(zip(r, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
+        return out, failed
+
+    def encode(todo: list[str]) -> list[bytes]:
+        ascii_words, latin_words, marks, own, own_words, own_marks = {}, {}, {}, [], [], []
+        for k in todo if plain else ():
+            w = k.rstrip(MARKS)
+            if w.isalpha() and (w.isascii() or LATIN(w)):
+                m = k[len(w) :]
+                (ascii_words if w.isascii() else latin_words)[w] = marks[m] = None
+                own.append(k)
+                own_words.append(w)
+                own_marks.append(m)
+        n_bytes = lambda extra: lambda r: np.fromiter((len(k.encode()) + extra for k in r), np.int64, len(r))
+        row = lambda r: blank + f"\n{blank}".join(r)
+        known, _ = in_rows(words, list(ascii_words), lambda r: np.fromiter(map(len, r), np.int64, len(r)) + 1, row)
+        known |= in_rows(words, list(latin_words), n_bytes(1), lambda r: row(r).translate(letters))[0]
+        marks.pop("", None)
+        ends = in_rows(words, list(marks), n_bytes(0), "\n".join)[0] | {"": b""}
+        out = {k: a + b for k, a, b in zip(own, map(known.get, own_words), map(ends.get, own_marks), strict=True) if a is not None and b is not None}
+        # The others go through the whole tokenizer, in rows where they keep their bounds.
+        rest = [k for k in todo if k not in out] if len(out) < len(todo) else []
+        kinds = [[], [], []]  # after a blank, after a line end, alone
+        for k in rest:
+            kinds[2 if k[:1] == START else 0 if k[:1] != LINE else 2 if k[-1:].isspace() or k == LINE else 1].append(k)
+        inner, lines, alone = kinds
+        groups = [inner[i : i + 500] for i in range(0, len(inner), 500)]
+        alone += [k for r in groups if not joinable(r) for k in r]
+        for keys, extra in (([k for r in groups if joinable(r) for k in r], 1), (lines, 0)):
+            found, failed = in_rows(t, keys, n_bytes(extra), lambda r: "".join(map(piece, r)))
+            out.update(found)
+            alone += failed
         for k, e in zip(alone, t.encode_batch_fast([piece(k) for k in alone], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, "<u4").tobytes()
         return [out[k] for k in todo]
@@ -197,7 +235,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
 
     def run(batches):
         memory, part = _encoder(path), TaskContext.get().partitionId()
-        ended = np.array([end_id], "<u4").tobytes()
+        ended = np.array([end_id], "<u4")
         numbers, held, size, count = [], [], 0, 0
 
         def close():
@@ -205,18 +243,15 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
             write_file(uri, pack(numbers, held))
             return pa.RecordBatch.from_pylist([{"part": part, "file": count, "path": uri, "docs": len(numbers), "tokens": size}], pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-        for block, texts in text_blocks(batches, 1, 4_000_000):
-            keys = [pieces(t) for t in texts]
-            memory.learn_keys(set().union(*keys))
-            for number, own in zip(block.column(0).to_pylist(), keys, strict=True):
-                ids = np.frombuffer(b"".join([*map(memory.__getitem__, own), ended]), "<u4")
+        for block, texts in text_blocks(batches, 1, 8_000_000):
+            for number, own in zip(block.column(0).to_pylist(), memory.ids(texts), strict=True):
+                ids = np.append(own, ended)
                 numbers.append(number)
                 held.append(ids)
                 size += len(ids)
                 if size >= tokens_per_file:
                     yield close()
                     numbers, held, size, count = [], [], 0, count + 1
-            memory.forget_long()
         if numbers:
             yield close()
 
