@@ -195,8 +195,10 @@ def ray_on_plane(rotation: np.ndarray, center: np.ndarray, camera: tuple[float,
     return center + along * ray
 
 
-def frame_quality(images: DataFrame, width: int = 640, most: int = 600) -> DataFrame:
-    """path, sharpness, brightness_mean, feature_count of rows of Spark's image source: one Arrow hop for all three."""
+def frame_quality(images: DataFrame, width: int = 640, most: int = 600, pixels: bool = False) -> DataFrame:
+    """path, sharpness, brightness_mean, feature_count of rows of Spark's image source, and with ``pixels`` the gray
+    analysis image (height, width, gray): one Arrow hop for all."""
+    names = ["path", "sharpness", "brightness_mean", "feature_count"] + ["height", "width", "gray"] * pixels
 
     def run(batches):
         for pdf in batches:
@@ -204,8 +206,8 @@ def frame_quality(images: DataFrame, width: int = 640, most: int = 600) -> DataF
             for path, h, w, n, data in zip(pdf["path"], pdf["height"], pdf["width"], pdf["n"], pdf["data"], strict=True):
                 px = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 g = shrink(gray(px[..., :3]) if n >= 3 else px[..., 0], width)
-                rows.append((path, laplacian_variance(g), float(g.mean()), len(corners(g, most))))
-            yield pd.DataFrame(rows, columns=["path", "sharpness", "brightness_mean", "feature_count"])
+                rows.append((path, laplacian_variance(g), float(g.mean()), len(corners(g, most)), *((*g.shape, g.tobytes()) if pixels else ())))
+            yield pd.DataFrame(rows, columns=names)
 
     flat = images.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("n"), "image.data")
-    return flat.mapInPandas(run, "path string, sharpness double, brightness_mean double, feature_count long")
+    return flat.mapInPandas(run, "path string, sharpness double, brightness_mean double, feature_count long" + ", height int, width int, gray binary" * pixels)

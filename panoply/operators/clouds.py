@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import distance, transform_point
 from ..schemas import need
+from ..session import written
 
 AXES = ["x", "y", "z"]
 
@@ -22,22 +25,95 @@ def merged(main: DataFrame, secondary: DataFrame, meters_per_unit: float = 1.0)
     return both.withColumns({a: F.col(a) * meters_per_unit for a in AXES})
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, cell: float) -> DataFrame:
-    """Each query's distance to its nearest point: key, nearest.
+def _extent(*clouds: DataFrame) -> float:
+    """The longest edge of the box around all clouds, 0 if they are empty."""
+    every = clouds[0].select(*AXES)
+    for c in clouds[1:]:
+        every = every.union(c.select(*AXES))
+    return every.agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("e")).first()["e"] or 0.0
+
 
-    Points are hashed into cells of edge ``cell`` and a query looks at the 27 cells around its own; what it finds within
-    one edge is exact. Only queries without such a point are compared with all points.
-    """
-    grid = lambda a, d=0: F.floor(F.col(a) / cell) + d
+def _around(queries: DataFrame, points: DataFrame, edge: float) -> DataFrame:
+    """Each query with every point of the 27 cells around its own, and their distance d: all points within one edge are among them."""
+    grid = lambda a, d=0: F.floor(F.col(a) / edge) + d
     p = points.select(*[F.col(a).alias(f"p{a}") for a in AXES], *[grid(a).alias(f"g{a}") for a in AXES])
-    q = queries.select(key, *AXES)
-    around = q
+    q = queries
     for a in AXES:
-        around = around.withColumn(f"g{a}", F.explode(F.array(*[grid(a, d) for d in (-1, 0, 1)])))
-    d = distance([F.col(a) for a in AXES], [F.col(f"p{a}") for a in AXES])
-    near = around.join(p, [f"g{a}" for a in AXES]).groupBy(key).agg(F.min(d).alias("nearest")).where(F.col("nearest") <= cell)
-    rest = q.join(near, key, "left_anti").join(points.select(*[F.col(a).alias(f"p{a}") for a in AXES])).groupBy(key).agg(F.min(d).alias("nearest"))
-    return near.unionByName(rest)
+        q = q.withColumn(f"g{a}", F.explode(F.array(*[grid(a, d) for d in (-1, 0, 1)])))
+    return q.join(p, [f"g{a}" for a in AXES]).withColumn("d", distance([F.col(a) for a in AXES], [F.col(f"p{a}") for a in AXES]))
+
+
+def _widening(queries: DataFrame, points: DataFrame, key: str, cell: float, search) -> DataFrame:
+    """search(pairs) -> (key, reach, ...) for queries whose answer lies within ``reach``; those not settled within an edge go
+    on with cells of twice the edge. The edge ends at the clouds' extent, where the cells around hold all points, so rounds
+    grow with the logarithm of it. A query without any point gives no row."""
+    need(cell > 0, "cell must be positive")
+    extent, todo, out = _extent(queries, points), queries.select(key, *AXES), None
+    while True:
+        found = search(_around(todo, points, cell))
+        if cell < extent:
+            found = found.where(F.col("reach") <= cell)
+        found = written(found, "near")
+        out = found if out is None else out.unionByName(found)
+        if cell >= extent:
+            return out.drop("reach")
+        todo = written(todo.join(found.select(key), key, "left_anti"), "far")
+        if todo.isEmpty():
+            return out.drop("reach")
+        cell *= 2
+
+
+def nearest(queries: DataFrame, points: DataFrame, key: str, cell: float) -> DataFrame:
+    """Each query's distance to its nearest point: key, nearest. Copies of a point count once."""
+    search = lambda pairs: pairs.groupBy(key).agg(F.min("d").alias("nearest")).withColumn("reach", F.col("nearest"))
+    return _widening(queries, points.select(*AXES).distinct(), key, cell, search)
+
+
+def neighbour_distance(points: DataFrame, key: str, k: int = 20, cell: float = 0.1) -> DataFrame:
+    """key, mean_distance: each point's mean distance to its k nearest points, itself included (all points if fewer)."""
+    need(k > 0, "k must be positive")
+
+    def search(pairs: DataFrame) -> DataFrame:
+        ranked = pairs.select(key, "d").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(F.col("_r") <= k)
+        g = ranked.groupBy(key).agg(F.avg("d").alias("mean_distance"), F.max("d").alias("reach"), F.count("*").alias("_n"))
+        return g.select(key, "mean_distance", F.when(F.col("_n") < k, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
+
+    return _widening(points, points, key, cell, search)
+
+
+def without_outliers(points: DataFrame, key: str, k: int = 20, ratio: float = 2.5, cell: float = 0.1) -> DataFrame:
+    """Points whose mean neighbour distance is positive and not over the cloud's mean by ``ratio`` deviations or more."""
+    d = written(neighbour_distance(points, key, k, cell), "distances")
+    limit = d.agg((F.avg("mean_distance") + ratio * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("limit"))
+    kept = d.join(F.broadcast(limit), (F.col("mean_distance") > 0) & (F.col("mean_distance") < F.col("limit")))  # limit is one row
+    return points.join(kept.select(key), key, "left_semi")
+
+
+#: Names of the second moments of a neighbourhood.
+MOMENTS = ["xx", "xy", "xz", "yy", "yz", "zz"]
+
+
+def neighbour_moments(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -> DataFrame:
+    """key, neighbours and the covariance of the ``most`` nearest points within ``radius``, the point itself included."""
+    need(radius > 0 and most > 0, "radius and count must be positive")
+    pairs = _around(points.select(key, *AXES), points, radius).where(F.col("d") <= radius)
+    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("d", *[f"p{a}" for a in AXES]))).where(F.col("_r") <= most)
+    return near.groupBy(key).agg(F.count("*").alias("neighbours"), *[F.covar_pop(f"p{m[0]}", f"p{m[1]}").alias(m) for m in MOMENTS])
+
+
+def normals(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -> DataFrame:
+    """key, nx, ny, nz: the direction of least variance around each point, up to sign; (0, 0, 1) with under three neighbours."""
+
+    def run(batches):
+        for pdf in batches:
+            xx, xy, xz, yy, yz, zz = (pdf[m].to_numpy() for m in MOMENTS)
+            matrices = np.stack([np.stack(r, -1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], -2)
+            n = np.linalg.eigh(matrices)[1][:, :, 0]
+            n[pdf["neighbours"].to_numpy() < 3] = (0, 0, 1)
+            yield pd.DataFrame({key: pdf[key], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2]})
+
+    m = neighbour_moments(points, key, radius, most)
+    return m.mapInPandas(run, f"{key} {dict(points.dtypes)[key]}, nx double, ny double, nz double")
 
 
 def seam_gate(distances: DataFrame, limit: float = 0.25, share: float = 0.50) -> DataFrame:

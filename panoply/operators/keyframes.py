@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,20 +55,46 @@ OUT = "sequence long, timestamp_s double, sharpness double, feature_count long,
 
 
 def select(frames: DataFrame, cfg: KeyframeConfig, key: str = "video_id", pair: Pair | None = None) -> DataFrame:
-    """One decision for each frame. A video is one ordered group, in memory of one task: state is the last selected frame."""
+    """One decision for each frame. Frames stream through their video's task in time order: it holds the last selected
+    frame and the one that waits for its successor, however long the video is."""
     pair = pair or value_pair()
     rows = frames.join(blur_thresholds(frames, key, cfg.blur_percentile), key)
+    names = [key, *[c.split()[0] for c in OUT.split(", ")]]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = pdf.sort_values(["timestamp_s", "sequence"]).to_dict("records")
-        last, out = None, []
-        for i, r in enumerate(records):
-            selected, reason, elapsed, motion, track = decide(r, last, i == len(records) - 1, r["blur_threshold"], cfg, pair)
-            out.append((r[key], r["sequence"], r["timestamp_s"], r["sharpness"], r["feature_count"], r["blur_threshold"], elapsed, motion, track, selected, reason))
-            last = r if selected else last
-        return pd.DataFrame(out, columns=[key, *[c.split()[0] for c in OUT.split(", ")]])
+    def fold(batches):
+        last, waiting = None, None
 
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {dict(frames.dtypes)[key]}, {OUT}")
+        def settle(r: dict, is_last: bool) -> tuple:
+            nonlocal last
+            selected, reason, elapsed, motion, track = decide(r, last, is_last, r["blur_threshold"], cfg, pair)
+            last = None if is_last else r if selected else last
+            return (r[key], r["sequence"], r["timestamp_s"], r["sharpness"], r["feature_count"], r["blur_threshold"], elapsed, motion, track, selected, reason)
+
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                if waiting is not None:
+                    out.append(settle(waiting, r[key] != waiting[key]))
+                waiting = r
+            yield pd.DataFrame(out, columns=names)
+        if waiting is not None:
+            yield pd.DataFrame([settle(waiting, True)], columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, "timestamp_s", "sequence").mapInPandas(fold, f"{key} {dict(frames.dtypes)[key]}, {OUT}")
+
+
+def pixel_pair(most: int = 600) -> Pair:
+    """Motion and track ratio by optical flow between two records' gray images (columns gray, height, width)."""
+    from ..functions.kernels import pair_metrics
+
+    def image(r: dict) -> np.ndarray:
+        return np.frombuffer(r["gray"], np.uint8).reshape(int(r["height"]), int(r["width"]))
+
+    def pair(last: dict, now: dict) -> tuple[float, float]:
+        _, _, ratio, motion = pair_metrics(image(last), image(now), most)
+        return motion, ratio
+
+    return pair
 
 
 def report(decisions: DataFrame, cfg: KeyframeConfig, key: str = "video_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """min, p10, median, p90, max by linear interpolation."""
@@ -60,3 +62,17 @@ def even_sample(df: DataFrame, keys: list[str], order: list, limit: int) -> Data
     j = F.expr(f"cast(ceil(cast(_i as double) * {limit - 1} / greatest(_n - 1, 1)) as bigint)")
     hit = (F.col("_n") <= limit) | ((F.floor(j * last / steps) == F.col("_i")) & (j <= steps) if limit > 1 else F.col("_i") == 0)
     return ranked.where(hit).drop("_i", "_n")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with each row's place (from 0) in its group's order.
+
+    Without keys the rows are range-sorted and each range's rows counted first, so no task sees them all.
+    """
+    if keys:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    rows = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a range
+    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return rows.withColumn("_i", inside).join(base, "_p").withColumn(name, (F.col("_b") + F.col("_i") - 1).cast("long")).drop("_p", "_i", "_b")

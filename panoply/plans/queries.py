@@ -288,8 +288,8 @@ def merged_cameras(spark, sf_dir):
     from pyspark.sql import Window
 
     c = trajectory.with_centers(V.poses(spark, sf_dir)).withColumn("component", F.when(F.col("model_id") % 2 == 0, "main").otherwise("secondary"))
-    place = F.row_number().over(Window.orderBy("image_id", "model_id"))
-    return rounded(c.select(place.alias("place"), F.col("image_id").alias("frame"), "component", "cx", "cy", "cz"))
+    c = sequence.numbered(c, [], ["image_id", "model_id"], "place")
+    return rounded(c.select((F.col("place") + 1).alias("place"), F.col("image_id").alias("frame"), "component", "cx", "cy", "cz"))
 
 
 _SEAM = f"WITH {V.POINTS}, d AS (SELECT s.point3d_id, min(sqrt(pow(s.x-m.x,2)+pow(s.y-m.y,2)+pow(s.z-m.z,2))) AS nearest FROM c s JOIN c m ON s.label = 1 AND m.label = 0 GROUP BY 1)"
@@ -333,6 +333,24 @@ def density_cut(spark, sf_dir):
     return clouds.density_cut(V.table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", ["user_id"])
 
 
+_KNN = f"WITH {V.POINTS}, d AS (SELECT a.point3d_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS d, b.x, b.y, b.z FROM c a, c b), n AS (SELECT *, row_number() OVER (PARTITION BY point3d_id ORDER BY d, x, y, z) AS r FROM d)"
+
+
+@query(_KNN + ", m AS (SELECT point3d_id, avg(d) AS mean_distance FROM n WHERE r <= 20 GROUP BY 1) SELECT point3d_id, round(mean_distance, 6) AS mean_distance FROM m")
+def neighbour_distances(spark, sf_dir):
+    return rounded(clouds.neighbour_distance(V.points(spark, sf_dir), "point3d_id"))
+
+
+@query(_KNN + ", m AS (SELECT point3d_id, avg(d) AS mean_distance FROM n WHERE r <= 20 GROUP BY 1) SELECT point3d_id FROM m WHERE mean_distance > 0 AND mean_distance < (SELECT avg(mean_distance) + 2.5 * coalesce(stddev_samp(mean_distance), 0) FROM m)")
+def outlier_removal(spark, sf_dir):
+    return clouds.without_outliers(V.points(spark, sf_dir), "point3d_id").select("point3d_id")
+
+
+@query(_KNN + " SELECT point3d_id, count(*) AS neighbours, round(covar_pop(x, x), 8) AS xx, round(covar_pop(x, y), 8) AS xy, round(covar_pop(x, z), 8) AS xz, round(covar_pop(y, y), 8) AS yy, round(covar_pop(y, z), 8) AS yz, round(covar_pop(z, z), 8) AS zz FROM n WHERE d <= 0.1 AND r <= 40 GROUP BY 1")
+def normal_moments(spark, sf_dir):
+    return rounded(clouds.neighbour_moments(V.points(spark, sf_dir), "point3d_id"), 8)
+
+
 # Meshes
 
 @query(f"WITH {V.MESH} SELECT fid, round(area, 4) AS area, area <= 1e-12 AS degenerate FROM ta")

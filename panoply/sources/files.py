@@ -166,10 +166,11 @@ def scale_input(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{anchor}, checks array<{CHECK.simpleString()}>").option("multiLine", True).json(path)
 
 
-def analyzer_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row a log; a number that isn't there is null."""
+def analyzer_log(spark: SparkSession, path: str, name: bool = False) -> DataFrame:
+    """One row a log, with its file's name if asked for; a number that isn't there is null."""
     t = spark.read.text(path, wholetext=True)
-    return t.select(*[F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast(k).alias(n) for n, (p, k) in LOG.items()])
+    named = [F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")] * name
+    return t.select(*named, *[F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast(k).alias(n) for n, (p, k) in LOG.items()])
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
