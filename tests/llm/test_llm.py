@@ -370,3 +370,17 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_block_encoding_equals_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    memory, rng = tokenfile._encoder(path), random.Random(3)
+    parts = ["a", "B", " ", "  ", "\n", ".\n", "!\n\n", "'s", "é", "ß", "ª", "ñ", "Ġ", "\t", "\r\n", "\xa0", "　", "12", "½", "foo", ",", ";", "<|endoftext|>", "\0", "日本", "🙂", "_", "\x85", "don't", "×"]
+    for texts in [ODD, [], [""]] + [["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(300)] for _ in range(10)]:
+        texts = [x.encode("utf-8", "replace").decode() for x in texts]
+        assert [x.tolist() for x in memory.ids(texts)] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
