@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -22,9 +23,28 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Kinds by rank at equal starts: the base ones, then those that structure confirms.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh", "nested")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s,:-]*?)-----END \1-----")
+# The method's own candidates; the base patterns above stay as they are. In JSON and source strings a line break is a backslash and a letter,
+# and a slash, plus or equals sign may be escaped too.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s,:\\]++|-(?!----))*+)-----END \1-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+BREAK = r"(?:\\+[rnt])++|[\x20\t]*+(?:\r\n?|\n)[\x20\t]*+"
+_BREAK = re.compile(BREAK)
+#: Characters of the shortest nested secret, 18 bytes.
+BASE64_LEAST, HEX_LEAST = 24, 36
+
+
+def _runs(chars: str, least: int, escaped: str = "", tail: str = "") -> re.Pattern:
+    """Maximal runs of these characters, joined over line breaks: a long one, or any that goes on behind a break."""
+    begin, other = (rf"(?={chars}|{escaped})", rf"|{escaped}") if escaped else (rf"(?={chars})", "")
+    more = rf"(?:(?:(?:{BREAK}){begin}{other}){chars}*+)"
+    return re.compile(rf"(?<!{chars})(?:{chars}{{{least},}}+{more}*+|{chars}++{more}++){tail}")
+
+
+BASE64_RUN = _runs("[A-Za-z0-9+/_-]", BASE64_LEAST, r"\\+(?:/|u002[bBfF])", r"(?:=|\\+u003[dD]){0,2}")
+#: Either case; then, inside such runs, each case alone.
+HEX_RUN, *HEX_CASES = (_runs(chars, HEX_LEAST) for chars in ("[0-9A-Fa-f]", "[0-9a-f]", "[0-9A-F]"))
+_ESCAPED = re.compile(r"\\+(u00[0-9A-Fa-f]{2}|[rnt/])")
+_PRINTED = re.compile(rb"[\t\n\r\x20-\x7e]+")
 # Signature bytes of the token algorithms (None: any length of 64 or more).
 SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None, "none": 0}
 SSH_MAGIC = b"openssh-key-v1\0"
@@ -39,6 +59,11 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def unescaped(text: str) -> str:
+    """Escaped line breaks, slashes and \\u00XX as the characters they stand for."""
+    return _ESCAPED.sub(lambda m: chr(int(m[1][1:], 16)) if m[1][0] == "u" else m[1] if m[1] == "/" else "\n", text) if "\\" in text else text
+
+
 def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
     """(tag, content start, content end) of the elements that fill data[start:end] exactly; None if they don't."""
     items = []
@@ -78,6 +103,8 @@ def is_der_key(data: bytes) -> bool:
     small = tags[0] == 0x02 and items[0][2] - items[0][1] == 1
     if small and len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True  # RSA: version and eight integers
+    if small and tags == [0x02] * 6:
+        return True  # DSA: version, p, q, g, public and private integer
     if small and len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
         return algorithm(items[1])  # version, algorithm, octet string
     if small and len(tags) >= 2 and tags[1] == 0x04 and set(tags[2:]) <= {0xA0, 0xA1}:
@@ -87,26 +114,35 @@ def is_der_key(data: bytes) -> bool:
     return tags == [0x30, 0x03] and algorithm(items[0])  # public key
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The magic, then strings by 32-bit lengths: cipher, kdf, options, a count of keys and as many public keys."""
-    if not data.startswith(SSH_MAGIC):
-        return False
-    at, fields = len(SSH_MAGIC), []
-    for _ in range(3):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    count = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    if not 1 <= count <= 64 or not fields[0]:
-        return False
+def ssh_size(read) -> int | None:
+    """Bytes of the key that read(start, end) gives parts of: the magic, then strings by 32-bit lengths: cipher, kdf, options, a count of keys, as many public keys and the private block."""
+    at = len(SSH_MAGIC)
+    if read(0, at) != SSH_MAGIC:
+        return None
+
+    def number() -> int | None:
+        nonlocal at
+        four, at = read(at, at + 4), at + 4
+        return int.from_bytes(four, "big") if four is not None and len(four) == 4 else None
+
+    for k in range(3):
+        size = number()
+        if size is None or k == 0 and not size:
+            return None
+        at += size
+    count = number()
+    if count is None or not 1 <= count <= 64:
+        return None
     for _ in range(count + 1):  # the public keys, then the private block
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+        size = number()
+        if size is None:
+            return None
+        at += size
+    return at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_size(lambda a, b: data[a:b]) == len(data)
 
 
 def is_signed_token(header: str, claims: str, signature: str) -> bool:
@@ -124,18 +160,119 @@ def is_signed_token(header: str, claims: str, signature: str) -> bool:
     return len(sign) >= 64 if least is None else len(sign) == least
 
 
-def _blob_kind(data: bytes | None, depth: int) -> str | None:
-    if not data or len(data) < 16:
-        return None
-    if data[0] == 0x30 and is_der_key(data):
-        return "der"
-    if data.startswith(SSH_MAGIC) and is_ssh_key(data):
-        return "ssh"
-    if depth and all(b in b"\t\n\r" or 32 <= b < 127 for b in data):
-        inner = data.decode("ascii")
-        if confirmed(inner, depth - 1) or any(k != "hex" for k, _, _ in base_spans(inner)):
-            return "nested"
-    return None
+def _is_nested(data: bytes | None, depth: int) -> bool:
+    """Whether it is text with a base secret, or a confirmed one, in it."""
+    if not data or not _PRINTED.fullmatch(data):
+        return False
+    inner = data.decode("ascii")
+    return bool(confirmed(inner, depth - 1)) or any(k != "hex" for k, _, _ in base_spans(inner))
+
+
+class Run:
+    """A run of encoded characters as one string, with the places where its lines start and end in it and in the text."""
+
+    def __init__(self, text: str, start: int, end: int, decode, unit: tuple[int, int]):
+        # The letter of an escape just before the run is no part of it: no key or text starts with it in either encoding.
+        start += text[start - 1 : start] == "\\" and text[start] in "rnt"
+        self.decode, (self.chars, self.bytes) = decode, unit
+        self.lines, at, parts = [], 0, []  # (start, end) in the joined string and in the text
+        for a, b in self._lines(text, start, end):
+            part = unescaped(text[a:b])
+            parts.append(part)
+            size = len(part.rstrip("="))
+            self.lines.append((at, at + size, a, b))
+            at += size
+        self.joined, self.ends = "".join(parts), {line[1]: k for k, line in enumerate(self.lines)}
+        self.places, self.width, self.alike = list(self.ends), [b - a for a, b, _, _ in self.lines], list(range(len(self.lines)))
+        for k in range(len(self.lines) - 2, -1, -1):  # the last of the lines from here on that are as wide as this one
+            if self.width[k] == self.width[k + 1]:
+                self.alike[k] = self.alike[k + 1]
+
+    @staticmethod
+    def _lines(text: str, start: int, end: int):
+        for m in _BREAK.finditer(text, start, end):
+            if m.start() > start:
+                yield start, m.start()
+            start = m.end()
+        if end > start:
+            yield start, end
+
+    def read(self, start: int, a: int, b: int) -> bytes | None:
+        """Bytes a to b of what starts at this place."""
+        first = a // self.bytes
+        data = self.decode(self.joined[start + first * self.chars : start - (-b // self.bytes) * self.chars])
+        return None if data is None else data[a - first * self.bytes : b - first * self.bytes]
+
+    def key(self, k: int) -> tuple[str, int] | None:
+        """Kind and last line of the key that starts with line k. Its own lengths say where it ends, and that has to be the end of a line."""
+        start = self.lines[k][0]
+        head = self.read(start, 0, 6)
+        if not head or len(head) < 6:
+            return None
+        kind, size = None, None
+        if head[0] == 0x30:
+            n = head[1] & 0x7F if head[1] & 0x80 else 0
+            kind, size = "der", 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+            if n > 4:
+                return None
+        elif SSH_MAGIC.startswith(head):
+            kind, size = "ssh", ssh_size(lambda a, b: self.read(start, a, b))
+        if size is None or size < 16:
+            return None
+        end = start - (-size * self.chars // self.bytes)
+        last = self.ends.get(end)
+        if last is None:
+            return None
+        data = self.decode(self.joined[start:end])
+        return (kind, last) if data and (is_der_key(data) if kind == "der" else is_ssh_key(data)) else None
+
+    def text(self, k: int, depth: int) -> tuple[int | None, int]:
+        """The last line of the encoded text with a secret that starts with line k, if there is one: lines of one width and a shorter last one,
+        as far as they are text, or line k alone. And the last line that needs no search of its own if there is none."""
+        lines = self.lines
+        start, first_end = lines[k][:2]
+        head = self.decode(self.joined[start : start + self.chars])
+        if not head or not _PRINTED.fullmatch(head):
+            return None, k
+        full = self.alike[k + (k + 1 < len(lines) and self.width[k] < self.width[k + 1])]
+        last, width = min(full + (full + 1 < len(lines) and self.width[full + 1] < self.width[full]), len(lines) - 1), self.width[full]
+        good, stop = start, lines[last][1]
+        while good < stop:  # as far as the bytes are printed ones
+            end = min(good + 4096, stop)
+            data = self.decode(self.joined[good : end - ((end - good) % self.chars == 1)])
+            m = _PRINTED.match(data) if data else None
+            if data and m and m.end() == len(data):
+                good = end
+                continue
+            good += m.end() * self.chars // self.bytes if m else 0
+            break
+        if first_end > good:
+            return None, k
+        last = bisect.bisect_right(self.places, good) - 1
+        for j in sorted({last, max(last - 1, k), k}, reverse=True):
+            if _is_nested(self.decode(self.joined[start : lines[j][1]]), depth):
+                return j, j
+        return None, last if (first_end - start) % self.chars == 0 == width % self.chars else k
+
+    def found(self, depth: int):
+        """(kind, start, end) in the text."""
+        k, n, searched = 0, len(self.lines), -1
+        while k < n:
+            got = self.key(k)
+            if got is None and depth and k > searched:
+                # A short line before a wider one is more often a word above the block than its first line.
+                above = k + 1 < n and self.lines[k][1] - self.lines[k][0] < self.lines[k + 1][1] - self.lines[k + 1][0]
+                if not (above and (self.key(k + 1) or self.text(k + 1, depth)[0] is not None)):
+                    last, searched = self.text(k, depth)
+                    got = None if last is None else ("nested", last)
+            if got:
+                yield got[0], self.lines[k][2], self.lines[got[1]][3]
+                k = got[1]
+            k += 1
+
+
+def unhex(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
 
 
 def confirmed(text: str, depth: int = 2) -> list[tuple[str, int, int]]:
@@ -143,24 +280,28 @@ def confirmed(text: str, depth: int = 2) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            body = re.sub(r"\s", "", m[2].rpartition(",")[2] if ":" in m[2] else m[2])
-            data = unbase64(body)
-            if data and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in m[2] and len(data) % 8 == 0):
-                out.append(("pem", m.start(), m.end()))
+            inner = unescaped(m[2])
+            bodies = [inner] if ":" not in inner else ["".join(x for x in inner.split("\n") if ":" not in x), inner.rpartition(",")[2]]
+            for data in (unbase64(re.sub(r"\s", "", x)) for x in bodies):
+                if data and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in m[2] and len(data) % 8 == 0):
+                    out.append(("pem", m.start(), m.end()))
+                    break
     for m in JWT.finditer(text) if "ey" in text else ():
         if is_signed_token(*m.groups()):
             out.append(("jwt", m.start(), m.end()))
-    for m in BLOB.finditer(text):
-        if any(s <= m.start() < e for _, s, e in out):
-            continue
-        kind = _blob_kind(unbase64(m[0]), depth)
-        if kind:
-            out.append((kind, m.start(), m.end()))
-    for m in HEX.finditer(text):
-        if len(m[0]) >= 40 and len(m[0]) % 2 == 0 and not any(s <= m.start() < e for _, s, e in out):
-            kind = _blob_kind(bytes.fromhex(m[0]), depth)
-            if kind:
-                out.append((kind, m.start(), m.end()))
+    def add(m: re.Match, decode, unit: tuple[int, int]) -> None:
+        out.extend([f for f in Run(text, *m.span(), decode, unit).found(depth) if not any(s <= f[1] < e for _, s, e in out)])
+
+    for m in BASE64_RUN.finditer(text):
+        if m.end() - m.start() >= BASE64_LEAST:
+            add(m, unbase64, (4, 3))
+    for m in HEX_RUN.finditer(text):
+        if m.end() - m.start() >= HEX_LEAST:
+            add(m, unhex, (2, 1))
+            for pattern in HEX_CASES:
+                for part in pattern.finditer(text, *m.span()):
+                    if part.end() - part.start() >= HEX_LEAST and part.span() != m.span():
+                        add(part, unhex, (2, 1))
     return out
 
 
