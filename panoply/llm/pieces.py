@@ -52,9 +52,10 @@ def joinable(todo: list[str]) -> bool:
 class Memory(dict):
     """key of a piece -> encoded, for two generations of ``limit`` pieces: rare ones are forgotten and encoded again if they return."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 180_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 180_000, longest: int = 64, whole: Callable[[list[str]], list[np.ndarray]] | None = None, added: Iterable[str] = ()):
+        """Texts that hold one of ``added`` aren't cut: ids() gives them to ``whole``."""
         super().__init__()
-        self.encode, self.limit, self.longest, self.old, self.long = encode, limit, longest, {}, []
+        self.encode, self.limit, self.longest, self.old, self.long, self.whole, self.added = encode, limit, longest, {}, [], whole, list(added)
 
     def __missing__(self, key: str):
         (value,) = self.encode([key])
@@ -93,12 +94,16 @@ class Memory(dict):
         pieces are handled one by one.
         """
         out = [np.zeros(0, "<u4")] * len(texts)
-        odd = [i for i, t in enumerate(texts) if LINE in t or _RUN.search(t)]
+        uncut = {i for a in self.added for i, t in enumerate(texts) if a in t}
+        if uncut:
+            for i, x in zip(uncut, self.whole([texts[i] for i in uncut]), strict=True):
+                out[i] = x
+        odd = [i for i, t in enumerate(texts) if i not in uncut and (LINE in t or _RUN.search(t))]
         for i in odd:
             keys = [START + texts[i]] if LINE in texts[i] else pieces(texts[i])
             self.learn_keys(set(keys))
             out[i] = np.frombuffer(b"".join(map(self.__getitem__, keys)), "<u4")
-        usual = sorted(set(range(len(texts))).difference(odd))
+        usual = sorted(set(range(len(texts))).difference(odd, uncut))
         if usual:
             cut = [texts[i] for i in usual]
             for mark in LINE_ENDS:

@@ -32,7 +32,7 @@ def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tokenfile.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=0)
+    files = tokenfile.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=0, added_tokens=True)
     return tokenfile.read_tokens(spark, files)
 
 

@@ -152,12 +152,12 @@ def open_file(uri: str) -> TokenFile:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Memory:
+def _encoder(path: str, added_tokens: bool = False) -> Memory:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # pieces are cut without regard to added tokens; texts that hold one go to an untouched tokenizer
     vocabulary = t.get_vocab()
     size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: the byte-level alphabet has a character for each
     for token, i in vocabulary.items():
@@ -219,14 +219,20 @@ def _encoder(path: str) -> Memory:
             out[k] = np.array(e.ids, "<u4").tobytes()
         return [out[k] for k in todo]
 
-    return Memory(encode, limit=400_000)
+    if not added_tokens:
+        return Memory(encode, limit=400_000)
+    untouched = functools.cache(lambda: Tokenizer.from_file(path))
+    whole = lambda texts: [np.array(e.ids, "<u4") for e in untouched().encode_batch_fast(texts, add_special_tokens=False)]
+    return Memory(encode, limit=400_000, whole=whole, added=[a.content for a in t.get_added_tokens_decoder().values()])
 
 
-def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, tokens_per_file: int = TOKENS_PER_FILE) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, tokens_per_file: int = TOKENS_PER_FILE, added_tokens: bool = False) -> DataFrame:
     """Encodes the texts and writes token files in ascending doc_id order; returns part, file, path, docs, tokens, base.
 
     Range partitions by doc_id (nulls first, equal ids by text) are written side by side; base counts the ids in all
     earlier files. Each text gets end_id after its own ids, so null and empty texts have that id alone.
+    ``added_tokens``: the file's added tokens (<|endoftext|>) get their own id wherever a text holds them, as the
+    library does by itself; otherwise special ones are encoded as the plain text they are.
     """
     import public_tokenizers
 
@@ -234,7 +240,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     path, folder = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "tokens")
 
     def run(batches):
-        memory, part = _encoder(path), TaskContext.get().partitionId()
+        memory, part = _encoder(path, added_tokens), TaskContext.get().partitionId()
         ended = np.array([end_id], "<u4")
         numbers, held, size, count = [], [], 0, 0
 

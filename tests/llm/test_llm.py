@@ -108,6 +108,26 @@ def test_token_files_round_trip(spark, mixed_texts):
     assert tokenfile.read_tokens(spark, tokenfile.write_tokens(rows(spark, []))).count() == 0
 
 
+def test_token_query_equals_an_untouched_tokenizer(spark, mixed_texts, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from panoply.llm import queries
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(9)
+    t = Tokenizer.from_file(path)
+    parts = ["a", " ", "\n", "  ", "b c", "<|endoftext|>", "<|endof", "text|>", "é", "\0", ".\n"]
+    texts = mixed_texts + ["a<|endoftext|> b", "<|endoftext|>", " <|endoftext|>\n<|endoftext|> x"] + ["".join(rnd.choices(parts, k=12)) for _ in range(200)]
+    want = [[*e.ids, 0] for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert want[len(mixed_texts)] == [64, 50256, 275, 0]
+    rows(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_token_files(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, ids in enumerate(want):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
