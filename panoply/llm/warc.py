@@ -140,12 +140,13 @@ def hash_trees(files: DataFrame, fanout: int = FANOUT) -> DataFrame:
                 with store.open_input_file(p) as f:
                     data = f.read()
                 leaves, rows = [], []
-                for start, end in zip([0, *ends], [*ends, len(data)], strict=True):
-                    if start >= end and start == len(data) and ends:
+                for k, (start, end) in enumerate(zip([0, *ends], [*ends, len(data)], strict=True)):
+                    past = bool(ends) and k == len(ends)
+                    if past and start >= end:
                         continue
                     stored = data[start:end]
                     leaves.append(hashlib.sha256(start.to_bytes(8, "big") + end.to_bytes(8, "big") + stored).digest())
-                    raw = next((r for _, _, r in read_records(stored)), None) if side == "a" else None
+                    raw = next((r for _, _, r in read_records(stored)), None) if side == "a" or past else None
                     got = parse_record(raw) if raw is not None else None
                     page = got[0].get("x-page-id") if got else None
                     rows.append((start, end - start, int(page) if page and page.lstrip("-").isdigit() else None, len(raw) if raw is not None else None, hashlib.sha256(got[1]).hexdigest() if got else None))
@@ -181,8 +182,15 @@ def mismatches(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def audit(files: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """One row for each record of replica a: file, node, start, length, page_id, record_bytes, payload_sha256, damaged (replica b's differs)."""
+    """One row for each leaf of either replica: file, node, start, length, page_id, record_bytes, payload_sha256, damaged (the replicas differ), side.
+
+    Side is both, or the one replica that has the leaf: bytes past the catalog are a leaf of their own, and damage. What a row says of the
+    record is read from replica a if that has the leaf.
+    """
     nodes = hash_trees(files, fanout)
     bad = mismatches(nodes, fanout).withColumn("damaged", F.lit(True))
-    mine = nodes.where("side = 'a' and level = 0 and start is not null")
-    return mine.join(bad, ["file", "node"], "left").select("file", "node", "start", "length", "page_id", "record_bytes", "payload_sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    said = ["start", "length", "page_id", "record_bytes", "payload_sha256"]
+    a, b = (nodes.where((F.col("side") == s) & (F.col("level") == 0) & F.col("start").isNotNull()).select("file", "node", F.struct(*said).alias(s)) for s in "ab")
+    side = F.when(F.col("a").isNull(), "b").when(F.col("b").isNull(), "a").otherwise("both")
+    leaves = a.join(b, ["file", "node"], "full_outer").select("file", "node", F.coalesce("a", "b").alias("leaf"), side.alias("side"))
+    return leaves.join(bad, ["file", "node"], "left").select("file", "node", *[f"leaf.{x}" for x in said], F.coalesce("damaged", F.lit(False)).alias("damaged"), "side")

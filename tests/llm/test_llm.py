@@ -357,6 +357,26 @@ def test_warc_finds_the_damage_and_nothing_else(spark):
     assert warc.audit(warc.write_replicas(pages.limit(0), None)).count() == 0
 
 
+def test_warc_audit_of_replicas_of_unequal_length(spark):
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", "x" * 20) for i in range(48)], "page_id long, url string, html string")
+    extra = gzip.compress(warc.record(99, "http://e.org/99", b"more"), mtime=0)
+    for grown, other in ("ba", "ab"):
+        files = warc.write_replicas(pages.coalesce(1))
+        (row,) = files.collect()
+        with open(row[grown].removeprefix("file:"), "ab") as f:
+            f.write(extra)
+        got = warc.audit(files).collect()
+        assert len(got) == 49 and sum(r.side == "both" for r in got) == 48
+        assert [(r.node, r.start, r.length, r.page_id, r.side) for r in got if r.damaged] == [(48, row.ends[-1], len(extra), 99, grown)]
+    for cut in "ba":
+        files = warc.write_replicas(pages.coalesce(1))
+        (row,) = files.collect()
+        with open(row[cut].removeprefix("file:"), "ab") as f:
+            f.truncate(row.ends[-2] + 5)
+        got = warc.audit(files).collect()
+        assert len(got) == 48 and [(r.node, r.side) for r in got if r.damaged] == [(47, "both")]
+
+
 def test_warc_records_and_catalog():
     whole = [gzip.compress(warc.record(i, "u", b"p" * i), mtime=0) for i in range(4)]
     broken = bytearray(b"".join(whole))
