@@ -15,13 +15,16 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays.
+    """Of each group of linked fingerprints one document stays: the smallest by doc_id, then by the SHA-256 of its text.
 
-    Documents without an id can't be told apart by it and all stay; rows repeated with one id stay once.
+    Rows with one id and texts in several groups stay once for each group. Of rows with one id and text the smallest by the
+    other columns stays. Documents without an id can't be told apart by it and all stay.
     """
-    found = simhash.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    first = simhash.first_rows(docs.where("doc_id is not null").select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_first"))
+    marked = docs.withColumn("_digest", simhash.text_digest(F.col("text")))
+    same = marked.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_digest") == F.col("_first")), "left_semi")
+    row = F.struct(*[c for c in docs.columns if c != "text"], "text")
+    kept = same.groupBy("doc_id", "_digest").agg(F.min(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -59,14 +59,19 @@ def fingerprints(texts: list[str], size: int = 3, chunk: int = 100_000) -> np.nd
     return np.packbits(total * 2 > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint_column(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long). Null text counts as empty."""
+def fingerprint_column(docs: DataFrame, text: str = "text", size: int = 3, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long), and the text's SHA-256 if asked for. Null text counts as empty."""
 
     def run(batches):
         for part, texts in text_blocks(batches, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(texts, size).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(texts, size).view(np.int64)), *part.columns[2:]], names=["doc_id", "fp", *["digest"] * digest])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    column = docs[text].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), column.alias("text"), *[text_digest(column).alias("digest")] * digest).mapInArrow(run, "doc_id long, fp long" + ", digest string" * digest)
+
+
+def text_digest(column):
+    return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
 
 
 def grid_cells(fps: DataFrame) -> DataFrame:
@@ -160,6 +165,14 @@ def links(fps: DataFrame, distance: int = 2, most: int = PAIRS_UP_TO) -> DataFra
     return found.where("not hub").select("a", "b").union(stars).distinct()
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """fp, first (its smallest doc_id), root (one fingerprint for each linked group)."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = connected_components(links(nodes.select("fp")))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return materialize(placed, "placed")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at most 2 differing bits.
 
@@ -168,10 +181,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 3) -> DataF
     other is there. Only doc_id and the text column are read.
     """
     rows = materialize(fingerprint_column(docs, text, size), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "placed")
+    placed = _placed(rows)
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def first_rows(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
+    """doc_id, digest of each linked group's first row: the smallest by doc_id, then by the SHA-256 of its text. Groups are told apart even if rows of several share an id."""
+    rows = materialize(fingerprint_column(docs, text, size, digest=True), "fingerprints")
+    return rows.join(_placed(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("row")).select("row.*")

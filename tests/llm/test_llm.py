@@ -467,6 +467,19 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_pipeline_near_duplicates_of_rows_that_share_an_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{i}" for i in range(4000))
+    data = [(1, "a b c d", "en", "s2", 7), (1, "a b c d", "en", "s1", 7), (1, "x y z of other words", "en", "s0", 20), (1, long + " more", "en", "s0", 9), (1, long, "en", "s0", 9)]
+    data += [(2, "A b C d", "en", "s0", 7), (3, None, "en", "s0", 0), (3, "", "en", "s0", 0), (None, "a b c d", "en", "s0", 7), (None, "a b c d", "en", "s0", 7)]
+    near = min((long, long + " more"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = sorted([(1, "a b c d", "s1"), (1, "x y z of other words", "s0"), (1, near, "s0"), (3, None, "s0"), (None, "a b c d", "s0"), (None, "a b c d", "s0")], key=str)
+    for order in (data, data[::-1]):
+        got = pipeline.drop_near_duplicates(spark, spark.createDataFrame(order, DOCS).repartition(3), "")
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=str) == want
+
+
 def test_block_encoding_equals_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
