@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrix, search_blocks, usable
+from .vectors import best_rows, matrix, search_blocks, usable
 
 TREES, LEAF = 16, 32
 #: Candidates that the queue gathers for each query: this share of a block's distinct vectors, at least LEAST.
@@ -84,7 +84,10 @@ def block_search(k: int, trees: int, leaf: int, share: float, least: int):
         key = np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.dtype.itemsize * width))).ravel()
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         members = np.argsort(inverse, kind="stable")
-        starts = np.append(0, np.cumsum(np.bincount(inverse)))
+        copy = (np.diff(inverse[members], prepend=-1) == 0) & (np.diff(ids[members], prepend=ids[members[0]]) == 0)
+        members = members[~copy]  # a row that repeats an id and its vector counts once
+        starts = np.append(0, np.cumsum(np.bincount(inverse[members])))
+        repeated = len(np.unique(ids)) < len(members)
         points = v[first]
         unit = lambda x: (x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) / np.linalg.norm(x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300), axis=1, keepdims=True)).astype(np.float32)
         u = unit(points)
@@ -92,12 +95,15 @@ def block_search(k: int, trees: int, leaf: int, share: float, least: int):
         out = [[], [], []]
         for own, x, xu, got in zip(query_ids.tolist(), q, unit(q), forest.candidates(unit(q), max(least, int(share * len(u)))), strict=True):
             near = u[got] @ xu
-            if len(near) > 4 * (k + 1):  # single precision first; the margin covers its error
+            if len(near) > 4 * (k + 1) and not repeated:  # single precision first; the margin covers its error
                 near_k = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
                 got = got[near >= near_k - 1e-5]
             rows = np.concatenate([members[starts[g] : min(starts[g + 1], starts[g] + k + 1)] for g in got.tolist()])
             rows = rows[ids[rows] != own]
             score = cosines(v[rows], x)
+            if repeated:
+                once = best_rows(score, ids[rows])
+                rows, score = rows[once], score[once]
             best = np.lexsort((ids[rows], -score))[:k]
             for held, value in zip(out, (np.full(len(best), own), ids[rows[best]], score[best]), strict=True):
                 held.append(value)
@@ -111,6 +117,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
 
     Each block of rows gets a forest over all its vectors; every query searches every block. Null, empty, zero and
     non-finite vectors take no part, nor do rows without vec_id. Copies tie exactly, to the smaller vec_id.
+    A vec_id of several rows takes one rank, with its best score.
     """
     rows = usable(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where("id is not null"), "v", nonzero=True)
     return search_blocks(rows, rows.where(F.col("id") % every == 0), block_search(k, trees, leaf, share, least), k, "double", block)

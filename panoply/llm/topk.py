@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrix, search_blocks, top, usable
+from .vectors import best_rows, matrix, search_blocks, top, usable
 
 #: Scaled components are held to this range, so that any inner product of up to 2**7 of them is exact in a double.
 RANGE = 2**23
@@ -20,9 +20,10 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.v = ids, np.ascontiguousarray(vectors, dtype=np.float64)
         self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.repeated = len(np.unique(ids)) < len(ids)
 
     def search(self, q: np.ndarray, own: int, k: int, first: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of q's k best without ``own``.
+        """(ids, scores) of q's k best without ``own``; an id of several rows counts once, by its best.
 
         Sorted access goes down all lists at once, from the end that q's sign favours; each new vector is scored in full.
         No vector below the present depth can score over the sum of |q| times the lists' frontier values, so once the
@@ -46,6 +47,9 @@ class SortedLists:
             seen |= new
             got = got[self.ids[got] != own]
             found, score = np.concatenate([best, got]), np.concatenate([best_score, self.v[got] @ q])
+            if self.repeated:
+                once = best_rows(score, self.ids[found])
+                found, score = found[once], score[once]
             keep = top(score, self.ids[found], k)
             best, best_score = found[keep], score[keep]
             depth, step = end, end
@@ -74,6 +78,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
 
     Components become floor(scale * x), held to +-RANGE. Null, empty and non-finite vectors take no part, nor do rows
     without vec_id; vectors of unequal length are compared as if zeros followed; fewer than k others give fewer rows.
+    A vec_id of several rows takes one rank, with its best score.
     """
     rows = usable(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("e")).where("id is not null"), "e")
     held = lambda x: F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), F.floor(F.lit(float(scale)) * x.cast("double")))).cast("int")

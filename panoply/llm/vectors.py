@@ -37,6 +37,7 @@ def search_blocks(candidates: DataFrame, queries: DataFrame, search, k: int, sco
     Candidates and queries are hashed into blocks by id and content. Each candidate block meets each query block in one
     cogroup, where ``search(ids, vectors, query_ids, query_vectors)`` gives at most k rows a query; a last top-k
     joins the blocks. A task holds one block of either, however many rows there are.
+    An id takes one rank however many rows it has, with the best score of any of them; so does an id among the queries.
     """
     if candidates.isEmpty() or queries.isEmpty():
         return candidates.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")
@@ -53,6 +54,7 @@ def search_blocks(candidates: DataFrame, queries: DataFrame, search, k: int, sco
         return pa.table([pa.array(x, t) for x, t in zip((a, b, s), kinds, strict=True)], names=names)
 
     found = c.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -65,3 +67,9 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     else:
         some = np.arange(len(scores))
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
+
+
+def best_rows(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of each id's largest score."""
+    order = np.lexsort((-scores, ids))
+    return order[np.diff(ids[order], prepend=ids[order[:1]] - 1) != 0]

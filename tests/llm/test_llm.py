@@ -348,6 +348,31 @@ def test_forest_recall_and_scores(spark, some_vectors):
     assert forest.nearest(vectors(spark, [])).count() == 0
 
 
+def test_searches_count_each_id_once(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.standard_normal((120, 6)), 2).astype(np.float32)
+    data = [(i, [float(x) for x in r], 0, 1) for i, r in enumerate(v)]
+    more = data + data + [(i, [float(x) for x in -2 * v[i]], 0, 1) for i in (0, 3, 7, 20, 50)] + [data[4]] * 30
+    held = [(r[0], np.array(r[1], np.float32).astype(np.float64)) for r in more]
+    for block in (1000, 60):
+        for found, k, every, score in (
+            (topk.top_k(vectors(spark, more), block=block), 20, 20, lambda a, b: int(np.floor(64 * a) @ np.floor(64 * b))),
+            (forest.nearest(vectors(spark, more), block=block), 5, 50, lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)),
+        ):
+            got = {}
+            for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+                got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+            assert sorted(got) == list(range(0, 120, every))
+            for q, mine in got.items():
+                best = {}
+                for i, x in held:
+                    for j, y in held:
+                        if i == q != j:
+                            best[j] = max(best.get(j, -np.inf), score(x, y))
+                want = sorted(best.items(), key=lambda p: (-round(p[1], 9), p[0]))[:k]
+                assert mine == [(n + 1, i, round(s, 9)) for n, (i, s) in enumerate(want)]
+
+
 def test_warc_finds_the_damage_and_nothing_else(spark):
     pages = spark.createDataFrame([(i, f"http://e.org/{i}", "x" * (i % 50), 3) for i in range(600)] + [(None, None, None, 3), (700, "http://e.org/\n", "", 3)], "page_id long, url string, html string, file int")
     files = warc.write_replicas(pages.repartition(3), damaged=lambda p: p in (17, 18, 599), file_bytes=20_000)
