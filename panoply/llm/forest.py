@@ -2,122 +2,188 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best_rows, matrix, search_blocks, usable
-
-TREES, LEAF = 16, 32
-#: Candidates that the queue gathers for each query: this share of a block's distinct vectors, at least LEAST.
-SHARE, LEAST = 0.45, 400
-
-
-class Forest:
-    """Trees over a block's unit vectors. Every split plane is perpendicular to the difference of two of the node's vectors,
-    at the median, so trees are balanced and depth is log2(n / leaf)."""
-
-    def __init__(self, unit: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        n = len(unit)
-        depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-        self.depth, self.leaves = depth, []
-        self.planes = np.zeros((trees, (1 << depth) - 1, unit.shape[1]), np.float32)
-        self.cuts = np.zeros((trees, (1 << depth) - 1), np.float32)
-        for t in range(trees):
-            groups = [np.arange(n)]
-            for level in range(depth):
-                split = []
-                for k, g in enumerate(groups):
-                    node = (1 << level) - 1 + k
-                    plane = unit[g[rng.integers(len(g))]] - unit[g[rng.integers(len(g))]] if len(g) > 1 else rng.standard_normal(unit.shape[1])
-                    norm = np.linalg.norm(plane)
-                    plane = (plane / norm if norm > 0 else rng.standard_normal(unit.shape[1])).astype(np.float32)
-                    side = unit[g] @ plane
-                    half = len(g) // 2
-                    order = np.argpartition(side, half) if len(g) > 1 else np.arange(len(g))
-                    self.planes[t, node], self.cuts[t, node] = plane, side[order[half]] if len(g) else 0
-                    split += [g[order[:half]], g[order[half:]]]
-                groups = split
-            self.leaves.append(groups)
-
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query the places gathered from leaves, by one queue over all trees: the node whose worst margin is best comes first."""
-        trees, inner = self.cuts.shape
-        n = sum(map(len, self.leaves[0]))
-        for q in queries:
-            margin = (self.planes.reshape(-1, self.planes.shape[2]) @ q).reshape(trees, inner) - self.cuts if inner else None
-            rows = margin.tolist() if inner else None
-            queue = [(-np.inf, t, 0) for t in range(trees)]
-            seen = np.zeros(n, bool)
-            count = 0
-            while queue and count < least:
-                worst, t, node = heapq.heappop(queue)
-                while node < inner:
-                    m = rows[t][node]
-                    near, far = (2 * node + 2, 2 * node + 1) if m >= 0 else (2 * node + 1, 2 * node + 2)
-                    heapq.heappush(queue, (max(worst, abs(m)), t, far))
-                    node = near
-                leaf = self.leaves[t][node - inner]
-                count += len(leaf) - int(np.count_nonzero(seen[leaf]))
-                seen[leaf] = True
-            yield np.flatnonzero(seen)
+from .vectors import best_of_each, same_width, search_blocks, usable
+
+TREES, LEAF = 64, 32
+#: A query goes on until its candidates are this many times those at which its k best last changed, and LEAST at the least.
+PATIENCE, LEAST = 3.0, 400
+#: Queries whose margins are computed at once.
+TOGETHER = 16
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in single precision; the largest component goes first, so no square overflows."""
+    x = v.astype(np.float64)
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 1e-300)
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+
+
+def depth_of(n: int, leaf: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+
+
+def planes_of(u: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Unit normals of split planes: each the difference of two of the node's vectors (of one of them where both point one way)."""
+    d = u[pairs[..., 0]] - u[pairs[..., 1]]
+    size = np.linalg.norm(d, axis=-1, keepdims=True)
+    d = np.where(size > 1e-12, d, u[pairs[..., 0]])
+    return (d / np.maximum(np.linalg.norm(d, axis=-1, keepdims=True), 1e-30)).astype(np.float32)
+
+
+def grow(u: np.ndarray, trees: int, leaf: int, seed: int = 11) -> dict[str, np.ndarray]:
+    """Trees over unit vectors, every node split at the median: pairs (the two places that give a node's plane), cuts, and order,
+    each tree's places leaf by leaf. Nodes of a level are numbered in a row, so a tree is arrays without pointers."""
+    rng, (n, depth) = np.random.default_rng(seed), (len(u), depth_of(len(u), leaf))
+    pairs, cuts = np.zeros((trees, (1 << depth) - 1, 2), np.int32), np.zeros((trees, (1 << depth) - 1), np.float32)
+    order = np.zeros((trees, n), np.int32)
+    for t in range(trees):
+        groups = [np.arange(n)]
+        for level in range(depth):
+            split = []
+            for j, g in enumerate(groups):
+                node, a = (1 << level) - 1 + j, int(rng.integers(len(g)))
+                b = (a + 1 + int(rng.integers(max(1, len(g) - 1)))) % len(g)
+                pairs[t, node] = g[a], g[b]
+                side = u[g] @ planes_of(u, pairs[t, node])
+                half = len(g) // 2
+                at = np.argpartition(side, half)
+                cuts[t, node] = side[at[half]]
+                split += [g[at[:half]], g[at[half:]]]
+            groups = split
+        order[t] = np.concatenate(groups)
+    return {"pairs": pairs, "cuts": cuts, "order": order}
+
+
+def leaves_of(order: np.ndarray, depth: int) -> np.ndarray:
+    """Every tree's leaves as rows of places, filled up with the number of points."""
+    trees, n = order.shape
+    sizes = np.array([n])
+    for _ in range(depth):
+        sizes = np.stack([sizes // 2, sizes - sizes // 2], 1).ravel()
+    out = np.full((trees, len(sizes), int(sizes.max())), n, np.int32)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    out[:, which, np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = order
+    return out.reshape(trees * len(sizes), -1)
+
+
+class SharedQueue:
+    """One priority queue over the leaves of all trees: the leaf comes first whose worst margin on its path is least.
+
+    A margin is how far a query lies on the other side of a split plane. Worst margins never shrink on the way down, so taking leaves in
+    their order is best-first search of all trees at once. The queue sorts itself a run at a time, as far as it is read.
+    """
+
+    def __init__(self, margins: np.ndarray, depth: int, run: int = 2048):
+        worst = np.zeros((len(margins), 1), np.float32)
+        for level in range(depth):
+            m = margins[:, (1 << level) - 1 : (1 << level + 1) - 1]
+            worst = np.stack([np.maximum(worst, m), np.maximum(worst, -m)], 2).reshape(len(margins), -1)
+        self.worst, self.run, self.ready, self.rest = worst.ravel(), run, np.zeros(0, np.int64), None
+
+    def take(self, n: int) -> np.ndarray:
+        """The next n leaves; fewer at the end."""
+        while len(self.ready) < n and (self.rest is None or len(self.rest)):
+            rest = np.arange(len(self.worst)) if self.rest is None else self.rest
+            if len(rest) > self.run:
+                cut = np.argpartition(self.worst[rest], self.run)
+                rest, self.rest = rest[cut[: self.run]], rest[cut[self.run :]]
+            else:
+                self.rest = rest[:0]
+            self.ready = np.concatenate([self.ready, rest[np.argsort(self.worst[rest], kind="stable")]])
+            self.run *= 2
+        out, self.ready = self.ready[:n], self.ready[n:]
+        return out
+
+
+def build(trees: int, leaf: int):
+    def index(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        """Equal vectors are one point of the forest; ``members`` has its rows in id order, an id once."""
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        key = np.ascontiguousarray(v + v.dtype.type(0)).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel()
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        members = np.argsort(inverse, kind="stable")
+        copy = (np.diff(inverse[members], prepend=-1) == 0) & (np.diff(ids[members], prepend=ids[members[0]]) == 0)
+        members = members[~copy]
+        starts = np.append(0, np.cumsum(np.bincount(inverse[members])))
+        return {"points": v[first], "starts": starts, "member_ids": ids[members]} | grow(unit(v[first]), trees, leaf)
+
+    return index
 
 
 def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosine of each row with q, summed row by row alike wherever a row stands, so copies score alike."""
+    """Cosine of each row with q in double precision, summed row by row alike wherever a row stands, so copies score alike."""
     scale = lambda x: np.maximum(np.abs(x).max(axis=-1, keepdims=True), 1e-300)
     v, q = (v / scale(v), q / scale(q)) if not (np.abs(v).max(initial=0) < 1e100 and np.abs(q).max() < 1e100 and np.abs(q).max() > 1e-100) else (v, q)
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def block_search(k: int, trees: int, leaf: int, share: float, least: int):
-    def search(ids, vectors, query_ids, query_vectors):
-        v, q = matrix(vectors, np.float64), matrix(query_vectors, np.float64)
-        width = max(v.shape[1], q.shape[1])
-        v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, q))
-        order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
-        # Equal vectors are one point of the index; its rows follow in id order, and no query needs more than k + 1 of them.
-        key = np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.dtype.itemsize * width))).ravel()
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        members = np.argsort(inverse, kind="stable")
-        copy = (np.diff(inverse[members], prepend=-1) == 0) & (np.diff(ids[members], prepend=ids[members[0]]) == 0)
-        members = members[~copy]  # a row that repeats an id and its vector counts once
-        starts = np.append(0, np.cumsum(np.bincount(inverse[members])))
-        repeated = len(np.unique(ids)) < len(members)
-        points = v[first]
-        unit = lambda x: (x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300) / np.linalg.norm(x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300), axis=1, keepdims=True)).astype(np.float32)
-        u = unit(points)
-        forest = Forest(u, trees, leaf)
+def block_search(k: int, patience: float, least: int):
+    def gathered(queue: SharedQueue, leaves: np.ndarray, u: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and single-precision cosines of the leaf candidates of one query, until its k + 1 best (itself may be one) have long stood."""
+        n = len(u)
+        seen = np.zeros(n + 1, bool)
+        seen[n] = True
+        places, near, best = [], [], np.zeros(0, np.float32)
+        count = last = taken = 0
+        while len(some := queue.take(max(32, taken // 8))):  # the leaves that are looked at together grow with those behind
+            taken += len(some)
+            got = leaves[some].ravel()
+            got = np.unique(got[~seen[got]])
+            seen[got] = True
+            cos = u[got] @ q
+            places.append(got)
+            near.append(cos)
+            count += len(got)
+            now = np.sort(np.append(best, cos))[::-1][: k + 1]
+            if len(best) <= k or now[-1] > best[-1]:
+                last = count
+            best = now
+            if count >= max(least, patience * last):
+                break
+        return np.concatenate(places), np.concatenate(near)
+
+    def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray):
+        points, queries = same_width(index["points"], queries)
+        u, w = unit(points), unit(queries)
+        depth = (index["cuts"].shape[1] + 1).bit_length() - 1
+        leaves, planes = leaves_of(index["order"], depth), planes_of(u, index["pairs"]).reshape(-1, points.shape[1])
+        members, starts, cuts = index["member_ids"], index["starts"], index["cuts"]
+        repeated = len(np.unique(members)) < len(members)
         out = [[], [], []]
-        for own, x, xu, got in zip(query_ids.tolist(), q, unit(q), forest.candidates(unit(q), max(least, int(share * len(u)))), strict=True):
-            near = u[got] @ xu
-            if len(near) > 4 * (k + 1) and not repeated:  # single precision first; the margin covers its error
-                near_k = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
-                got = got[near >= near_k - 1e-5]
-            rows = np.concatenate([members[starts[g] : min(starts[g + 1], starts[g] + k + 1)] for g in got.tolist()])
-            rows = rows[ids[rows] != own]
-            score = cosines(v[rows], x)
-            if repeated:
-                once = best_rows(score, ids[rows])
-                rows, score = rows[once], score[once]
-            best = np.lexsort((ids[rows], -score))[:k]
-            for held, value in zip(out, (np.full(len(best), own), ids[rows[best]], score[best]), strict=True):
-                held.append(value)
-        return tuple(np.concatenate(x) for x in out)
+        for at in range(0, len(w), TOGETHER):
+            some = w[at : at + TOGETHER]
+            margins = (some @ planes.T).reshape(len(some), *cuts.shape) - cuts
+            for j, margin in enumerate(margins, at):
+                got, near = gathered(SharedQueue(margin, depth), leaves, u, w[j])
+                if len(near) > 4 * (k + 1) and not repeated:  # single precision first; the margin covers its error
+                    got = got[near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1] - 1e-5]
+                # Of the rows of one point no query needs more than k + 1.
+                many = np.minimum(starts[got + 1] - starts[got], k + 1) if not repeated else starts[got + 1] - starts[got]
+                rows = np.repeat(starts[got] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                score = np.repeat(cosines(points[got].astype(np.float64), queries[j].astype(np.float64)), many)
+                keep = (members[rows] != query_ids[j]) & (score >= floors[j])
+                ids, score = members[rows[keep]], score[keep]
+                best = best_of_each(np.zeros(len(ids), np.int64), ids, score, k, repeated)
+                for held, value in zip(out, (np.full(len(best), j), ids[best], score[best]), strict=True):
+                    held.append(value)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
     return search
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, least: int = LEAST, block: int = 65_536) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf: int = LEAF, patience: float = PATIENCE, least: int = LEAST, block: int = 65_536, per: int = 2048, first: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score (cosine) for the rows whose vec_id is divisible by ``every``, against all other rows.
 
-    Each block of rows gets a forest over all its vectors; every query searches every block. Null, empty, zero and
+    Each block of rows gets a forest over all its vectors, grown once and kept with the block; every query searches every block.
+    A search gathers leaves until the candidates are ``patience`` times as many as when its k best last changed, so near
+    neighbours that stand out cost little and vectors without any structure are searched widely. Null, empty, zero and
     non-finite vectors take no part, nor do rows without vec_id. Copies tie exactly, to the smaller vec_id.
     A vec_id of several rows takes one rank, with its best score.
     """
     rows = usable(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where("id is not null"), "v", nonzero=True)
-    return search_blocks(rows, rows.where(F.col("id") % every == 0), block_search(k, trees, leaf, share, least), k, "double", block)
+    return search_blocks(rows, rows.where(F.col("id") % every == 0), build(trees, leaf), block_search(k, patience, least), k, "double", block, per, first)
