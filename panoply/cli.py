@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernels
 from .operators import clouds, keyframes, mesh, pairs, sequence, trajectory
+from .plans import sparse
 from .plans.stitch import stitch
 from .schemas import ExtractionConfig, KeyframeConfig, Manifest, MetricReference, need
 from .session import session, written
@@ -53,12 +54,12 @@ def extract_frames(spark, a) -> dict:
     sinks.refuse_non_empty(spark, a.output_dir)
     info = files.video_metadata(spark, a.video).first()
     folder = f"{a.output_dir}/frames"
-    kept = written(files.video_frames(spark, a.video, cfg), "frames")
+    kept = files.video_frames(spark, a.video, cfg)
     sinks.image_files(kept, folder, "filename", "jpeg")
     quality = kernels.frame_quality(spark.read.format("image").load(folder), cfg.analysis_width)
     rows = kept.drop("path", "jpeg").join(quality.withColumn("filename", F.element_at(F.split("path", "/"), -1)).drop("path", "feature_count"), "filename")
     rows = written(rows.select("sequence", "source_frame", "timestamp_s", "sharpness", "brightness_mean", "filename"), "frame-rows")
-    sinks.csv(rows.orderBy("sequence"), f"{a.output_dir}/frames_csv")
+    sinks.csv(rows, f"{a.output_dir}/frames.csv", ["sequence"])
     span = rows.agg(F.count("*").alias("n"), (F.max("timestamp_s") - F.min("timestamp_s")).alias("s")).first()
     stride = max(1, round(info["fps"] / cfg.target_fps))
     shares = {c: sequence.distribution(rows.withColumn("_k", F.lit(0)), ["_k"], c).drop("_k").first().asDict() for c in ("sharpness", "brightness_mean")}
@@ -71,19 +72,33 @@ def select_keyframes(spark, a) -> dict:
     sinks.refuse_non_empty(spark, a.output_dir)
     found = keyframe_candidates(spark, a.frames_dir, cfg)
     decided = written(keyframes.select(found, cfg, pair=keyframes.pixel_pair(cfg.max_corners)), "decisions")
-    names = found.select("sequence", "timestamp_s", "path", "filename")
-    rows = written(decided.join(names, ["sequence", "timestamp_s"]), "keyframes")
-    sinks.csv(rows.orderBy("sequence"), f"{a.output_dir}/keyframes_csv")
+    rows = written(decided.join(found.select("sequence", "timestamp_s", "path", "filename", "brightness_mean"), ["sequence", "timestamp_s"]), "keyframes")
+    sinks.csv(rows.drop("path", "video_id"), f"{a.output_dir}/keyframes.csv", ["timestamp_s", "sequence"])
     chosen = sequence.numbered(rows.where("selected"), [], ["timestamp_s", "sequence"], "place")
     chosen = chosen.withColumn("output_filename", F.format_string("frame_%05d_source_%05d_t%09.3f.%s", "place", "sequence", "timestamp_s", F.lower(F.element_at(F.split("filename", r"\."), -1))))
     content = files.binary(spark, a.frames_dir).select("path", "content")
     sinks.image_files(content.join(chosen.select("path", "output_filename"), "path"), f"{a.output_dir}/frames", "output_filename", "content")
-    sinks.image_list(chosen, f"{a.output_dir}/image_list", "output_filename", "output_filename")
-    row = json.loads(keyframes.report(decided, cfg).select(F.to_json(F.struct("*")).alias("j")).first()["j"])
-    row["reasons"] = {r["reason"]: r["count"] for r in decided.groupBy("reason").count().orderBy("reason").collect()}
+    sinks.image_list(chosen, f"{a.output_dir}/image_list.txt", "filename", ["timestamp_s", "sequence"])  # the candidate folder's own names
+    row = json.loads(keyframes.report(decided, cfg).drop("video_id").select(F.to_json(F.struct("*")).alias("j")).first()["j"])
+    row |= keyframe_details(decided, cfg)
     return save(spark, f"{a.output_dir}/report.json", row)
 
 
+def keyframe_details(decided: DataFrame, cfg: KeyframeConfig) -> dict:
+    """What one video's report adds to its counts: settings, rejections, distributions of quality and motion, the coverage bins."""
+    parts = {
+        "quality": {"candidate_sharpness": (decided, "sharpness"), "selected_sharpness": (decided.where("selected"), "sharpness"), "candidate_features": (decided, "feature_count"), "selected_features": (decided.where("selected"), "feature_count")},
+        "motion": {f"selected_{c}": (decided.where("selected and reason <> 'first_frame'"), c) for c in ("motion_ratio", "track_ratio")},
+    }
+    out = {"config": asdict(cfg), "rejections": {r["reason"]: r["count"] for r in decided.where("not selected").groupBy("reason").count().orderBy("reason").collect()}}
+    for name, held in parts.items():
+        found = {k: sequence.distribution(df, ["video_id"], c).drop("video_id").first() for k, (df, c) in held.items()}
+        out[name] = {k: r and r.asDict() for k, r in found.items()}
+    bins = sequence.coverage_bins(decided, ["video_id"], "timestamp_s", "selected", cfg.coverage_bin_s).drop("video_id").orderBy("bin")
+    out["bins"] = [r.asDict() for r in bins.toLocalIterator()]
+    return out
+
+
 def keyframe_candidates(spark: SparkSession, folder: str, cfg: KeyframeConfig) -> DataFrame:
     """Candidate frames of a folder with their quality and gray analysis image."""
     q = kernels.frame_quality(spark.read.format("image").option("recursiveFileLookup", "true").load(folder), cfg.analysis_width, cfg.max_corners, pixels=True)
@@ -97,8 +112,9 @@ def scale_report(spark, a) -> dict:
     anchor, checks = row["anchor"], row["checks"] or []
     need(anchor["distance_m"] > 0 and anchor["reconstructed_units"] > 0, "the anchor's lengths must be positive")
     factor = anchor["distance_m"] / anchor["reconstructed_units"]
+    need(bool((anchor["name"] or "").strip()), "the anchor needs a name")
     d = spark.createDataFrame([(0, c["name"], c["actual_m"], c["reconstructed_units"], factor) for c in checks], "k int, name string, actual_m double, units double, meters_per_unit double")
-    done = clouds.scale_checks(d, "k")
+    done = clouds.scale_checks(clouds.valid_checks(d), "k")
     means = clouds.scale_summary(done, "k").first()
     dims = [r.asDict() for r in done.select("name", "actual_m", "estimated_m", "absolute_error_m", "percent_error").collect()]  # the file's own checks
     return save(spark, a.output, {"anchor_name": anchor["name"], "meters_per_unit": factor, "dimensions": dims, "mean_absolute_error_m": means and means["mean_absolute_error_m"], "mean_percent_error": means and means["mean_percent_error"]})
@@ -110,69 +126,119 @@ def trajectory_report(spark, a) -> dict:
     expected = spark.createDataFrame([(0, a.expected_images)], "model_id int, expected_images long") if a.expected_images else None
     report = trajectory.gates(trajectory.report(poses, expected=expected)).drop("model_id")
     flat = poses.select("image_id", "image_name", "cx", "cy", "cz")
-    sinks.csv(flat.orderBy("image_name"), f"{a.output_dir}/trajectory_csv")
+    sinks.csv(flat, f"{a.output_dir}/trajectory.csv", ["image_name"])
     points = flat.select("image_name", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), *[F.lit(v).alias(n) for n, v in (("red", 40), ("green", 140), ("blue", 255))])
-    sinks.ascii_ply(points, f"{a.output_dir}/trajectory_ply", "image_name")
+    sinks.ascii_ply(points, f"{a.output_dir}/trajectory.ply", ["image_name"])
+    pixels = sinks.raster(points, ["red", "green", "blue"], "image_name", 1200, 800)
+    sinks.write_bytes(spark, f"{a.output_dir}/trajectory.png", sinks.png(sinks.canvas(pixels, 1200, 800, 248, ((30, 120, 220), (30, 170, 30), (220, 30, 30)))))
     return sinks.json_report(spark, report, f"{a.output_dir}/report.json")
 
 
-def _rematch(spark, a, plan: DataFrame, images: DataFrame) -> dict:
+def _rematch(spark, a, plan: DataFrame, images: DataFrame, said: dict) -> dict:
     named = images.select(F.col("image_id").alias("id"), "name")
     p = written(plan, "plan")
     for side in "ab":
         p = p.join(named.select(F.col("id").alias(f"id_{side}"), F.col("name").alias(side)), f"id_{side}")
-    sinks.pair_list(p, a.pair_list)
-    return save(spark, a.report, sinks.delete_pairs(a.database, p))
+    sinks.pair_list(p, a.pair_list, order=["idx_a", "id_a", "idx_b", "id_b"])
+    return save(spark, a.report, said | sinks.delete_pairs(a.database, p))
 
 
 def _images(spark, a) -> DataFrame:
     return files.sqlite_table(spark, a.database, "SELECT image_id, name FROM images", "image_id long, name string").withColumn("model_id", F.lit(0))
 
 
+def _within(images: DataFrame, first: int, last: int) -> int:
+    return pairs.indexed(images).where(F.col("idx").between(first, last)).count()
+
+
 @command("prepare-targeted-rematch", database=(str, MUST), pair_list=(str, MUST), report=(str, MUST), start_frame=(int, MUST), end_frame=(int, MUST), overlap=(int, 12))
 def targeted_rematch(spark, a) -> dict:
     images = _images(spark, a)
-    return _rematch(spark, a, pairs.targeted(images, a.start_frame, a.end_frame, a.overlap), images)
+    plan = pairs.targeted(images, a.start_frame, a.end_frame, a.overlap)
+    said = {"start_frame": a.start_frame, "end_frame": a.end_frame, "overlap": a.overlap, "selected_images": _within(images, a.start_frame, a.end_frame)}
+    return _rematch(spark, a, plan, images, said)
 
 
 @command("prepare-cross-rematch", database=(str, MUST), pair_list=(str, MUST), report=(str, MUST), first_start_frame=(int, MUST), first_end_frame=(int, MUST), second_start_frame=(int, MUST), second_end_frame=(int, MUST))
 def cross_rematch(spark, a) -> dict:
     images = _images(spark, a)
     plan = pairs.cross(images, (a.first_start_frame, a.first_end_frame), (a.second_start_frame, a.second_end_frame))
-    need(not plan.isEmpty(), "both intervals need images")
-    return _rematch(spark, a, plan, images)
+    said = {k: getattr(a, k) for k in ("first_start_frame", "first_end_frame", "second_start_frame", "second_end_frame")}
+    said |= {"first_images": _within(images, a.first_start_frame, a.first_end_frame), "second_images": _within(images, a.second_start_frame, a.second_end_frame)}
+    need(said["first_images"] > 0 and said["second_images"] > 0, "both intervals need images")
+    return _rematch(spark, a, plan, images, said)
 
 
 @command("stitch-metric-components", main_model_dir=(str, MUST), secondary_model_dir=(str, MUST), images_dir=(str, MUST), output_dir=(str, MUST), main_tape_frame=(int, 750), secondary_tape_frame=(int, 660), main_seam_frame=(int, 706), secondary_seam_frame=(int, 705), known_distance_m=(float, 1.2192))
 def stitch_components(spark, a) -> dict:
     report, points, cameras = stitch(spark, a.main_model_dir, a.secondary_model_dir, a.images_dir, a.main_tape_frame, a.secondary_tape_frame, a.main_seam_frame, a.secondary_seam_frame, a.known_distance_m)
-    sinks.ascii_ply(points, f"{a.output_dir}/map_ply", "point3d_id")
-    sinks.csv(cameras.select(F.col("frame").alias("frame_index"), "image_name", *[F.col(x).alias(f"{x}_m") for x in "xyz"], "component").orderBy("frame_index"), f"{a.output_dir}/trajectory_csv")
+    sinks.ascii_ply(points, f"{a.output_dir}/map.ply", ["point3d_id"])
+    sinks.csv(cameras.select(F.col("frame").alias("frame_index"), "image_name", *[F.col(x).alias(f"{x}_m") for x in "xyz"], "component"), f"{a.output_dir}/trajectory.csv", ["frame_index"])
     main = F.col("component") == "main"
     coloured = cameras.select("frame", "x", "y", "z", *[F.when(main, p).otherwise(q).alias(n) for n, p, q in (("red", 40, 255), ("green", 140, 130), ("blue", 255, 40))])
-    sinks.ascii_ply(coloured, f"{a.output_dir}/trajectory_ply", "frame")
+    sinks.ascii_ply(coloured, f"{a.output_dir}/trajectory.ply", ["frame"])
     return save(spark, f"{a.output_dir}/report.json", report)
 
 
+#: Colours of a preview's components, largest first; the last one is for all others.
+PALETTE = ((230, 105, 55), (45, 120, 230), (95, 180, 70), (190, 75, 180), (205, 185, 80))
+
+
 @command("dense-qa", mesh_ply=(str, MUST), output_dir=(str, MUST))
 def dense_qa(spark, a) -> dict:
-    v, t = written(files.ply_vertices(spark, a.mesh_ply), "vertices"), written(files.ply_triangles(spark, a.mesh_ply), "triangles")
+    v, t = files.ply_vertices(spark, a.mesh_ply), files.ply_triangles(spark, a.mesh_ply)
     need(not v.isEmpty() and not t.isEmpty(), "the mesh needs vertices and triangles")
-    labels = mesh.roots(v, t)
-    table = written(mesh.component_table(v, t, labels), "components")
-    report = mesh.gates(table, mesh.triangle_areas(v, t), mesh.edge_summary(t)).first().asDict()
+    areas, labels = written(mesh.triangle_areas(v, t), "areas"), written(mesh.roots(v, t), "labels")
+    table = written(mesh.component_table(v, areas, labels), "ranked")
+    report = {"source_mesh": a.mesh_ply, "vertices": v.count(), "triangles": areas.count()} | mesh.gates(table, areas, mesh.edge_summary(t)).first().asDict()
     report["bounding_box"] = mesh.bounding_box(v).first().asDict()
-    report["sampled_component_gap_m"] = mesh.sampled_gap(v, labels, table).first()["gap"]
-    report["components"] = [r.asDict() for r in table.orderBy("rank").limit(10).collect()]
+    report["largest_two_centroid_distance_m"] = mesh.centroid_gap(table).first()["centroid_distance"]
+    report["largest_two_sampled_gap_m"] = mesh.sampled_gap(v, labels, table).first()["gap"]
+    top = table.orderBy("rank").limit(10).withColumns({f"extent_{x}": F.col(f"max_{x}") - F.col(f"min_{x}") for x in "xyz"})
+    report["components"] = [r.asDict() for r in top.collect()]
+    pixels = sinks.raster(mesh.coloured(v, labels, table, PALETTE), ["red", "green", "blue"], "vid", 1400, 900)
+    sinks.write_bytes(spark, f"{a.output_dir}/dense_components.png", sinks.png(sinks.canvas(pixels, 1400, 900, 242)))
     return save(spark, f"{a.output_dir}/report.json", report)
 
 
+@command("plan-sparse", images_dir=(str, MUST), workspace=(str, MUST), camera_model=(str, "SIMPLE_RADIAL"), max_num_features=(int, 4096), sequential_overlap=(int, 40), loop_anchor_window=(int, 10), min_num_matches=(int, 15), mapper_profile=(str, "baseline"), use_gpu=(bool, False), matched_database=(str, None))
+def plan_sparse(spark, a) -> dict:
+    """Writes the loop pairs and the solver's command lines of a sparse run into an empty workspace; the solver itself is started by hand."""
+    cfg = sparse.SparseConfig(a.camera_model, a.max_num_features, a.sequential_overlap, a.loop_anchor_window, a.min_num_matches, a.mapper_profile, a.use_gpu)
+    sinks.refuse_non_empty(spark, a.workspace)
+    plan, n = sparse.loop_plan(spark, a.images_dir, cfg.loop_anchor_window), files.jpgs(spark, a.images_dir).count()
+    if a.matched_database:
+        sparse.check_database(spark, a.matched_database, n)
+    sinks.pair_list(plan, f"{a.workspace}/loop_pairs.txt")
+    stages = [{"stage": r["stage"], "argv": list(r["argv"])} for r in sparse.commands(spark, a.workspace, cfg, bool(a.matched_database)).orderBy("place").collect()]
+    return save(spark, f"{a.workspace}/plan.json", {"images": n, "loop_pairs": plan.count(), "config": asdict(cfg), "reused_matched_database": bool(a.matched_database), "commands": stages})
+
+
 @command("sparse-report", logs_dir=(str, MUST), output=(str, MUST))
 def sparse_report(spark, a) -> dict:
     """The model with most registered images among the analyzer logs of a folder."""
-    logs = files.analyzer_log(spark, a.logs_dir, name=True).withColumn("k", F.lit(0))
-    best = clouds.best_model(logs, "k", "registered_images", "name").drop("k")
-    return sinks.json_report(spark, best, a.output)
+    return sinks.json_report(spark, sparse.report(spark, a.logs_dir), a.output)
+
+
+@command("check-bundle", bundle_dir=(str, MUST), output=(str, MUST))
+def check_bundle(spark, a) -> dict:
+    """Whether a dense input bundle has what its manifest names; a component that hasn't is an error."""
+    found = [r.asDict() for r in files.bundle(spark, a.bundle_dir).orderBy("component").collect()]  # one row a component
+    save(spark, a.output, {"components": found})
+    wrong = [r["component"] for r in found if not r["ok"]]
+    need(bool(found) and not wrong, f"the bundle is not whole: {wrong or 'no components'}")
+    return {"components": found}
+
+
+@command("dense-summary", clouds=(str, MUST), output_dir=(str, MUST), voxel_size_m=(float, 0.02), neighbours=(int, 20), ratio=(float, 2.5))
+def dense_summary(spark, a) -> dict:
+    """Cleans and fuses the clouds of a Parquet table (component, x, y, z in metres) and writes the fused cloud."""
+    points = spark.read.parquet(a.clouds).select("component", "x", "y", "z")
+    fused, summary = clouds.dense_summary(points, "voxel", a.voxel_size_m, a.neighbours, a.ratio)
+    fused = written(fused, "fused")
+    grey = fused.select("x", "y", "z", *[F.lit(128).alias(c) for c in ("red", "green", "blue")])
+    sinks.ascii_ply(grey, f"{a.output_dir}/dense.ply", ["x", "y", "z"])
+    return save(spark, f"{a.output_dir}/report.json", {"dense_points": fused.count(), "voxel_size_m": a.voxel_size_m, "components": [r.asDict() for r in summary.orderBy("component").collect()]})
 
 
 def parser() -> argparse.ArgumentParser:

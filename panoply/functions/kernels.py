@@ -120,81 +120,6 @@ def pair_metrics(first: np.ndarray, second: np.ndarray, most: int = 600) -> tupl
     return len(p), int(ok.sum()), float(ok.sum() / len(p)), float(np.median(d) / np.hypot(*first.shape))
 
 
-def tape_endpoints(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the largest elongated yellow object below the upper 45 %."""
-    x = bgr.astype(np.float64)
-    b, g, r = x[..., 0], x[..., 1], x[..., 2]
-    v, low = x.max(-1), x.min(-1)
-    d = np.where(v > low, v - low, 1)
-    s = np.where(v > 0, (v - low) / np.where(v > 0, v, 1) * 255, 0)
-    hue = np.where(v == r, 60 * (g - b) / d, np.where(v == g, 120 + 60 * (b - r) / d, 240 + 60 * (r - g) / d)) % 360 / 2
-    mask = (hue >= 18) & (hue <= 42) & (s >= 70) & (v >= 70) & (v > low)
-    mask[: int(0.45 * len(mask))] = False
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:  # the largest label of each 8-connected object spreads over it
-        p = np.pad(label, 1)
-        new = np.where(mask, np.max([p[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)], axis=0), 0)
-        if (new == label).all():
-            break
-        label = new
-    best = None
-    for k in np.unique(label[mask]):
-        ys, xs = np.nonzero(label == k)
-        w, h = np.ptp(xs) + 1, np.ptp(ys) + 1
-        if len(xs) >= 100:
-            best = max(best or (-1.0, -1), (len(xs) * max(w, h) / max(1, min(w, h)), int(k)))
-    if best is None:
-        raise ValueError("no elongated yellow tape")
-    ys, xs = np.nonzero(label == best[1])
-    p = np.stack([xs, ys], 1).astype(float)
-    c = p.mean(0)
-    axis = np.linalg.svd(p - c, full_matrices=False)[2][0]
-    along = (p - c) @ axis
-    return c + axis * along.min(), c + axis * along.max()
-
-
-def floor_plane(points: np.ndarray, trials: int = 5000, seed: int = 9) -> tuple[np.ndarray, float, np.ndarray, float]:
-    """Normal, offset, inliers and RMSE of the plane with most points; the first best trial wins, then a least-squares fit."""
-    if len(points) < 30:
-        raise ValueError("too few candidate floor points")
-    spread = np.median(np.linalg.norm(points - np.median(points, axis=0), axis=1))
-    near = max(0.012 * float(spread), 1e-4)
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(trials):
-        a, b, c = points[rng.choice(len(points), 3, replace=False)]
-        n = np.cross(b - a, c - a)
-        size = np.linalg.norm(n)
-        if size < 1e-9:
-            continue
-        inside = np.abs((points - a) @ (n / size)) < near
-        if best is None or inside.sum() > best.sum():
-            best = inside
-    if best is None or best.sum() < 20:
-        raise ValueError("no floor plane found")
-    chosen = points[best]
-    c = chosen.mean(0)
-    n = np.linalg.svd(chosen - c, full_matrices=False)[2][-1]
-    offset = -float(n @ c)
-    return n, offset, best, float(np.sqrt(np.mean((chosen @ n + offset) ** 2)))
-
-
-def ray_on_plane(rotation: np.ndarray, center: np.ndarray, camera: tuple[float, float, float, float], pixel: np.ndarray, normal: np.ndarray, offset: float) -> np.ndarray:
-    """Where a pixel's ray meets the plane. Radial distortion is inverted by fixed-point steps."""
-    f, cx, cy, k = camera
-    seen = (np.asarray(pixel, float) - (cx, cy)) / f
-    at = seen.copy()
-    for _ in range(20):
-        at = seen / (1 + k * float(at @ at))
-    ray = rotation.T @ np.append(at, 1.0)
-    facing = float(normal @ ray)
-    if abs(facing) < 1e-9:
-        raise ValueError("the ray is parallel to the plane")
-    along = -float(normal @ center + offset) / facing
-    if along <= 0:
-        raise ValueError("the plane is behind the camera")
-    return center + along * ray
-
-
 def frame_quality(images: DataFrame, width: int = 640, most: int = 600, pixels: bool = False) -> DataFrame:
     """path, sharpness, brightness_mean, feature_count of rows of Spark's image source, and with ``pixels`` the gray
     analysis image (height, width, gray): one Arrow hop for all."""

@@ -33,72 +33,80 @@ def _extent(*clouds: DataFrame) -> float:
     return every.agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("e")).first()["e"] or 0.0
 
 
-def _around(queries: DataFrame, points: DataFrame, edge: float) -> DataFrame:
-    """Each query with every point of the 27 cells around its own, and their distance d: all points within one edge are among them."""
+def _around(queries: DataFrame, points: DataFrame, edge: float, by: list[str]) -> DataFrame:
+    """Each query with every point of the 27 cells around its own, inside its own dataset, and their distance _d: all points within one edge are among them."""
     grid = lambda a, d=0: F.floor(F.col(a) / edge) + d
-    p = points.select(*[F.col(a).alias(f"p{a}") for a in AXES], *[grid(a).alias(f"g{a}") for a in AXES])
+    p = points.select(*by, *[F.col(a).alias(f"p{a}") for a in AXES], *[grid(a).alias(f"g{a}") for a in AXES])
     q = queries
     for a in AXES:
         q = q.withColumn(f"g{a}", F.explode(F.array(*[grid(a, d) for d in (-1, 0, 1)])))
-    return q.join(p, [f"g{a}" for a in AXES]).withColumn("d", distance([F.col(a) for a in AXES], [F.col(f"p{a}") for a in AXES]))
+    return q.join(p, [*by, *[f"g{a}" for a in AXES]]).withColumn("_d", distance([F.col(a) for a in AXES], [F.col(f"p{a}") for a in AXES]))
 
 
-def _widening(queries: DataFrame, points: DataFrame, key: str, cell: float, search) -> DataFrame:
-    """search(pairs) -> (key, reach, ...) for queries whose answer lies within ``reach``; those not settled within an edge go
+def _widening(queries: DataFrame, points: DataFrame, keys: list[str], by: list[str], cell: float, search) -> DataFrame:
+    """search(pairs) -> (keys, reach, ...) for queries whose answer lies within ``reach``; those not settled within an edge go
     on with cells of twice the edge. The edge ends at the clouds' extent, where the cells around hold all points, so rounds
     grow with the logarithm of it. A query without any point gives no row."""
     need(cell > 0, "cell must be positive")
-    extent, todo, out = _extent(queries, points), queries.select(key, *AXES), None
+    extent, todo, out = _extent(queries, points), queries.select(*keys, *AXES), None
     while True:
-        found = search(_around(todo, points, cell))
+        found = search(_around(todo, points, cell, by))
         if cell < extent:
             found = found.where(F.col("reach") <= cell)
         found = written(found, "near")
         out = found if out is None else out.unionByName(found)
         if cell >= extent:
             return out.drop("reach")
-        todo = written(todo.join(found.select(key), key, "left_anti"), "far")
+        todo = written(todo.join(found.select(*keys), keys, "left_anti"), "far")
         if todo.isEmpty():
             return out.drop("reach")
         cell *= 2
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, cell: float) -> DataFrame:
-    """Each query's distance to its nearest point: key, nearest. Copies of a point count once."""
-    search = lambda pairs: pairs.groupBy(key).agg(F.min("d").alias("nearest")).withColumn("reach", F.col("nearest"))
-    return _widening(queries, points.select(*AXES).distinct(), key, cell, search)
+def nearest(queries: DataFrame, points: DataFrame, key: str, cell: float, by: list[str] | None = None) -> DataFrame:
+    """Each query's distance to the nearest point of its dataset (columns ``by``): keys, nearest. Copies of a point count once."""
+    by = by or []
+    keys = [*by, key]
+    search = lambda pairs: pairs.groupBy(*keys).agg(F.min("_d").alias("nearest")).withColumn("reach", F.col("nearest"))
+    return _widening(queries, points.select(*by, *AXES).distinct(), keys, by, cell, search)
 
 
-def neighbour_distance(points: DataFrame, key: str, k: int = 20, cell: float = 0.1) -> DataFrame:
-    """key, mean_distance: each point's mean distance to its k nearest points, itself included (all points if fewer)."""
+def neighbour_distance(points: DataFrame, key: str, k: int = 20, cell: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """keys, mean_distance: each point's mean distance to the k nearest points of its dataset, itself included (all points if fewer)."""
     need(k > 0, "k must be positive")
+    by = by or []
+    keys = [*by, key]
 
     def search(pairs: DataFrame) -> DataFrame:
-        ranked = pairs.select(key, "d").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("d"))).where(F.col("_r") <= k)
-        g = ranked.groupBy(key).agg(F.avg("d").alias("mean_distance"), F.max("d").alias("reach"), F.count("*").alias("_n"))
-        return g.select(key, "mean_distance", F.when(F.col("_n") < k, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
+        ranked = pairs.select(*keys, "_d").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_d"))).where(F.col("_r") <= k)
+        g = ranked.groupBy(*keys).agg(F.avg("_d").alias("mean_distance"), F.max("_d").alias("reach"), F.count("*").alias("_n"))
+        return g.select(*keys, "mean_distance", F.when(F.col("_n") < k, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
 
-    return _widening(points, points, key, cell, search)
+    return _widening(points, points, keys, by, cell, search)
 
 
-def without_outliers(points: DataFrame, key: str, k: int = 20, ratio: float = 2.5, cell: float = 0.1) -> DataFrame:
-    """Points whose mean neighbour distance is positive and not over the cloud's mean by ``ratio`` deviations or more."""
-    d = written(neighbour_distance(points, key, k, cell), "distances")
-    limit = d.agg((F.avg("mean_distance") + ratio * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("limit"))
-    kept = d.join(F.broadcast(limit), (F.col("mean_distance") > 0) & (F.col("mean_distance") < F.col("limit")))  # limit is one row
-    return points.join(kept.select(key), key, "left_semi")
+def without_outliers(points: DataFrame, key: str, k: int = 20, ratio: float = 2.5, cell: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """Points whose mean neighbour distance is positive and not over their dataset's mean by ``ratio`` deviations or more."""
+    by = by or []
+    d = written(neighbour_distance(points, key, k, cell, by), "distances")
+    limits = d.groupBy(*by).agg((F.avg("mean_distance") + ratio * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("limit"))
+    both = d.join(limits, by) if by else d.join(F.broadcast(limits))  # without datasets limits is one row
+    kept = both.where((F.col("mean_distance") > 0) & (F.col("mean_distance") < F.col("limit")))
+    return points.join(kept.select(*by, key), [*by, key], "left_semi")
 
 
 #: Names of the second moments of a neighbourhood.
 MOMENTS = ["xx", "xy", "xz", "yy", "yz", "zz"]
 
 
-def neighbour_moments(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -> DataFrame:
-    """key, neighbours and the covariance of the ``most`` nearest points within ``radius``, the point itself included."""
+def neighbour_moments(points: DataFrame, key: str, radius: float = 0.10, most: int = 40, by: list[str] | None = None) -> DataFrame:
+    """keys, neighbours and the covariance of the ``most`` nearest points within ``radius`` in the same dataset, the point itself included."""
     need(radius > 0 and most > 0, "radius and count must be positive")
-    pairs = _around(points.select(key, *AXES), points, radius).where(F.col("d") <= radius)
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("d", *[f"p{a}" for a in AXES]))).where(F.col("_r") <= most)
-    return near.groupBy(key).agg(F.count("*").alias("neighbours"), *[F.covar_pop(f"p{m[0]}", f"p{m[1]}").alias(m) for m in MOMENTS])
+    by = by or []
+    keys = [*by, key]
+    pairs = _around(points.select(*keys, *AXES), points, radius, by).where(F.col("_d") <= radius)
+    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", *[f"p{a}" for a in AXES]))).where(F.col("_r") <= most)
+    return near.groupBy(*keys).agg(F.count("*").alias("neighbours"), *[F.covar_pop(f"p{m[0]}", f"p{m[1]}").alias(m) for m in MOMENTS])
 
 
 def normals(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -> DataFrame:
@@ -127,12 +135,47 @@ def voxels(points: DataFrame, edge: float, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys, *cells).agg(*[F.avg(a).alias(a) for a in AXES], F.count("*").alias("points"))
 
 
+def cropped(points: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
+    """Points inside a closed axis-aligned box."""
+    inside = [F.col(a).between(lo, hi) for a, lo, hi in zip(AXES, low, high, strict=True)]
+    return points.where(inside[0] & inside[1] & inside[2])
+
+
+def boxes(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, points and the box around each group's points."""
+    return points.groupBy(*keys).agg(F.count("*").alias("points"), *[f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES])
+
+
+def dense_summary(clouds: DataFrame, key: str, voxel: float, k: int = 20, ratio: float = 2.5, cell: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The fused cloud, and one row for each component with its counts on the way and the box around what is left.
+
+    ``clouds`` (component, x, y, z) are already in one frame. Each component is thinned to one point a voxel and rid of its
+    outliers by itself; the fused cloud is all of them, thinned again.
+    """
+    by = ["component"]
+    thin = voxels(clouds, voxel, by).withColumn(key, F.struct("vx", "vy", "vz"))
+    thin = written(thin.select(*by, key, *AXES), "voxels")
+    kept = written(without_outliers(thin, key, k, ratio, cell or 4 * voxel, by), "cleaned")
+    raw = clouds.groupBy(*by).agg(F.count("*").alias("input_points"))
+    down = thin.groupBy(*by).agg(F.count("*").alias("voxel_points"))
+    clean = boxes(kept, by).withColumnRenamed("points", "clean_points")
+    summary = raw.join(down, by, "left").join(clean, by, "left").fillna({"voxel_points": 0, "clean_points": 0})
+    return voxels(kept.drop(key), voxel, []), summary.withColumn("kept_fraction", F.col("clean_points") / F.nullif("input_points", F.lit(0)))
+
+
 def density_cut(points: DataFrame, density: str, keys: list[str], quantile: float = 0.03) -> DataFrame:
     """Points whose density is not under their group's quantile."""
     cut = points.groupBy(*keys).agg(F.percentile(density, F.lit(quantile)).alias("_cut"))
     return points.join(cut, keys).where(F.col(density) >= F.col("_cut")).drop("_cut")
 
 
+def valid_checks(checks: DataFrame) -> DataFrame:
+    """Checks with a name and positive, finite lengths; any other is an error that names it."""
+    good = lambda c: F.col(c).isNotNull() & (F.col(c) > 0) & (F.col(c) < float("inf"))
+    wrong = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", F.lit("a check needs a name")).when(~good("actual_m"), F.concat(F.col("name"), F.lit(": the actual length must be positive"))).when(~good("units"), F.concat(F.col("name"), F.lit(": the reconstructed length must be positive")))
+    return checks.withColumn("name", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(F.col("name")))
+
+
 def scale_checks(checks: DataFrame, key: str) -> DataFrame:
     """Dimension errors from (key, name, actual_m, units, meters_per_unit)."""
     e = checks.withColumn("estimated_m", F.col("units") * F.col("meters_per_unit"))

@@ -1,28 +1,45 @@
-"""Connected components of a mesh's vertices."""
+"""Connected components by alternating stars, in DataFrames only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 
-def components(vertices: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """vid, root (the smallest vertex reachable). Vertices without an edge are their own root.
+def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+    """node, root: for each node that an edge names, the smallest node it reaches. Self loops, repeats and nulls are ignored.
 
-    Rounds of smallest neighbouring label, then two pointer jumps; each round is written to the shared folder.
+    A round first links each node's larger neighbours to its smallest one, then its smaller neighbours and itself; the
+    number of rounds grows with the logarithm of the longest path. Each round is a partial aggregate and a
+    join, written to the shared folder, so no group is gathered and no lineage builds up.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = written(vertices.select("vid", F.col("vid").alias("root")), "labels")
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    links, before = written(links, "edges"), None
     for _ in range(most):
-        near = both.join(labels, both["b"] == labels["vid"]).groupBy("a").agg(F.min("root").alias("m"))
-        new = labels.join(near, labels["vid"] == near["a"], "left").select("vid", "root", F.least("root", F.coalesce("m", "root")).alias("new"))
-        for _ in range(2):
-            up = new.select(F.col("vid").alias("_v"), F.col("new").alias("_n"))
-            new = new.join(up, new["new"] == up["_v"]).select("vid", "root", F.least("new", "_n").alias("new"))
-        new = written(new, "labels")
-        labels = new.select("vid", F.col("new").alias("root"))
-        if new.where("new <> root").isEmpty():
-            return labels
+        mark = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before or not mark[0]:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v"), F.col("v")).distinct())
+        before = mark
+        both = links.union(links.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(links)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = written(small.union(low.select("u", "m")).where("u <> v").distinct(), "edges")
+        discard(large)
     raise RuntimeError(f"components did not settle in {most} rounds")
+
+
+def components(vertices: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The keys, vid and root, the smallest vertex reachable inside one graph. Vertices without an edge are their own root.
+
+    ``keys`` name the graph that a vertex and an edge belong to; many graphs go through the same rounds.
+    """
+    keys = keys or []
+    node = lambda c: F.struct(*keys, F.col(c).alias("vid"))
+    found = connected(edges.select(node("a").alias("a"), node("b").alias("b")))
+    found = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.vid").alias("vid"), F.col("root.vid").alias("root"))
+    return vertices.select(*keys, "vid").join(found, [*keys, "vid"], "left").select(*keys, "vid", F.coalesce("root", "vid").alias("root"))

@@ -51,12 +51,13 @@ def coverage_bins(df: DataFrame, keys: list[str], time: str, selected: str, size
     return out.select(*keys, "bin", "start_s", "end_s", F.coalesce("_c", F.lit(0)).alias("candidate_count"), F.coalesce("_k", F.lit(0)).alias("selected_count"), (F.coalesce("_k", F.lit(0)) > 0).alias("covered"))
 
 
-def even_sample(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
-    """At most ``limit`` rows at the truncated places of an even spacing from the first to the last row."""
+def even_sample(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows of each group at the truncated places of an even spacing from its first to its last row. Groups may have any size."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = numbered(df, keys, order, "_i")
+    ranked = ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes))  # without keys sizes is one row
     # place j is floor(j (n-1) / (limit-1)): row i is taken if some j lands on it
     steps, last = F.lit(limit - 1), F.col("_n") - 1
     j = F.expr(f"cast(ceil(cast(_i as double) * {limit - 1} / greatest(_n - 1, 1)) as bigint)")
@@ -64,15 +65,23 @@ def even_sample(df: DataFrame, keys: list[str], order: list, limit: int) -> Data
     return ranked.where(hit).drop("_i", "_n")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """df with each row's place (from 0) in its group's order.
 
-    Without keys the rows are range-sorted and each range's rows counted first, so no task sees them all.
+    Rows are range-sorted by group and order, and each group's rows in each range counted first, so no task sees a whole group.
     """
-    if keys:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    rows = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
-    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a range
-    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return rows.withColumn("_i", inside).join(base, "_p").withColumn(name, (F.col("_b") + F.col("_i") - 1).cast("long")).drop("_p", "_i", "_b")
+    rows = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("_range", *keys).agg(F.count("*").alias("_size"))  # one row a range and group in it
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(F.col("_range").alias("_at"), *[F.col(k).alias(f"_at_{k}") for k in keys], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
+    return inside.join(base, same).withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).select(*df.columns, name)
+
+
+def session_gaps(df: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:
+    """keys, start, end, rows of each session: rows that follow one another by less than ``gap``. end is the last row's time plus the gap."""
+    g = df.groupBy(*keys, F.session_window(time, gap).alias("_s")).agg(F.count("*").alias("rows"))
+    return g.select(*keys, F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), "rows")

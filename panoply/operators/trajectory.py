@@ -33,7 +33,7 @@ def report(poses: DataFrame, key: str = "model_id", expected: DataFrame | None =
     g = c.groupBy(key).agg(F.count("*").alias("registered_images"), F.sum("step").alias("path_length_units"), F.median("step").alias("median_step_units"), F.percentile("step", F.lit(0.95)).alias("p95_step_units"), F.max("step").alias("max_step_units"), F.min_by(end, "image_name").alias("a"), F.max_by(end, "image_name").alias("z"))
     g = g.join(largest_gap(c, [key], ["image_name"], "idx").withColumnRenamed("largest_gap", "largest_frame_index_gap"), key, "left")
     g = g.join(expected, key, "left") if expected is not None else g.withColumn("expected_images", F.lit(None).cast("long"))
-    wrong = F.when(F.col("registered_images") < 2, F.lit("at least two registered poses are required")).when(F.col("path_length_units") == 0, F.lit("trajectory has zero path length")).when(F.col("expected_images") < F.col("registered_images"), F.lit("expected_images cannot be lower than registered poses"))
+    wrong = F.when(F.col("registered_images") < 2, F.lit("a trajectory needs two poses or more")).when(F.col("path_length_units") == 0, F.lit("all poses stand at one place")).when(F.col("expected_images") < F.col("registered_images"), F.lit("fewer images are expected than have a pose"))
     g = g.withColumn("registered_images", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("registered_images")))
     g = g.withColumn("start_end_distance_units", X.distance([F.col(f"a.{n}") for n in XYZ], [F.col(f"z.{n}") for n in XYZ]))
     angle = X.quaternion_angle([F.col("a.q")[i] for i in range(4)], [F.col("z.q")[i] for i in range(4)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import clouds, keyframes, mesh, pairs, sequence, trajectory
 from ..schemas import KeyframeConfig
+from ..session import written
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,23 +366,22 @@ def mesh_edges(spark, sf_dir):
 
 @query(f"WITH {V.MESH} SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z, round(sqrt(pow(max(x)-min(x),2)+pow(max(y)-min(y),2)+pow(max(z)-min(z),2)), 6) AS diagonal FROM v")
 def mesh_global_bbox(spark, sf_dir):
-    return mesh.bounding_box(V.vertices(spark, sf_dir)).withColumn("diagonal", F.round("diagonal", 6))
+    box = mesh.bounding_box(V.vertices(spark, sf_dir))
+    return box.drop(*[c for c in box.columns if c.startswith("extent_")]).withColumn("diagonal", F.round("diagonal", 6))
 
 
 _MESH = f"WITH RECURSIVE {V.MESH}, {V.ROOTS}, {V.COMPONENTS}"
 
 
 def _mesh(spark, sf_dir):
-    from ..session import written
-
     v, t = V.vertices(spark, sf_dir), V.triangles(spark, sf_dir)
-    labels = mesh.roots(v, t)
-    return v, t, labels, written(mesh.component_table(v, t, labels), "components")
+    areas, labels = written(mesh.triangle_areas(v, t), "areas"), written(mesh.roots(v, t), "labels")
+    return v, t, areas, labels, mesh.component_table(v, areas, labels)
 
 
 @query(_MESH + " SELECT rank, root, vertices, triangles, round(vertex_fraction, 8) AS vertex_fraction, round(area, 3) AS area, round(centroid_x, 5) AS centroid_x, round(centroid_y, 5) AS centroid_y, round(centroid_z, 5) AS centroid_z FROM ct")
 def mesh_components(spark, sf_dir):
-    c = _mesh(spark, sf_dir)[3]
+    c = _mesh(spark, sf_dir)[4]
     return c.select(F.col("rank").cast("long").alias("rank"), "root", "vertices", "triangles", F.round("vertex_fraction", 8).alias("vertex_fraction"), F.round("area", 3).alias("area"), *[F.round(f"centroid_{a}", 5).alias(f"centroid_{a}") for a in "xyz"])
 
 
@@ -390,19 +390,19 @@ def mesh_components(spark, sf_dir):
   (SELECT vertex_fraction FROM ct WHERE rank = 1) >= 0.95 AS single_dominant_component_at_least_95_percent, coalesce((SELECT vertex_fraction FROM ct WHERE rank = 2), 0) <= 0.05 AS no_secondary_component_over_5_percent,
   (SELECT count(*) FROM te WHERE n > 2) = 0 AS no_non_manifold_edges, (SELECT count(*) FROM ta WHERE area <= 1e-12) = 0 AS no_degenerate_triangles""")
 def mesh_gates(spark, sf_dir):
-    v, t, _, c = _mesh(spark, sf_dir)
-    return mesh.gates(c, mesh.triangle_areas(v, t), mesh.edge_summary(t))
+    _, t, areas, _, c = _mesh(spark, sf_dir)
+    return mesh.gates(c, areas, mesh.edge_summary(t)).drop("surface_area", "largest_component_fraction", "second_component_fraction")
 
 
 @query(_MESH + " SELECT round(min(sqrt(pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2))), 6) AS gap FROM (SELECT * FROM v JOIN ro USING (vid) WHERE root = (SELECT root FROM ct WHERE rank = 1)) p, (SELECT * FROM v JOIN ro USING (vid) WHERE root = (SELECT root FROM ct WHERE rank = 2)) q")
 def component_gap(spark, sf_dir):
-    v, _, labels, c = _mesh(spark, sf_dir)
+    v, _, _, labels, c = _mesh(spark, sf_dir)
     return mesh.sampled_gap(v, labels, c).select(F.round("gap", 6).alias("gap"))
 
 
 @query("SELECT rank, root, vertices FROM (" + _MESH + " SELECT rank, root, vertices FROM ct) WHERE rank <= 10")
 def mesh_top_components(spark, sf_dir):
-    return _mesh(spark, sf_dir)[3].orderBy("rank").limit(10).select(F.col("rank").cast("long").alias("rank"), "root", "vertices")
+    return _mesh(spark, sf_dir)[4].orderBy("rank").limit(10).select(F.col("rank").cast("long").alias("rank"), "root", "vertices")
 
 
 # Digests and JSON

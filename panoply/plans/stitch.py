@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import calibration
 from ..functions import exprs as X
-from ..functions import kernels
 from ..operators import clouds, sequence
 from ..schemas import need
 from ..sources import files
@@ -57,14 +57,14 @@ def calibrate(spark: SparkSession, model: str, images: str, frame: int, known_m:
     """
     seen = observed(spark, model, frame, frame, files.points3d(spark, f"{model}/points3D.txt"))
     floor = seen.where(F.col("v") >= floor_v).orderBy("image_name", "ordinal").select("x", "y", "z").toPandas().to_numpy()
-    normal, offset, inside, rmse = kernels.floor_plane(floor)
+    normal, offset, inside, rmse = calibration.floor_plane(floor)
     found = by_frame(files.poses(spark, f"{model}/images.txt")).where(F.col("frame") == frame).take(1)
     need(bool(found), f"frame {frame} has no pose")
     pose, camera = found[0], tuple(files.cameras(spark, f"{model}/cameras.txt").first()["params"])
     px = spark.read.format("image").load(f"{images}/{pose['image_name']}").select("image.*").first()
-    ends = kernels.tape_endpoints(np.frombuffer(px["data"], np.uint8).reshape(px["height"], px["width"], px["nChannels"])[..., :3])
+    ends = calibration.tape_endpoints(np.frombuffer(px["data"], np.uint8).reshape(px["height"], px["width"], px["nChannels"])[..., :3])
     r, c = rotation(pose["q"]), np.array([pose["cx"], pose["cy"], pose["cz"]])
-    a, b = (kernels.ray_on_plane(r, c, camera, e, normal, offset) for e in ends)
+    a, b = (calibration.ray_on_plane(r, c, camera, e, normal, offset) for e in ends)
     units = float(np.linalg.norm(a - b))
     need(units > 0, "the tape has no length in the model")
     return Calibration(frame, pose["image_name"], tuple(tuple(map(float, e)) for e in ends), units, known_m, known_m / units, len(floor), int(inside.sum()), float(inside.mean()), rmse)

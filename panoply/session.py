@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where a local session without spark.checkpoint.dir writes; removed at exit.
+LOCAL = f"/tmp/checkpoints/panoply-core-{os.getpid()}"
+
 
 def session(app: str = "panoply", cores: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session with the settings that the queries assume; on a cluster the launcher's own settings stay."""
@@ -22,14 +27,31 @@ def session(app: str = "panoply", cores: int | None = None, memory: str = "8g")
     return spark
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again, so that loops don't grow their lineage."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's URI inside the folder in spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+        base = f"file://{LOCAL}"
+        atexit.register(shutil.rmtree, LOCAL, ignore_errors=True)
+    if "://" not in base and base.startswith("/"):
+        base = f"file://{base}"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again, so that loops don't grow their lineage."""
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote for df, once nothing reads it any more."""
+    if path := getattr(df, "_written", None):
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 import sqlite3
-import struct
+from collections.abc import Callable, Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import CANDIDATE
 from ..operators.trajectory import with_centers
 from ..schemas import CHECK, MANIFEST
+from . import ranges
 
-# The record layouts of the binary mesh format.
-VERTEX = np.dtype([("xyz", "<f8", 3), ("normal", "<f8", 3), ("rgb", "u1", 3)])
-FACE = np.dtype([("n", "u1"), ("abc", "<u4", 3)])
-PROPERTIES = [*(f"property double {a}" for a in ("x", "y", "z", "nx", "ny", "nz")), *(f"property uchar {c}" for c in ("red", "green", "blue")), "property list uchar uint vertex_indices"]
 # What a model analyzer's log says, and the type of each number.
 LOG = {"registered_images": (r"Registered images:\s+(\d+)", "long"), "points": (r"Points:\s+(\d+)", "long"), "observations": (r"Observations:\s+(\d+)", "long"), "mean_track_length": (r"Mean track length:\s+([0-9.eE+-]+)", "double"), "mean_observations_per_image": (r"Mean observations per image:\s+([0-9.eE+-]+)", "double"), "mean_reprojection_error_px": (r"Mean reprojection error:\s+([0-9.eE+-]+)px", "double")}
 
@@ -118,42 +114,14 @@ def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> Dat
     return parsed(binary(spark, path), parse, schema)
 
 
-def ply_header(content: bytes) -> tuple[dict[str, int], int]:
-    """Element counts and where the body starts."""
-    end = content.find(b"end_header\n")
-    if end < 0 or not content.startswith(b"ply\n") or b"format binary_little_endian 1.0\n" not in content[:end]:
-        raise ValueError("not a binary little-endian PLY file")
-    lines = content[:end].decode("ascii").splitlines()
-    if [x for x in PROPERTIES if x not in lines]:
-        raise ValueError("the file's vertex or face layout is unknown")
-    counts = {m[1].decode(): int(m[2]) for m in re.finditer(rb"^element (\w+) (\d+)$", content[:end], re.M)}
-    if not {"vertex", "face"} <= counts.keys():
-        raise ValueError("vertex and face elements are needed")
-    return counts, end + len(b"end_header\n")
+def ply_vertices(spark: SparkSession, path: str, part: int = ranges.PART) -> DataFrame:
+    """vid, x, y, z of a binary mesh, read by byte ranges."""
+    return ranges.register(spark).read.format("panoply_ply").option("part", part).load(path)
 
 
-def ply_arrays(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    counts, at = ply_header(content)
-    faces_at = at + counts["vertex"] * VERTEX.itemsize
-    if len(content) < faces_at + counts["face"] * FACE.itemsize:
-        raise ValueError("the file ends early")
-    v = np.frombuffer(content, VERTEX, counts["vertex"], at)["xyz"]
-    f = np.frombuffer(content, FACE, counts["face"], faces_at)
-    if (f["n"] != 3).any():
-        raise ValueError("faces must be triangles")
-    if not np.isfinite(v).all():
-        raise ValueError("vertices must be finite")
-    if len(f) and f["abc"].max() >= len(v):
-        raise ValueError("a face names an absent vertex")
-    return v, f["abc"].astype(np.int64)
-
-
-def ply_vertices(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(binary(spark, path), lambda p, c: pd.DataFrame(ply_arrays(c)[0], columns=list("xyz")).rename_axis("vid").reset_index(), "vid long, x double, y double, z double")
-
-
-def ply_triangles(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(binary(spark, path), lambda p, c: pd.DataFrame(ply_arrays(c)[1], columns=list("abc")).rename_axis("fid").reset_index(), "fid long, a long, b long, c long")
+def ply_triangles(spark: SparkSession, path: str, part: int = ranges.PART) -> DataFrame:
+    """fid, a, b, c of a binary mesh, read by byte ranges."""
+    return ranges.register(spark).read.format("panoply_ply").option("part", part).option("element", "face").load(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -181,63 +149,82 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", "filename", F.regexp_extract("filename", CANDIDATE, 1).cast("long").alias("sequence"), F.regexp_extract("filename", CANDIDATE, 2).cast("double").alias("timestamp_s"))
 
 
-def avi(content: bytes) -> tuple[dict, list[bytes]]:
-    """Width, height, fps and declared frames of a motion-JPEG AVI file, and its frames' JPEG bytes."""
-    if content[:4] != b"RIFF" or content[8:12] != b"AVI ":
-        raise ValueError("not an AVI file")
-    info, frames = {}, []
-
-    def walk(at: int, end: int) -> None:
-        while at + 8 <= end:
-            kind, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-            body = at + 8
-            if kind == b"LIST":
-                walk(body + 4, min(body + size, end))
-            elif kind == b"avih":
-                per, _, _, _, declared = struct.unpack_from("<5I", content, body)
-                info.update(fps=1e6 / per if per else 0.0, declared_frames=declared, width=struct.unpack_from("<I", content, body + 32)[0], height=struct.unpack_from("<I", content, body + 36)[0])
-            elif kind == b"strh" and content[body : body + 4] == b"vids":
-                scale, rate = struct.unpack_from("<2I", content, body + 20)
-                if scale and rate:
-                    info["fps"] = rate / scale
-            elif kind[2:] in (b"dc", b"db") and size:
-                frames.append(content[body : body + size])
-            at = body + size + size % 2
-
-    walk(12, len(content))
-    if not info or info["width"] <= 0 or info["height"] <= 0 or not info["fps"] > 0:
-        raise ValueError("the video has no usable width, height or frame rate")
-    return info, frames
+def video_metadata(spark: SparkSession, path: str, full_decode: bool = False) -> DataFrame:
+    """One row a video. With ``full_decode`` decoded_frames counts the frames that are whole pictures. Files are streamed, whatever their size."""
 
+    def run(batches):
+        for pdf in batches:
+            for p in pdf["path"]:
+                digest, n = hashlib.sha256(), None
+                with ranges.opened(p) as f:
+                    size = f.size()
+                    for at in range(0, size, ranges.READ):
+                        digest.update(f.read_at(min(ranges.READ, size - at), at))
+                    info, frames = ranges.avi_frames(f)
+                    if full_decode:
+                        n = sum(ranges.whole_jpeg(f.read_at(length, at)) for at, length in frames)
+                declared = info["declared_frames"]
+                row = {"path": p, "sha256": digest.hexdigest(), "file_size_bytes": size, "width": info["width"], "height": info["height"], "orientation": "landscape" if info["width"] >= info["height"] else "portrait", "fps": info["fps"], "declared_frames": declared, "decoded_frames": n, "duration_s": (n if n is not None else declared) / info["fps"], "complete_decode": None if n is None else declared <= 0 or n == declared}
+                yield pd.DataFrame([row]).astype({"decoded_frames": "Int64", "complete_decode": "boolean"})
+
+    return binary(spark, path).select("path").mapInPandas(run, "path string, sha256 string, file_size_bytes long, width int, height int, orientation string, fps double, declared_frames long, decoded_frames long, duration_s double, complete_decode boolean")
+
+
+def video_frames(spark: SparkSession, path: str, cfg, decoder: Callable[[str, object], Iterable[tuple[int, float, bytes]]] | None = None, part: int = ranges.PART) -> DataFrame:
+    """path, sequence, source_frame, timestamp_s, filename, jpeg of the frames that the stride and the interval keep.
+
+    Motion-JPEG AVI is read by byte ranges. For other containers ``decoder(path, cfg)`` gives the kept frames as (source frame, seconds, JPEG
+    bytes) in order, in one task a file.
+    """
+    if decoder is None:
+        options = {"target_fps": cfg.target_fps, "start_s": cfg.start_s, "part": part} | ({} if cfg.end_s is None else {"end_s": cfg.end_s})
+        return ranges.register(spark).read.format("panoply_avi").options(**options).load(path)
 
-def video_metadata(spark: SparkSession, path: str, full_decode: bool = False) -> DataFrame:
-    """One row a video. decoded_frames counts the frames in the container if asked for."""
+    def run(batches):
+        for pdf in batches:
+            for p in pdf["path"]:
+                for k, (source, time, jpeg) in enumerate(decoder(p, cfg)):
+                    yield pd.DataFrame([(p, k, source, time, f"frame_{k:05d}_t{time:09.3f}.jpg", jpeg)], columns=["path", "sequence", "source_frame", "timestamp_s", "filename", "jpeg"])
 
-    def parse(p, content):
-        import hashlib
+    return binary(spark, path).select("path").mapInPandas(run, "path string, sequence long, source_frame long, timestamp_s double, filename string, jpeg binary")
 
-        info, frames = avi(content)
-        n = len(frames) if full_decode else None
-        declared = info["declared_frames"]
-        row = {"path": p, "sha256": hashlib.sha256(content).hexdigest(), "file_size_bytes": len(content), "width": info["width"], "height": info["height"], "orientation": "landscape" if info["width"] >= info["height"] else "portrait", "fps": info["fps"], "declared_frames": declared, "decoded_frames": n, "duration_s": (n if n is not None else declared) / info["fps"], "complete_decode": None if n is None else declared <= 0 or n == declared}
-        return pd.DataFrame([row]).astype({"decoded_frames": "Int64", "complete_decode": "boolean"})
 
-    return parsed(binary(spark, path), parse, "path string, sha256 string, file_size_bytes long, width int, height int, orientation string, fps double, declared_frames long, decoded_frames long, duration_s double, complete_decode boolean")
+def jpgs(spark: SparkSession, folder: str) -> DataFrame:
+    """path, name of a folder's JPG files; their content is not read."""
+    return binary(spark, folder, "*.jpg").select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-def video_frames(spark: SparkSession, path: str, cfg) -> DataFrame:
-    """path, sequence, source_frame, timestamp_s, filename, jpeg of the frames that the stride and the interval keep."""
+#: The files of a component's sparse model.
+MODEL_FILES = ("cameras.txt", "images.txt", "points3D.txt")
 
-    def parse(p, content):
-        info, frames = avi(content)
-        fps = info["fps"]
-        stride = max(1, round(fps / cfg.target_fps))
-        first = round(cfg.start_s * fps)
-        end = info["declared_frames"] if cfg.end_s is None else round(cfg.end_s * fps)
-        kept = [i for i in range(len(frames)) if first <= i < end and (i - first) % stride == 0]
-        if not kept:
-            raise ValueError(f"no frames extracted from {p}")
-        rows = [(p, k, i, i / fps, f"frame_{k:05d}_t{i / fps:09.3f}.jpg", frames[i]) for k, i in enumerate(kept)]
-        return pd.DataFrame(rows, columns=["path", "sequence", "source_frame", "timestamp_s", "filename", "jpeg"])
-
-    return parsed(binary(spark, path), parse, "path string, sequence long, source_frame long, timestamp_s double, filename string, jpeg binary")
+
+def bundle(spark: SparkSession, root: str) -> DataFrame:
+    """One row a component that a dense input bundle's manifest names: component, images found, registered_images, missing (or empty) model files, ok.
+
+    A bundle holds manifest.json, and for each component images/*.jpg and sparse/ with the model files.
+    """
+    said = spark.read.option("multiLine", True).schema("components map<string, struct<registered_images: long>>").json(f"{root}/manifest.json")
+    said = said.select(F.explode("components").alias("component", "c")).select("component", F.col("c.registered_images").alias("registered_images"))
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    found = binary(spark, root).select(part(-3).alias("component"), part(-2).alias("folder"), part(-1).alias("name"))
+    g = found.groupBy("component").agg(F.count_if((F.col("folder") == "images") & F.col("name").endswith(".jpg")).alias("images"), F.collect_set(F.when((F.col("folder") == "sparse") & F.col("name").isin(*MODEL_FILES), F.col("name"))).alias("_have"))
+    g = said.join(g, "component", "left")
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, MODEL_FILES)), F.coalesce("_have", F.array().cast("array<string>"))))
+    g = g.select("component", F.coalesce("images", F.lit(0)).alias("images"), "registered_images", missing.alias("missing"))
+    return g.withColumn("ok", (F.col("images") == F.col("registered_images")) & (F.size("missing") == 0))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, sha256 of files, each streamed in one task."""
+
+    def run(batches):
+        for pdf in batches:
+            for p in pdf["path"]:
+                digest = hashlib.sha256()
+                with ranges.opened(p) as f:
+                    size = f.size()
+                    for at in range(0, size, ranges.READ):
+                        digest.update(f.read_at(min(ranges.READ, size - at), at))
+                yield pd.DataFrame([(p, size, digest.hexdigest())], columns=["path", "length", "sha256"])
+
+    return binary(spark, path).select("path").mapInPandas(run, "path string, length long, sha256 string")

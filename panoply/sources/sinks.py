@@ -1,4 +1,8 @@
-"""File sinks: reports, lists, clouds, pictures, and the match database's transaction."""
+"""File sinks: reports, lists, clouds, meshes, pictures, and the match database's transaction.
+
+Rows are written side by side into the shared folder and then joined in order into the one file that readers expect; the joining
+streams bytes through Spark's file system and holds none of them.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,22 @@ import sqlite3
 import struct
 import uuid
 import zlib
+from itertools import batched
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequence import numbered
+from ..session import shared_path
+from .ranges import FACE, PROPERTIES, VERTEX
+
+#: Pair ids that are deleted at once.
+DELETED_AT_ONCE = 10_000
+
 
 def _fs(spark: SparkSession, uri: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(uri)
@@ -34,6 +48,56 @@ def write_bytes(spark: SparkSession, uri: str, data: bytes) -> None:
     out.close()
 
 
+def joined(spark: SparkSession, uri: str, *parts: bytes | str) -> None:
+    """One file of these bytes and, in order of their names, the files of these folders. It appears whole, under its name, at the end."""
+    fs, target = _fs(spark, uri)
+    temporary = f"{uri}.{uuid.uuid4().hex[:8]}"
+    _, path = _fs(spark, temporary)
+    out = fs.create(path, True)
+    for part in parts:
+        if isinstance(part, bytes):
+            out.write(bytearray(part))
+            continue
+        source, folder = _fs(spark, part)
+        for name in sorted(s.getPath().toString() for s in source.listStatus(folder) if s.getPath().getName().startswith("part-")):
+            held = source.open(_fs(spark, name)[1])
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 65536, False)
+            held.close()
+        source.delete(folder, True)
+    out.close()
+    fs.delete(target, True)
+    if not fs.rename(path, target):
+        raise OSError(f"{temporary} can't be renamed to {uri}")
+
+
+def _lines(df: DataFrame, order: list, line) -> str:
+    """A folder with one line a row, in order over its files."""
+    folder = shared_path(df.sparkSession, "lines")
+    df.orderBy(*order).select(line.alias("value")).write.text(folder)
+    return folder
+
+
+def _packed(df: DataFrame, order: list[str], dtype: np.dtype, pack) -> str:
+    """A folder with the bytes that ``pack(pandas rows)`` makes of ordered rows."""
+    from pyarrow import fs
+
+    folder = shared_path(df.sparkSession, "packed")
+    store, root = (fs.LocalFileSystem(), folder.removeprefix("file://")) if folder.startswith("file:") else fs.FileSystem.from_uri(folder)
+
+    def run(batches):
+        store.create_dir(root, recursive=True)
+        name, n = f"{root}/part-{TaskContext.get().partitionId():06d}", 0
+        with store.open_output_stream(part := f"{root}/.{uuid.uuid4().hex}") as out:
+            for pdf in batches:
+                out.write(np.ascontiguousarray(pack(pdf), dtype).tobytes())
+                n += len(pdf)
+        store.move(part, name)
+        yield pd.DataFrame({"n": [n]})
+
+    df.orderBy(*order).mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def image_files(df: DataFrame, folder: str, name: str, content: str) -> None:
     """One file a row, written where the row is, under a name of the attempt first: a repeated task leaves whole files."""
     from pyarrow import fs
@@ -51,17 +115,21 @@ def image_files(df: DataFrame, folder: str, name: str, content: str) -> None:
     df.select(name, content).foreachPartition(put)
 
 
-def csv(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(folder)
+def csv(df: DataFrame, uri: str, order: list[str]) -> None:
+    """One file with a header line, rows in order."""
+    spark = df.sparkSession
+    folder = shared_path(spark, "csv")
+    df.orderBy(*order).write.csv(folder)
+    joined(spark, uri, (",".join(df.columns) + "\n").encode(), folder)
 
 
-def image_list(df: DataFrame, folder: str, name: str = "filename", order: str = "filename") -> None:
-    """One name a line in order; a single file, as its reader expects."""
-    df.orderBy(order).select(name).coalesce(1).write.mode("overwrite").text(folder)
+def image_list(df: DataFrame, uri: str, name: str = "filename", order: list[str] | None = None) -> None:
+    """One name a line, in order."""
+    joined(df.sparkSession, uri, _lines(df, order or [name], F.col(name)))
 
 
-def pair_list(df: DataFrame, folder: str, a: str = "a", b: str = "b") -> None:
-    df.orderBy(a, b).select(F.concat_ws(" ", a, b).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+def pair_list(df: DataFrame, uri: str, a: str = "a", b: str = "b", order: list[str] | None = None) -> None:
+    joined(df.sparkSession, uri, _lines(df, order or [a, b], F.concat_ws(" ", a, b)))
 
 
 def json_report(spark: SparkSession, report: DataFrame, uri: str) -> dict:
@@ -71,13 +139,64 @@ def json_report(spark: SparkSession, report: DataFrame, uri: str) -> dict:
     return row
 
 
-def ascii_ply(points: DataFrame, folder: str, order: str) -> None:
-    """x, y, z, red, green, blue as ASCII PLY: the header file sorts before the ordered lines' files."""
-    spark = points.sparkSession
+def ascii_ply(points: DataFrame, uri: str, order: list[str]) -> None:
+    """x, y, z, red, green, blue as ASCII PLY."""
     head = ["ply", "format ascii 1.0", f"element vertex {points.count()}", *[f"property float {a}" for a in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue")], "end_header"]
     line = F.format_string("%.9f %.9f %.9f %d %d %d", "x", "y", "z", "red", "green", "blue")
-    points.orderBy(order).select(line.alias("value")).write.mode("overwrite").text(folder)
-    write_bytes(spark, f"{folder}/header.ply", ("\n".join(head) + "\n").encode())
+    joined(points.sparkSession, uri, ("\n".join(head) + "\n").encode(), _lines(points, order, line))
+
+
+def _placed(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices with their place from 0 in the order of vid, and triangles that name places."""
+    v = numbered(vertices.select("vid", "x", "y", "z"), [], ["vid"], "place")
+    t = triangles.select("fid", "a", "b", "c")
+    for k in "abc":
+        t = t.join(v.select(F.col("vid").alias(k), F.col("place").alias(f"_{k}")), k)
+    return v, t.select("fid", *[F.col(f"_{k}").alias(k) for k in "abc"])
+
+
+def mesh_ply(vertices: DataFrame, triangles: DataFrame, uri: str) -> None:
+    """The binary little-endian mesh that files.ply_vertices() and ply_triangles() read: double places, zero normals, grey."""
+    v, t = _placed(vertices, triangles)
+
+    def points(pdf):
+        out = np.zeros(len(pdf), VERTEX)
+        out["xyz"], out["rgb"] = pdf[["x", "y", "z"]].to_numpy(), 128
+        return out
+
+    def faces(pdf):
+        out = np.full(len(pdf), 3, FACE)
+        out["abc"] = pdf[["a", "b", "c"]].to_numpy()
+        return out
+
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {v.count()}", *PROPERTIES[:-1], f"element face {t.count()}", PROPERTIES[-1], "end_header"]
+    joined(v.sparkSession, uri, ("\n".join(head) + "\n").encode("ascii"), _packed(v, ["place"], VERTEX, points), _packed(t, ["fid"], FACE, faces))
+
+
+def mesh_obj(vertices: DataFrame, triangles: DataFrame, uri: str) -> None:
+    """Wavefront OBJ: vertex lines, then face lines that count vertices from 1."""
+    v, t = _placed(vertices, triangles)
+    corners = _lines(v, ["place"], F.format_string("v %.9f %.9f %.9f", "x", "y", "z"))
+    joined(v.sparkSession, uri, corners, _lines(t, ["fid"], F.format_string("f %d %d %d", *[F.col(k) + 1 for k in "abc"])))
+
+
+def mesh_glb(vertices: DataFrame, triangles: DataFrame, uri: str) -> None:
+    """Binary glTF 2.0: one mesh of single-precision places and 32-bit indices."""
+    v, t = _placed(vertices, triangles)
+    n, m = v.count(), 3 * t.count()
+    box = v.agg(*[f(a).alias(f"{k}{a}") for k, f in (("low", F.min), ("high", F.max)) for a in "xyz"]).first()
+    edge = lambda k: [float(np.float32(box[f"{k}{a}"])) for a in "xyz"]
+    # Fixed values of the format: component types (5126 single, 5125 unsigned), buffer targets (34962 vertices, 34963 indices), chunk names.
+    scene = {
+        "asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}],
+        "buffers": [{"byteLength": 12 * n + 4 * m}], "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": 12 * n, "target": 34962}, {"buffer": 0, "byteOffset": 12 * n, "byteLength": 4 * m, "target": 34963}],
+        "accessors": [{"bufferView": 0, "componentType": 5126, "count": n, "type": "VEC3", "min": edge("low"), "max": edge("high")}, {"bufferView": 1, "componentType": 5125, "count": m, "type": "SCALAR"}],
+    }
+    text = json.dumps(scene, separators=(",", ":")).encode()
+    text += b" " * (-len(text) % 4)
+    head = b"glTF" + struct.pack("<2I", 2, 12 + 8 + len(text) + 8 + 12 * n + 4 * m) + struct.pack("<I", len(text)) + b"JSON" + text + struct.pack("<I", 12 * n + 4 * m) + b"BIN\0"
+    places = _packed(v, ["place"], np.dtype("<f4"), lambda pdf: pdf[["x", "y", "z"]].to_numpy())
+    joined(v.sparkSession, uri, head, places, _packed(t, ["fid"], np.dtype("<u4"), lambda pdf: pdf[["a", "b", "c"]].to_numpy()))
 
 
 def png(rgb: np.ndarray) -> bytes:
@@ -88,22 +207,59 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def projection(points: np.ndarray, colours: np.ndarray, size: int = 640, margin: int = 20) -> np.ndarray:
-    """Points on the plane of their first two principal axes; the last one on a pixel stays."""
-    c = points - points.mean(axis=0)
-    axes = np.linalg.svd(c, full_matrices=False)[2][:2] if len(points) > 1 else np.eye(2, 3)
-    flat = c @ axes.T
-    span = max(float(np.ptp(flat, axis=0).max()), 1e-12)
-    xy = ((flat - flat.min(axis=0)) / span * (size - 2 * margin - 1) + margin).astype(int)
-    out = np.full((size, size, 3), 255, np.uint8)
-    out[size - 1 - xy[:, 1], xy[:, 0]] = colours
+def raster(points: DataFrame, colours: list[str], order: str, width: int, height: int, margin: int = 80) -> DataFrame:
+    """px, py and the colours of a picture's pixels: points (x, y, z) on the plane of their first two principal axes, to one scale; of several on a pixel the last in order stays.
+
+    Axes come from the second moments and the frame from the projected box, so the points stay where they are and at most
+    width x height rows come out.
+    """
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    m = points.agg(*[F.avg(a).alias(a) for a in "xyz"], *[F.covar_pop(a, b).alias(a + b) for a, b in pairs], F.count("*").alias("n")).first()
+    if not m["n"]:
+        return points.select(F.lit(0).alias("px"), F.lit(0).alias("py"), *colours, F.col(order).alias("order"))
+    square = np.array([[m["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
+    axes = np.linalg.eigh(square)[1][:, ::-1]
+    along = lambda k: sum((F.lit(float(axes[i, k])) * (F.col(a) - m[a]) for i, a in enumerate("xyz")), F.lit(0.0))
+    flat = points.select(along(0).alias("_u"), along(1).alias("_v"), *colours, order)
+    b = flat.agg(F.min("_u").alias("u0"), F.max("_u").alias("u1"), F.min("_v").alias("v0"), F.max("_v").alias("v1")).first()
+    scale = min((width - 2 * margin) / max(b["u1"] - b["u0"], 1e-12), (height - 2 * margin) / max(b["v1"] - b["v0"], 1e-12))
+    pixel = lambda c, start, most: F.greatest(F.lit(0), F.least(F.lit(most - 1), F.rint(start + c * scale))).cast("int")
+    px, py = pixel(F.col("_u") - b["u0"], F.lit(float(margin)), width), pixel(-(F.col("_v") - b["v0"]), F.lit(float(height - margin)), height)
+    return flat.groupBy(px.alias("px"), py.alias("py")).agg(F.max_by(F.struct(*colours), order).alias("_c"), F.max(order).alias("_o")).select("px", "py", *[F.col(f"_c.{c}").alias(c) for c in colours], F.col("_o").alias("order"))
+
+
+def canvas(pixels: DataFrame, width: int, height: int, background: int, path: tuple | None = None) -> np.ndarray:
+    """The picture of raster()'s pixels on a plain ground; with ``path``, (line colour, start colour, end colour), they are joined in order and the ends marked."""
+    rows = pixels.orderBy("order").toPandas()
+    out = np.full((height, width, 3), background, np.uint8)
+    x, y = rows["px"].to_numpy(), rows["py"].to_numpy()
+    if not path:
+        out[y, x] = rows[["red", "green", "blue"]].to_numpy()
+        return out
+    line, start, end = path
+    for k in range(len(x) - 1):
+        n = int(max(abs(x[k + 1] - x[k]), abs(y[k + 1] - y[k]), 1)) + 1
+        xs, ys = np.rint(np.linspace(x[k], x[k + 1], n)).astype(int), np.rint(np.linspace(y[k], y[k + 1], n)).astype(int)
+        for d in (-1, 0, 1):
+            out[np.clip(ys + d, 0, height - 1), xs] = out[ys, np.clip(xs + d, 0, width - 1)] = line
+    rows_at, columns_at = np.mgrid[:height, :width]
+    for k, colour in ((0, start), (-1, end)) if len(x) else ():
+        out[(columns_at - x[k]) ** 2 + (rows_at - y[k]) ** 2 <= 100] = colour
     return out
 
 
 def delete_pairs(database: str | Path, pairs: DataFrame) -> dict:
-    """Deletes planned pairs from a local match database in one transaction; the plan itself is small and sorted."""
-    ids = [(r["pair_id"],) for r in pairs.select("pair_id").distinct().orderBy("pair_id").toLocalIterator()]
-    with sqlite3.connect(database) as db:
-        counts = {t: sum(db.execute(f"DELETE FROM {t} WHERE pair_id = ?", i).rowcount for i in ids) for t in ("matches", "two_view_geometries")}
-    check = sqlite3.connect(database).execute("PRAGMA integrity_check").fetchone()[0]
-    return {"planned": len(ids), "matches_removed": counts["matches"], "geometries_removed": counts["two_view_geometries"], "integrity": check}
+    """Deletes planned pairs from a local match database in one transaction. The plan streams through the driver, a partition at a time."""
+    ids = pairs.select("pair_id").distinct().orderBy("pair_id")
+    tables, planned = {"matches": 0, "two_view_geometries": 0}, 0
+    db = sqlite3.connect(database)
+    with db:
+        for some in batched((r["pair_id"] for r in ids.toLocalIterator()), DELETED_AT_ONCE):
+            planned += len(some)
+            for t in tables:
+                before = db.total_changes
+                db.executemany(f"DELETE FROM {t} WHERE pair_id = ?", [(i,) for i in some])
+                tables[t] += db.total_changes - before
+    check = db.execute("PRAGMA integrity_check").fetchone()[0]
+    db.close()
+    return {"planned": planned, "matches_removed": tables["matches"], "geometries_removed": tables["two_view_geometries"], "integrity": check}

@@ -12,7 +12,7 @@ from panoply.functions import kernels as K
 from panoply.operators import clouds, keyframes, sequence
 from panoply.plans.stitch import calibrate, rotation, stitch
 from panoply.schemas import KeyframeConfig
-from panoply.sources import files, sinks
+from panoply.sources import files, ranges, sinks
 
 F, CX, CY = 400.0, 300.0, 200.0
 
@@ -112,7 +112,11 @@ def test_select_keyframes_from_pictures(spark, tmp_path, still):
         (tmp_path / "in" / f"frame_{i:05d}_t{i * 0.2:09.3f}.png").write_bytes(sinks.png(image))
     r = cli.main(["select-keyframes", "--frames-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out"), "--max-interval-s", "1.0", "--target-motion-ratio", "0.005", "--min-features", "5"], spark)
     assert 2 <= r["selected_keyframes"] < 12 and r["coverage_fraction"] == 1.0 and r["max_selected_gap_s"] <= 1.2
-    assert ("selected_max_gap_fallback" in r["reasons"]) == still
+    assert {"first_frame", "last_frame"}.isdisjoint(r["rejections"]) and sum(r["rejections"].values()) == 12 - r["selected_keyframes"]
+    assert r["quality"]["candidate_sharpness"]["maximum"] >= r["quality"]["selected_sharpness"]["median"] and len(r["bins"]) == r["total_bins"] and r["config"]["max_interval_s"] == 1.0
+    assert ("selected_max_gap_fallback" in (tmp_path / "out" / "keyframes.csv").read_text()) == still
+    listed = (tmp_path / "out" / "image_list.txt").read_text().splitlines()
+    assert len(listed) == r["selected_keyframes"] and listed[0] == "frame_00000_t00000.000.png" and all((tmp_path / "in" / n).exists() for n in listed)
     names = sorted(p.name for p in (tmp_path / "out" / "frames").iterdir() if p.suffix == ".png")
     assert len(names) == r["selected_keyframes"] and names[0] == "frame_00000_source_00000_t00000.000.png"
     with pytest.raises(FileExistsError):
@@ -140,6 +144,8 @@ def test_video_commands(spark, tmp_path):
     r = cli.main(["extract-frames", "--video", str(tmp_path / "v.avi"), "--output-dir", str(tmp_path / "out"), "--target-fps", "2"], spark)
     assert (r["frames"], r["stride"], r["achieved_fps"]) == (4, 5, pytest.approx(2.0)) and r["sharpness"]["minimum"] > 0
     assert len([p for p in (tmp_path / "out" / "frames").iterdir() if p.suffix == ".jpg"]) == 4
+    lines = (tmp_path / "out" / "frames.csv").read_text().splitlines()
+    assert lines[0] == "sequence,source_frame,timestamp_s,sharpness,brightness_mean,filename" and [x.split(",")[1] for x in lines[1:]] == ["0", "5", "10", "15"]
 
 
 def test_report_commands(spark, tmp_path):
@@ -152,6 +158,8 @@ def test_report_commands(spark, tmp_path):
     (tmp_path / "images.txt").write_text("\n".join(f"{i} 1 0 0 0 {x} 0 0 1 {i:06d}.jpg\n" for i, x in enumerate((0, -1, 0))) + "\n")
     r = cli.main(["trajectory-report", "--images-txt", str(tmp_path / "images.txt"), "--output-dir", str(tmp_path / "t"), "--expected-images", "3"], spark)
     assert r["path_length_units"] == 2.0 and all(r["gates"].values())
+    assert (tmp_path / "t" / "trajectory.ply").read_text().splitlines()[:3] == ["ply", "format ascii 1.0", "element vertex 3"] and (tmp_path / "t" / "trajectory.png").read_bytes()[:4] == b"\x89PNG"
+    assert (tmp_path / "t" / "trajectory.csv").read_text().splitlines()[0] == "image_id,image_name,cx,cy,cz"
     (tmp_path / "logs").mkdir()
     for name, n in (("0.txt", 5), ("1.txt", 812), ("2.txt", 812)):
         (tmp_path / "logs" / name).write_text(f"Registered images: {n}\nPoints: 3\n")
@@ -170,16 +178,41 @@ def test_rematch_commands(spark, tmp_path):
         c.execute("insert into two_view_geometries values (?)", (2147483647 + 3,))
     args = ["--database", str(db), "--pair-list", str(tmp_path / "p"), "--report", str(tmp_path / "r.json")]
     r = cli.main(["prepare-cross-rematch", *args, "--first-start-frame", "10", "--first-end-frame", "11", "--second-start-frame", "20", "--second-end-frame", "21"], spark)
-    assert r == {"planned": 4, "matches_removed": 1, "geometries_removed": 1, "integrity": "ok"}
+    assert (r["planned"], r["matches_removed"], r["geometries_removed"], r["integrity"]) == (4, 1, 1, "ok") and (r["first_images"], r["second_images"], r["second_end_frame"]) == (2, 2, 21)
     r = cli.main(["prepare-targeted-rematch", *args, "--start-frame", "10", "--end-frame", "20", "--overlap", "2"], spark)
-    assert r["planned"] == 1 and spark.read.text(str(tmp_path / "p")).first().value == "frame_00010_t0.jpg frame_00011_t0.jpg"
+    assert (r["planned"], r["selected_images"], r["overlap"]) == (1, 3, 2) and (tmp_path / "p").is_file() and spark.read.text(str(tmp_path / "p")).first().value == "frame_00010_t0.jpg frame_00011_t0.jpg"
 
 
 def test_mesh_command(spark, tmp_path):
     t = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], float)
     faces = np.array([[0, 1, 2], [0, 1, 3], [0, 2, 3], [1, 2, 3]])
-    head = "\n".join(["ply", "format binary_little_endian 1.0", "element vertex 8", "element face 8", *files.PROPERTIES, "end_header"]) + "\n"
+    head = "\n".join(["ply", "format binary_little_endian 1.0", "element vertex 8", "element face 8", *ranges.PROPERTIES, "end_header"]) + "\n"
     body = b"".join(struct.pack("<6d3B", *p, 0, 0, 1, 1, 2, 3) for p in np.vstack([t, t + [10, 0, 0]])) + b"".join(struct.pack("<B3I", 3, *f) for f in np.vstack([faces, faces + 4]))
     (tmp_path / "m.ply").write_bytes(head.encode() + body)
     r = cli.main(["dense-qa", "--mesh-ply", str(tmp_path / "m.ply"), "--output-dir", str(tmp_path / "o")], spark)
-    assert r["watertight"] and r["sampled_component_gap_m"] == 9.0 and [c["vertices"] for c in r["components"]] == [4, 4]
+    assert r["watertight"] and r["largest_two_sampled_gap_m"] == 9.0 and r["largest_two_centroid_distance_m"] == 10.0 and r["surface_area"] == pytest.approx(2 * (1.5 + 3**0.5 / 2)) and (r["vertices"], r["second_component_fraction"]) == (8, 0.5)
+    assert (tmp_path / "o" / "dense_components.png").read_bytes()[:4] == b"\x89PNG" and r["components"][0]["extent_x"] == 1.0 and r and [c["vertices"] for c in r["components"]] == [4, 4]
+
+
+def test_sparse_plan_and_bundle_commands(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    for i in range(5):
+        (tmp_path / "img" / f"frame_{i:03d}.jpg").write_bytes(b"x")
+    r = cli.main(["plan-sparse", "--images-dir", str(tmp_path / "img"), "--workspace", str(tmp_path / "w"), "--loop-anchor-window", "2"], spark)
+    assert (r["images"], r["loop_pairs"], [c["stage"] for c in r["commands"]]) == (5, 4, ["feature_extractor", "sequential_matcher", "loop_pairs", "mapper"])
+    assert (tmp_path / "w" / "loop_pairs.txt").read_text() == "frame_000.jpg frame_003.jpg\nframe_000.jpg frame_004.jpg\nframe_001.jpg frame_003.jpg\nframe_001.jpg frame_004.jpg\n"
+    with pytest.raises(FileExistsError):
+        cli.main(["plan-sparse", "--images-dir", str(tmp_path / "img"), "--workspace", str(tmp_path / "w")], spark)
+    with sqlite3.connect(tmp_path / "m.db") as c:
+        c.execute("create table images(image_id integer primary key, name text)")
+        c.execute("insert into images values (1, 'a.jpg')")
+    with pytest.raises(ValueError, match="images"):
+        cli.main(["plan-sparse", "--images-dir", str(tmp_path / "img"), "--workspace", str(tmp_path / "w2"), "--matched-database", str(tmp_path / "m.db")], spark)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "manifest.json").write_text(json.dumps({"components": {"main": {"registered_images": 1}}}))
+    with pytest.raises(ValueError, match="not whole"):
+        cli.main(["check-bundle", "--bundle-dir", str(tmp_path / "b"), "--output", str(tmp_path / "r.json")], spark)
+    rows = [("main", float(i % 7), float(i % 5), 0.0) for i in range(35)]
+    spark.createDataFrame(rows, "component string, x double, y double, z double").write.parquet(f"{tmp_path}/clouds")
+    r = cli.main(["dense-summary", "--clouds", f"{tmp_path}/clouds", "--output-dir", str(tmp_path / "d"), "--voxel-size-m", "0.5", "--neighbours", "4"], spark)
+    assert r["components"][0]["voxel_points"] == 35 and (tmp_path / "d" / "dense.ply").read_text().splitlines()[2] == f"element vertex {r['dense_points']}"

@@ -10,12 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panoply.functions import calibration as C
 from panoply.functions import exprs as X
 from panoply.functions import kernels as K
 from panoply.operators import clouds, keyframes, mesh, pairs, sequence, trajectory
 from panoply.plans.queries import QUERIES, SQL
 from panoply.schemas import ExtractionConfig, KeyframeConfig, Manifest, MetricReference
-from panoply.sources import files, sinks
+from panoply.sources import files, ranges, sinks
 from panoply.streaming import keyframes as stream
 
 DATA = "/root/testdata/sf0.001"
@@ -75,7 +76,7 @@ def test_pose_files_and_trajectory(spark, tmp_path):
     assert (r.registered_images, r.path_length_units, r.position_closure_error_percent, r.largest_frame_index_gap) == (3, 2.0, 0.0, 4)
     assert all(r.gates.values())
     assert [(o.u, o.v, o.point3d_id) for o in files.observations(spark, str(tmp_path)).collect()] == [(0.0, 0.0, -1), (1.0, 2.0, 5)]
-    with pytest.raises(Exception, match="two registered"):
+    with pytest.raises(Exception, match="two poses"):
         trajectory.report(p.limit(1)).collect()
     (tmp_path / "images.txt").write_text("1 2 3\n")
     with pytest.raises(Exception, match="ten fields"):
@@ -90,18 +91,117 @@ def two_tetrahedra():
 
 def test_mesh_file_and_report(spark, tmp_path):
     v, f = two_tetrahedra()
-    head = "\n".join(["ply", "format binary_little_endian 1.0", "element vertex 8", "element face 8", *files.PROPERTIES, "end_header"]) + "\n"
+    head = "\n".join(["ply", "format binary_little_endian 1.0", "element vertex 8", "element face 8", *ranges.PROPERTIES, "end_header"]) + "\n"
     body = b"".join(struct.pack("<6d3B", *p, 0, 0, 1, 1, 2, 3) for p in v) + b"".join(struct.pack("<B3I", 3, *t) for t in f)
     (tmp_path / "m.ply").write_bytes(head.encode() + body)
     vs, ts = files.ply_vertices(spark, f"{tmp_path}/m.ply"), files.ply_triangles(spark, f"{tmp_path}/m.ply")
     labels = mesh.roots(vs, ts)
-    table = mesh.component_table(vs, ts, labels)
+    areas = mesh.triangle_areas(vs, ts)
+    table = mesh.component_table(vs, areas, labels)
     assert [(r.rank, r.vertices, r.vertex_fraction) for r in table.orderBy("rank").collect()] == [(1, 4, 0.5), (2, 4, 0.5)]
     assert mesh.sampled_gap(vs, labels, table).first().gap == 9.0
-    g = mesh.gates(table, mesh.triangle_areas(vs, ts), mesh.edge_summary(ts)).first()
+    g = mesh.gates(table, areas, mesh.edge_summary(ts)).first()
     assert g.watertight and not g.single_dominant_component_at_least_95_percent and g.no_degenerate_triangles
-    with pytest.raises(ValueError, match="early"):
-        files.ply_arrays(head.encode() + body[:-1])
+    assert [tuple(r) for r in files.ply_vertices(spark, f"{tmp_path}/m.ply", part=120).orderBy("vid").collect()] == [(i, *p) for i, p in enumerate(v.tolist())]
+    assert files.ply_vertices(spark, f"{tmp_path}/m.ply", part=120).rdd.getNumPartitions() == 4
+    for wrong, what in ((body[:-1], "early"), (body[:-4] + struct.pack("<I", 8), "absent"), (struct.pack("<d", np.nan) + body[8:], "finite"), (body[: 8 * 51] + b"\x04" + body[8 * 51 + 1 :], "triangles")):
+        (tmp_path / "m.ply").write_bytes(head.encode() + wrong)
+        with pytest.raises(Exception, match=what):
+            files.ply_vertices(spark, f"{tmp_path}/m.ply").collect(), files.ply_triangles(spark, f"{tmp_path}/m.ply").collect()
+
+
+def test_mesh_files_in_three_formats(spark, tmp_path):
+    v, f = two_tetrahedra()
+    vs = spark.createDataFrame([(10 * i, *p) for i, p in enumerate(v.tolist())], "vid long, x double, y double, z double").repartition(3)
+    ts = spark.createDataFrame([(i, *(10 * k for k in t)) for i, t in enumerate(f.tolist())], "fid long, a long, b long, c long").repartition(2)
+    sinks.mesh_ply(vs, ts, f"{tmp_path}/m.ply")
+    assert [tuple(r) for r in files.ply_vertices(spark, f"{tmp_path}/m.ply").orderBy("vid").collect()] == [(i, *p) for i, p in enumerate(v.tolist())]
+    assert [tuple(r) for r in files.ply_triangles(spark, f"{tmp_path}/m.ply").orderBy("fid").collect()] == [(i, *t) for i, t in enumerate(f.tolist())]
+    sinks.mesh_obj(vs, ts, f"{tmp_path}/m.obj")
+    lines = (tmp_path / "m.obj").read_text().splitlines()
+    assert len(lines) == 16 and lines[0] == "v 0.000000000 0.000000000 0.000000000" and lines[8] == "f 1 2 3" and lines[-1] == "f 6 7 8"
+    sinks.mesh_glb(vs, ts, f"{tmp_path}/m.glb")
+    data = (tmp_path / "m.glb").read_bytes()
+    magic, version, size, n = struct.unpack_from("<4s3I", data)
+    scene = json.loads(data[20 : 20 + n])
+    assert (magic, version, size) == (b"glTF", 2, len(data)) and scene["accessors"][0]["max"] == [11.0, 1.0, 1.0]
+    body = data[28 + n :]
+    assert np.allclose(np.frombuffer(body[: 12 * 8], "<f4").reshape(8, 3), v) and (np.frombuffer(body[12 * 8 :], "<u4").reshape(8, 3) == f).all()
+
+
+def test_many_meshes_and_clouds_at_once(spark):
+    v, f = two_tetrahedra()
+    vs = spark.createDataFrame([(d, i, *(s * x for x in p)) for d, s in (("p", 1.0), ("q", 2.0)) for i, p in enumerate(v.tolist())], "d string, vid long, x double, y double, z double")
+    ts = spark.createDataFrame([(d, i, *t) for d, n in (("p", 8), ("q", 4)) for i, t in enumerate(f.tolist()[:n])], "d string, fid long, a long, b long, c long")
+    areas, labels = mesh.triangle_areas(vs, ts, ["d"]), mesh.roots(vs, ts, ["d"])
+    table = mesh.component_table(vs, areas, labels, ["d"])
+    got = {(r.d, r["rank"]): (r.root, r.vertices, r.triangles, r.vertex_fraction) for r in table.collect()}
+    assert got[("p", 1)] == (0, 4, 4, 0.5) and got[("p", 2)] == (4, 4, 4, 0.5) and got[("q", 1)] == (0, 4, 4, 0.5) and len(got) == 7 and got[("q", 5)] == (7, 1, 0, 0.125)
+    assert {r.d: r.gap for r in mesh.sampled_gap(vs, labels, table, by=["d"]).collect()} == {"p": 9.0, "q": 18.0}
+    assert {r.d: r.watertight for r in mesh.gates(table, areas, mesh.edge_summary(ts, ["d"]), ["d"]).collect()} == {"p": True, "q": True}
+    points = vs.withColumnRenamed("vid", "id")
+    near = clouds.nearest(points.where("id = 0"), points.where("id > 0"), "id", 0.5, ["d"])
+    assert {r.d: r.nearest for r in near.collect()} == {"p": 1.0, "q": 2.0}
+
+
+def test_large_component_is_sampled_evenly(spark, monkeypatch):
+    line = spark.range(9000).selectExpr("id as vid", "double(id) as x", "0D as y", "0D as z")
+    far = spark.range(3).selectExpr("id + 9000 as vid", "double(id) + 9500 as x", "0D as y", "0D as z")
+    labels = line.union(far).selectExpr("vid", "if(vid < 9000, 0, 9000) as root")
+    table = spark.createDataFrame([(0, 1), (9000, 2)], "root int, rank int")
+    places = {j * 8999 // 3999 for j in range(4000)}
+    assert mesh.sampled_gap(line.union(far), labels, table).first().gap == 9500 - max(places)
+    monkeypatch.setattr(mesh, "RANKED_IN_PLACE", 0)
+    ts = spark.createDataFrame([(0, 0, 1, 2), (1, 5, 6, 7)], "fid long, a long, b long, c long")
+    t = mesh.component_table(line, mesh.triangle_areas(line, ts), mesh.roots(line, ts))
+    assert [(r["rank"], r.root, r.vertices) for r in t.orderBy("rank").limit(3).collect()] == [(1, 0, 3), (2, 5, 3), (3, 3, 1)]
+
+
+def test_bundle_and_sparse_plan(spark, tmp_path):
+    from panoply.plans import sparse
+
+    for name, n in (("main", 3), ("side", 2)):
+        (tmp_path / name / "images").mkdir(parents=True)
+        (tmp_path / name / "sparse").mkdir()
+        for i in range(n):
+            (tmp_path / name / "images" / f"frame_{i:03d}.jpg").write_bytes(b"x")
+        for x in files.MODEL_FILES if name == "main" else files.MODEL_FILES[:2]:
+            (tmp_path / name / "sparse" / x).write_text("# x\n")
+    (tmp_path / "manifest.json").write_text(json.dumps({"components": {"main": {"registered_images": 3}, "side": {"registered_images": 3}, "gone": {"registered_images": 1}}}))
+    got = {r.component: (r.images, list(r.missing), r.ok) for r in files.bundle(spark, str(tmp_path)).collect()}
+    assert got == {"main": (3, [], True), "side": (2, ["points3D.txt"], False), "gone": (0, sorted(files.MODEL_FILES), False)}
+    plan = sparse.commands(spark, "/w", sparse.SparseConfig(mapper_profile="fast", use_gpu=True)).orderBy("place").collect()
+    assert [r.stage for r in plan] == ["feature_extractor", "sequential_matcher", "loop_pairs", "mapper"]
+    assert plan[0].argv[:4] == ["colmap", "feature_extractor", "--database_path", "/w/database.db"] and plan[3].argv[-2:] == ["--Mapper.ba_global_max_refinements", "2"]
+    assert plan[1].argv[plan[1].argv.index("--SiftMatching.use_gpu") + 1] == "1" and len(sparse.commands(spark, "/w", sparse.SparseConfig(), reuse=True).collect()) == 1
+    assert [tuple(r) for r in sparse.loop_plan(spark, f"{tmp_path}/main/images", 10).collect()] == [("frame_000.jpg", "frame_002.jpg")]
+    for wrong in ({"mapper_profile": "slow"}, {"camera_model": " "}, {"min_num_matches": 0}):
+        with pytest.raises(ValueError):
+            sparse.SparseConfig(**wrong)
+    assert {r.path.rsplit("/", 1)[1]: r.length for r in files.digests(spark, f"{tmp_path}/main/images").collect()} == {f"frame_{i:03d}.jpg": 1 for i in range(3)}
+
+
+def test_dense_clouds_are_cleaned_and_fused(spark):
+    rng = np.random.default_rng(7)
+    rows = [(c, *(rng.uniform(0, 1, 3) + o).tolist()) for c, o in (("main", 0.0), ("secondary", 0.5)) for _ in range(400)] + [("main", 50.0, 0.0, 0.0)]
+    fused, summary = clouds.dense_summary(spark.createDataFrame(rows, "component string, x double, y double, z double"), "voxel", 0.1, 10, 2.5)
+    got = {r.component: r for r in summary.collect()}
+    cells = {c: {tuple(np.floor(np.array(r[1:]) / 0.1)) for r in rows if r[0] == c} for c in ("main", "secondary")}
+    assert got["main"].input_points == 401 and got["main"].voxel_points == len(cells["main"]) and got["main"].max_x < 2
+    assert 0 < fused.count() <= got["main"].clean_points + got["secondary"].clean_points
+
+
+def test_scale_checks_are_validated(spark):
+    for bad in ((" ", 1.0, 1.0), ("door", 0.0, 1.0), ("door", 1.0, -1.0), (None, 1.0, 1.0)):
+        with pytest.raises(Exception, match="name|length"):
+            clouds.valid_checks(spark.createDataFrame([(0, *bad)], "k int, name string, actual_m double, units double")).collect()
+
+
+def test_session_gaps(spark):
+    rows = [(1, f"2024-01-01 00:{m:02d}:00") for m in (0, 4, 20, 23, 59)] + [(2, "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "k int, t string").selectExpr("k", "timestamp(t) as t")
+    got = sorted((r.k, str(r.start)[14:16], r.rows) for r in sequence.session_gaps(df, ["k"], "t", "5 minutes").collect())
+    assert got == [(1, "00", 2), (1, "20", 2), (1, "59", 1), (2, "00", 1)]
 
 
 def test_coverage_counts_boundaries_twice(spark):
@@ -145,7 +245,16 @@ def test_logs_points_cameras_and_reports(spark, tmp_path):
     assert got == {"a": 1, "b": None} and json.loads((tmp_path / "r.json").read_text()) == got
     with pytest.raises(FileExistsError):
         sinks.refuse_non_empty(spark, f"file://{tmp_path}")
-    assert sinks.png(sinks.projection(np.random.default_rng(1).standard_normal((50, 3)), np.zeros((50, 3)))).startswith(b"\x89PNG")
+    cloud = np.random.default_rng(1).standard_normal((300, 3)) * (9, 3, 0.1)
+    df = spark.createDataFrame([(i, *p, 10, 20, i % 250) for i, p in enumerate(cloud.tolist())], "i long, x double, y double, z double, red int, green int, blue int")
+    pixels = sinks.raster(df, ["red", "green", "blue"], "i", 120, 80, 10)
+    u = (cloud - cloud.mean(0)) @ np.linalg.svd(cloud - cloud.mean(0), full_matrices=False)[2][:2].T
+    scale = min(100 / np.ptp(u[:, 0]), 60 / np.ptp(u[:, 1]))
+    want = [{tuple(q) for q in np.rint(np.column_stack([10 + (sx * u[:, 0] - (sx * u[:, 0]).min()) * scale, 70 - (sy * u[:, 1] - (sy * u[:, 1]).min()) * scale])).astype(int).tolist()} for sx in (1, -1) for sy in (1, -1)]
+    assert {(r.px, r.py) for r in pixels.collect()} in want
+    picture = sinks.canvas(pixels, 120, 80, 248)
+    assert ((picture != 248).any(axis=2).sum() == pixels.count()) and sinks.png(picture).startswith(b"\x89PNG") and sinks.canvas(pixels, 120, 80, 248, ((1, 2, 3), (4, 5, 6), (7, 8, 9))).shape == (80, 120, 3)
+    assert sinks.raster(df.limit(0), ["red", "green", "blue"], "i", 120, 80).count() == 0
 
 
 def test_manifest_and_configs():
@@ -172,16 +281,16 @@ def test_kernels_recover_motion_and_tape():
     for x in range(80, 521):
         y = 310 + round((x - 80) * 20 / 440)
         image[y - 6 : y + 6, x] = (0, 220, 255)
-    ends = sorted(p[0] for p in K.tape_endpoints(image))
+    ends = sorted(p[0] for p in C.tape_endpoints(image))
     assert abs(ends[0] - 80) < 8 and abs(ends[1] - 520) < 8
 
 
 def test_plane_and_ray():
     rng = np.random.default_rng(3)
     p = np.vstack([np.column_stack([rng.uniform(-5, 5, (200, 2)), rng.normal(0, 0.01, 200)]), rng.uniform(-5, 5, (60, 3))])
-    n, offset, inside, rmse = K.floor_plane(p, trials=500)
+    n, offset, inside, rmse = C.floor_plane(p, trials=500)
     assert abs(abs(n[2]) - 1) < 1e-2 and inside[:200].mean() > 0.9 and rmse < 0.05
-    hit = K.ray_on_plane(np.eye(3), np.array([0, 0, -2.0]), (500, 320, 240, 0.0), np.array([320, 240]), np.array([0, 0, 1.0]), 0.0)
+    hit = C.ray_on_plane(np.eye(3), np.array([0, 0, -2.0]), (500, 320, 240, 0.0), np.array([320, 240]), np.array([0, 0, 1.0]), 0.0)
     assert np.allclose(hit, 0)
 
 
@@ -189,16 +298,30 @@ def riff(kind, body):
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
+def small_jpeg(data):
+    """A picture by its markers alone: frame header, scan, end."""
+    return b"\xff\xd8\xff\xc0\0\x0b\x08\0\x78\0\xa0\x01\x01\x11\0\xff\xda\0\x08\x01\x01\0\0\x3f\0" + data + b"\xff\xd9"
+
+
 def test_video_container(spark, tmp_path):
     avih = struct.pack("<10I", 100_000, 0, 0, 0, 30, 0, 1, 0, 160, 120) + b"\0" * 16
     strh = b"vidsMJPG" + b"\0" * 12 + struct.pack("<2I", 1, 10) + b"\0" * 28
     head = riff(b"LIST", b"hdrl" + riff(b"avih", avih) + riff(b"LIST", b"strl" + riff(b"strh", strh)))
-    movi = riff(b"LIST", b"movi" + b"".join(riff(b"00dc", b"\xff\xd8" + bytes([i]) * 3) for i in range(30)))
-    (tmp_path / "v.avi").write_bytes(riff(b"RIFF", b"AVI " + head + movi))
+    movi = riff(b"LIST", b"movi" + b"".join(riff(b"00dc", small_jpeg(bytes([i]) * 3)) for i in range(20)))
+    more = riff(b"LIST", b"movi" + riff(b"ix00", b"\0" * 24) + b"".join(riff(b"00dc", small_jpeg(bytes([i]) * 3)) for i in range(20, 30)))
+    (tmp_path / "v.avi").write_bytes(riff(b"RIFF", b"AVI " + head + movi) + riff(b"RIFF", b"AVIX" + more))
     m = files.video_metadata(spark, f"{tmp_path}/v.avi", full_decode=True).first()
     assert (m.width, m.height, m.orientation, m.fps, m.declared_frames, m.decoded_frames, m.duration_s, m.complete_decode) == (160, 120, "landscape", 10.0, 30, 30, 3.0, True)
     f = files.video_frames(spark, f"{tmp_path}/v.avi", ExtractionConfig(target_fps=2.0)).orderBy("sequence").collect()
     assert [r.source_frame for r in f] == [0, 5, 10, 15, 20, 25] and f[1].filename == "frame_00001_t00000.500.jpg"
+    assert [bytes(r.jpeg) for r in f] == [small_jpeg(bytes([i]) * 3) for i in (0, 5, 10, 15, 20, 25)]
+    parts = files.video_frames(spark, f"{tmp_path}/v.avi", ExtractionConfig(target_fps=10.0, start_s=1.0, end_s=2.5), part=80)
+    assert [r.source_frame for r in parts.orderBy("sequence").collect()] == list(range(10, 25)) and parts.rdd.getNumPartitions() > 3
+    other = files.video_frames(spark, f"{tmp_path}/v.avi", ExtractionConfig(), decoder=lambda path, cfg: [(7, 0.7, b"j"), (9, 0.9, b"k")])
+    assert [(r.sequence, r.source_frame, r.filename) for r in other.collect()] == [(0, 7, "frame_00000_t00000.700.jpg"), (1, 9, "frame_00001_t00000.900.jpg")]
+    assert not ranges.whole_jpeg(small_jpeg(b"a")[:-2]) and not ranges.whole_jpeg(b"\xff\xd8\xff\xd9")
+    with pytest.raises(Exception, match="no frames"):
+        files.video_frames(spark, f"{tmp_path}/v.avi", ExtractionConfig(start_s=9.0)).collect()
 
 
 def test_keyframe_stream_agrees_with_the_batch_rules(spark, tmp_path):
