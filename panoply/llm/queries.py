@@ -38,7 +38,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, weights=(3, 1, 2), share=1.5, repeats=2, keep=["doc_id"])
+    return mixing.mix(docs, weights=(3, 1, 2), share=1.5, repeats=2).select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ QUERIES = {f.__name__: f for f in (op1_topk, op2_forest, op3_secrets, op4_warc_a
 SQL = {
     "op1_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
                      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
