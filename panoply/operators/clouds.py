@@ -141,6 +141,13 @@ def cropped(points: DataFrame, low: tuple[float, float, float], high: tuple[floa
     return points.where(inside[0] & inside[1] & inside[2])
 
 
+def spread(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, spread: the median distance of a group's points from the point of their median coordinates."""
+    middle = points.groupBy(*keys).agg(*[F.median(a).alias(f"_{a}") for a in AXES])
+    d = distance([F.col(a) for a in AXES], [F.col(f"_{a}") for a in AXES])
+    return points.join(middle, keys).groupBy(*keys).agg(F.median(d).alias("spread"))
+
+
 def boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, points and the box around each group's points."""
     return points.groupBy(*keys).agg(F.count("*").alias("points"), *[f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import sqlite3
 import struct
+import tempfile
 import uuid
 import zlib
 from itertools import batched
@@ -77,7 +78,7 @@ def _lines(df: DataFrame, order: list, line) -> str:
     return folder
 
 
-def _packed(df: DataFrame, order: list[str], dtype: np.dtype, pack) -> str:
+def _packed(df: DataFrame, order: list[str], pack) -> str:
     """A folder with the bytes that ``pack(pandas rows)`` makes of ordered rows."""
     from pyarrow import fs
 
@@ -89,7 +90,7 @@ def _packed(df: DataFrame, order: list[str], dtype: np.dtype, pack) -> str:
         name, n = f"{root}/part-{TaskContext.get().partitionId():06d}", 0
         with store.open_output_stream(part := f"{root}/.{uuid.uuid4().hex}") as out:
             for pdf in batches:
-                out.write(np.ascontiguousarray(pack(pdf), dtype).tobytes())
+                out.write(pack(pdf))
                 n += len(pdf)
         store.move(part, name)
         yield pd.DataFrame({"n": [n]})
@@ -162,15 +163,15 @@ def mesh_ply(vertices: DataFrame, triangles: DataFrame, uri: str) -> None:
     def points(pdf):
         out = np.zeros(len(pdf), VERTEX)
         out["xyz"], out["rgb"] = pdf[["x", "y", "z"]].to_numpy(), 128
-        return out
+        return out.tobytes()
 
     def faces(pdf):
         out = np.full(len(pdf), 3, FACE)
         out["abc"] = pdf[["a", "b", "c"]].to_numpy()
-        return out
+        return out.tobytes()
 
     head = ["ply", "format binary_little_endian 1.0", f"element vertex {v.count()}", *PROPERTIES[:-1], f"element face {t.count()}", PROPERTIES[-1], "end_header"]
-    joined(v.sparkSession, uri, ("\n".join(head) + "\n").encode("ascii"), _packed(v, ["place"], VERTEX, points), _packed(t, ["fid"], FACE, faces))
+    joined(v.sparkSession, uri, ("\n".join(head) + "\n").encode("ascii"), _packed(v, ["place"], points), _packed(t, ["fid"], faces))
 
 
 def mesh_obj(vertices: DataFrame, triangles: DataFrame, uri: str) -> None:
@@ -195,8 +196,40 @@ def mesh_glb(vertices: DataFrame, triangles: DataFrame, uri: str) -> None:
     text = json.dumps(scene, separators=(",", ":")).encode()
     text += b" " * (-len(text) % 4)
     head = b"glTF" + struct.pack("<2I", 2, 12 + 8 + len(text) + 8 + 12 * n + 4 * m) + struct.pack("<I", len(text)) + b"JSON" + text + struct.pack("<I", 12 * n + 4 * m) + b"BIN\0"
-    places = _packed(v, ["place"], np.dtype("<f4"), lambda pdf: pdf[["x", "y", "z"]].to_numpy())
-    joined(v.sparkSession, uri, head, places, _packed(t, ["fid"], np.dtype("<u4"), lambda pdf: pdf[["a", "b", "c"]].to_numpy()))
+    places = _packed(v, ["place"], lambda pdf: pdf[["x", "y", "z"]].to_numpy().astype("<f4").tobytes())
+    joined(v.sparkSession, uri, head, places, _packed(t, ["fid"], lambda pdf: pdf[["a", "b", "c"]].to_numpy().astype("<u4").tobytes()))
+
+
+def avi(frames: DataFrame, uri: str, order: list[str], jpeg: str, fps: int, width: int, height: int) -> None:
+    """A motion-JPEG AVI of the rows' pictures in order."""
+    riff = lambda kind, *body: kind + struct.pack("<I", sum(map(len, body))) + b"".join(body)
+    sums = frames.agg(F.count("*").alias("n"), F.sum(F.octet_length(jpeg) + F.octet_length(jpeg) % 2 + 8).alias("size")).first()
+    main = struct.pack("<10I", round(1e6 / fps), 0, 0, 0, sums["n"], 0, 1, 0, width, height) + b"\0" * 16
+    video = b"vidsMJPG" + b"\0" * 12 + struct.pack("<2I", 1, fps) + b"\0" * 28
+    head = riff(b"LIST", b"hdrl", riff(b"avih", main), riff(b"LIST", b"strl", riff(b"strh", video)))
+    movi = 4 + (sums["size"] or 0)
+    start = b"RIFF" + struct.pack("<I", 4 + len(head) + 8 + movi) + b"AVI " + head + b"LIST" + struct.pack("<I", movi) + b"movi"
+    chunk = lambda data: riff(b"00dc", bytes(data)) + b"\0" * (len(data) % 2)
+    joined(frames.sparkSession, uri, start, _packed(frames.select(*order, F.col(jpeg).alias("_jpeg")), order, lambda pdf: b"".join(map(chunk, pdf["_jpeg"]))))
+
+
+def lines(df: DataFrame, uri: str, order: list[str], line, head: str = "") -> None:
+    """A text file of a column expression, one line (or more) a row, in order."""
+    joined(df.sparkSession, uri, head.encode(), _lines(df, order, line))
+
+
+def sqlite_file(spark: SparkSession, uri: str, tables: dict[str, DataFrame]) -> None:
+    """A SQLite database of these tables, written on the driver row by row and then put under its name: a local file format, so as large as one machine takes."""
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "string": "TEXT"}
+    with tempfile.TemporaryDirectory() as folder:
+        db = sqlite3.connect(f"{folder}/db")
+        with db:
+            for name, df in tables.items():
+                db.execute(f"CREATE TABLE {name} ({', '.join(f'{c} {kinds[t]}' for c, t in df.dtypes)})")
+                db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(df.columns))})", (tuple(r) for r in df.toLocalIterator()))
+        db.close()
+        fs, path = _fs(spark, uri)
+        fs.copyFromLocalFile(_fs(spark, f"file://{folder}/db")[1], path)
 
 
 def png(rgb: np.ndarray) -> bytes:

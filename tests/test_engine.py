@@ -14,7 +14,7 @@ from panoply.functions import calibration as C
 from panoply.functions import exprs as X
 from panoply.functions import kernels as K
 from panoply.operators import clouds, keyframes, mesh, pairs, sequence, trajectory
-from panoply.plans.queries import QUERIES, SQL
+from panoply.plans.catalog import QUERIES, SQL
 from panoply.schemas import ExtractionConfig, KeyframeConfig, Manifest, MetricReference
 from panoply.sources import files, ranges, sinks
 from panoply.streaming import keyframes as stream
