@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import drop, materialize, text_blocks
-from .components import connected_components
 
 SEGMENTS, BITS = 16, 4
 #: Members of a grid cell up to which its pairs are compared one by one.
@@ -92,24 +92,17 @@ def grid_cells(fps: DataFrame) -> DataFrame:
 
 
 def _verify(distance: int, most: int):
-    """From rows sorted by cell: links (a, b, false) of pairs verified exactly; of larger cells (fp, ball point, true)."""
+    """From rows sorted by cell: links (a, b, false) of pairs verified exactly; of larger cells their members (fp, fp, true)."""
 
     def emit(a, b, hub):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hub))], names=["a", "b", "hub"])
 
-    flips = np.append(np.uint64(0), np.uint64(1) << np.arange(64, dtype=np.uint64))
-
-    def hubs(fps):
-        for at in range(0, len(fps), 10_000):
-            x = fps[at : at + 10_000].view(np.uint64)
-            yield emit(np.repeat(x, 65).view(np.int64), (x[:, None] ^ flips).ravel().view(np.int64), True)
-
     def groups(cells, fps):
         first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         sizes = np.diff(np.append(first, len(cells)))
         large = np.repeat(sizes > most, sizes)
         if large.any():
-            yield from hubs(fps[large])
+            yield emit(fps[large], fps[large], True)
             cells, fps = cells[~large], fps[~large]
         for k in range(1, most):
             if len(cells) <= k:
@@ -128,7 +121,7 @@ def _verify(distance: int, most: int):
             c, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if hub is not None:  # the rest of a large cell
                 n = int(np.searchsorted(c, hub, "right"))
-                yield from hubs(f[:n])
+                yield emit(f[:n], f[:n], True)
                 c, f = c[n:], f[n:]
                 if not len(c):
                     continue
@@ -141,7 +134,7 @@ def _verify(distance: int, most: int):
                 yield from groups(cells[:last], fps[:last])
             cells, fps = cells[last:], fps[last:]
             if len(cells) > most:
-                yield from hubs(fps)
+                yield emit(fps, fps, True)
                 hub, cells, fps = int(cells[-1]), cells[:0], fps[:0]
         if len(cells):
             yield from groups(cells, fps)
@@ -160,17 +153,24 @@ def links(fps: DataFrame, distance: int = 2, most: int = PAIRS_UP_TO) -> DataFra
         raise ValueError("the grid and its large cells are laid out for distance 2")
     cells = grid_cells(fps).select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp")
     found = materialize(cells.mapInArrow(_verify(distance, most), "a long, b long, hub boolean"), "links")
-    stars = found.where("hub").groupBy("b").agg(F.collect_set("a").alias("members")).where(F.size("members") > 1)
+    ball = F.array(F.col("a"), *[F.col("a").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)])
+    balls = found.where("hub").select("a").distinct().select("a", F.explode(ball).alias("b"))  # once a fingerprint, however many large cells it is in
+    stars = balls.groupBy("b").agg(F.collect_list("a").alias("members")).where(F.size("members") > 1)
     stars = stars.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).select("a", "b").where("a <> b")
-    return found.where("not hub").select("a", "b").union(stars).distinct()
+    out = materialize(found.where("not hub").select("a", "b").union(stars).distinct(), "linked")
+    drop(found)
+    return out
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """fp, first (its smallest doc_id), root (one fingerprint for each linked group)."""
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return materialize(placed, "placed")
+    linked = links(nodes.select("fp"))
+    roots = connected(linked)
+    placed = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    for t in (nodes, linked):
+        drop(t)
+    return placed
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
