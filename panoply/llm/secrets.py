@@ -29,6 +29,8 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s,:\
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 BREAK = r"(?:\\+[rnt])++|[\x20\t]*+(?:\r\n?|\n)[\x20\t]*+"
 _BREAK = re.compile(BREAK)
+#: Encodings that may lie around one another; text that is wrapped more often is not unwrapped further.
+DEPTH = 6
 #: Characters of the shortest nested secret, 18 bytes.
 BASE64_LEAST, HEX_LEAST = 24, 36
 
@@ -87,7 +89,7 @@ def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_der_key(data: bytes) -> bool:
-    """A sequence whose length is the data's, with the members of a private or public key, lengths nested without a rest."""
+    """A sequence whose length is the data's, with the members of a private key, lengths nested without a rest. Public keys are no secrets."""
     outer = der_items(data, 0, len(data))
     if outer is None or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -109,9 +111,7 @@ def is_der_key(data: bytes) -> bool:
         return algorithm(items[1])  # version, algorithm, octet string
     if small and len(tags) >= 2 and tags[1] == 0x04 and set(tags[2:]) <= {0xA0, 0xA1}:
         return items[1][2] - items[1][1] in range(16, 80)  # elliptic-curve key
-    if tags == [0x30, 0x04]:
-        return algorithm(items[0])  # encrypted key
-    return tags == [0x30, 0x03] and algorithm(items[0])  # public key
+    return tags == [0x30, 0x04] and algorithm(items[0])  # encrypted key
 
 
 def ssh_size(read) -> int | None:
@@ -275,8 +275,8 @@ def unhex(text: str) -> bytes | None:
     return bytes.fromhex(text) if len(text) % 2 == 0 else None
 
 
-def confirmed(text: str, depth: int = 2) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the encoded candidates that parse as keys or signed tokens, or decode to text that has some."""
+def confirmed(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the encoded candidates that parse as keys or signed tokens, or decode to text that has some, up to ``depth`` encodings deep."""
     out = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
