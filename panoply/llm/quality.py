@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod4, text_blocks
+from .common import crc_mod4, drop, materialize, text_blocks
 
 #: Bytes that a filter sees, bytes between its places, bytes of a chunk (its places' filters reach WIDTH - STEP bytes further).
 WIDTH, STEP, CHUNK = 8, 2, 256
 FILTERS, HIDDEN = 16, 16
-#: The bound on what training sees: labelled rows of each class, and chunks of each such row.
-TRAIN_ROWS, TRAIN_CHUNKS = 1500, 24
+#: The bound on what training sees: labelled rows of each class, whole, and bytes of them together; a row over an eighth of the bytes is no training row.
+TRAIN_ROWS, TRAIN_BYTES = 1500, 8_000_000
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-5
 LEAST_STEPS = 400
 THRESHOLD = 0.7
@@ -120,21 +120,24 @@ class ByteCNN:
         return 1 / (1 + np.exp(-(self.logits(self.document(pool, starts)).astype(np.float64) + self.shift)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, per_row: int = TRAIN_CHUNKS, text: str = "text") -> ByteCNN:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, text: str = "text") -> ByteCNN:
     """Fits on at most ``rows`` labelled documents of each class, smallest id hash first, none of those held out
-    (crc32 of the id as text mod 4 is 2), and of each at most ``per_row`` chunks in a row from a place that the hash gives.
+    (crc32 of the id as text mod 4 is 2), as long as their bytes fit in ``size``. Their texts are used whole.
 
-    Rows whose label is null or neither 0 nor 1 are left out; contradicting labels count as the larger share says. Without two classes the score is the share of label 1 (one half without labels).
+    Rows whose label is null or neither 0 nor 1 are left out; contradicting labels count as the larger share says, and of several texts of one id the least
+    in byte order counts, so reruns agree. Without two classes the score is the share of label 1 (one half without labels).
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).where(crc_mod4("doc_id") != 2)
     known = known.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
     share = known.agg(F.avg("y"), F.count("*")).first()
     chosen = known.where("y = 0").orderBy("h", "doc_id").limit(rows).union(known.where("y = 1").orderBy("h", "doc_id").limit(rows))
-    size = per_row * CHUNK
     whole = F.encode(F.coalesce(docs[text].cast("string"), F.lit("")), "utf-8")
-    some = docs.select("doc_id", whole.alias("b")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "h").agg(F.first("b").alias("b"))
-    start = F.floor(F.pmod("h", F.lit(1000)) / 1000.0 * F.greatest(F.lit(0), F.octet_length("b") - size)).cast("int")
-    got = some.select("y", "h", F.substring(F.col("b"), start + 1, F.lit(size)).alias("b")).orderBy("h").toArrow()
+    some = docs.select("doc_id", whole.alias("b")).join(F.broadcast(chosen), "doc_id").where(F.octet_length("b") <= size // 8)  # chosen: 2 x rows at most
+    some = materialize(some.groupBy("doc_id", "y", "h").agg(F.min("b").alias("b")), "training")
+    order = ["h", "doc_id"]
+    fits = F.sum(F.octet_length("b")).over(Window.partitionBy("y").orderBy(*order)) <= size
+    got = some.withColumn("_fits", fits).where("_fits").orderBy(*order).select("y", "b").toArrow()
+    drop(some)
     y = got["y"].to_numpy()
     model = ByteCNN()
     if not len(y) or y.min() == y.max():
