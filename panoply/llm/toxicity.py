@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import drop, materialize, text_blocks
 
-#: The bound on what training sees: labelled rows of each class.
-TRAIN_ROWS = 2000
-#: Grades 0 to 3: clean, then toxic by thirds of the number of tell-tale words in it.
+#: The bound on what training sees: labelled rows of each class, and features that tell the classes apart.
+TRAIN_ROWS, VOCABULARY = 2000, 20_000
+#: Grades 0 to 3: clean, then toxic by thirds of the number of tell-tale words in it (those over ten times commoner in toxic rows).
 GRADES = 4
 WORD = re.compile(r"\w+")
 
@@ -53,35 +53,22 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(value)[:, None] - np.array(self.thresholds)[None], -60, 60)))
 
 
-def grades(bags: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    """Severity for training: 0 for clean rows; 1 to 3 for toxic ones, by thirds of how many words each has of those that are over ten times commoner in toxic rows."""
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    df = [Counter(), Counter()]
-    for bag, t in zip(bags, toxic.tolist(), strict=True):
-        df[t].update(bag.keys())
-    tell = {w for w, c in df[1].items() if c >= max(2, 0.01 * n1) and (c / n1) > 10 * ((df[0][w] + 0.5) / n0)}
-    hits = np.array([sum(bag[w] for w in tell & bag.keys()) for bag in bags], float)
+def grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Severity for training: 0 for clean rows, 1 to 3 for toxic ones, by thirds of their tell-tale words."""
     if not toxic.any():
         return toxic.copy()
     low, high = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
     return np.where(toxic == 1, 1 + (hits > low) + (hits > high), 0)
 
 
-def fit(texts: list[str], toxic: np.ndarray, vocabulary: int = 20_000, rounds: int = 400, l1: float = 1e-3) -> OrdinalModel:
-    """Proximal gradient steps with momentum on the ordinal log loss; the L1 term leaves weights on telling
-    features only, and none is negative, so no word makes a text look cleaner."""
-    bags = [Counter(words(t)) for t in texts]
-    y = grades(bags, toxic)
-    counts = [Counter(f for w in bag for f in features(w)) for bag in bags]
-    n1, n0, df = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum())), [Counter(), Counter()]
-    for bag, t in zip(counts, toxic.tolist(), strict=True):
-        df[t].update(bag.keys())
-    # Features that could only be learnt by heart stay out: those in few toxic rows, or not far commoner there.
-    some = [f for f, c in df[1].items() if c >= max(3, 0.02 * n1) and c / n1 > 4 * (df[0][f] + 1) / n0]
-    vocab = {f: i for i, f in enumerate(sorted(some, key=lambda f: (-df[1][f], f))[:vocabulary])}
-    triples = [(r, vocab[f], c) for r, bag in enumerate(counts) for f, c in bag.items() if f in vocab]
+def fit(rows: list[tuple[list[str], list[int]]], hits: np.ndarray, toxic: np.ndarray, vocabulary: list[str], rounds: int = 400, l1: float = 1e-3) -> OrdinalModel:
+    """From each row's features of the vocabulary, with their counts. Proximal gradient steps with momentum on the ordinal log loss; the L1 term
+    leaves weights on telling features only, and none is negative, so no word makes a text look cleaner."""
+    y = grades(hits, toxic)
+    vocab = {f: i for i, f in enumerate(vocabulary)}
+    triples = [(r, vocab[f], c) for r, (names, counts) in enumerate(rows) for f, c in zip(names, counts, strict=True)]
     row, col, val = (np.array(x, np.int64) for x in (zip(*triples, strict=True) if triples else ([], [], [])))
-    n, k = len(texts), GRADES - 1
+    n, k = len(rows), GRADES - 1
     w, first, gap = np.zeros(len(vocab)), 0.0, np.zeros(k - 1)  # t = first, first + exp(gap) ...
     v, m = np.zeros(len(vocab)), np.zeros(k)
     weight = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
@@ -108,16 +95,45 @@ def fit(texts: list[str], toxic: np.ndarray, vocabulary: int = 20_000, rounds: i
     return OrdinalModel({a: float(w[i]) for a, i in vocab.items() if w[i]}, t.tolist())
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> OrdinalModel:
-    """Fits on at most ``rows`` labelled documents of each class, smallest id hash first. Without both classes no word has a weight, and every severity is near 0."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    chosen = known.where("y = 0").orderBy("h", "doc_id").limit(rows).union(known.where("y = 1").orderBy("h", "doc_id").limit(rows))
+def bags(texts: DataFrame) -> DataFrame:
+    """For rows doc_id, y, h, t: the distinct words of t with their counts, and their features with the number of words that have each."""
+
+    def run(batches):
+        for part, found in text_blocks(batches, 3):
+            held = [Counter(words(t)) for t in found]
+            of = [Counter(f for w in bag for f in features(w)) for bag in held]
+            lists = [pa.array([list(x.keys() if keys else x.values()) for x in side], pa.list_(kind)) for side in (held, of) for keys, kind in ((True, pa.string()), (False, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], names=["doc_id", "y", "h", "words", "counts", "features", "ns"])
+
+    return texts.mapInArrow(run, "doc_id long, y int, h long, words array<string>, counts array<long>, features array<string>, ns array<long>")
 
-    got = docs.select("doc_id", F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "h").agg(F.first("t").alias("t")).orderBy("h", "doc_id").select("t", "y").toArrow()
-    y = got["y"].to_numpy().astype(np.int64)
-    if not len(y) or y.min() == y.max():
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", vocabulary: int = VOCABULARY) -> OrdinalModel:
+    """Fits on at most ``rows`` labelled documents of each class, smallest id hash first. Without both classes no word has a weight, and every severity is near 0.
+
+    Words are counted where the texts are; what comes to the driver is, for these rows, the counts of at most ``vocabulary``
+    features. Of several texts of one id the least in byte order counts, so reruns agree.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    chosen = known.where("y = 0").orderBy("h", "doc_id").limit(rows).union(known.where("y = 1").orderBy("h", "doc_id").limit(rows))
+    some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id")  # chosen: 2 x rows at most
+    held = materialize(bags(some.groupBy("doc_id", "y", "h").agg(F.min("t").alias("t"))), "bags")
+    n = {r["y"]: r["count"] for r in held.groupBy("y").count().collect()}
+    if len(n) < 2:
+        drop(held)
         return OrdinalModel({}, [4.0, 5.0, 6.0])
-    return fit(got["t"].to_pylist(), y)
+    toxic, clean = F.sum("y"), F.sum(1 - F.col("y"))
+    of = lambda names: held.select("y", F.explode(names).alias("f")).groupBy("f").agg(toxic.alias("d1"), clean.alias("d0"))
+    tell = of("words").where((F.col("d1") >= max(2, 0.01 * n[1])) & (F.col("d1") / n[1] > 10 * (F.col("d0") + 0.5) / n[0])).select("f")
+    # Features that could only be learnt by heart stay out: those in few toxic rows, or not far commoner there.
+    vocab = of("features").where((F.col("d1") >= max(3, 0.02 * n[1])) & (F.col("d1") / n[1] > 4 * (F.col("d0") + 1) / n[0])).orderBy(F.desc("d1"), "f").limit(vocabulary).select("f")
+    count = lambda names, counts, wanted: held.select("doc_id", F.explode(F.arrays_zip(names, counts)).alias("x")).select("doc_id", F.col(f"x.{names}").alias("f"), F.col(f"x.{counts}").alias("n")).join(wanted, "f")
+    hits = count("words", "counts", tell).groupBy("doc_id").agg(F.sum("n").alias("hits"))
+    sparse = count("features", "ns", vocab).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("f", "n"))).alias("fs"))
+    got = held.select("doc_id", "y", "h").join(hits, "doc_id", "left").join(sparse, "doc_id", "left").orderBy("h", "doc_id").select("y", "hits", "fs.f", "fs.n").toArrow().to_pydict()
+    names = [r["f"] for r in vocab.orderBy("f").collect()]  # at most ``vocabulary``
+    drop(held)
+    return fit([(f or [], c or []) for f, c in zip(got["f"], got["n"], strict=True)], np.array([x or 0 for x in got["hits"]], float), np.array(got["y"], np.int64), names)
 
 
 def severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
