@@ -151,6 +151,72 @@ def open_file(uri: str) -> TokenFile:
         return TokenFile(f.read())
 
 
+class StoredTokens:
+    """Any token of a file where it lies, by its place in the file or in a document.
+
+    Beside the header, read once, a token costs for each of its levels one chunk byte, one byte of marks, one directory entry and the
+    marks between that entry and the value: at most STRIDE / 8 + 10 bytes, however large the file is.
+    """
+
+    def __init__(self, uri: str):
+        store, path = filesystem(uri)
+        self.file = store.open_input_file(path)
+        if self._read(0, 8) != MAGIC:
+            raise ValueError("not a token file")
+        size = struct.unpack("<I", self._read(8, 4))[0]
+        header = json.loads(self._read(12, size))
+        self.docs, self.tokens, at = header["docs"], header["tokens"], 12 + size
+        self.ends_at = at + 9 * self.docs
+        at += 17 * self.docs
+        self.levels = []  # where a level's chunks, marks and directory start; no marks on the last one
+        for chunks, bits, directory in header["levels"]:
+            self.levels.append((at, at + chunks if bits else None, at + chunks + bits))
+            at += chunks + bits + 8 * directory
+
+    def _read(self, at: int, n: int) -> bytes:
+        return self.file.read_at(n, at)
+
+    def __len__(self) -> int:
+        return self.tokens
+
+    def __getitem__(self, i: int) -> int:
+        if not 0 <= i < self.tokens:
+            raise IndexError(i)
+        value = 0
+        for k, (chunks, marks, directory) in enumerate(self.levels):
+            value |= self._read(chunks + i, 1)[0] << 8 * k
+            if marks is None:
+                break
+            block = i // STRIDE
+            before = self._read(marks + block * (STRIDE // 8), i // 8 - block * (STRIDE // 8) + 1)  # up to the byte with value i's mark
+            if not before[-1] >> (i & 7) & 1:
+                break
+            rank = struct.unpack("<Q", self._read(directory + 8 * block, 8))[0]
+            i = rank + (int.from_bytes(before, "little") & ((1 << i - block * STRIDE) - 1)).bit_count()
+        return value
+
+    def of_document(self, k: int, i: int) -> int:
+        """Token i of the k-th document of the file."""
+        if not 0 <= k < self.docs:
+            raise IndexError(k)
+        start, end = struct.unpack("<2q", self._read(self.ends_at + 8 * (k - 1), 16)) if k else (0, struct.unpack("<q", self._read(self.ends_at, 8))[0])
+        if not 0 <= i < end - start:
+            raise IndexError(i)
+        return self[start + i]
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def token(uri: str, i: int) -> int:
+    """Token i of a stored file."""
+    held = StoredTokens(uri)
+    try:
+        return held[i]
+    finally:
+        held.close()
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, added_tokens: bool = False) -> Memory:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -229,8 +295,8 @@ def _encoder(path: str, added_tokens: bool = False) -> Memory:
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, tokens_per_file: int = TOKENS_PER_FILE, added_tokens: bool = False) -> DataFrame:
     """Encodes the texts and writes token files in ascending doc_id order; returns part, file, path, docs, tokens, base.
 
-    Range partitions by doc_id (nulls first, equal ids by text) are written side by side; base counts the ids in all
-    earlier files. Each text gets end_id after its own ids, so null and empty texts have that id alone.
+    Range partitions by doc_id (nulls first, equal ids by a hash of the text, so that rows without an id are dealt out too) are
+    written side by side; base counts the ids in all earlier files. Each text gets end_id after its own ids, so null and empty texts have that id alone.
     ``added_tokens``: the file's added tokens (<|endoftext|>) get their own id wherever a text holds them, as the
     library does by itself; otherwise special ones are encoded as the plain text they are.
     """
@@ -262,7 +328,8 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
             yield close()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, file int, path string, docs long, tokens long")
+    order = ["doc_id", F.xxhash64("text")]
+    files = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, "part int, file int, path string, docs long, tokens long")
     files = materialize(files, "token-files")
     # One row a range partition, then the files inside each: neither window holds more than a task's share of files.
     parts = files.groupBy("part").agg(F.sum("tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))

@@ -8,12 +8,16 @@ import random
 import re
 import time
 import zlib
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from panoply.llm import bpe, components, forest, mixing, pieces, quality, secrets, simhash, tokenfile, topk, toxicity, warc
+from panoply.llm import bpe, forest, mixing, pieces, quality, queries, secrets, simhash, tokenfile, topk, toxicity, warc
+from panoply.operators.graph import connected
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", " ", "a", "a  b", "a   b\n\n c", "\n \n", "x\t y", "it's we'll 12 34!!", "é 中文 😀", "<|endoftext|> a", "aaaa" * 3000, "ab " * 2000, "\x1c \x85\xa0 ", "ſKtoken=abcdefghijklmnop"]
@@ -78,6 +82,19 @@ def test_encode_documents_nulls_and_extra_columns(spark):
     assert bpe.encode_documents(docs.limit(0)).count() == 0
 
 
+def test_stored_tokens_read_few_bytes(tmp_path):
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 2**20, 40_000, dtype=np.uint32) >> rng.integers(0, 20, 40_000, dtype=np.uint32) for _ in range(5)]
+    (tmp_path / "a.tok").write_bytes(tokenfile.pack(list(range(5)), ids))
+    stored, read = tokenfile.StoredTokens(f"{tmp_path}/a.tok"), []
+    plain = stored._read
+    stored._read = lambda at, n: read.append(n) or plain(at, n)
+    flat = np.concatenate(ids)
+    some = rng.integers(0, len(flat), 3000).tolist()
+    assert [stored[i] for i in some] == flat[some].tolist() and sum(read) <= len(some) * 3 * (tokenfile.STRIDE // 8 + 10)
+    assert [stored.of_document(k, 39_999) for k in range(5)] == [int(x[-1]) for x in ids]
+
+
 @pytest.mark.parametrize("high", [1, 255, 256, 70_000, 2**31])
 def test_direct_codes_random_access(high):
     rng = np.random.default_rng(high)
@@ -105,6 +122,13 @@ def test_token_files_round_trip(spark, mixed_texts):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert files.count() > 3
+    for f in files.orderBy("base").collect()[:3]:
+        held, stored = tokenfile.open_file(f.path), tokenfile.StoredTokens(f.path)
+        flat = held.codes.range(0, len(held.codes)).tolist()
+        assert [stored[i] for i in range(len(stored))] == flat and tokenfile.token(f.path, len(flat) - 1) == flat[-1]
+        assert [stored.of_document(k, 0) for k in range(stored.docs)] == [held.document(k)[0] for k in range(stored.docs)]
+        with pytest.raises(IndexError):
+            stored[len(flat)]
     assert tokenfile.read_tokens(spark, tokenfile.write_tokens(rows(spark, []))).count() == 0
 
 
@@ -112,8 +136,6 @@ def test_token_query_equals_an_untouched_tokenizer(spark, mixed_texts, tmp_path)
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from panoply.llm import queries
-
     path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(9)
     t = Tokenizer.from_file(path)
     parts = ["a", " ", "\n", "  ", "b c", "<|endoftext|>", "<|endof", "text|>", "é", "\0", ".\n"]
@@ -152,7 +174,7 @@ def test_links_connect_exactly_what_hamming_distance_does(spark, most):
                 x ^= 1 << rnd.randrange(64)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = components.connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most)).collect()
+    got = connected(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most)).collect()
     root = dict(zip(signed, signed, strict=True)) | {r.node: r.root for r in got}
     parent = list(range(len(fps)))
 
@@ -210,10 +232,48 @@ def test_mixing_against_a_plain_queue(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - target[s]) <= 60 for s in order)
     assert sum(taken.values()) <= 1.5 * sum(size.values()) < sum(taken.values()) + 60
+    # The same documents as a plain queue takes.
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(7, doc_id, text) h").collect()}
+    order_of = lambda r: (hashes[r.doc_id], -1 if r.doc_id is None else r.doc_id)
+    queue = []
+    for s in order:
+        run = 0
+        for r in sorted((r for r in got if r.source == s and r["size"]), key=order_of):
+            run += r["size"]
+            assert r.finish == run / r.target
+            queue += [((run + k * size[s]) / r.target, k, *order_of(r), r["size"]) for k in range(2)]
+    left, chosen = 1.5 * sum(size.values()), {}
+    for _, _, _, i, n in sorted(queue):
+        left -= n
+        if left < 0:
+            break
+        chosen[i] = chosen.get(i, 0) + n
+    assert {-1 if r.doc_id is None else r.doc_id: r.taken for r in got if r.taken} == chosen
+    copies = [(r.doc_id, r.source) for r in mixing.take(docs, mixing.plan(docs)).collect()]
+    assert sorted(copies, key=str) == sorted([(r.doc_id, r.source) for r in got for _ in range(r.taken // max(1, r["size"]))], key=str)
     assert mixing.mix(docs.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(docs.where("text is null")).collect()} == {0}
 
 
+def test_mixing_keeps_clashing_columns_and_takes_repeated_rows_alike(spark, monkeypatch):
+    data = [(i % 40, " ".join(["w"] * (i % 7)), f"s{i % 3}", i, 2.5, "x", "y") for i in range(400)] + [(1, "w w", "s1", 0, 0.0, "x", "y")] * 30
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, size int, target double, taken string, _ string").withColumn("_h", F.lit(1)).withColumn("_copy0", F.lit(2)).withColumn("limit", F.lit(3)).withColumn("source_size", F.lit(4)).withColumn("finish", F.lit(5))
+    first = mixing.take(docs, mixing.plan(docs))
+    assert first.columns == docs.columns
+    rows = sorted(map(str, first.collect()))
+    assert {r[r.index("_copy0") :] for r in rows} == {"_copy0=2, limit=3, source_size=4, finish=5)"}
+    by_row = {}
+    for r in mixing.mix(docs).collect():
+        by_row.setdefault((r.doc_id, r.source, r["size"]), set()).add(r.taken)
+    assert all(len(v) == 1 for v in by_row.values())
+    monkeypatch.setattr(mixing, "SOURCES_TO_SEND", 0)
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 20)
+    monkeypatch.setattr(mixing, "BUCKETS_PER_GROUP", 3)
+    monkeypatch.setattr(mixing, "COPIES_PER_RANGE", 50)
+    assert sorted(map(str, mixing.take(docs, mixing.plan(docs)).collect())) == rows
+    assert mixing.take(docs.limit(0), mixing.plan(docs.limit(0))).count() == 0
+
+
 def der(tag, *parts):
     body = b"".join(parts)
     n = len(body)
@@ -285,6 +345,13 @@ def test_secret_forms_of_json_and_short_nested_text():
     assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\\n{wrapped(b64(slashes), 64, chr(92) + 'n')}".replace("/", "\\/").replace("=", "\\u003d") + "\\n-----END RSA PRIVATE KEY-----") == ["pem"]
     for iv in ("0123456789ABCDEF", "0123456789ABCDEF" * 2):
         assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\\nProc-Type: 4,ENCRYPTED\\nDEK-Info: DES-EDE3-CBC,{iv}\\n\\n{b64(bytes(range(64)))}\\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    deep, wrapped_deep = b"password: correcthorsebattery", b"password: correcthorsebattery, and text " * 9
+    for n in range(secrets.DEPTH):
+        deep = base64.b64encode(deep) if n % 2 else deep.hex().upper().encode()
+        wrapped_deep = base64.encodebytes(wrapped_deep)
+        assert kinds(f"x {deep.decode()} y") == ["nested"] and kinds(f"{{\n{wrapped_deep.decode()}}}") == ["nested"]
+    public = der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(3, b"\0" * 40))
+    assert kinds(b64(public)) == [] and kinds(b64(der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(4, b"\0" * 40)))) == ["der"]
     assert kinds("\n".join(["several", "words", "one", "a", "line"] * 40)) == [] and kinds("C:\\new\\readme\\table of contents") == []
 
 
@@ -297,6 +364,30 @@ def test_long_encoded_text_is_read_once():
         assert time.process_time() - begun < 20
 
 
+def base_scan(text):
+    """The base patterns with no code of the operator: each kind's matches from left to right, then by start and kind."""
+    found = []
+    for kind, pattern, least, group in ((0, "(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 2), (1, "AKIA[A-Z0-9]+", 18, 0), (2, "[0-9a-f]+", 16, 0)):
+        at = 0
+        while m := re.compile(pattern).search(text, at):
+            if len(m[group]) >= least:
+                found.append((m.start(), kind, m.end()))
+            at = m.end()
+    return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(found)]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_secret_query_against_an_independent_scan(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    got = queries.op3_secrets(spark, f"/root/testdata/{sf}").collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        want = base_scan(texts[r.doc_id])
+        spans = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, _, _ in want) for x in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and set(filter(None, spans.split(","))) <= set(r.spans.split(","))
+
+
 def test_secret_scan_table(spark):
     got = secrets.scan(rows(spark, [None, "", "0123456789abcdef", *ODD])).collect()
     assert len(got) == 3 + len(ODD) and got[2].spans == "hex:0:16" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -327,15 +418,31 @@ def test_top_k_equals_brute_force(spark, some_vectors):
         want = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:20]
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert [(r.vec_id, r.score) for r in mine] == [(i, int(s[i])) for i in want]
+    assert sorted(map(str, topk.top_k(vectors(spark, data + odd), block=60, per=20, first=2).collect())) == sorted(map(str, got))
     assert topk.top_k(vectors(spark, [])).count() == 0
     assert topk.top_k(vectors(spark, data[:1])).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_of_large_components_is_exact(spark, kind):
+    rnd = random.Random(1)
+    size = (1.0, 3e5, 1e7, 3e9, 1e300) if kind == "double" else (1.0, 3e5, 1e7, 3e9)
+    data = [(i, [float(np.float32(rnd.gauss(0, rnd.choice(size)))) if kind == "float" else rnd.gauss(0, rnd.choice(size)) for _ in range(4)]) for i in range(120)]
+    data += [(120, []), (121, [200000.0, 0.0]), (122, [300000.0]), (140, [1.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>"), block=50, first=1).collect()
+    w = {i: [floor(Fraction(c) * 64) for c in v] + [0] * (4 - len(v)) for i, v in data}
+    for q in range(0, 141, 20):
+        s = {i: max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(w[q], w[i], strict=True)))) for i in w if i != q}
+        want = sorted(s.items(), key=lambda p: (-p[1], p[0]))[:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
 def test_forest_recall_and_scores(spark, some_vectors):
     data, odd = some_vectors
     got = forest.nearest(vectors(spark, data + odd), block=500).collect()
     v = np.array([r[1] for r in data])
     n = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    assert len(forest.nearest(vectors(spark, data + odd), block=60, per=7, first=2).collect()) == len(got)
     hits = total = 0
     for q in range(0, 900, 50):
         c = n @ n[q]
@@ -348,6 +455,19 @@ def test_forest_recall_and_scores(spark, some_vectors):
     assert forest.nearest(vectors(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_forest_recall_on_the_tables(spark, sf):
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    v, ids = np.array(t["embedding"].tolist(), float), t["vec_id"].to_numpy()
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = queries.op2_forest(spark, f"/root/testdata/{sf}").toPandas()
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        c = np.where(ids == ids[q], -2, n @ n[q])
+        hits += (got[got["query_id"] == ids[q]]["score"] >= np.sort(c)[-5] - 1e-9).sum()
+    assert len(got) == 5 * (ids % 50 == 0).sum() and hits / len(got) >= 0.9
+
+
 def test_searches_count_each_id_once(spark):
     rng = np.random.default_rng(5)
     v = np.round(rng.standard_normal((120, 6)), 2).astype(np.float32)
