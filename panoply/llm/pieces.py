@@ -117,14 +117,12 @@ class Memory(dict):
             at[first] = np.arange(len(keys), len(keys) + len(heads))
             keys += heads
             self.learn_keys(set(keys))
-            encoded = list(map(self.__getitem__, keys))
-            size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-            flat, start = np.frombuffer(b"".join(encoded), "<u4"), np.cumsum(size) - size
-            sizes = size[at]
-            end = np.cumsum(sizes)
-            ids = flat[np.repeat(start[at] - (end - sizes), sizes) + np.arange(end[-1])]
-            bounds = np.append(end[first] - sizes[first], end[-1]).tolist()
+            encoded = pa.array(map(self.__getitem__, keys), pa.large_binary())
+            laid = encoded.take(pa.array(at))  # every piece's bytes, one after the other
+            _, offsets, data = laid.buffers()
+            flat, bounds = np.frombuffer(data or b"", "<u4"), np.frombuffer(offsets, np.int64)[: len(at) + 1] // 4
+            bounds = bounds[np.append(first, len(at))].tolist()
             for i, a, b in zip(usual, bounds, bounds[1:], strict=False):
-                out[i] = ids[a:b]
+                out[i] = flat[a:b].copy()
         self.forget_long()
         return out

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ STRIDE = 512
 TOKENS_PER_FILE = 4_000_000
 #: Marks after a word, and words beyond ASCII, whose bounds as pre-tokens need no pattern.
 MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+BEFORE_MARKS = f"(?s)^.*[^{re.escape(MARKS)}]"
 
 
 class DirectCodes:
@@ -252,23 +254,35 @@ def _encoder(path: str, added_tokens: bool = False) -> Memory:
             out.update(zip(r, [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
         return out, failed
 
+    n_bytes = lambda extra: lambda r: np.fromiter((len(k.encode()) + extra for k in r), np.int64, len(r))
+    row = lambda r: blank + f"\n{blank}".join(r)
+
+    def parted(todo: list[str]) -> list[bytes | None]:
+        """Ids of the keys that are plain words with marks after them: distinct words and distinct marks are encoded, then put together. None for others."""
+        keys = pa.array(todo, pa.large_string())
+        w = pc.utf8_rtrim(keys, characters=MARKS)
+        wide = pc.invert(pc.string_is_ascii(w))
+        letters_only = pc.and_(pc.utf8_is_alpha(w), pc.or_(pc.invert(wide), pc.match_substring_regex(w, LATIN)))
+        at = pc.indices_nonzero(letters_only)
+        if not len(at):
+            return [None] * len(todo)
+        w, m = w.take(at), pc.replace_substring_regex(keys.take(at), BEFORE_MARKS, "")
+        words_, marks_ = pc.dictionary_encode(w), pc.dictionary_encode(m)
+        distinct = words_.dictionary.to_pylist()
+        narrow = [k for k in distinct if k.isascii()]
+        known = in_rows(words, narrow, lambda r: np.fromiter(map(len, r), np.int64, len(r)) + 1, row)[0]
+        if len(narrow) < len(distinct):
+            known |= in_rows(words, [k for k in distinct if not k.isascii()], n_bytes(1), lambda r: row(r).translate(letters))[0]
+        distinct_marks = marks_.dictionary.to_pylist()
+        ends = in_rows(words, [k for k in distinct_marks if k], n_bytes(0), "\n".join)[0] | {"": b""}
+        put = pc.binary_join_element_wise(pa.array(map(known.get, distinct), pa.large_binary()).take(words_.indices), pa.array(map(ends.get, distinct_marks), pa.large_binary()).take(marks_.indices), pa.scalar(b"", pa.large_binary()))
+        out = np.full(len(todo), None, object)
+        out[at.to_numpy()] = np.array(put.to_pylist() + [None], object)[:-1]
+        return out.tolist()
+
     def encode(todo: list[str]) -> list[bytes]:
-        ascii_words, latin_words, marks, own, own_words, own_marks = {}, {}, {}, [], [], []
-        for k in todo if plain else ():
-            w = k.rstrip(MARKS)
-            if w.isalpha() and (w.isascii() or LATIN(w)):
-                m = k[len(w) :]
-                (ascii_words if w.isascii() else latin_words)[w] = marks[m] = None
-                own.append(k)
-                own_words.append(w)
-                own_marks.append(m)
-        n_bytes = lambda extra: lambda r: np.fromiter((len(k.encode()) + extra for k in r), np.int64, len(r))
-        row = lambda r: blank + f"\n{blank}".join(r)
-        known, _ = in_rows(words, list(ascii_words), lambda r: np.fromiter(map(len, r), np.int64, len(r)) + 1, row)
-        known |= in_rows(words, list(latin_words), n_bytes(1), lambda r: row(r).translate(letters))[0]
-        marks.pop("", None)
-        ends = in_rows(words, list(marks), n_bytes(0), "\n".join)[0] | {"": b""}
-        out = {k: a + b for k, a, b in zip(own, map(known.get, own_words), map(ends.get, own_marks), strict=True) if a is not None and b is not None}
+        inner = [k for k in todo if k[:1] != START] if plain else []
+        out = {k: v for k, v in zip(inner, parted(inner), strict=True) if v is not None} if inner else {}
         # The others go through the whole tokenizer, in rows where they keep their bounds.
         rest = [k for k in todo if k not in out] if len(out) < len(todo) else []
         kinds = [[], [], []]  # after a blank, after a line end, alone

@@ -104,11 +104,11 @@ def frame_moments(spark, sf_dir):
     return g.select("video_id", F.round("brightness_mean", 6).alias("brightness_mean"), F.round("sharpness_variance", 4).alias("sharpness_variance"))
 
 
-@query(f"WITH {V.FRAMES} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY sequence) - 1 AS BIGINT) AS sequence, sequence AS source_frame FROM f WHERE sequence >= 2 AND sequence < 60 AND (sequence - 2) % 5 = 0")
+@query(f"WITH {V.FRAMES} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY sequence) - 1 AS BIGINT) AS sequence, sequence AS source_frame FROM f WHERE sequence >= 2 AND (sequence - 2) % 5 = 0")
 def stride_extract(spark, sf_dir):
     from pyspark.sql import Window
 
-    f = V.frames(spark, sf_dir).where("sequence >= 2 and sequence < 60 and (sequence - 2) % 5 = 0")
+    f = V.frames(spark, sf_dir).where("sequence >= 2 and (sequence - 2) % 5 = 0")
     return f.select("video_id", (F.row_number().over(Window.partitionBy("video_id").orderBy("sequence")) - 1).cast("long").alias("sequence"), F.col("sequence").alias("source_frame"))
 
 
@@ -211,9 +211,13 @@ def targeted_pairs(spark, sf_dir):
     return _targeted(spark, sf_dir)
 
 
-@query(f"WITH {V.IMAGES} SELECT x.model_id, x.image_id AS id_a, x.idx AS idx_a, y.image_id AS id_b, y.idx AS idx_b, {_PAIR} FROM i x JOIN i y ON x.model_id = y.model_id AND x.idx BETWEEN 0 AND 499 AND y.idx BETWEEN 500 AND 1500")
+@query(f"WITH {V.IMAGES}, h AS (SELECT (max(idx) + 1) // 2 AS half FROM i) SELECT x.model_id, x.image_id AS id_a, x.idx AS idx_a, y.image_id AS id_b, y.idx AS idx_b, {_PAIR} FROM h, i x JOIN i y ON x.model_id = y.model_id WHERE x.idx < half AND y.idx >= half")
 def cross_pairs(spark, sf_dir):
-    return pairs.cross(V.images(spark, sf_dir), (0, 499), (500, 1500))
+    """Every image of the first half of the capture with those of the second, model by model."""
+    i = V.images(spark, sf_dir)
+    last = pairs.indexed(i).agg(F.max("idx")).first()[0]
+    half = (last + 1) // 2
+    return pairs.cross(i, (0, half - 1), (half, last))
 
 
 @query(f"WITH {V.IMAGES} SELECT x.model_id, {_PAIR} FROM i x JOIN i y ON x.model_id = y.model_id AND y.image_id = x.image_id + 1")
@@ -318,9 +322,12 @@ def observation_points(spark, sf_dir):
     return o.join(p, "point3d_id").select("image_id", "ordinal", "point3d_id", "u", "v", "size")
 
 
-@query("SELECT DISTINCT l_partkey AS point3d_id FROM lineitem WHERE l_orderkey BETWEEN 100 AND 900 AND l_partkey <> -1")
+@query("SELECT DISTINCT l_partkey AS point3d_id FROM lineitem, (SELECT max(l_orderkey) AS last FROM lineitem) WHERE l_orderkey BETWEEN last // 10 AND last - last // 10 AND l_partkey <> -1")
 def frame_range_points(spark, sf_dir):
-    o = V.table(spark, sf_dir, "lineitem").where(F.col("l_orderkey").between(100, 900) & (F.col("l_partkey") != -1))
+    """Points seen between the first and the last tenth of the frames."""
+    o = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    last = o.agg(F.max("l_orderkey")).first()[0]
+    o = o.where(F.col("l_orderkey").between(last // 10, last - last // 10) & (F.col("l_partkey") != -1))
     return o.select(F.col("l_partkey").alias("point3d_id")).distinct()
 
 

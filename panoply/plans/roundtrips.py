@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import kernels, tables
-from ..operators import clouds, keyframes, mesh, pairs, sequence, trajectory
+from ..operators import clouds, keyframes, mesh, pairs, sequence
 from ..schemas import ExtractionConfig
 from ..session import shared_path, written
 from ..sources import files, sinks
 from ..streaming import keyframes as streams
 from . import sparse, stitch
 from . import views as V
-from .queries import _MESH, _PAIR, _STORED, BINS, CFG, CHECKS, KEYFRAMES, query, rounded
+from .queries import _MESH, _STORED, BINS, CFG, CHECKS, KEYFRAMES, SQL, query, rounded
 
 # Text files of a sparse model
 
@@ -334,6 +334,17 @@ def picture_quality(spark, sf_dir):
     return q.select("vec_id", F.round("sharpness", 6).alias("sharpness"), F.round("brightness_mean", 6).alias("brightness_mean"))
 
 
+@query(SQL["picture_quality"])
+def image_source_quality(spark, sf_dir):
+    """The same figures of pictures that go through PNG files and Spark's image source."""
+    folder = shared_path(spark, "pictures")
+    made = _mapped(_pictures(spark, sf_dir), lambda p: (sinks.png(p[..., None].repeat(3, axis=2)),), "png binary")
+    made = made.withColumn("file", F.concat("vec_id", F.lit(".png")))
+    sinks.image_files(made, folder, "file", "png")
+    q = kernels.frame_quality(spark.read.format("image").load(folder))
+    return q.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("vec_id"), F.round("sharpness", 6).alias("sharpness"), F.round("brightness_mean", 6).alias("brightness_mean"))
+
+
 @query(f"WITH {_PIXELS}, c AS (SELECT vec_id, (k // 8) // 2 AS y, (k % 8) // 2 AS x, CAST(floor(avg(p[k + 1]) + 0.5) AS BIGINT) AS v FROM g GROUP BY ALL) SELECT vec_id, string_agg(v, ' ' ORDER BY y, x) AS pixels FROM c GROUP BY vec_id")
 def picture_shrunk(spark, sf_dir):
     return _mapped(_pictures(spark, sf_dir), lambda p: (" ".join(map(str, kernels.shrink(p, 4).ravel().tolist())),), "pixels string")
@@ -393,16 +404,29 @@ def tumbling_coverage(spark, sf_dir):
     return streams.coverage_stream(e).select("video_id", F.unix_micros("start").alias("start_us"), "candidate_count")
 
 
-@query(KEYFRAMES.replace("WHEN n.rn = n.cnt THEN 'last_frame'", "WHEN false THEN ''").replace("n.sharpness < n.blur", "n.sharpness < 20.0") + " SELECT video_id, sequence, selected, reason FROM w")
-def keyframe_stream(spark, sf_dir):
+_STREAM = KEYFRAMES.replace("WHEN n.rn = n.cnt THEN 'last_frame'", "WHEN false THEN ''").replace("n.sharpness < n.blur", "n.sharpness < 20.0") + " SELECT video_id, sequence, selected, reason FROM w"
+
+
+def _streamed(spark, sf_dir, select) -> DataFrame:
     folder = shared_path(spark, "stream")
     f = V.frames(spark, sf_dir).select("video_id", "sequence", "timestamp_s", "sharpness", "feature_count")
     f.repartition(1).write.parquet(f"{folder}/in")  # one file is one batch
-    stream = streams.select_stream(spark.readStream.schema(f.schema).parquet(f"{folder}/in"), CFG, blur=20.0)
+    stream = select(spark.readStream.schema(f.schema).parquet(f"{folder}/in"), CFG, blur=20.0)
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("video_id", "sequence", "selected", "reason")
 
 
+@query(_STREAM)
+def keyframe_stream(spark, sf_dir):
+    return _streamed(spark, sf_dir, streams.select_stream)
+
+
+@query(_STREAM)
+def keyframe_stream_processor(spark, sf_dir):
+    with streams.rocks(spark):
+        return _streamed(spark, sf_dir, streams.process_stream)
+
+
 # Composites
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.keyframes import Pair, decide, value_pair
@@ -37,6 +40,53 @@ def select_stream(frames: DataFrame, cfg: KeyframeConfig, blur: float, pair: Pai
     return frames.groupBy("video_id").applyInPandasWithState(fold, OUT, "t double, s double, f long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: The state of a video: its last selected frame.
+STATE = "timestamp_s double, sharpness double, feature_count long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class KeyframeProcessor(StatefulProcessor):
+    """The same decisions by a stateful processor, whose state a store on disk holds."""
+
+    def __init__(self, cfg: KeyframeConfig, blur: float, pair: Pair):
+        self.cfg, self.blur, self.pair = cfg, blur, pair
+
+    def init(self, handle):
+        self.last = handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
+        held = self.last.get() if self.last.exists() else None
+        last = dict(zip(("timestamp_s", "sharpness", "feature_count"), held, strict=True)) if held else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["timestamp_s", "sequence"]).to_dict("records"):
+            selected, reason, *_ = decide(r, last, False, self.blur, self.cfg, self.pair)
+            out.append((key[0], r["sequence"], r["timestamp_s"], selected, reason))
+            last = r if selected else last
+        self.last.update((float(last["timestamp_s"]), float(last["sharpness"]), int(last["feature_count"])))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def close(self):
+        pass
+
+
+def process_stream(frames: DataFrame, cfg: KeyframeConfig, blur: float, pair: Pair | None = None) -> DataFrame:
+    """select_stream() for streams with more videos than memory holds: their state is in RocksDB (see rocks())."""
+    processor = KeyframeProcessor(cfg, blur, pair or value_pair())
+    return frames.groupBy("video_id").transformWithStateInPandas(processor, OUT, "append", "None")
+
+
+@contextmanager
+def rocks(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def coverage_stream(frames: DataFrame, time: str = "ts", size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Frames in each tumbling window of each video; windows are half open, unlike the closed bins of the batch report."""
     w = frames.withWatermark(time, late).groupBy(F.window(time, size), "video_id").agg(F.count("*").alias("candidate_count"))
