@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panoply.functions import calibration as C
 from panoply.functions import exprs as X
 from panoply.functions import kernels as K
-from panoply.operators import clouds, keyframes, mesh, pairs, sequence, trajectory
+from panoply.operators import clouds, graph, keyframes, mesh, pairs, sequence, trajectory
 from panoply.plans.catalog import QUERIES, SQL
 from panoply.schemas import ExtractionConfig, KeyframeConfig, Manifest, MetricReference
 from panoply.sources import files, ranges, sinks
@@ -144,6 +144,39 @@ def test_many_meshes_and_clouds_at_once(spark):
     assert {r.d: r.nearest for r in near.collect()} == {"p": 1.0, "q": 2.0}
 
 
+EDGES = {
+    "chain": [(i, i + 1) for i in range(40)],
+    "star": [(7, i) for i in range(8, 60)],
+    "two smaller neighbours": [(5, 1), (5, 2)],
+    "loops, repeats and nulls": [(3, 3), (4, 9), (9, 4), (4, 9), (None, 1), (2, None)],
+    "random": [tuple(map(int, e)) for e in np.random.default_rng(3).integers(0, 300, (200, 2))],
+    "empty": [],
+}
+
+
+@pytest.mark.parametrize("name", EDGES)
+def test_components_against_union_find(spark, name):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in EDGES[name]:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = graph.connected(spark.createDataFrame(EDGES[name], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(root))
+
+
+def test_stars(spark):
+    is_star = lambda links: graph.stars(spark.createDataFrame(links, "u long, v long"))
+    assert is_star([(2, 1), (3, 1), (9, 8)]) and is_star([])
+    assert not is_star([(3, 2), (2, 1)]) and not is_star([(3, 1), (3, 2)])
+
+
 def test_large_component_is_sampled_evenly(spark, monkeypatch):
     line = spark.range(9000).selectExpr("id as vid", "double(id) as x", "0D as y", "0D as z")
     far = spark.range(3).selectExpr("id + 9000 as vid", "double(id) + 9500 as x", "0D as y", "0D as z")
