@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KeyframeConfig
+from ..session import written
 from .sequence import coverage_bins, selected_gaps
 
 #: (motion ratio, track ratio) of a frame against the last selected one.
@@ -98,7 +99,8 @@ def pixel_pair(most: int = 600) -> Pair:
 
 
 def report(decisions: DataFrame, cfg: KeyframeConfig, key: str = "video_id") -> DataFrame:
-    """One row a video: counts, rate, coverage, gaps, gates."""
+    """One row a video: counts, rate, coverage, gaps, gates. Four branches read the decisions, so they are written once: the fold runs once."""
+    decisions = written(decisions, "decisions")
     w = Window.partitionBy(key).orderBy("timestamp_s", "sequence")
     first = F.row_number().over(w) == 1  # the first keyframe has no pair
     d = decisions.withColumn("_pair", F.when(F.col("selected") & ~first, F.col("track_ratio")))
