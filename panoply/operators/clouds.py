@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import distance, transform_point
 from ..schemas import need
 from ..session import written
+from .neighbours import nearest_points
+from .sequence import quantiles
 
 AXES = ["x", "y", "z"]
 
@@ -25,70 +27,23 @@ def merged(main: DataFrame, secondary: DataFrame, meters_per_unit: float = 1.0)
     return both.withColumns({a: F.col(a) * meters_per_unit for a in AXES})
 
 
-def _extent(*clouds: DataFrame) -> float:
-    """The longest edge of the box around all clouds, 0 if they are empty."""
-    every = clouds[0].select(*AXES)
-    for c in clouds[1:]:
-        every = every.union(c.select(*AXES))
-    return every.agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("e")).first()["e"] or 0.0
-
-
-def _around(queries: DataFrame, points: DataFrame, edge: float, by: list[str]) -> DataFrame:
-    """Each query with every point of the 27 cells around its own, inside its own dataset, and their distance _d: all points within one edge are among them."""
-    grid = lambda a, d=0: F.floor(F.col(a) / edge) + d
-    p = points.select(*by, *[F.col(a).alias(f"p{a}") for a in AXES], *[grid(a).alias(f"g{a}") for a in AXES])
-    q = queries
-    for a in AXES:
-        q = q.withColumn(f"g{a}", F.explode(F.array(*[grid(a, d) for d in (-1, 0, 1)])))
-    return q.join(p, [*by, *[f"g{a}" for a in AXES]]).withColumn("_d", distance([F.col(a) for a in AXES], [F.col(f"p{a}") for a in AXES]))
-
-
-def _widening(queries: DataFrame, points: DataFrame, keys: list[str], by: list[str], cell: float, search) -> DataFrame:
-    """search(pairs) -> (keys, reach, ...) for queries whose answer lies within ``reach``; those not settled within an edge go
-    on with cells of twice the edge. The edge ends at the clouds' extent, where the cells around hold all points, so rounds
-    grow with the logarithm of it. A query without any point gives no row."""
-    need(cell > 0, "cell must be positive")
-    extent, todo, out = _extent(queries, points), queries.select(*keys, *AXES), None
-    while True:
-        found = search(_around(todo, points, cell, by))
-        if cell < extent:
-            found = found.where(F.col("reach") <= cell)
-        found = written(found, "near")
-        out = found if out is None else out.unionByName(found)
-        if cell >= extent:
-            return out.drop("reach")
-        todo = written(todo.join(found.select(*keys), keys, "left_anti"), "far")
-        if todo.isEmpty():
-            return out.drop("reach")
-        cell *= 2
-
-
-def nearest(queries: DataFrame, points: DataFrame, key: str, cell: float, by: list[str] | None = None) -> DataFrame:
-    """Each query's distance to the nearest point of its dataset (columns ``by``): keys, nearest. Copies of a point count once."""
-    by = by or []
-    keys = [*by, key]
-    search = lambda pairs: pairs.groupBy(*keys).agg(F.min("_d").alias("nearest")).withColumn("reach", F.col("nearest"))
-    return _widening(queries, points.select(*by, *AXES).distinct(), keys, by, cell, search)
+def nearest(queries: DataFrame, points: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+    """Each query's distance to the nearest point of its dataset (columns ``by``): keys, nearest. A query without any point gives no row."""
+    found = nearest_points(queries, points, key, 1, by=by)
+    return found.select(*(by or []), key, F.col("near")[0]["d"].alias("nearest"))
 
 
-def neighbour_distance(points: DataFrame, key: str, k: int = 20, cell: float = 0.1, by: list[str] | None = None) -> DataFrame:
+def neighbour_distance(points: DataFrame, key: str, k: int = 20, by: list[str] | None = None) -> DataFrame:
     """keys, mean_distance: each point's mean distance to the k nearest points of its dataset, itself included (all points if fewer)."""
-    need(k > 0, "k must be positive")
-    by = by or []
-    keys = [*by, key]
-
-    def search(pairs: DataFrame) -> DataFrame:
-        ranked = pairs.select(*keys, "_d").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_d"))).where(F.col("_r") <= k)
-        g = ranked.groupBy(*keys).agg(F.avg("_d").alias("mean_distance"), F.max("_d").alias("reach"), F.count("*").alias("_n"))
-        return g.select(*keys, "mean_distance", F.when(F.col("_n") < k, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
+    found = nearest_points(points, points, key, k, by=by)
+    total = F.aggregate("near", F.lit(0.0), lambda t, p: t + p["d"])
+    return found.select(*(by or []), key, (total / F.size("near")).alias("mean_distance"))
 
-    return _widening(points, points, keys, by, cell, search)
 
-
-def without_outliers(points: DataFrame, key: str, k: int = 20, ratio: float = 2.5, cell: float = 0.1, by: list[str] | None = None) -> DataFrame:
+def without_outliers(points: DataFrame, key: str, k: int = 20, ratio: float = 2.5, by: list[str] | None = None) -> DataFrame:
     """Points whose mean neighbour distance is positive and not over their dataset's mean by ``ratio`` deviations or more."""
     by = by or []
-    d = written(neighbour_distance(points, key, k, cell, by), "distances")
+    d = written(neighbour_distance(points, key, k, by), "distances")
     limits = d.groupBy(*by).agg((F.avg("mean_distance") + ratio * F.coalesce(F.stddev_samp("mean_distance"), F.lit(0.0))).alias("limit"))
     both = d.join(limits, by) if by else d.join(F.broadcast(limits))  # without datasets limits is one row
     kept = both.where((F.col("mean_distance") > 0) & (F.col("mean_distance") < F.col("limit")))
@@ -101,12 +56,11 @@ MOMENTS = ["xx", "xy", "xz", "yy", "yz", "zz"]
 
 def neighbour_moments(points: DataFrame, key: str, radius: float = 0.10, most: int = 40, by: list[str] | None = None) -> DataFrame:
     """keys, neighbours and the covariance of the ``most`` nearest points within ``radius`` in the same dataset, the point itself included."""
-    need(radius > 0 and most > 0, "radius and count must be positive")
-    by = by or []
-    keys = [*by, key]
-    pairs = _around(points.select(*keys, *AXES), points, radius, by).where(F.col("_d") <= radius)
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", *[f"p{a}" for a in AXES]))).where(F.col("_r") <= most)
-    return near.groupBy(*keys).agg(F.count("*").alias("neighbours"), *[F.covar_pop(f"p{m[0]}", f"p{m[1]}").alias(m) for m in MOMENTS])
+    found = nearest_points(points, points, key, most, radius, by)
+    mean = lambda f: F.aggregate("near", F.lit(0.0), lambda t, p: t + f(p)) / F.size("near")
+    found = found.withColumns({f"_{a}": mean(lambda p, a=a: p[a]) for a in AXES})
+    moment = lambda m: mean(lambda p: (p[m[0]] - F.col(f"_{m[0]}")) * (p[m[1]] - F.col(f"_{m[1]}")))
+    return found.select(*(by or []), key, F.size("near").cast("long").alias("neighbours"), *[moment(m).alias(m) for m in MOMENTS])
 
 
 def normals(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -> DataFrame:
@@ -125,7 +79,9 @@ def normals(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -
 
 
 def seam_gate(distances: DataFrame, limit: float = 0.25, share: float = 0.50) -> DataFrame:
-    g = distances.agg(F.median("nearest").alias("seam_median_m"), F.avg((F.col("nearest") <= limit).cast("double")).alias("seam_within_fraction"))
+    distances = written(distances.select("nearest"), "seam")
+    g = distances.agg(F.avg((F.col("nearest") <= limit).cast("double")).alias("seam_within_fraction"))
+    g = quantiles(distances, [], "nearest", {"seam_median_m": 0.5}).join(F.broadcast(g))  # one row each
     return g.withColumn("seam_geometry_gate_passed", (F.col("seam_median_m") <= limit) & (F.col("seam_within_fraction") >= share))
 
 
@@ -143,9 +99,10 @@ def cropped(points: DataFrame, low: tuple[float, float, float], high: tuple[floa
 
 def spread(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, spread: the median distance of a group's points from the point of their median coordinates."""
-    middle = points.groupBy(*keys).agg(*[F.median(a).alias(f"_{a}") for a in AXES])
+    axes = points.select(*keys, F.posexplode(F.array(*AXES)).alias("_i", "_c"))
+    middle = quantiles(axes, [*keys, "_i"], "_c", {"_m": 0.5}).groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(f"_{a}") for i, a in enumerate(AXES)])
     d = distance([F.col(a) for a in AXES], [F.col(f"_{a}") for a in AXES])
-    return points.join(middle, keys).groupBy(*keys).agg(F.median(d).alias("spread"))
+    return quantiles(points.join(middle, keys).select(*keys, d.alias("_d")), keys, "_d", {"spread": 0.5})
 
 
 def boxes(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,7 +110,7 @@ def boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("*").alias("points"), *[f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES])
 
 
-def dense_summary(clouds: DataFrame, key: str, voxel: float, k: int = 20, ratio: float = 2.5, cell: float | None = None) -> tuple[DataFrame, DataFrame]:
+def dense_summary(clouds: DataFrame, key: str, voxel: float, k: int = 20, ratio: float = 2.5) -> tuple[DataFrame, DataFrame]:
     """The fused cloud, and one row for each component with its counts on the way and the box around what is left.
 
     ``clouds`` (component, x, y, z) are already in one frame. Each component is thinned to one point a voxel and rid of its
@@ -162,7 +119,7 @@ def dense_summary(clouds: DataFrame, key: str, voxel: float, k: int = 20, ratio:
     by = ["component"]
     thin = voxels(clouds, voxel, by).withColumn(key, F.struct("vx", "vy", "vz"))
     thin = written(thin.select(*by, key, *AXES), "voxels")
-    kept = written(without_outliers(thin, key, k, ratio, cell or 4 * voxel, by), "cleaned")
+    kept = written(without_outliers(thin, key, k, ratio, by), "cleaned")
     raw = clouds.groupBy(*by).agg(F.count("*").alias("input_points"))
     down = thin.groupBy(*by).agg(F.count("*").alias("voxel_points"))
     clean = boxes(kept, by).withColumnRenamed("points", "clean_points")
@@ -172,7 +129,7 @@ def dense_summary(clouds: DataFrame, key: str, voxel: float, k: int = 20, ratio:
 
 def density_cut(points: DataFrame, density: str, keys: list[str], quantile: float = 0.03) -> DataFrame:
     """Points whose density is not under their group's quantile."""
-    cut = points.groupBy(*keys).agg(F.percentile(density, F.lit(quantile)).alias("_cut"))
+    cut = quantiles(points, keys, density, {"_cut": quantile})
     return points.join(cut, keys).where(F.col(density) >= F.col("_cut")).drop("_cut")
 
 

@@ -2,35 +2,113 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import need
 from ..session import written
 
 
+#: Accuracy of the sketch that bounds a quantile, and the group size up to which all values are looked at instead.
+SKETCH = 10_000
+
+
+def same(keys: list[str], left: str = "", right: str = "_") -> list:
+    """Join conditions on keys, nulls equal, whose right side has the prefix."""
+    return [F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}")) for k in keys]
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The keys and, under each name, the exact quantile of a share by linear interpolation. Null values don't count; a group without any gives nulls.
+
+    A mergeable sketch bounds each wanted place, with room for its error; one more aggregate counts the values between the
+    bounds and, in one sum, those outside. So no task holds a group's values: of a group of n rows some n / 1,000 distinct values
+    at most meet, whatever the group's size.
+    """
+    need(bool(shares) and all(0 <= p <= 1 for p in shares.values()), "shares lie between 0 and 1")
+    places, room = list(shares.values()), 3 / SKETCH
+    d = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    lows, highs = ([min(1.0, max(0.0, p + s * room)) for p in places] for s in (-1, 1))
+    b = d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [*lows, *highs], SKETCH).alias("_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    whole = F.col("_n") <= SKETCH // 2  # few rows: their places lie too close for shares of the sketch
+    b = b.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", *[F.when(whole, F.col("_min")).otherwise(F.col("_b")[i]).alias(f"_lo{i}") for i in range(len(places))], *[F.when(whole, F.col("_max")).otherwise(F.col("_b")[len(places) + i]).alias(f"_hi{i}") for i in range(len(places))])
+    both = d.join(b, same(keys)) if keys else d.join(F.broadcast(b))  # without keys b is one row
+    inside = reduce(lambda x, y: x | y, [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(places))])
+    under = F.array_max(F.array(*[F.when(F.col(f"_hi{i}") < F.col("_v"), F.col(f"_hi{i}")) for i in range(len(places))]))
+    found = both.where("_v is not null").groupBy(*keys, "_n", F.when(inside, F.col("_v")).otherwise(under).alias("_at"), (~inside).alias("_gap")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at", "_gap"))
+    found = found.withColumn("_upto", upto)
+    picks = []
+    for i, p in enumerate(places):
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, k in (("l", F.floor(place)), ("h", F.ceil(place))):
+            picks.append(F.min(F.when(F.col("_upto") > k, F.struct("_at", "_gap"))).alias(f"_{side}{i}"))
+    found = found.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], "_n").agg(*picks)
+
+    def result(i, p):
+        place, lo, hi = F.lit(float(p)) * (F.col("_n") - 1), F.col(f"_l{i}"), F.col(f"_h{i}")
+        x = F.when(F.ceil(place) == F.floor(place), lo["_at"]).otherwise((F.ceil(place) - place) * lo["_at"] + (place - F.floor(place)) * hi["_at"])
+        return F.when(lo["_gap"] | hi["_gap"], F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).otherwise(x)
+
+    out = found.select(*[f"_{k}" for k in keys], *[result(i, p).alias(f"_q{i}") for i, p in enumerate(places)])
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    out = groups.join(out, same(keys), "left") if keys else groups.join(out, F.lit(True), "left")
+    return out.select(*keys, *[F.col(f"_q{i}").alias(name) for i, name in enumerate(shares)])
+
+
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """min, p10, median, p90, max by linear interpolation."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = df.groupBy(*keys).agg(F.min(value).alias("minimum"), p.alias("p"), F.max(value).alias("maximum"))
-    return out.select(*keys, "minimum", F.col("p")[0].alias("p10"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p90"), "maximum")
+    return quantiles(df, keys, value, {"minimum": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "maximum": 1.0})
+
 
+def before(df: DataFrame, keys: list[str], order: list[str], **values) -> DataFrame:
+    """df and, under each name, the last value that isn't null among the rows before each row in its group's order.
 
-def largest_gap(df: DataFrame, keys: list[str], order: list, index: str) -> DataFrame:
+    A struct is never null: of one, it is the row right before. Rows are range-sorted by group and order; inside a range a window
+    looks back, and a range's first rows take the last values of the ranges before, of which there is one row each. So no task
+    sees a whole group, however large. Rows of one place in the order come in any order.
+    """
+    rows = df.withColumns({f"_of_{n}": v for n, v in values.items()}).repartitionByRange(*keys, *order)
+    rows = written(rows.withColumn("_range", F.spark_partition_id()), "ranges")
+    last = [F.max_by(f"_of_{n}", F.when(F.col(f"_of_{n}").isNotNull(), F.struct(*order))).alias(f"_at_{n}") for n in values]
+    ends = rows.groupBy("_range", *keys).agg(*last)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_range").alias("__range"), *[F.col(k).alias(f"_{k}") for k in keys], *[F.last(f"_at_{n}", True).over(earlier).alias(f"_at_{n}") for n in values])
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_in_{n}": F.last(f"_of_{n}", True).over(inside) for n in values}).join(ends, same(["_range", *keys]), "left")
+    return rows.select(*df.columns, *[F.coalesce(f"_in_{n}", f"_at_{n}").alias(n) for n in values])
+
+
+def largest_gap(df: DataFrame, keys: list[str], order: list[str], index: str) -> DataFrame:
     """The largest difference of successive known indices in the given order; null with fewer than two."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.where(F.col(index).isNotNull()).withColumn("_d", F.col(index) - F.lag(index).over(w)).groupBy(*keys).agg(F.max("_d").alias("largest_gap"))
+    d = before(df.where(F.col(index).isNotNull()).select(*dict.fromkeys([*keys, *order, index])), keys, order, _was=F.col(index))
+    return d.groupBy(*keys).agg(F.max(F.col(index) - F.col("_was")).alias("largest_gap"))
 
 
 def missing_ranges(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     """first, last of each run of absent indices between present ones."""
-    w = Window.partitionBy(*keys).orderBy(index)
-    return df.select(*keys, index).distinct().withColumn("_n", F.lead(index).over(w)).where(F.col("_n") - F.col(index) > 1).select(*keys, (F.col(index) + 1).alias("first"), (F.col("_n") - 1).alias("last"))
+    d = before(df.select(*keys, index).where(F.col(index).isNotNull()).distinct(), keys, [index], _was=F.col(index))
+    return d.where(F.col(index) - F.col("_was") > 1).select(*keys, (F.col("_was") + 1).alias("first"), (F.col(index) - 1).alias("last"))
 
 
 def selected_gaps(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """The longest time between successive rows, 0 with one row."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    return df.withColumn("_d", F.col(time) - F.lag(time).over(w)).groupBy(*keys).agg(F.coalesce(F.max("_d"), F.lit(0.0)).alias("max_gap_s"))
+    d = before(df.select(*keys, time), keys, [time], _was=F.col(time))
+    return d.groupBy(*keys).agg(F.coalesce(F.max(F.col(time) - F.col("_was")), F.lit(0.0)).alias("max_gap_s"))
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], flag, time: str) -> DataFrame:
+    """keys, since, start, end, rows of each run of successive rows for which the flag holds (a null flag doesn't). since is the
+    time of the row before the run, null if there is none.
+
+    The rows of a run share the last row before them that isn't flagged: that one carry names the run.
+    """
+    on = F.coalesce(flag, F.lit(False))
+    d = before(df.select(*dict.fromkeys([*keys, *order, time]), on.alias("_on")), keys, order, _break=F.when(~F.col("_on"), F.struct(*order, F.col(time).alias("_since"))))
+    runs = d.where("_on").groupBy(*keys, "_break").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("rows"))
+    return runs.select(*keys, F.col("_break._since").alias("since"), "start", "end", "rows")
 
 
 def coverage_bins(df: DataFrame, keys: list[str], time: str, selected: str, size: float) -> DataFrame:

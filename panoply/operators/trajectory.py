@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .sequence import largest_gap
+from ..session import written
+from .sequence import before, quantiles
 
 XYZ = ["cx", "cy", "cz"]
 
@@ -17,21 +18,24 @@ def with_centers(poses: DataFrame) -> DataFrame:
     return poses.withColumns(dict(zip(XYZ, c, strict=True)))
 
 
+def _stepped(poses: DataFrame, key: str) -> DataFrame:
+    """Poses with centres, the distance from the pose before by name (step), the frame index and the last known one before it (was)."""
+    c = with_centers(poses).withColumn("idx", X.frame_index_loose(F.col("image_name")))
+    c = before(c, [key], ["image_name"], at=F.struct(*XYZ), was=F.col("idx"))
+    return c.withColumn("step", X.distance([F.col(n) for n in XYZ], [F.col("at")[n] for n in XYZ]))
+
+
 def steps(poses: DataFrame, key: str = "model_id") -> DataFrame:
     """Each pose after the first by name with its distance from the one before."""
-    w = Window.partitionBy(key).orderBy("image_name")
-    d = X.distance([F.col(c) for c in XYZ], [F.lag(c).over(w) for c in XYZ])
-    return with_centers(poses).withColumn("step", d).where(F.col("step").isNotNull())
+    return _stepped(poses, key).where(F.col("step").isNotNull()).drop("idx", "at", "was")
 
 
 def report(poses: DataFrame, key: str = "model_id", expected: DataFrame | None = None) -> DataFrame:
     """One row a model. Models need two poses and a path; ``expected`` (key, expected_images) adds the registration rate."""
-    c = with_centers(poses)
-    w = Window.partitionBy(key).orderBy("image_name")
-    c = c.withColumn("step", X.distance([F.col(n) for n in XYZ], [F.lag(n).over(w) for n in XYZ])).withColumn("idx", X.frame_index_loose(F.col("image_name")))
+    c = written(_stepped(poses, key), "steps")  # the aggregate and the quantiles read it
     end = F.struct(*XYZ, "q")
-    g = c.groupBy(key).agg(F.count("*").alias("registered_images"), F.sum("step").alias("path_length_units"), F.median("step").alias("median_step_units"), F.percentile("step", F.lit(0.95)).alias("p95_step_units"), F.max("step").alias("max_step_units"), F.min_by(end, "image_name").alias("a"), F.max_by(end, "image_name").alias("z"))
-    g = g.join(largest_gap(c, [key], ["image_name"], "idx").withColumnRenamed("largest_gap", "largest_frame_index_gap"), key, "left")
+    g = c.groupBy(key).agg(F.count("*").alias("registered_images"), F.sum("step").alias("path_length_units"), F.max("step").alias("max_step_units"), F.max(F.col("idx") - F.col("was")).alias("largest_frame_index_gap"), F.min_by(end, "image_name").alias("a"), F.max_by(end, "image_name").alias("z"))
+    g = g.join(quantiles(c, [key], "step", {"median_step_units": 0.5, "p95_step_units": 0.95}), key, "left")
     g = g.join(expected, key, "left") if expected is not None else g.withColumn("expected_images", F.lit(None).cast("long"))
     wrong = F.when(F.col("registered_images") < 2, F.lit("a trajectory needs two poses or more")).when(F.col("path_length_units") == 0, F.lit("all poses stand at one place")).when(F.col("expected_images") < F.col("registered_images"), F.lit("fewer images are expected than have a pose"))
     g = g.withColumn("registered_images", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(F.col("registered_images")))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import clouds, keyframes, mesh, pairs, sequence, trajectory
+from ..operators import clouds, keyframes, mesh, pairs, preflight, sequence, trajectory
 from ..schemas import KeyframeConfig
 from ..session import written
 from . import views as V
@@ -191,6 +192,40 @@ def keyframe_report(spark, sf_dir):
     return rounded(r.select("video_id", "candidate_frames", "selected_keyframes", "selection_rate", "duration_s", "covered_bins", "total_bins", "all_time_bins_covered", "max_selected_gap_s", "max_gap_at_most_1_5x_target"))
 
 
+#: Parameters for one long video of each event type: half an hour to two hours between keyframes, so that a video has many blocks.
+LONG = replace(CFG, min_interval_s=1800.0, max_interval_s=7200.0)
+
+
+@query(KEYFRAMES.replace("user_id", "event_type").replace("21600", "1800").replace("86400", "7200") + " SELECT video_id, sequence, selected, reason FROM w")
+def keyframe_long_videos(spark, sf_dir):
+    """All events of a type as one video, decided block by block."""
+    return keyframes.select(V.frames(spark, sf_dir, "event_type"), LONG).select("video_id", "sequence", "selected", "reason")
+
+
+# Preflight
+
+_LOW = f"""WITH {V.FRAMES}, r AS (SELECT *, row_number() OVER o AS rn, lag(timestamp_s) OVER o AS since, greatest(0, 1 - abs(sharpness - lag(sharpness) OVER o) / 500) AS track FROM f WINDOW o AS (PARTITION BY video_id ORDER BY timestamp_s, sequence))"""
+
+
+@query(_LOW + """ SELECT video_id, round(min(since), 6) AS since, round(min(timestamp_s), 6) AS start, round(max(timestamp_s), 6) AS end, count(*) AS rows
+    FROM (SELECT *, rn - row_number() OVER (PARTITION BY video_id ORDER BY rn) AS g FROM r WHERE track < 0.5) GROUP BY video_id, g""")
+def low_track_intervals(spark, sf_dir):
+    f = preflight.with_tracks(V.frames(spark, sf_dir), ["video_id"], 500.0)
+    return rounded(sequence.islands(f, ["video_id"], preflight.ORDER, F.col("track_ratio") < 0.5, "timestamp_s"))
+
+
+@query("SELECT l_linestatus, length, count(*) AS points FROM (SELECT l_linestatus, l_partkey, count(DISTINCT l_orderkey) AS length FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def track_lengths(spark, sf_dir):
+    """Parts as points and orders as images, for the two line states as models."""
+    return preflight.track_lengths(V.table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_partkey", "l_orderkey")
+
+
+@query("""SELECT l_linestatus, count(*) AS points, CAST(sum(length) AS BIGINT) AS observations, round(avg(length), 6) AS mean_length, max(length) AS longest, median(length) AS median_length, round(quantile_cont(length, 0.9), 6) AS p90_length
+    FROM (SELECT l_linestatus, l_partkey, count(DISTINCT l_orderkey) AS length FROM lineitem GROUP BY ALL) GROUP BY ALL""")
+def track_summary(spark, sf_dir):
+    return rounded(preflight.track_summary(V.table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_partkey", "l_orderkey"))
+
+
 # Image pairs
 
 @query(f"WITH {V.IMAGES}, r AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY name) AS k, count(*) OVER (PARTITION BY model_id) AS n FROM i) SELECT x.model_id, x.name AS a, y.name AS b FROM r x JOIN r y ON x.model_id = y.model_id AND x.k <= least(10, x.n // 2) AND y.k > y.n - least(10, y.n // 2)")
@@ -273,6 +308,11 @@ def scale_summary(spark, sf_dir):
     return rounded(clouds.scale_summary(_checks(spark, sf_dir), "brand"), 5)
 
 
+@query(f"WITH {CHECKS} SELECT brand, count(*) AS checks, round(median(percent_error), 5) AS median_percent_error, round(max(percent_error), 5) AS worst_percent_error, median(percent_error) <= 5 AND max(percent_error) <= 10 AS dimensions_gate FROM r GROUP BY brand")
+def dimension_gates(spark, sf_dir):
+    return rounded(preflight.dimension_gates(_checks(spark, sf_dir), "brand"), 5)
+
+
 TURN, SHIFT, SCALE = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [0.5, -0.25, 1.0], 1.2272
 
 
@@ -302,7 +342,7 @@ _SEAM = f"WITH {V.POINTS}, d AS (SELECT s.point3d_id, min(sqrt(pow(s.x-m.x,2)+po
 
 def _seam(spark, sf_dir):
     p = V.points(spark, sf_dir)
-    return clouds.nearest(p.where("label = 1"), p.where("label = 0"), "point3d_id", 0.25)
+    return clouds.nearest(p.where("label = 1"), p.where("label = 0"), "point3d_id")
 
 
 @query(_SEAM + " SELECT point3d_id, round(nearest, 6) AS nearest FROM d")

@@ -97,8 +97,8 @@ def stitch(spark: SparkSession, main: str, secondary: str, images: str, main_tap
     metric = lambda d: d.select("point3d_id", "x", "y", "z").distinct().withColumns({x: F.col(x) * m for x in "xyz"})
     near_b = metric(clouds.moved(observed(spark, secondary, max(0, secondary_seam - 10), secondary_seam, cloud_b), *move))
     near_a = metric(observed(spark, main, main_seam, main_seam + 10, cloud_a))
-    seam = clouds.seam_gate(clouds.nearest(near_b, near_a, "point3d_id", 0.25)).first()
-    gap = sequence.missing_ranges(cameras.withColumn("_k", F.lit(0)), ["_k"], "frame").orderBy("first").collect()
+    seam = clouds.seam_gate(clouds.nearest(near_b, near_a, "point3d_id")).first()
+    gap = sequence.missing_ranges(cameras, [], "frame").orderBy("first").collect()
     turn = turn_a @ (turn_b @ world.T).T
     report = {
         "main_calibration": asdict(ca),

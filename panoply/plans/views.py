@@ -10,12 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events as a video's frames."""
-    w = Window.partitionBy("user_id")
+def frames(spark: SparkSession, sf_dir: str, video: str = "user_id") -> DataFrame:
+    """A user's events as a video's frames; or those of another column's values."""
+    w = Window.partitionBy(video)
     e = table(spark, sf_dir, "events")
     e = e.withColumn("_m", F.min("ts").over(w)).withColumn("sequence", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long"))
-    return e.select(F.col("user_id").alias("video_id"), "sequence", F.col("event_id").alias("source_frame"), (F.expr("timestampdiff(MICROSECOND, _m, ts)") / F.lit(1e6)).alias("timestamp_s"), F.col("value").alias("sharpness"), F.col("value").alias("brightness_mean"), F.get_json_object("props", "$.k").cast("long").alias("feature_count"))
+    return e.select(F.col(video).alias("video_id"), "sequence", F.col("event_id").alias("source_frame"), (F.expr("timestampdiff(MICROSECOND, _m, ts)") / F.lit(1e6)).alias("timestamp_s"), F.col("value").alias("sharpness"), F.col("value").alias("brightness_mean"), F.get_json_object("props", "$.k").cast("long").alias("feature_count"))
 
 
 FRAMES = """f AS (SELECT user_id AS video_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS sequence, event_id AS source_frame,

@@ -70,6 +70,21 @@ class KeyframeConfig:
         need(self.coverage_bin_s > 0, "coverage_bin_s must be positive")
 
 
+@dataclass(frozen=True)
+class PreflightConfig:
+    low_track: float = 0.5
+    least_median_track: float = 0.5
+    longest_low_track_s: float = 1.5
+    blur_below: float = 50.0
+    lasting_s: float = 1.0
+    most_blurred: float = 0.1
+    bin_s: float = 5.0
+
+    def __post_init__(self):
+        need(0 <= self.low_track <= 1 and 0 <= self.least_median_track <= 1 and 0 <= self.most_blurred <= 1, "ratios lie in 0..1")
+        need(self.bin_s > 0 and self.lasting_s >= 0 and self.longest_low_track_s >= 0, "times must not be negative, bins have a length")
+
+
 @dataclass(frozen=True)
 class MetricReference:
     name: str

@@ -64,13 +64,13 @@ def test_neighbours_far_and_near(spark):
     p = np.vstack([rng.uniform(0, 1, (150, 3)), [[40.0, 0, 0], [0.5, 0.5, 0.5], [0.5, 0.5, 0.5]]])
     df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
-    got = {r.id: r.nearest for r in clouds.nearest(df.where("id >= 140"), df.where("id < 140"), "id", 0.05).collect()}
+    got = {r.id: r.nearest for r in clouds.nearest(df.where("id >= 140"), df.where("id < 140"), "id").collect()}
     assert got == pytest.approx({i: d[i, :140].min() for i in range(140, len(p))})
     means = np.sort(d, axis=1)[:, :20].mean(1)
-    assert {r.id: r.mean_distance for r in clouds.neighbour_distance(df, "id", 20, 0.05).collect()} == pytest.approx(dict(enumerate(means)))
+    assert {r.id: r.mean_distance for r in clouds.neighbour_distance(df, "id", 20).collect()} == pytest.approx(dict(enumerate(means)))
     kept = {r.id for r in clouds.without_outliers(df, "id", 20, 2.5).collect()}
     assert kept == set(np.flatnonzero(means < means.mean() + 2.5 * means.std(ddof=1))) and 150 not in kept
-    assert clouds.nearest(df, df.where("id < 0"), "id", 0.05).count() == 0 and clouds.neighbour_distance(df.where("id < 0"), "id").count() == 0
+    assert clouds.nearest(df, df.where("id < 0"), "id").count() == 0 and clouds.neighbour_distance(df.where("id < 0"), "id").count() == 0
     flat = df.where("id < 150").selectExpr("id", "x", "y", "0D as z")
     n = clouds.normals(flat, "id", radius=0.4).toPandas()
     assert np.allclose(np.abs(n.nz), 1, atol=1e-6)

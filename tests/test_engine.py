@@ -140,7 +140,7 @@ def test_many_meshes_and_clouds_at_once(spark):
     assert {r.d: r.gap for r in mesh.sampled_gap(vs, labels, table, by=["d"]).collect()} == {"p": 9.0, "q": 18.0}
     assert {r.d: r.watertight for r in mesh.gates(table, areas, mesh.edge_summary(ts, ["d"]), ["d"]).collect()} == {"p": True, "q": True}
     points = vs.withColumnRenamed("vid", "id")
-    near = clouds.nearest(points.where("id = 0"), points.where("id > 0"), "id", 0.5, ["d"])
+    near = clouds.nearest(points.where("id = 0"), points.where("id > 0"), "id", ["d"])
     assert {r.d: r.nearest for r in near.collect()} == {"p": 1.0, "q": 2.0}
 
 
@@ -374,3 +374,85 @@ def test_keyframe_stream_agrees_with_the_batch_rules(spark, tmp_path):
         if selected:
             last[r["video_id"]] = r
     assert got == rows
+
+
+def plain_fold(rows, cfg, blur, pair):
+    """reason by (time, sequence), one row after the other."""
+    rows, last, out = sorted(rows, key=lambda r: (r["timestamp_s"], r["sequence"])), None, {}
+    for i, r in enumerate(rows):
+        selected, reason, elapsed, motion, _ = keyframes.decide(r, last, i == len(rows) - 1, blur, cfg, pair)
+        out[r["timestamp_s"], r["sequence"]] = selected, reason, round(elapsed, 6), round(motion, 6)
+        last = r if selected else last
+    return out
+
+
+@pytest.mark.parametrize("span", [2, 5, 64])
+def test_keyframes_in_blocks_equal_one_fold(spark, span):
+    rng = np.random.default_rng(span)
+    cfg = KeyframeConfig(min_interval_s=0.4, max_interval_s=1.2, motion_threshold=10.0, min_features=20, min_track_ratio=0.35)
+    rows = []
+    for video in range(3):
+        gaps = rng.choice([0.0, 0.1, 0.2, 0.35, 1.0, 3.0, 40.0], 300, p=[0.1, 0.3, 0.3, 0.2, 0.05, 0.04, 0.01])
+        times = np.round(np.cumsum(gaps), 3)
+        rows += [(video, i, float(t), float(v), int(k)) for i, (t, v, k) in enumerate(zip(times, rng.normal(100, 40, 300), rng.integers(10, 60, 300), strict=True))]
+    rows.append((9, 0, 5.0, 1.0, 30))
+    frames = spark.createDataFrame(rows, "video_id long, sequence long, timestamp_s double, sharpness double, feature_count long")
+    pair = keyframes.value_pair()
+    got = {}
+    for r in keyframes.select(frames.repartition(5), cfg, span=span).collect():
+        got.setdefault(r.video_id, {})[r.timestamp_s, r.sequence] = r.selected, r.reason, round(r.elapsed_s, 6), round(r.motion_ratio, 6)
+    names = ["video_id", "sequence", "timestamp_s", "sharpness", "feature_count"]
+    for video in (0, 1, 2, 9):
+        own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == video]
+        blur = float(np.percentile([r["sharpness"] for r in own], cfg.blur_percentile))
+        assert got[video] == plain_fold(own, cfg, blur, pair)
+
+
+def test_keyframe_blocks_with_pixels(spark):
+    rng = np.random.default_rng(12)
+    texture = (rng.random((60, 120)) * 255).astype(np.uint8)
+    shots = [np.ascontiguousarray(np.roll(texture, int(2.5 * i), 1)[:, :80]) for i in range(24)]
+    rows = [(0, i, i * 0.2, float(50 + i % 7), 100, shot.tobytes(), 60, 80) for i, shot in enumerate(shots)]
+    frames = spark.createDataFrame(rows, "video_id long, sequence long, timestamp_s double, sharpness double, feature_count long, gray binary, height int, width int")
+    cfg, pair = KeyframeConfig(min_interval_s=0.4, max_interval_s=1.0, motion_threshold=0.03, min_features=1, blur_percentile=0.0, min_track_ratio=0.1), keyframes.pixel_pair(100)
+    got = {(r.timestamp_s, r.sequence): (r.selected, r.reason, round(r.elapsed_s, 6), round(r.motion_ratio, 6)) for r in keyframes.select(frames, cfg, pair=pair, span=2).collect()}
+    names = ["video_id", "sequence", "timestamp_s", "sharpness", "feature_count", "gray", "height", "width"]
+    assert got == plain_fold([dict(zip(names, r, strict=True)) for r in rows], cfg, 50.0, pair)
+
+
+def test_quantiles_are_exact_at_any_size(spark):
+    rng = np.random.default_rng(2)
+    groups = {"one": [3.5], "two": [1.0, 2.0], "equal": [7.0] * 9000, "many": rng.normal(size=30_000).tolist(), "hot": [0.0] * 20_000 + rng.random(15_000).tolist(), None: [4.0, 1.0, 2.0], "odd": rng.integers(0, 5, 7001).astype(float).tolist()}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("empty", None), ("two", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r.k: list(r)[1:] for r in sequence.quantiles(df, ["k"], "v", shares).collect()}
+    assert got.pop("empty") == [None] * 5
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, list(shares.values())), rtol=0, atol=1e-12), k
+    every = [v for _, v in rows if v is not None]
+    assert np.allclose(list(sequence.quantiles(df, [], "v", shares).first()), np.quantile(every, list(shares.values())), rtol=0, atol=1e-12)
+    assert list(sequence.quantiles(df.limit(0), [], "v", shares).first()) == [None] * 5 and sequence.quantiles(df.limit(0), ["k"], "v", shares).count() == 0
+
+
+def test_values_before_and_islands_across_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, float(v) if v > 2 else None) for k in ("a", None) for i, v in enumerate(rng.integers(0, 9, 3000))]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(6)
+    got = {(r.k, r.i): (r.held, r.last.v if r.last else "none") for r in sequence.before(df, ["k"], ["i"], held=F.col("v"), last=F.struct("v")).collect()}
+    held, last = {}, {}
+    for k, i, v in rows:
+        assert got[k, i] == (held.get(k), last.get(k, "none"))
+        held[k], last[k] = v if v is not None else held.get(k), v
+    runs = sequence.islands(df, ["k"], ["i"], F.col("v") > 4, "i")
+    want = []
+    for n, (k, i, v) in enumerate(rows):
+        on = v is not None and v > 4
+        if on and (i == 0 or not (rows[n - 1][2] or 0) > 4):
+            want.append([k, i - 1 if i else None, i, i, 0])
+        if on:
+            want[-1][3], want[-1][4] = i, want[-1][4] + 1
+    key = lambda r: (r[0] or "", r[2])
+    assert sorted(map(tuple, runs.collect()), key=key) == sorted(map(tuple, want), key=key)
+    assert sequence.islands(df.limit(0), ["k"], ["i"], F.col("v") > 4, "i").count() == 0
