@@ -393,38 +393,73 @@ def cloud_spread(spark, sf_dir):
 
 @query("WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN d IS NULL OR d >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*) AS rows, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 12 HOUR) AS end_us FROM s GROUP BY user_id, k")
 def capture_sessions(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    us = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
-    return sequence.session_gaps(e, ["user_id"], "ts", "12 hours").select("user_id", "rows", us("start").alias("start_us"), us("end").alias("end_us"))
+    """Sessions in append mode, over parts with late rows."""
+    e, mark = _events(spark, sf_dir)
+    first = e.agg(F.min(F.unix_micros("ts"))).first()[0] or 0
+    plan = lambda s: sequence.session_gaps(s.withWatermark("ts", LATE), ["video_id"], "ts", "12 hours")
+    out = _arrived(spark, e, (F.unix_micros("ts") - first) / 1e6, plan, True, mark).where("video_id >= 0")
+    return out.select(F.col("video_id").alias("user_id"), "rows", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
 
 
-@query("SELECT user_id AS video_id, epoch_us(date_trunc('day', ts)) AS start_us, count(*) AS candidate_count FROM events GROUP BY ALL")
-def tumbling_coverage(spark, sf_dir):
+#: Seconds of the parts in which a stream's rows arrive, and of the watermark's delay.
+PART_S, LATE = 8 * 86400, "9 days"
+
+
+def _arrived(spark, rows: DataFrame, seconds, plan, late: bool = False, mark: DataFrame | None = None) -> DataFrame:
+    """What ``plan(stream)`` gives of rows that arrive in parts of some days, each part taken by a new start from the same checkpoint.
+
+    With ``late`` every fourth row comes one part late. ``mark`` holds rows of a far time, after all others, that move the watermark past them.
+    """
+    folder = shared_path(spark, "stream")
+    part = F.floor(seconds / PART_S) + (F.when(F.pmod(F.xxhash64(*rows.columns), F.lit(4)) == 0, 1).otherwise(0) if late else F.lit(0))
+    dealt = written(rows.withColumn("_part", part.cast("long")), "arrivals")
+    parts = [dealt.where(F.col("_part") == k).drop("_part") for k in range((dealt.agg(F.max("_part")).first()[0] or 0) + 1)]
+    for arriving in [*parts, *[mark] * (mark is not None)]:
+        arriving.select(*rows.columns).write.mode("append").parquet(f"{folder}/in")
+        out = plan(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).writeStream.format("parquet").option("path", f"{folder}/out")
+        out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Events as a stream's rows, their time in the session's zone, and the row that ends them."""
     e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"))
-    return streams.coverage_stream(e).select("video_id", F.unix_micros("start").alias("start_us"), "candidate_count")
+    return e, e.agg(F.lit(-1).cast("long").alias("video_id"), (F.max("ts") + F.expr("interval 1000 days")).alias("ts"))
 
 
-_STREAM = KEYFRAMES.replace("WHEN n.rn = n.cnt THEN 'last_frame'", "WHEN false THEN ''").replace("n.sharpness < n.blur", "n.sharpness < 20.0") + " SELECT video_id, sequence, selected, reason FROM w"
+@query("SELECT user_id AS video_id, epoch_us(date_trunc('day', ts)) AS start_us, count(*) AS candidate_count FROM events GROUP BY ALL")
+def tumbling_coverage(spark, sf_dir):
+    """Windows of a day in append mode, over parts with late rows."""
+    e, mark = _events(spark, sf_dir)
+    first = e.agg(F.min(F.unix_micros("ts"))).first()[0] or 0
+    out = _arrived(spark, e, (F.unix_micros("ts") - first) / 1e6, lambda s: streams.coverage_stream(s, late=LATE), True, mark)
+    return out.where("video_id >= 0").select("video_id", F.unix_micros("start").alias("start_us"), "candidate_count")
 
 
-def _streamed(spark, sf_dir, select) -> DataFrame:
-    folder = shared_path(spark, "stream")
-    f = V.frames(spark, sf_dir).select("video_id", "sequence", "timestamp_s", "sharpness", "feature_count")
-    f.repartition(1).write.parquet(f"{folder}/in")  # one file is one batch
-    stream = select(spark.readStream.schema(f.schema).parquet(f"{folder}/in"), CFG, blur=20.0)
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("video_id", "sequence", "selected", "reason")
+_STREAM = KEYFRAMES.replace("n.sharpness < n.blur", "n.sharpness < 20.0")
+_ENDLESS = _STREAM.replace("WHEN n.rn = n.cnt THEN 'last_frame'", "WHEN false THEN ''") + " SELECT video_id, sequence, selected, reason FROM w"
+_FRAME = ["video_id", "sequence", "timestamp_s", "sharpness", "feature_count"]
 
 
-@query(_STREAM)
+@query(_ENDLESS)
 def keyframe_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, streams.select_stream)
+    return _arrived(spark, V.frames(spark, sf_dir).select(*_FRAME), F.col("timestamp_s"), lambda s: streams.select_stream(s, CFG, blur=20.0)).select("video_id", "sequence", "selected", "reason")
 
 
-@query(_STREAM)
+@query(_ENDLESS)
 def keyframe_stream_processor(spark, sf_dir):
     with streams.rocks(spark):
-        return _streamed(spark, sf_dir, streams.process_stream)
+        return _arrived(spark, V.frames(spark, sf_dir).select(*_FRAME), F.col("timestamp_s"), lambda s: streams.process_stream(s, CFG, blur=20.0)).select("video_id", "sequence", "selected", "reason")
+
+
+@query(_STREAM + " SELECT video_id, sequence, selected, reason FROM w")
+def keyframe_stream_ordered(spark, sf_dir):
+    """Every fourth frame comes one part late; all are decided in the order of their times, the last ones too. Times begin a day after zero, where the watermark starts."""
+    f = V.frames(spark, sf_dir).select(*_FRAME, F.timestamp_micros((F.col("timestamp_s") * 1e6).cast("long") + 86_400_000_000).alias("ts"))
+    mark = f.agg(F.lit(-1).cast("long").alias("video_id"), F.lit(0).cast("long").alias("sequence"), F.lit(0.0).alias("timestamp_s"), F.lit(0.0).alias("sharpness"), F.lit(0).cast("long").alias("feature_count"), (F.max("ts") + F.expr("interval 1000 days")).alias("ts"))
+    with streams.rocks(spark):
+        out = _arrived(spark, f, F.col("timestamp_s"), lambda s: streams.ordered_stream(s, CFG, 20.0, late=LATE, idle_s=100 * 86400.0), True, mark)
+    return out.where("video_id >= 0").select("video_id", "sequence", "selected", "reason")
 
 
 # Composites

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import CANDIDATE
 from ..operators.trajectory import with_centers
 from ..schemas import CHECK, MANIFEST
-from . import ranges
+from . import posefiles, ranges
 
 # What a model analyzer's log says, and the type of each number.
 LOG = {"registered_images": (r"Registered images:\s+(\d+)", "long"), "points": (r"Points:\s+(\d+)", "long"), "observations": (r"Observations:\s+(\d+)", "long"), "mean_track_length": (r"Mean track length:\s+([0-9.eE+-]+)", "double"), "mean_observations_per_image": (r"Mean observations per image:\s+([0-9.eE+-]+)", "double"), "mean_reprojection_error_px": (r"Mean reprojection error:\s+([0-9.eE+-]+)px", "double")}
@@ -35,51 +35,12 @@ def parsed(files: DataFrame, parse, schema: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def image_records(text: str):
-    """(line number, header fields, points line) of a pose file: two lines a record, the second taken even if blank."""
-    lines = text.splitlines()
-    i = 0
-    while i < len(lines):
-        head = lines[i].strip()
-        if not head or head.startswith("#"):
-            i += 1
-            continue
-        fields = head.split(maxsplit=9)
-        if len(fields) != 10:
-            raise ValueError(f"line {i + 1}: a pose needs ten fields")
-        try:
-            record = int(fields[0]), [float(x) for x in fields[1:8]], int(fields[8]), fields[9]
-        except ValueError as e:
-            raise ValueError(f"line {i + 1}: {e}") from e
-        yield i + 1, record, lines[i + 1] if i + 1 < len(lines) else ""
-        i += 2
-
-
 def poses(spark: SparkSession, path: str, glob: str = "images.txt") -> DataFrame:
-    """path, image_id, image_name, q, t, cx, cy, cz from pose text files."""
-
-    def parse(p, content):
-        rows = [(p, r[0], r[3], r[1][:4], r[1][4:]) for _, r, _ in image_records(content.decode())]
-        if not rows:
-            raise ValueError(f"no poses in {p}")
-        return pd.DataFrame(rows, columns=["path", "image_id", "image_name", "q", "t"])
-
-    return with_centers(parsed(binary(spark, path, glob), parse, "path string, image_id long, image_name string, q array<double>, t array<double>"))
-
-
-def observations(spark: SparkSession, path: str, glob: str = "images.txt") -> DataFrame:
-    """path, image_id, image_name, ordinal, u, v, point3d_id; unmatched ones have -1."""
+    """path, image_id, image_name, q, t, cx, cy, cz from pose text files, each read in as many splits as its size asks for."""
+    return with_centers(posefiles.poses(spark, path, glob))
 
-    def parse(p, content):
-        rows = []
-        for n, r, points in image_records(content.decode()):
-            x = points.split()
-            if len(x) % 3:
-                raise ValueError(f"line {n + 1}: observations come in threes")
-            rows += [(p, r[0], r[3], k // 3, float(x[k]), float(x[k + 1]), int(x[k + 2])) for k in range(0, len(x), 3)]
-        return pd.DataFrame(rows, columns=["path", "image_id", "image_name", "ordinal", "u", "v", "point3d_id"])
 
-    return parsed(binary(spark, path, glob), parse, "path string, image_id long, image_name string, ordinal int, u double, v double, point3d_id long")
+observations = posefiles.observations
 
 
 def points3d(spark: SparkSession, path: str) -> DataFrame:

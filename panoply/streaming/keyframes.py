@@ -75,6 +75,67 @@ def process_stream(frames: DataFrame, cfg: KeyframeConfig, blur: float, pair: Pa
     return frames.groupBy("video_id").transformWithStateInPandas(processor, OUT, "append", "None")
 
 
+class OrderedKeyframes(StatefulProcessor):
+    """Frames that may arrive in any order inside the watermark's delay, decided in the order of their times.
+
+    A video's frames wait until the watermark has passed them. The newest of those waits on, as it may be the last: it is, once the
+    watermark stands ``idle_s`` beyond it. Then the video ends; a frame after that starts a new one.
+    """
+
+    def __init__(self, cfg: KeyframeConfig, blur: float, pair: Pair, idle_s: float):
+        self.cfg, self.blur, self.pair, self.idle = cfg, blur, pair, round(idle_s * 1000)
+
+    def init(self, handle):
+        self.handle = handle
+        self.last = handle.getValueState("last", STATE)
+        self.waiting = handle.getListState("waiting", f"at long, sequence long, {STATE}")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
+        new = [(int(r["at"]), int(r["sequence"]), float(r["timestamp_s"]), float(r["sharpness"]), int(r["feature_count"])) for pdf in rows for r in pdf.to_dict("records")]
+        self.waiting.appendList(new)
+        latest = max(r[0] for r in new)
+        self.handle.registerTimer(latest + 1)
+        self.handle.registerTimer(latest + self.idle)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: (r[2], r[1])) if self.waiting.exists() else []
+        ready = [r for r in rows if r[0] <= passed]
+        ends = bool(ready) and len(ready) == len(rows) and passed >= ready[-1][0] + self.idle
+        if ready and len(ready) == len(rows) and not ends:
+            ready.pop()
+        if not ready:
+            return
+        held = self.last.get() if self.last.exists() else None
+        last = dict(zip(("timestamp_s", "sharpness", "feature_count"), held, strict=True)) if held else None
+        out = []
+        for i, (_, sequence, time, sharpness, features) in enumerate(ready):
+            r = {"timestamp_s": time, "sharpness": sharpness, "feature_count": features}
+            selected, reason, *_ = decide(r, last, ends and i == len(ready) - 1, self.blur, self.cfg, self.pair)
+            out.append((key[0], sequence, time, selected, reason))
+            last = r if selected else last
+        if ends:
+            self.last.clear()
+            self.waiting.clear()
+        else:
+            self.last.update((last["timestamp_s"], last["sharpness"], last["feature_count"]))
+            self.waiting.put(rows[len(ready) :])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def close(self):
+        pass
+
+
+def ordered_stream(frames: DataFrame, cfg: KeyframeConfig, blur: float, time: str = "ts", late: str = "1 minute", idle_s: float = 60.0, pair: Pair | None = None) -> DataFrame:
+    """Decisions of the batch rules, the last frame's included, for frames that come late and out of order by up to ``late`` of event time; later ones are dropped.
+
+    The blur threshold is given, as a stream has no global percentile. State is in RocksDB (see rocks()).
+    """
+    f = frames.withWatermark(time, late).withColumn("at", F.unix_millis(time))
+    return f.groupBy("video_id").transformWithStateInPandas(OrderedKeyframes(cfg, blur, pair or value_pair(), idle_s), OUT, "append", "EventTime")
+
+
 @contextmanager
 def rocks(spark: SparkSession):
     """Streams that start inside keep their state in RocksDB."""

@@ -456,3 +456,42 @@ def test_values_before_and_islands_across_ranges(spark):
     key = lambda r: (r[0] or "", r[2])
     assert sorted(map(tuple, runs.collect()), key=key) == sorted(map(tuple, want), key=key)
     assert sequence.islands(df.limit(0), ["k"], ["i"], F.col("v") > 4, "i").count() == 0
+
+
+def plain_records(text):
+    """(head fields, points fields) of a pose file, line by line."""
+    lines, out = text.split("\n"), []
+    while lines:
+        head = lines.pop(0).strip()
+        if head and not head.startswith("#"):
+            out.append((head.split(maxsplit=9), lines.pop(0).split() if lines else []))
+    return out
+
+
+def test_pose_files_split_anywhere(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    text = "# poses\n\n"
+    for i in range(40):
+        marks = " ".join(f"{u:.1f} {v:.1f} {p}" for u, v, p in zip(rng.random(3), rng.random(3), rng.integers(-1, 9, 3), strict=True))
+        name = ["a b.jpg", "# odd.jpg", "1 2 3"][i % 3]
+        points = ["", marks, f"# {i} 0", "1 1 0 0 0 0 0 0 1"][i % 4] if i % 4 != 2 else ""
+        text += f"{i} 1 0 0 0 {i} 0 0 1 {name}\n{points}\n" + ["", "\n", "# note\n", "  \n\n"][i % 4]
+    text += "99 1 0 0 0 7 0 0 1 last.jpg"
+    (tmp_path / "images.txt").write_text(text)
+    want = [(int(h[0]), h[9], float(h[5])) for h, _ in plain_records(text)]
+    seen = [(int(h[0]), k, float(p[3 * k])) for h, p in plain_records(text) for k in range(len(p) // 3)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (17, 50, 64, 97, 1000, 10_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            p = files.poses(spark, str(tmp_path))
+            assert size > 100 or p.rdd.getNumPartitions() > 4
+            assert sorted((r.image_id, r.image_name, r.t[0]) for r in p.collect()) == sorted(want)
+            assert sorted((r.image_id, r.ordinal, r.u) for r in files.observations(spark, str(tmp_path)).collect()) == sorted(seen)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (tmp_path / "images.txt").write_text("# a\n\n" + "1 1 0 0 0 0 0 0 1 a\n\n" * 30 + "2 1 0 0\n")
+    with pytest.raises(Exception, match="line 63: a pose needs ten fields"):
+        files.poses(spark, str(tmp_path)).collect()
