@@ -32,7 +32,7 @@ SQL = {
     "job1_intake": """SELECT doc_id, source, lang, sha256(coalesce(text, '')) AS sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, CAST(length(coalesce(text, '')) AS BIGINT) AS characters,
         CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS BIGINT) AS lines FROM documents""",
     "job2_preflight": f"""WITH f AS (SELECT event_type AS camera, CAST(ts AS DATE) AS day, event_id AS sequence, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 1e6 AS t, value AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
-      r AS (SELECT *, greatest(0, 1 - abs(v - lag(v) OVER o) / {_C["reach"]}) AS track, row_number() OVER o AS rn FROM f WINDOW o AS (PARTITION BY camera, day ORDER BY t, sequence)),
+      r AS (SELECT *, CASE WHEN lag(v) OVER o IS NOT NULL THEN greatest(0, 1 - abs(v - lag(v) OVER o) / {_C["reach"]}) END AS track, row_number() OVER o AS rn FROM f WINDOW o AS (PARTITION BY camera, day ORDER BY t, sequence)),
       l AS (SELECT camera, day, max(t1 - coalesce(t0, ta)) AS longest FROM (SELECT camera, day, g, max(t) AS t1, min(t) AS ta, min(since) AS t0 FROM
           (SELECT *, rn - row_number() OVER (PARTITION BY camera, day ORDER BY rn) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY camera, day ORDER BY rn) AS since FROM r) WHERE track < {_C["low_track"]}) GROUP BY ALL) GROUP BY ALL),
       b AS (SELECT camera, day, sum(n) AS blurred FROM (SELECT camera, day, g, count(*) AS n FROM (SELECT *, rn - row_number() OVER (PARTITION BY camera, day ORDER BY rn) AS g FROM r WHERE v < {_C["blur_below"]}) GROUP BY ALL HAVING max(t) - min(t) >= {_C["lasting_s"]}) GROUP BY ALL),

@@ -36,7 +36,7 @@ def save(spark: SparkSession, uri: str, report: dict) -> dict:
     return report
 
 
-@command("init-dataset", dataset_id=(str, MUST), video=(str, MUST), output=(str, MUST), capture_device=(str, "unknown"), environment=(str, "unknown"), route=(str, "unspecified"), reference_name=(str, "tape"), reference_distance_m=(float, 1.2192), reference_description=(str, ""))
+@command("init-dataset", dataset_id=(str, MUST), video=(str, MUST), output=(str, MUST), capture_device=(str, "unknown"), environment=(str, "unknown"), route=(str, "unspecified"), reference_name=(str, "tape"), reference_distance_m=(float, 1.2192), reference_description=(str, "tape measure on the floor"))
 def init_dataset(spark, a) -> dict:
     reference = MetricReference(a.reference_name, a.reference_distance_m, a.reference_description)
     return save(spark, a.output, asdict(Manifest(a.dataset_id, a.video, a.capture_device, a.environment, a.route, (reference,))))
@@ -66,6 +66,10 @@ def extract_frames(spark, a) -> dict:
     return save(spark, f"{a.output_dir}/report.json", {"video": a.video, "frames": span["n"], "stride": stride, "achieved_fps": (span["n"] - 1) / span["s"] if span["s"] else info["fps"] / stride, **shares})
 
 
+#: The columns of the keyframe CSV, and what they are called here.
+KEYFRAME_CSV = {"source_sequence": "sequence", "source_filename": "filename", "timestamp_s": "timestamp_s", "sharpness": "sharpness", "brightness_mean": "brightness_mean", "feature_count": "feature_count", "elapsed_from_keyframe_s": "elapsed_s", "initial_tracked_features": "initial_tracked_features", "tracked_features": "tracked_features", "track_ratio": "track_ratio", "motion_ratio": "motion_ratio", "selected": "selected", "reason": "reason", "output_filename": "output_filename"}
+
+
 @command("select-keyframes", frames_dir=(str, MUST), output_dir=(str, MUST), min_interval_s=(float, 0.4), max_interval_s=(float, 1.2), target_motion_ratio=(float, 0.012), min_track_ratio=(float, 0.35), min_features=(int, 80), blur_percentile=(float, 20.0))
 def select_keyframes(spark, a) -> dict:
     cfg = KeyframeConfig(min_interval_s=a.min_interval_s, max_interval_s=a.max_interval_s, motion_threshold=a.target_motion_ratio, min_track_ratio=a.min_track_ratio, min_features=a.min_features, blur_percentile=a.blur_percentile)
@@ -73,9 +77,11 @@ def select_keyframes(spark, a) -> dict:
     found = keyframe_candidates(spark, a.frames_dir, cfg)
     decided = written(keyframes.select(found, cfg, pair=keyframes.pixel_pair(cfg.max_corners)), "decisions")
     rows = written(decided.join(found.select("sequence", "timestamp_s", "path", "filename", "brightness_mean"), ["sequence", "timestamp_s"]), "keyframes")
-    sinks.csv(rows.drop("path", "video_id"), f"{a.output_dir}/keyframes.csv", ["timestamp_s", "sequence"])
     chosen = sequence.numbered(rows.where("selected"), [], ["timestamp_s", "sequence"], "place")
     chosen = chosen.withColumn("output_filename", F.format_string("frame_%05d_source_%05d_t%09.3f.%s", "place", "sequence", "timestamp_s", F.lower(F.element_at(F.split("filename", r"\."), -1))))
+    placed = chosen.select("sequence", "timestamp_s", F.concat(F.lit("frames/"), "output_filename").alias("output_filename"))
+    named = rows.join(placed, ["sequence", "timestamp_s"], "left").fillna({"output_filename": ""})
+    sinks.csv(named.withColumn("selected", F.initcap(F.col("selected").cast("string"))).select(*[F.col(c).alias(n) for n, c in KEYFRAME_CSV.items()]), f"{a.output_dir}/keyframes.csv", ["timestamp_s", "source_sequence"])
     content = files.binary(spark, a.frames_dir).select("path", "content")
     sinks.image_files(content.join(chosen.select("path", "output_filename"), "path"), f"{a.output_dir}/frames", "output_filename", "content")
     sinks.image_list(chosen, f"{a.output_dir}/image_list.txt", "filename", ["timestamp_s", "sequence"])  # the candidate folder's own names
@@ -171,13 +177,16 @@ def cross_rematch(spark, a) -> dict:
 
 @command("stitch-metric-components", main_model_dir=(str, MUST), secondary_model_dir=(str, MUST), images_dir=(str, MUST), output_dir=(str, MUST), main_tape_frame=(int, 750), secondary_tape_frame=(int, 660), main_seam_frame=(int, 706), secondary_seam_frame=(int, 705), known_distance_m=(float, 1.2192))
 def stitch_components(spark, a) -> dict:
-    report, points, cameras = stitch(spark, a.main_model_dir, a.secondary_model_dir, a.images_dir, a.main_tape_frame, a.secondary_tape_frame, a.main_seam_frame, a.secondary_seam_frame, a.known_distance_m)
-    sinks.ascii_ply(points, f"{a.output_dir}/map.ply", ["point3d_id"])
-    sinks.csv(cameras.select(F.col("frame").alias("frame_index"), "image_name", *[F.col(x).alias(f"{x}_m") for x in "xyz"], "component"), f"{a.output_dir}/trajectory.csv", ["frame_index"])
+    return write_stitch(spark, a.output_dir, *stitch(spark, a.main_model_dir, a.secondary_model_dir, a.images_dir, a.main_tape_frame, a.secondary_tape_frame, a.main_seam_frame, a.secondary_seam_frame, a.known_distance_m))
+
+
+def write_stitch(spark: SparkSession, folder: str, report: dict, points: DataFrame, cameras: DataFrame) -> dict:
+    sinks.ascii_ply(points, f"{folder}/map.ply", ["point3d_id"])
+    sinks.csv(cameras.select(F.col("frame").alias("frame_index"), "image_name", *[F.col(x).alias(f"{x}_m") for x in "xyz"], "component"), f"{folder}/trajectory.csv", ["frame_index"])
     main = F.col("component") == "main"
     coloured = cameras.select("frame", "x", "y", "z", *[F.when(main, p).otherwise(q).alias(n) for n, p, q in (("red", 40, 255), ("green", 140, 130), ("blue", 255, 40))])
-    sinks.ascii_ply(coloured, f"{a.output_dir}/trajectory.ply", ["frame"])
-    return save(spark, f"{a.output_dir}/report.json", report)
+    sinks.ascii_ply(coloured, f"{folder}/trajectory.ply", ["frame"])
+    return save(spark, f"{folder}/report.json", report)
 
 
 #: Colours of a preview's components, largest first; the last one is for all others.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,28 @@ from ..schemas import KeyframeConfig, need
 from ..session import discard, written
 from .sequence import coverage_bins, quantiles, same, selected_gaps
 
-#: (motion ratio, track ratio) of a frame against the last selected one.
-Pair = Callable[[dict, dict], tuple[float, float]]
+
+
+class Motion(NamedTuple):
+    """A frame against the last selected one."""
+
+    motion_ratio: float
+    track_ratio: float
+    initial_tracked_features: int = 0
+    tracked_features: int = 0
+
+
+class Decision(NamedTuple):
+    selected: bool
+    reason: str
+    elapsed_s: float = 0.0
+    motion_ratio: float = 0.0
+    track_ratio: float = 0.0
+    initial_tracked_features: int = 0
+    tracked_features: int = 0
+
+
+Pair = Callable[[dict, dict], Motion]
 
 
 def blur_thresholds(frames: DataFrame, key: str, percentile: float) -> DataFrame:
@@ -22,37 +43,36 @@ def blur_thresholds(frames: DataFrame, key: str, percentile: float) -> DataFrame
 
 
 def value_pair(scale: float = 1.0, reach: float = 150.0) -> Pair:
-    """Motion from the change in sharpness; tracks are lost (ratio 0) beyond ``reach``. For tables without pixels."""
+    """Motion from the change in sharpness; the one track is lost beyond ``reach``. For tables without pixels."""
 
-    def pair(last: dict, now: dict) -> tuple[float, float]:
+    def pair(last: dict, now: dict) -> Motion:
         d = abs(now["sharpness"] - last["sharpness"])
-        return d / scale, 0.0 if d > reach else 1.0
+        held = int(d <= reach)
+        return Motion(d / scale, float(held), 1, held)
 
     return pair
 
 
-def decide(frame: dict, last: dict | None, is_last: bool, blur: float, cfg: KeyframeConfig, pair: Pair) -> tuple[bool, str, float, float, float]:
-    """selected, reason, elapsed, motion, track ratio. The order of the rules is their meaning."""
+def decide(frame: dict, last: dict | None, is_last: bool, blur: float, cfg: KeyframeConfig, pair: Pair) -> Decision:
+    """The order of the rules is their meaning."""
     if last is None:
-        return True, "first_frame", 0.0, 0.0, 0.0
+        return Decision(True, "first_frame")
     elapsed = frame["timestamp_s"] - last["timestamp_s"]
-    motion, track = pair(last, frame)
+    seen = pair(last, frame)
     rules = (
         (is_last, True, "last_frame"),
         (elapsed < cfg.min_interval_s, False, "reject_min_interval"),
         (elapsed >= cfg.max_interval_s, True, "selected_max_gap_fallback"),
         (frame["sharpness"] < blur, False, "reject_blur"),
         (frame["feature_count"] < cfg.min_features, False, "reject_low_features"),
-        (track < cfg.min_track_ratio, False, "reject_low_overlap"),
-        (motion >= cfg.motion_threshold, True, "selected_motion"),
+        (seen.track_ratio < cfg.min_track_ratio, False, "reject_low_overlap"),
+        (seen.motion_ratio >= cfg.motion_threshold, True, "selected_motion"),
     )
-    for hit, selected, reason in rules:
-        if hit:
-            return selected, reason, elapsed, motion, track
-    return False, "reject_low_motion", elapsed, motion, track
+    selected, reason = next(((s, r) for hit, s, r in rules if hit), (False, "reject_low_motion"))
+    return Decision(selected, reason, elapsed, *seen)
 
 
-OUT = "sequence long, timestamp_s double, sharpness double, feature_count long, blur_threshold double, elapsed_s double, motion_ratio double, track_ratio double, selected boolean, reason string"
+OUT = "sequence long, timestamp_s double, sharpness double, feature_count long, blur_threshold double, elapsed_s double, motion_ratio double, track_ratio double, initial_tracked_features long, tracked_features long, selected boolean, reason string"
 
 
 #: State of a block whose first frame is selected whatever came before: nothing was selected within the longest interval.
@@ -67,7 +87,7 @@ def place(r: dict) -> tuple[float, int]:
 
 def _following(rows: list[dict], last: dict, start: int, blur: float, cfg: KeyframeConfig, pair: Pair) -> int | None:
     """Which row from ``start`` on is selected next after ``last``."""
-    return next((i for i in range(start, len(rows)) if decide(rows[i], last, False, blur, cfg, pair)[0]), None)
+    return next((i for i in range(start, len(rows)) if decide(rows[i], last, False, blur, cfg, pair).selected), None)
 
 
 def _exits(rows: list[dict], entries: list[dict], blur: float, cfg: KeyframeConfig, pair: Pair) -> list[tuple]:
@@ -173,9 +193,9 @@ def select(frames: DataFrame, cfg: KeyframeConfig, key: str = "video_id", pair:
         own, held = _split(pdf)
         last, out = held[0] if held else None, []
         for i, r in enumerate(own):
-            selected, reason, elapsed, motion, track = decide(r, last, r["_last"] and i == len(own) - 1, r["blur_threshold"], cfg, pair)
-            last = r if selected else last
-            out.append((r[key], r["sequence"], r["timestamp_s"], r["sharpness"], r["feature_count"], r["blur_threshold"], elapsed, motion, track, selected, reason))
+            d = decide(r, last, r["_last"] and i == len(own) - 1, r["blur_threshold"], cfg, pair)
+            last = r if d.selected else last
+            out.append({**{k: r[k] for k in names if k in r}, **d._asdict()})
         return pd.DataFrame(out, columns=names)
 
     return every.groupBy(key, "_k").applyInPandas(fold, f"{key} {dict(frames.dtypes)[key]}, {OUT}")
@@ -188,9 +208,9 @@ def pixel_pair(most: int = 600) -> Pair:
     def image(r: dict) -> np.ndarray:
         return np.frombuffer(r["gray"], np.uint8).reshape(int(r["height"]), int(r["width"]))
 
-    def pair(last: dict, now: dict) -> tuple[float, float]:
-        _, _, ratio, motion = pair_metrics(image(last), image(now), most)
-        return motion, ratio
+    def pair(last: dict, now: dict) -> Motion:
+        initial, tracked, ratio, motion = pair_metrics(image(last), image(now), most)
+        return Motion(motion, ratio, initial, tracked)
 
     return pair
 

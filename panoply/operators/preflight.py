@@ -16,7 +16,7 @@ def with_tracks(frames: DataFrame, keys: list[str], reach: float) -> DataFrame:
     """Adds track_ratio, the overlap with the frame before in time: 1 for equal sharpness, 0 from a change of ``reach`` on; null for a
     first frame. For tables without pixels."""
     d = before(frames, keys, ORDER, _was=F.col("sharpness"))
-    return d.withColumn("track_ratio", F.greatest(F.lit(0.0), 1 - F.abs(F.col("sharpness") - F.col("_was")) / reach)).drop("_was")
+    return d.withColumn("track_ratio", F.when(F.col("_was").isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col("sharpness") - F.col("_was")) / reach))).drop("_was")
 
 
 def report(frames: DataFrame, keys: list[str], cfg: PreflightConfig) -> DataFrame:

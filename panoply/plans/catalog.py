@@ -1,6 +1,6 @@
 """All registered queries of the engine and their oracle SQL, by name."""
 
-from . import roundtrips  # noqa: F401  its queries register themselves
+from . import measured, roundtrips  # noqa: F401  their queries register themselves
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -204,7 +204,7 @@ def keyframe_long_videos(spark, sf_dir):
 
 # Preflight
 
-_LOW = f"""WITH {V.FRAMES}, r AS (SELECT *, row_number() OVER o AS rn, lag(timestamp_s) OVER o AS since, greatest(0, 1 - abs(sharpness - lag(sharpness) OVER o) / 500) AS track FROM f WINDOW o AS (PARTITION BY video_id ORDER BY timestamp_s, sequence))"""
+_LOW = f"""WITH {V.FRAMES}, r AS (SELECT *, row_number() OVER o AS rn, lag(timestamp_s) OVER o AS since, CASE WHEN lag(sharpness) OVER o IS NOT NULL THEN greatest(0, 1 - abs(sharpness - lag(sharpness) OVER o) / 500) END AS track FROM f WINDOW o AS (PARTITION BY video_id ORDER BY timestamp_s, sequence))"""
 
 
 @query(_LOW + """ SELECT video_id, round(min(since), 6) AS since, round(min(timestamp_s), 6) AS start, round(max(timestamp_s), 6) AS end, count(*) AS rows

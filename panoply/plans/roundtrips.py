@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,7 +148,7 @@ def one_file_a_row(df: DataFrame, tag: str, name: str, content: str) -> str:
 @query("SELECT s_name AS dataset_id, 's' || s_nationkey || '.mov' AS video_path, n_name AS environment, 1 + (s_suppkey % 2) AS n_references, CAST(1.2192 AS DOUBLE) AS first_m FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def manifest_files(spark, sf_dir):
     s = V.table(spark, sf_dir, "supplier").join(V.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    reference = lambda name, m: F.struct(F.lit(name).alias("name"), F.lit(m).alias("distance_m"), F.lit("").alias("description"))
+    reference = lambda name, m: F.struct(F.lit(name).alias("name"), F.lit(m).alias("distance_m"), F.lit("on the floor").alias("description"))
     m = s.select(F.lit(1).alias("schema_version"), F.col("s_name").alias("dataset_id"), F.concat(F.lit("s"), "s_nationkey", F.lit(".mov")).alias("video_path"), F.lit("phone").alias("capture_device"), F.col("n_name").alias("environment"), F.lit("loop").alias("route_description"), F.when(F.col("s_suppkey") % 2 == 0, F.array(reference("tape", 1.2192))).otherwise(F.array(reference("tape", 1.2192), reference("door", 0.9))).alias("metric_references"))
     folder = one_file_a_row(m.select(F.concat("dataset_id", F.lit(".json")).alias("file"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("text")), "manifests", "file", "text")
     got = files.manifest(spark, folder)
@@ -262,11 +264,13 @@ def video_frames(spark, sf_dir):
     return f.select("sequence", "source_frame", "timestamp_s", "filename", F.hex("jpeg").alias("jpeg"))
 
 
-@query("WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) SELECT row_number() OVER (ORDER BY i) - 1 AS sequence, i AS source_frame, i / 10 AS timestamp_s FROM n WHERE i >= 4 AND (i - 4) % 3 = 0")
+@query("WITH v AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL), f AS (SELECT c_nationkey, n, unnest(range(4, n, 3)) AS i FROM v) SELECT CAST(c_nationkey AS BIGINT) AS video_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY i) - 1 AS sequence, i AS source_frame, i / 10 AS timestamp_s FROM f")
 def stride_table_function(spark, sf_dir):
+    """A nation's customers are a video's frames; the table function is called for each video."""
     tables.register(spark)
-    n = V.table(spark, sf_dir, "supplier").agg(F.count("*").alias("n")).first()["n"]
-    return spark.sql(f"SELECT * FROM kept_frames({n}, 10D, 3D, 0.4D, NULL)")
+    view = f"videos_{uuid.uuid4().hex[:8]}"
+    V.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("video_id")).agg(F.count("*").cast("int").alias("n")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT video_id, k.* FROM {view}, LATERAL kept_frames(n, 10D, 3D, 0.4D, CAST(NULL AS DOUBLE)) k")
 
 
 @query(f"SELECT s_suppkey AS sequence, s_suppkey / 8 AS timestamp_s, printf('frame_%05d_t%09.3f.JPG', s_suppkey, s_suppkey / 8) AS filename, {_JPEG} AS jpeg FROM supplier")
@@ -525,9 +529,12 @@ def normal_vectors(spark, sf_dir):
     return m.select("point3d_id", (F.abs(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") - 1) < 1e-9).alias("unit"), (few | ((off < 1e-8) & (F.col("moment") <= trace / 3 + 1e-9))).alias("least"))
 
 
-@query("SELECT * FROM (VALUES (0, 'feature_extractor', 'colmap feature_extractor --database_path /w/database.db --image_path /w/images --ImageReader.camera_model SIMPLE_RADIAL --ImageReader.single_camera 1 --SiftExtraction.use_gpu 0 --SiftExtraction.max_num_features 4096'), (1, 'sequential_matcher', 'colmap sequential_matcher --database_path /w/database.db --SiftMatching.use_gpu 0 --SequentialMatching.overlap 40'), (2, 'loop_pairs', 'colmap matches_importer --database_path /w/database.db --match_list_path /w/loop_pairs.txt --match_type pairs --SiftMatching.use_gpu 0'), (3, 'mapper', 'colmap mapper --database_path /w/database.db --image_path /w/images --output_path /w/sparse --Mapper.min_num_matches 15 --Mapper.ba_local_max_num_iterations 25 --Mapper.ba_local_max_refinements 2 --Mapper.ba_global_images_ratio 1.1 --Mapper.ba_global_points_ratio 1.1 --Mapper.ba_global_max_num_iterations 50 --Mapper.ba_global_max_refinements 5')) t(place, stage, command)")
+@query("SELECT s_name AS dataset, place, stage, replace(command, '/w/', '/w/' || s_name || '/') AS command FROM supplier, (VALUES (0, 'feature_extractor', 'colmap feature_extractor --database_path /w/database.db --image_path /w/images --ImageReader.camera_model SIMPLE_RADIAL --ImageReader.single_camera 1 --SiftExtraction.use_gpu 0 --SiftExtraction.max_num_features 4096'), (1, 'sequential_matcher', 'colmap sequential_matcher --database_path /w/database.db --SiftMatching.use_gpu 0 --SequentialMatching.overlap 40'), (2, 'loop_pairs', 'colmap matches_importer --database_path /w/database.db --match_list_path /w/loop_pairs.txt --match_type pairs --SiftMatching.use_gpu 0'), (3, 'mapper', 'colmap mapper --database_path /w/database.db --image_path /w/images --output_path /w/sparse --Mapper.min_num_matches 15 --Mapper.ba_local_max_num_iterations 25 --Mapper.ba_local_max_refinements 2 --Mapper.ba_global_images_ratio 1.1 --Mapper.ba_global_points_ratio 1.1 --Mapper.ba_global_max_num_iterations 50 --Mapper.ba_global_max_refinements 5')) t(place, stage, command)")
 def sparse_commands(spark, sf_dir):
-    return sparse.commands(spark, "/w", sparse.SparseConfig()).select("place", "stage", F.concat_ws(" ", "argv").alias("command"))
+    """The command lines of every supplier's capture, each in a workspace of its own."""
+    every = sparse.commands(spark, "/w", sparse.SparseConfig()).select("place", "stage", F.concat_ws(" ", "argv").alias("command"))
+    names = V.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("dataset"))
+    return names.crossJoin(F.broadcast(every)).withColumn("command", F.replace("command", F.lit("/w/"), F.concat(F.lit("/w/"), "dataset", F.lit("/"))))  # four commands
 
 
 @query("WITH n AS (SELECT n_name || '.jpg' AS name, row_number() OVER (ORDER BY n_name) AS k, count(*) OVER () AS c FROM nation) SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.k <= least(3, x.c // 2) AND y.k > y.c - least(3, y.c // 2)")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+#: Fixed value: the least width that frames are analysed at.
+LEAST_WIDTH = 64
 L, D, S, B, I = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.IntegerType()  # noqa: E741
 
 
@@ -14,6 +16,7 @@ def struct(**fields) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
+# Names and order of the tables' columns, and below the settings' names and defaults.
 FRAMES = struct(sequence=L, source_frame=L, timestamp_s=D, sharpness=D, brightness_mean=D, filename=S)
 POSES = struct(image_id=L, image_name=S, quaternion_wxyz=T.ArrayType(D), translation_xyz=T.ArrayType(D), center_xyz=T.ArrayType(D))
 POINTS3D = struct(point3d_id=L, x=D, y=D, z=D, red=I, green=I, blue=I)
@@ -43,7 +46,7 @@ class ExtractionConfig:
     def __post_init__(self):
         need(math.isfinite(self.target_fps) and self.target_fps > 0, "target_fps must be positive and finite")
         need(1 <= self.jpeg_quality <= 100, "jpeg_quality must lie in 1..100")
-        need(self.analysis_width > 0, "analysis_width must be positive")
+        need(self.analysis_width >= LEAST_WIDTH, f"analysis_width must be {LEAST_WIDTH} or more")
         need(self.start_s >= 0, "start_s must not be negative")
         need(self.end_s is None or self.end_s > self.start_s, "end_s must lie after start_s")
 
@@ -61,11 +64,11 @@ class KeyframeConfig:
     coverage_bin_s: float = 5.0
 
     def __post_init__(self):
-        need(self.analysis_width > 0 and self.max_corners > 0, "width and corners must be positive")
+        need(self.analysis_width >= LEAST_WIDTH, f"analysis_width must be {LEAST_WIDTH} or more")
         need(0 < self.min_interval_s <= self.max_interval_s, "intervals must be positive and ordered")
-        need(self.motion_threshold >= 0, "motion_threshold must not be negative")
+        need(self.motion_threshold > 0, "motion_threshold must be positive")
         need(0 <= self.min_track_ratio <= 1, "min_track_ratio must lie in 0..1")
-        need(self.min_features >= 0, "min_features must not be negative")
+        need(1 <= self.min_features <= self.max_corners, "min_features must lie in 1..max_corners")
         need(0 <= self.blur_percentile <= 100, "blur_percentile must lie in 0..100")
         need(self.coverage_bin_s > 0, "coverage_bin_s must be positive")
 
@@ -89,10 +92,10 @@ class PreflightConfig:
 class MetricReference:
     name: str
     distance_m: float
-    description: str = ""
+    description: str
 
     def __post_init__(self):
-        need(bool(self.name.strip()), "a reference needs a name")
+        need(bool(self.name.strip()) and bool(self.description.strip()), "a reference needs a name and a description")
         need(math.isfinite(self.distance_m) and self.distance_m > 0, "a reference distance must be positive")
 
 

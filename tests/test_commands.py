@@ -115,6 +115,11 @@ def test_select_keyframes_from_pictures(spark, tmp_path, still):
     assert {"first_frame", "last_frame"}.isdisjoint(r["rejections"]) and sum(r["rejections"].values()) == 12 - r["selected_keyframes"]
     assert r["quality"]["candidate_sharpness"]["maximum"] >= r["quality"]["selected_sharpness"]["median"] and len(r["bins"]) == r["total_bins"] and r["config"]["max_interval_s"] == 1.0
     assert ("selected_max_gap_fallback" in (tmp_path / "out" / "keyframes.csv").read_text()) == still
+    head, *lines = (tmp_path / "out" / "keyframes.csv").read_text().splitlines()
+    assert head.split(",") == list(cli.KEYFRAME_CSV) and len(lines) == 12
+    table = [dict(zip(head.split(","), x.split(","), strict=True)) for x in lines]
+    assert all((x["selected"] == "True") == x["output_filename"].startswith("frames/frame_") for x in table) and table[0]["initial_tracked_features"] == "0"
+    assert still or all(int(x["initial_tracked_features"]) >= int(x["tracked_features"]) > 0 for x in table[1:])
     listed = (tmp_path / "out" / "image_list.txt").read_text().splitlines()
     assert len(listed) == r["selected_keyframes"] and listed[0] == "frame_00000_t00000.000.png" and all((tmp_path / "in" / n).exists() for n in listed)
     names = sorted(p.name for p in (tmp_path / "out" / "frames").iterdir() if p.suffix == ".png")

@@ -291,9 +291,9 @@ def test_logs_points_cameras_and_reports(spark, tmp_path):
 
 
 def test_manifest_and_configs():
-    ref = (MetricReference("tape", 1.2192),)
+    ref = (MetricReference("tape", 1.2192, "on the floor"),)
     assert Manifest("d", "v.mov", "phone", "hall", "loop", ref).schema_version == 1
-    for bad in (lambda: Manifest("d", "v", "p", "h", "l", ()), lambda: Manifest(" ", "v", "p", "h", "l", ref), lambda: MetricReference("t", 0.0), lambda: ExtractionConfig(target_fps=0), lambda: KeyframeConfig(min_interval_s=2, max_interval_s=1)):
+    for bad in (lambda: Manifest("d", "v", "p", "h", "l", ()), lambda: Manifest(" ", "v", "p", "h", "l", ref), lambda: MetricReference("t", 0.0, "d"), lambda: MetricReference("t", 1.0, " "), lambda: KeyframeConfig(analysis_width=63), lambda: KeyframeConfig(motion_threshold=0.0), lambda: KeyframeConfig(min_features=0), lambda: KeyframeConfig(min_features=601), lambda: ExtractionConfig(target_fps=0), lambda: KeyframeConfig(min_interval_s=2, max_interval_s=1)):
         with pytest.raises(ValueError):
             bad()
 
@@ -380,9 +380,9 @@ def plain_fold(rows, cfg, blur, pair):
     """reason by (time, sequence), one row after the other."""
     rows, last, out = sorted(rows, key=lambda r: (r["timestamp_s"], r["sequence"])), None, {}
     for i, r in enumerate(rows):
-        selected, reason, elapsed, motion, _ = keyframes.decide(r, last, i == len(rows) - 1, blur, cfg, pair)
-        out[r["timestamp_s"], r["sequence"]] = selected, reason, round(elapsed, 6), round(motion, 6)
-        last = r if selected else last
+        d = keyframes.decide(r, last, i == len(rows) - 1, blur, cfg, pair)
+        out[r["timestamp_s"], r["sequence"]] = d.selected, d.reason, round(d.elapsed_s, 6), round(d.motion_ratio, 6), d.tracked_features
+        last = r if d.selected else last
     return out
 
 
@@ -400,7 +400,7 @@ def test_keyframes_in_blocks_equal_one_fold(spark, span):
     pair = keyframes.value_pair()
     got = {}
     for r in keyframes.select(frames.repartition(5), cfg, span=span).collect():
-        got.setdefault(r.video_id, {})[r.timestamp_s, r.sequence] = r.selected, r.reason, round(r.elapsed_s, 6), round(r.motion_ratio, 6)
+        got.setdefault(r.video_id, {})[r.timestamp_s, r.sequence] = r.selected, r.reason, round(r.elapsed_s, 6), round(r.motion_ratio, 6), r.tracked_features
     names = ["video_id", "sequence", "timestamp_s", "sharpness", "feature_count"]
     for video in (0, 1, 2, 9):
         own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == video]
@@ -415,7 +415,7 @@ def test_keyframe_blocks_with_pixels(spark):
     rows = [(0, i, i * 0.2, float(50 + i % 7), 100, shot.tobytes(), 60, 80) for i, shot in enumerate(shots)]
     frames = spark.createDataFrame(rows, "video_id long, sequence long, timestamp_s double, sharpness double, feature_count long, gray binary, height int, width int")
     cfg, pair = KeyframeConfig(min_interval_s=0.4, max_interval_s=1.0, motion_threshold=0.03, min_features=1, blur_percentile=0.0, min_track_ratio=0.1), keyframes.pixel_pair(100)
-    got = {(r.timestamp_s, r.sequence): (r.selected, r.reason, round(r.elapsed_s, 6), round(r.motion_ratio, 6)) for r in keyframes.select(frames, cfg, pair=pair, span=2).collect()}
+    got = {(r.timestamp_s, r.sequence): (r.selected, r.reason, round(r.elapsed_s, 6), round(r.motion_ratio, 6), r.tracked_features) for r in keyframes.select(frames, cfg, pair=pair, span=2).collect()}
     names = ["video_id", "sequence", "timestamp_s", "sharpness", "feature_count", "gray", "height", "width"]
     assert got == plain_fold([dict(zip(names, r, strict=True)) for r in rows], cfg, 50.0, pair)
 
