@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KeyframeConfig, need
-from ..session import discard, written
+from ..session import discard, small, written
 from .sequence import coverage_bins, quantiles, same, selected_gaps
 
 
@@ -122,17 +122,18 @@ def _split(pdf: pd.DataFrame) -> tuple[list[dict], list[dict]]:
     return tuple(pdf[m].to_dict("records") for m in (pdf["_own"], ~pdf["_own"]))
 
 
-def _blocks(frames: DataFrame, key: str, cfg: KeyframeConfig, span: int) -> DataFrame:
+def _blocks(frames: DataFrame, key: str, cfg: KeyframeConfig, span: int) -> tuple[DataFrame, int]:
     """Frames with their video's threshold, whether they are its last (_last), the number of their block among its non-empty ones
-    (_k), and whether they lie within the longest interval before the next one's first frame (_near)."""
-    f = frames.where(F.col("timestamp_s").isNotNull()).withColumn("_b", F.floor(F.col("timestamp_s") / (span * cfg.max_interval_s)).cast("long"))
-    b = f.groupBy(F.col(key).alias(f"_{key}"), F.col("_b").alias("__b")).agg(F.min("timestamp_s").alias("_from"), F.max(F.struct("timestamp_s", "sequence")).alias("_end"))
+    (_k), and whether they lie within the longest interval before the next one's first frame (_near); and the most blocks of a video."""
+    f = written(frames.withColumn("_b", F.floor(F.col("timestamp_s") / (span * cfg.max_interval_s)).cast("long")), "frames")
+    b = f.where("_b is not null").groupBy(F.col(key).alias(f"_{key}"), F.col("_b").alias("__b")).agg(F.min("timestamp_s").alias("_from"), F.max(F.struct("timestamp_s", "sequence")).alias("_end"))
     w = Window.partitionBy(f"_{key}").orderBy("__b")  # one row a block
     b = b.withColumns({"_next": F.lead("_from").over(w), "_k": (F.row_number().over(w) - 1).cast("long")})
-    f = f.join(b, same([key, "_b"])).drop(f"_{key}", "__b")
+    b = written(b.join(blur_thresholds(f, key, cfg.blur_percentile), F.col(f"_{key}").eqNullSafe(F.col(key))).drop(key), "blocks")
+    most = (b.agg(F.max("_k")).first()[0] or 0) + 1
+    f = f.join(small(b), same([key, "_b"])).drop(f"_{key}", "__b")
     f = f.withColumns({"_last": F.col("_next").isNull() & (F.struct("timestamp_s", "sequence") == F.col("_end")), "_near": F.coalesce(F.col("_next") - F.col("timestamp_s") < cfg.max_interval_s, F.lit(False))})
-    blur = blur_thresholds(frames, key, cfg.blur_percentile).withColumnRenamed(key, f"_{key}")
-    return written(f.join(blur, same([key])).drop(f"_{key}", "_b", "_from", "_end", "_next"), "blocks")
+    return f.drop("_b", "_from", "_end", "_next"), most
 
 
 def _lasts(rows: DataFrame, key: str, cfg: KeyframeConfig, pair: Pair, blocks: int) -> DataFrame:
@@ -180,8 +181,7 @@ def select(frames: DataFrame, cfg: KeyframeConfig, key: str = "video_id", pair:
     """
     need(span >= 2, "a block is two longest intervals long or more")
     pair = pair or value_pair()
-    rows = _blocks(frames, key, cfg, span)
-    blocks = (rows.agg(F.max("_k")).first()[0] or 0) + 1
+    rows, blocks = _blocks(frames, key, cfg, span)
     every = rows.withColumn("_own", F.lit(True))
     if blocks > 1:
         lasts = _lasts(rows, key, cfg, pair, blocks).select(F.col(key).alias(f"_{key}"), F.col("_k").alias("_at"), "_t", "_s")
@@ -189,16 +189,32 @@ def select(frames: DataFrame, cfg: KeyframeConfig, key: str = "video_id", pair:
         every = every.unionByName(held.withColumns({"_k": F.col("_at"), "_own": F.lit(False)}).select(*every.columns))
     names = [key, *[c.split()[0] for c in OUT.split(", ")]]
 
-    def fold(pdf):
-        own, held = _split(pdf)
-        last, out = held[0] if held else None, []
-        for i, r in enumerate(own):
-            d = decide(r, last, r["_last"] and i == len(own) - 1, r["blur_threshold"], cfg, pair)
-            last = r if d.selected else last
-            out.append({**{k: r[k] for k in names if k in r}, **d._asdict()})
-        return pd.DataFrame(out, columns=names)
+    def fold(batches):
+        last, waiting = None, None
 
-    return every.groupBy(key, "_k").applyInPandas(fold, f"{key} {dict(frames.dtypes)[key]}, {OUT}")
+        def settle(r: dict, ends: bool) -> dict:
+            nonlocal last
+            d = decide(r, last, ends and r["_last"], r["blur_threshold"], cfg, pair)
+            last = r if d.selected else last
+            return {**{k: r[k] for k in names if k in r}, **d._asdict()}
+
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                other = waiting is None or (r[key], r["_k"]) != (waiting[key], waiting["_k"])
+                if waiting is not None and waiting["_own"]:
+                    out.append(settle(waiting, other))
+                if other:
+                    last = None
+                if not r["_own"]:  # it comes before its block's own frames
+                    last = r
+                waiting = r
+            yield pd.DataFrame(out, columns=names)
+        if waiting is not None and waiting["_own"]:
+            yield pd.DataFrame([settle(waiting, True)], columns=names)
+
+    dealt = every.repartition(key, "_k").sortWithinPartitions(key, "_k", "_own", "timestamp_s", "sequence")
+    return dealt.mapInPandas(fold, f"{key} {dict(frames.dtypes)[key]}, {OUT}")
 
 
 def pixel_pair(most: int = 600) -> Pair:

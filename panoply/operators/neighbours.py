@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import need
-from ..session import discard, written
+from ..session import discard, small, written
 from .sequence import same
 
 AXES = ["x", "y", "z"]
@@ -71,7 +71,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
 
     Rows are range-sorted by dataset and place on a Morton curve into ranges of some ``rows`` rows, so dense places take more ranges and no
     task holds more. First each range is searched by itself; a query whose k-th distance reaches into the boxes around other ranges'
-    points is then searched there too, and its lists are merged. So a query's points are looked at twice, whatever the density. Queries or
+    points is then searched there too, and its lists are merged. So a query's points are looked at twice, whatever the density. Where all rows are one range, that is all. Queries or
     points with a coordinate that is null or not finite take no part. A query without a point in reach has no row.
     """
     need(k > 0 and radius > 0 and rows > 0, "count, radius and rows must be positive")
@@ -84,12 +84,13 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
     span = both.groupBy(*by).agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES], F.count("*").alias("_n")).withColumnsRenamed({b: f"_{b}" for b in by})
     span = written(span, "span")
     total = span.agg(F.sum("_n")).first()[0] or 0
-    placed = both.join(span, same(by)) if by else both.join(F.broadcast(span))  # without datasets span is one row
+    placed = both.join(small(span), same(by)) if by else both.join(F.broadcast(span))  # without datasets span is one row
     placed = placed.withColumn("_m", curve([F.col(f"_lo{a}") for a in AXES], [F.col(f"_hi{a}") for a in AXES])).select(*keys, *AXES, "_query", "_m")
-    placed = written(placed.repartitionByRange(1 + total // rows, *by, "_m").withColumn("_range", F.spark_partition_id()), "placed")
-    # one row a range and dataset
-    boxes = placed.where("not _query").groupBy("_range", *by).agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES], F.count("*").alias("_n"))
-    boxes = written(boxes.withColumnsRenamed({"_range": "_there", **{b: f"_{b}" for b in by}}), "boxes")
+    several = total >= rows
+    if several:
+        placed = written(placed.repartitionByRange(1 + total // rows, *by, "_m").withColumn("_range", F.spark_partition_id()), "placed")
+    else:
+        placed = placed.withColumn("_range", F.lit(0))
     schema = ", ".join([*(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys), "x double, y double, z double, _range int", f"near {NEAR}"])
 
     def one(pdf):
@@ -101,6 +102,11 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
         return out
 
     home = written(placed.groupBy("_range", *by).applyInPandas(one, schema), "home")
+    if not several:
+        return home.select(*keys, "near").where(F.size("near") > 0)
+    # one row a range and dataset
+    boxes = placed.where("not _query").groupBy("_range", *by).agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES], F.count("*").alias("_n"))
+    boxes = written(boxes.withColumnsRenamed({"_range": "_there", **{b: f"_{b}" for b in by}}), "boxes")
     within = F.least(F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(float("inf")), F.lit(float(radius)))
     gap = F.sqrt(sum(F.pow(F.greatest(F.lit(0.0), F.col(f"_lo{a}") - F.col(a), F.col(a) - F.col(f"_hi{a}")), 2) for a in AXES))
     open_ = home.select(*keys, *AXES, "_range", within.alias("_r"))

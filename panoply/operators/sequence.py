@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import need
-from ..session import written
+from ..session import small, written
 
 
 #: Accuracy of the sketch that bounds a quantile, and the group size up to which all values are looked at instead.
@@ -34,10 +34,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     b = d.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [*lows, *highs], SKETCH).alias("_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     whole = F.col("_n") <= SKETCH // 2  # few rows: their places lie too close for shares of the sketch
     b = b.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", *[F.when(whole, F.col("_min")).otherwise(F.col("_b")[i]).alias(f"_lo{i}") for i in range(len(places))], *[F.when(whole, F.col("_max")).otherwise(F.col("_b")[len(places) + i]).alias(f"_hi{i}") for i in range(len(places))])
-    both = d.join(b, same(keys)) if keys else d.join(F.broadcast(b))  # without keys b is one row
+    b = small(written(b, "bounds"))
+    both = d.join(b, same(keys)) if keys else d.join(b)  # without keys b is one row
     inside = reduce(lambda x, y: x | y, [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(places))])
     under = F.array_max(F.array(*[F.when(F.col(f"_hi{i}") < F.col("_v"), F.col(f"_hi{i}")) for i in range(len(places))]))
-    found = both.where("_v is not null").groupBy(*keys, "_n", F.when(inside, F.col("_v")).otherwise(under).alias("_at"), (~inside).alias("_gap")).agg(F.count("*").alias("_c"))
+    found = both.groupBy(*keys, "_n", F.when(inside, F.col("_v")).otherwise(under).alias("_at"), (~inside).alias("_gap")).agg(F.count("_v").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at", "_gap"))
     found = found.withColumn("_upto", upto)
     picks = []
@@ -45,17 +46,16 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
         place = F.lit(float(p)) * (F.col("_n") - 1)
         for side, k in (("l", F.floor(place)), ("h", F.ceil(place))):
             picks.append(F.min(F.when(F.col("_upto") > k, F.struct("_at", "_gap"))).alias(f"_{side}{i}"))
-    found = found.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], "_n").agg(*picks)
+    found = found.groupBy(*keys, "_n").agg(*picks)
 
     def result(i, p):
         place, lo, hi = F.lit(float(p)) * (F.col("_n") - 1), F.col(f"_l{i}"), F.col(f"_h{i}")
         x = F.when(F.ceil(place) == F.floor(place), lo["_at"]).otherwise((F.ceil(place) - place) * lo["_at"] + (place - F.floor(place)) * hi["_at"])
         return F.when(lo["_gap"] | hi["_gap"], F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).otherwise(x)
 
-    out = found.select(*[f"_{k}" for k in keys], *[result(i, p).alias(f"_q{i}") for i, p in enumerate(places)])
-    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
-    out = groups.join(out, same(keys), "left") if keys else groups.join(out, F.lit(True), "left")
-    return out.select(*keys, *[F.col(f"_q{i}").alias(name) for i, name in enumerate(shares)])
+    if not keys:  # no rows give a row of nulls
+        found = df.sparkSession.range(1).drop("id").join(found, F.lit(True), "left")
+    return found.select(*keys, *[result(i, p).alias(name) for i, (name, p) in enumerate(shares.items())])
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -173,12 +173,12 @@ def selected_gaps(spark, sf_dir):
 
 @query(KEYFRAMES + BINS + " SELECT video_id, bin, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, candidate_count, selected_count, selected_count > 0 AS covered FROM bc")
 def coverage_bins(spark, sf_dir):
-    return rounded(sequence.coverage_bins(_decisions(spark, sf_dir), ["video_id"], "timestamp_s", "selected", CFG.coverage_bin_s))
+    return rounded(sequence.coverage_bins(written(_decisions(spark, sf_dir), "decisions"), ["video_id"], "timestamp_s", "selected", CFG.coverage_bin_s))
 
 
 @query(KEYFRAMES + BINS + """ SELECT video_id, count(*) AS total_bins, count(*) FILTER (WHERE selected_count > 0) AS covered_bins, round(avg(CASE WHEN selected_count > 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage_fraction, bool_and(selected_count > 0) AS all_covered FROM bc GROUP BY video_id""")
 def coverage_report(spark, sf_dir):
-    b = sequence.coverage_bins(_decisions(spark, sf_dir), ["video_id"], "timestamp_s", "selected", CFG.coverage_bin_s)
+    b = sequence.coverage_bins(written(_decisions(spark, sf_dir), "decisions"), ["video_id"], "timestamp_s", "selected", CFG.coverage_bin_s)
     return rounded(b.groupBy("video_id").agg(F.count("*").alias("total_bins"), F.count_if("covered").alias("covered_bins"), F.avg(F.col("covered").cast("double")).alias("coverage_fraction"), F.bool_and("covered").alias("all_covered")))
 
 

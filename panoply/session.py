@@ -8,6 +8,7 @@ import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where a local session without spark.checkpoint.dir writes; removed at exit.
 LOCAL = f"/tmp/checkpoints/panoply-core-{os.getpid()}"
@@ -49,6 +50,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows up to which a written table is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows as the small side of a join: broadcast if it has few rows, else left to a join by key."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what written() wrote for df, once nothing reads it any more."""
     if path := getattr(df, "_written", None):

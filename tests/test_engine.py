@@ -495,3 +495,26 @@ def test_pose_files_split_anywhere(spark, tmp_path):
     (tmp_path / "images.txt").write_text("# a\n\n" + "1 1 0 0 0 0 0 0 1 a\n\n" * 30 + "2 1 0 0\n")
     with pytest.raises(Exception, match="line 63: a pose needs ten fields"):
         files.poses(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("rows", [40, 300, 10**6])
+def test_neighbours_over_many_ranges(spark, rows):
+    """Dense and empty places, ties, copies, odd coordinates; two datasets; queries far from all points."""
+    from panoply.operators.neighbours import nearest_points
+
+    rng = np.random.default_rng(6)
+    cloud = np.round(np.vstack([rng.normal(0, 0.01, (150, 3)), rng.random((120, 3)) * 5, np.zeros((12, 3)), np.full((30, 3), 2.0) + rng.normal(0, 1e-3, (30, 3))]), 4)
+    data = [("a" if i % 3 else "b", i, *map(float, p)) for i, p in enumerate(cloud)]
+    df = spark.createDataFrame([*data, ("a", 998, None, 0.0, 0.0), ("a", 999, float("inf"), 0.0, float("nan"))], "d string, id long, x double, y double, z double").repartition(3)
+    queries = spark.createDataFrame([("a", i, float(i * 7), 0.0, -3.0) for i in range(40)] + [("c", 77, 0.0, 0.0, 0.0)], "d string, id long, x double, y double, z double")
+    for q, q_rows, k, radius in ((df, data, 9, float("inf")), (df, data, 40, 0.05), (queries, [("a", i, i * 7.0, 0.0, -3.0) for i in range(40)], 3, float("inf"))):
+        got = {(r.d, r.id): [tuple(p) for p in r.near] for r in nearest_points(q, df, "id", k, radius, ["d"], rows).collect()}
+        want = {}
+        for d, i, *at in q_rows:
+            own = sorted((float(np.sqrt(((np.array(p) - at) ** 2).sum())), *p) for e, _, *p in data if e == d)
+            near = [x for x in own if x[0] <= radius][:k]
+            if near:
+                want[d, i] = near
+        assert got.keys() == want.keys()
+        for key in want:
+            assert np.allclose(got[key], want[key], rtol=0, atol=1e-12), key
