@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from .vectors import best_of_each, same_width, search_blocks, usable
 
-TREES, LEAF = 64, 32
-#: A query goes on until its candidates are this many times those at which its k best last changed, and LEAST at the least.
-PATIENCE, LEAST = 3.0, 400
+TREES, LEAF = 64, 16
+#: A query looks at SCALE * n ** POWER of a block's n points: a share that falls as blocks grow.
+SCALE, POWER = 2.6, 0.76
+#: Points of a block that are looked at whole.
+WHOLE = 256
 #: Queries whose margins are computed at once.
 TOGETHER = 16
 
@@ -99,6 +101,11 @@ class SharedQueue:
         return out
 
 
+def budget(n: int, scale: float = SCALE, power: float = POWER) -> int:
+    """Points that a query looks at in a block of n; all of a small one."""
+    return min(n, max(WHOLE, int(np.ceil(scale * n**power))))
+
+
 def build(trees: int, leaf: int):
     def index(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
         """Equal vectors are one point of the forest; ``members`` has its rows in id order, an id once."""
@@ -122,36 +129,45 @@ def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def block_search(k: int, patience: float, least: int):
-    def gathered(queue: SharedQueue, leaves: np.ndarray, u: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and single-precision cosines of the leaf candidates of one query, until its k + 1 best (itself may be one) have long stood."""
-        n = len(u)
-        seen = np.zeros(n + 1, bool)
-        seen[n] = True
-        places, near, best = [], [], np.zeros(0, np.float32)
-        count = last = taken = 0
-        while len(some := queue.take(max(32, taken // 8))):  # the leaves that are looked at together grow with those behind
-            taken += len(some)
-            got = leaves[some].ravel()
-            got = np.unique(got[~seen[got]])
-            seen[got] = True
-            cos = u[got] @ q
-            places.append(got)
-            near.append(cos)
-            count += len(got)
-            now = np.sort(np.append(best, cos))[::-1][: k + 1]
-            if len(best) <= k or now[-1] > best[-1]:
-                last = count
-            best = now
-            if count >= max(least, patience * last):
-                break
-        return np.concatenate(places), np.concatenate(near)
+def gathered(queue: SharedQueue, leaves: np.ndarray, u: np.ndarray, q: np.ndarray, k: int, most: int, bounded: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Places and single-precision cosines of one query's leaf candidates: ``most`` of them or a few more, or, if ``bounded``, until no
+    leaf left can hold a nearer one than its k best."""
+    n = len(u)
+    seen = np.zeros(n + 1, bool)
+    seen[n] = True
+    places, near, best = [], [], np.zeros(0, np.float32)
+    count = taken = 0
+    while len(some := queue.take(max(32, taken // 8))):  # the leaves that are looked at together grow with those behind
+        if bounded and len(best) == k and queue.worst[some[0]] > np.sqrt(max(0.0, 2 - 2 * float(best[-1]))) + 1e-4:
+            break  # a point beyond a plane is at least the margin away, and so are all in the leaves that follow
+        taken += len(some)
+        got = leaves[some].ravel()
+        got = np.unique(got[~seen[got]])
+        seen[got] = True
+        cos = u[got] @ q
+        places.append(got)
+        near.append(cos)
+        count += len(got)
+        best = np.sort(np.append(best, cos))[::-1][:k]
+        if count >= most:
+            break
+    return np.concatenate(places), np.concatenate(near)
+
+
+def block_search(k: int, scale: float = SCALE, power: float = POWER):
+    def ready(index: dict, width: int) -> tuple:
+        """What every slice of queries needs of a block, made for the first one."""
+        if index.get("_width") != width:
+            points = same_width(index["points"], np.zeros((0, width)))[0]
+            u, depth = unit(points), (index["cuts"].shape[1] + 1).bit_length() - 1
+            index["_ready"] = points, u, depth, leaves_of(index["order"], depth), planes_of(u, index["pairs"]).reshape(-1, points.shape[1])
+            index["_width"] = width
+        return index["_ready"]
 
     def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray):
-        points, queries = same_width(index["points"], queries)
-        u, w = unit(points), unit(queries)
-        depth = (index["cuts"].shape[1] + 1).bit_length() - 1
-        leaves, planes = leaves_of(index["order"], depth), planes_of(u, index["pairs"]).reshape(-1, points.shape[1])
+        queries = same_width(queries, index["points"][:0])[0]
+        points, u, depth, leaves, planes = ready(index, queries.shape[1])
+        w = unit(queries)
         members, starts, cuts = index["member_ids"], index["starts"], index["cuts"]
         repeated = len(np.unique(members)) < len(members)
         out = [[], [], []]
@@ -159,7 +175,7 @@ def block_search(k: int, patience: float, least: int):
             some = w[at : at + TOGETHER]
             margins = (some @ planes.T).reshape(len(some), *cuts.shape) - cuts
             for j, margin in enumerate(margins, at):
-                got, near = gathered(SharedQueue(margin, depth), leaves, u, w[j])
+                got, near = gathered(SharedQueue(margin, depth), leaves, u, w[j], k + 1, budget(len(u), scale, power), not repeated)
                 if len(near) > 4 * (k + 1) and not repeated:  # single precision first; the margin covers its error
                     got = got[near >= np.partition(near, len(near) - k - 1)[len(near) - k - 1] - 1e-5]
                 # Of the rows of one point no query needs more than k + 1.
@@ -176,14 +192,14 @@ def block_search(k: int, patience: float, least: int):
     return search
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf: int = LEAF, patience: float = PATIENCE, least: int = LEAST, block: int = 65_536, per: int = 2048, first: int = 8) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES, leaf: int = LEAF, scale: float = SCALE, power: float = POWER, block: int = 65_536, per: int = 2048, first: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score (cosine) for the rows whose vec_id is divisible by ``every``, against all other rows.
 
     Each block of rows gets a forest over all its vectors, grown once and kept with the block; every query searches every block.
-    A search gathers leaves until the candidates are ``patience`` times as many as when its k best last changed, so near
-    neighbours that stand out cost little and vectors without any structure are searched widely. Null, empty, zero and
+    A search gathers leaves in the queue's order up to ``scale`` * n ** ``power`` of a block's n different vectors, or until the next
+    leaf's margin shows that no nearer one is left, so near neighbours that stand out cost little. Null, empty, zero and
     non-finite vectors take no part, nor do rows without vec_id. Copies tie exactly, to the smaller vec_id.
     A vec_id of several rows takes one rank, with its best score.
     """
     rows = usable(vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where("id is not null"), "v", nonzero=True)
-    return search_blocks(rows, rows.where(F.col("id") % every == 0), build(trees, leaf), block_search(k, patience, least), k, "double", block, per, first)
+    return search_blocks(rows, rows.where(F.col("id") % every == 0), build(trees, leaf), block_search(k, scale, power), k, "double", block, per, first)

@@ -468,6 +468,31 @@ def test_forest_recall_on_the_tables(spark, sf):
     assert len(got) == 5 * (ids % 50 == 0).sum() and hits / len(got) >= 0.9
 
 
+def test_forest_looks_at_a_falling_share_of_a_block():
+    """Vectors without structure: recall 0.9 or more from a share of the points that falls as blocks grow; and with close groups, the margin ends the search."""
+    rng, shares = np.random.default_rng(2), []
+    for n in (2000, 8000):
+        v = rng.standard_normal((n, 24)).astype(np.float32)
+        index = forest.build(forest.TREES, forest.LEAF)(np.arange(n), v)
+        u = forest.unit(index["points"])
+        depth = forest.depth_of(n, forest.LEAF)
+        leaves, planes = forest.leaves_of(index["order"], depth), forest.planes_of(u, index["pairs"])
+        hits = count = 0
+        for q in u[:20]:
+            got, _ = forest.gathered(forest.SharedQueue(planes @ q - index["cuts"], depth), leaves, u, q, 6, forest.budget(n))
+            hits += len(set(got.tolist()) & set(np.argsort(-(u @ q))[:6].tolist()))
+            count += len(got)
+        shares.append(count / 20 / n)
+        assert hits >= 0.9 * 120
+    assert shares[0] < 0.5 and shares[1] < 0.4 and shares[1] < shares[0]
+    v = np.repeat(rng.standard_normal((200, 24)), 10, axis=0) + rng.standard_normal((2000, 24)) * 1e-3
+    u = forest.unit(v)
+    index = forest.grow(u, 8, 16)
+    depth = forest.depth_of(2000, 16)
+    got, near = forest.gathered(forest.SharedQueue(forest.planes_of(u, index["pairs"]) @ u[5] - index["cuts"], depth), forest.leaves_of(index["order"], depth), u, u[5], 6, 2000)
+    assert len(got) < 1000 and np.allclose(np.sort(near)[-6:], np.sort(u @ u[5])[-6:])
+
+
 def test_searches_count_each_id_once(spark):
     rng = np.random.default_rng(5)
     v = np.round(rng.standard_normal((120, 6)), 2).astype(np.float32)
