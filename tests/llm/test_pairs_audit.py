@@ -191,3 +191,31 @@ def test_audit_of_many_parts_and_of_none(spark):
 def test_first_failure_table():
     assert audit.FIRST.shape == (32, 120) and (audit.FIRST[0] == 5).all()
     assert audit.FIRST[0b00101, audit.ORDERS.index("BDCAE")] == 2 and audit.FIRST[0b10000, audit.ORDERS.index("EDCBA")] == 0
+
+
+def test_searches_and_audits_with_clashing_columns(spark):
+    """Columns called like the operators' own change nothing."""
+    from panoply.llm import forest, topk, warc
+
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in np.round(rng.standard_normal(5), 3)]) for i in range(150)]
+    plain = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    extra = plain.selectExpr("*", "'p' AS path", "1 AS rows", "2 AS ids", "3 AS id", "4 AS v", "5 AS rank", "6 AS score", "7 AS query_id")
+    for search in (lambda t: topk.top_k(t, block=60), lambda t: forest.nearest(t, block=60)):
+        assert sorted(map(tuple, search(plain).collect())) == sorted(map(tuple, search(extra).collect()))
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", "x" * i) for i in range(40)], "page_id long, url string, html string")
+    odd = pages.selectExpr("*", "'a' AS replica", "1 AS offset", "2 AS size", "3 AS level", "4 AS leaf", "5 AS file", "6 AS path", "7 AS digest")
+    found = [sorted(map(str, warc.audit(warc.write_replicas(p, damaged=lambda page: page == 7)).collect())) for p in (pages, odd)]
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
+def test_operators_of_empty_tables(spark, tmp_path):
+    from panoply.llm import forest, quality, secrets, simhash, tokenfile, topk
+
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    some = spark.createDataFrame([(i, "good words here " * 9 if i % 2 else "b@d " * 20) for i in range(40)], "doc_id long, text string")
+    model = quality.train(some, spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
+    assert secrets.scan(docs).count() == 0 and simhash.near_duplicates(docs).count() == 0 and quality.classify(docs, model).count() == 0
+    assert tokenfile.read_tokens(spark, tokenfile.write_tokens(docs.select("doc_id", "text"))).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(vectors).count() == 0 and forest.nearest(vectors).count() == 0
