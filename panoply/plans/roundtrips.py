@@ -282,6 +282,18 @@ def frame_files(spark, sf_dir):
     return names.join(files.binary(spark, folder).select("path", F.hex("content").alias("jpeg")), "path").drop("path")
 
 
+@query(SQL["frame_files"])
+def frame_stream(spark, sf_dir):
+    """The same frames from a folder that grows between two starts of one stream."""
+    folder = shared_path(spark, "frames")
+    f = _numbered_jpegs(spark, sf_dir).withColumn("file", F.format_string("frame_%05d_t%09.3f.JPG", "s_suppkey", F.col("s_suppkey") / 8))
+    for half in (0, 1):
+        sinks.image_files(f.where(F.col("s_suppkey") % 2 == half).union(f.where("s_suppkey = 1").withColumn("file", F.lit(f"notes{half}.txt"))), f"{folder}/in", "file", "jpeg")
+        found = files.candidates_stream(spark, f"{folder}/in").select("sequence", "timestamp_s", "filename", F.hex("content").alias("jpeg"))
+        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def _bundle(spark, sf_dir) -> str:
     """A dense input bundle: a component a region, an image a nation; every second region's manifest names one image too many, ASIA has no points."""
     root = shared_path(spark, "bundle")

@@ -104,10 +104,27 @@ def analyzer_log(spark: SparkSession, path: str, name: bool = False) -> DataFram
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """path, filename, sequence, timestamp_s of candidate frames; the pixels are not read. No frame at all is an error."""
-    f = binary(spark, path).select("path", F.element_at(F.split("path", "/"), -1).alias("filename")).where(F.col("filename").rlike(CANDIDATE))
+    f = _named(binary(spark, path).select("path"))
     if f.isEmpty():
         raise ValueError(f"no candidate frames in {path}")
-    return f.select("path", "filename", F.regexp_extract("filename", CANDIDATE, 1).cast("long").alias("sequence"), F.regexp_extract("filename", CANDIDATE, 2).cast("double").alias("timestamp_s"))
+    return f
+
+
+def _named(f: DataFrame) -> DataFrame:
+    """Rows whose path ends in a candidate frame's name, with what the name says."""
+    f = f.withColumn("filename", F.element_at(F.split("path", "/"), -1)).where(F.col("filename").rlike(CANDIDATE))
+    return f.withColumns({"sequence": F.regexp_extract("filename", CANDIDATE, 1).cast("long"), "timestamp_s": F.regexp_extract("filename", CANDIDATE, 2).cast("double")})
+
+
+def candidates_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """path, content, filename, sequence, timestamp_s of candidate frames as a stream over a folder that grows.
+
+    The stream's checkpoint knows which files were taken, so one that starts again neither loses nor repeats a frame. Files have to
+    appear whole: written elsewhere, or under a name that starts with a dot, and moved in. Empty files give no row.
+    """
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    found = reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+    return _named(found.select("path", "content"))
 
 
 def video_metadata(spark: SparkSession, path: str, full_decode: bool = False) -> DataFrame:

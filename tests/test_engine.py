@@ -518,3 +518,20 @@ def test_neighbours_over_many_ranges(spark, rows):
         assert got.keys() == want.keys()
         for key in want:
             assert np.allclose(got[key], want[key], rtol=0, atol=1e-12), key
+
+
+def test_frame_stream_takes_each_frame_once(spark, tmp_path):
+    def run(per):
+        out = files.candidates_stream(spark, f"{tmp_path}/in", per).select("sequence", F.length("content").alias("size"))
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["sequence"], r["size"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for i in range(5):
+        (tmp_path / "in" / f"frame_{i:05d}_t00000.{i}00.jpg").write_bytes(b"x" * (i + 1))
+    (tmp_path / "in" / "frame_1.gif").write_bytes(b"no")
+    assert run(2) == [(i, i + 1) for i in range(5)]
+    assert run(2) == [(i, i + 1) for i in range(5)]
+    (tmp_path / "in" / "deep" / "FRAME_00007_t3.5.PNG").write_bytes(b"1234567")
+    (tmp_path / "in" / ".frame_00008_t4.0.png").write_bytes(b"unfinished")
+    assert run(1) == [*((i, i + 1) for i in range(5)), (7, 7)]
