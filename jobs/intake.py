@@ -6,6 +6,7 @@ recorded once, so that later copies can be checked against them. A file stream w
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,25 +35,35 @@ def read_ledger(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(f"{target}/ledger").drop("part")
 
 
+def _count(rows) -> int:
+    """What rows() counts, 0 while its folder isn't there."""
+    try:
+        return rows()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, settings: dict | None = None) -> dict:
     """Takes the files under SOURCE that are new since CHECKPOINT into TARGET/ledger, and writes TARGET/summary anew from the whole ledger.
 
     A run without new files changes nothing. A run that broke off is taken up where its checkpoint stands; the sink's own log
-    keeps a batch from being counted twice.
+    keeps a batch from being counted twice, and a summary that doesn't count all of the ledger is written again.
     """
     settings = settings or config("intake")
+    before = _count(lambda: read_ledger(spark, target).count())
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", settings["files_per_batch"]).parquet(source)
     writer = fingerprints(stream).writeStream.format("parquet").partitionBy("part").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.start(f"{target}/ledger")
-    query.awaitTermination()
-    read = sum(p["numInputRows"] for p in query.recentProgress)
-    LOG.info("intake: read %d new rows from %s in %d batches", read, source, len(query.recentProgress))
+    writer.start(f"{target}/ledger").awaitTermination()
     ledger = read_ledger(spark, target)
     held = ledger.count()
-    if read or not held:
+    LOG.info("intake: read %d new rows from %s", held - before, source)
+    if not held or _count(lambda: spark.read.parquet(f"{target}/summary").agg(F.sum("documents")).first()[0] or 0) != held:
         summary(ledger).write.mode("overwrite").parquet(f"{target}/summary")
+        LOG.info("intake: wrote %s/summary", target)
     LOG.info("intake: %s/ledger holds %d rows", target, held)
-    return {"read": read, "held": held}
+    return {"read": held - before, "held": held}
 
 
 if __name__ == "__main__":

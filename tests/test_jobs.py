@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import shutil
 
 import duckdb
 import pytest
@@ -38,7 +39,12 @@ def test_intake_takes_only_new_files_and_reruns_safely(spark, tmp_path):
     assert ledger(spark, out) == want
     got = {r.source: (r.documents, r.bytes, r.texts, r.maximum) for r in spark.read.parquet(f"{out}/summary").collect()}
     assert got == {"x/y": (3, 100_005, 3, 100_000.0), None: (1, 0, 1, 0.0), "": (2, 0, 1, 0.0), "x_y": (1, 3, 1, 3.0)}
+    before = sorted(map(str, spark.read.parquet(f"{out}/summary").collect()))
+    spark.read.parquet(f"{out}/summary").limit(1).write.parquet(f"{tmp_path}/torn")
+    shutil.rmtree(f"{out}/summary")
+    shutil.move(f"{tmp_path}/torn", f"{out}/summary")  # as if a run had broken off before it wrote the summary
     assert intake.run(spark, src, out, mark)["read"] == 0 and ledger(spark, out) == want
+    assert sorted(map(str, spark.read.parquet(f"{out}/summary").collect())) == before
 
 
 def test_intake_of_an_empty_table(spark, tmp_path):
