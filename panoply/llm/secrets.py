@@ -29,8 +29,6 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s,:\
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 BREAK = r"(?:\\+[rnt])++|[\x20\t]*+(?:\r\n?|\n)[\x20\t]*+"
 _BREAK = re.compile(BREAK)
-#: Encodings that may lie around one another; text that is wrapped more often is not unwrapped further.
-DEPTH = 6
 #: Characters of the shortest nested secret, 18 bytes.
 BASE64_LEAST, HEX_LEAST = 24, 36
 
@@ -160,21 +158,25 @@ def is_signed_token(header: str, claims: str, signature: str) -> bool:
     return len(sign) >= 64 if least is None else len(sign) == least
 
 
-def _is_nested(data: bytes | None, depth: int) -> bool:
-    """Whether it is text with a base secret, or a confirmed one, in it."""
+def _is_nested(data: bytes | None, seen: dict[bytes, bool]) -> bool:
+    """Whether it is text with a base secret, or a confirmed one, in it. ``seen`` holds what is known of texts by their digests, as neighbouring
+    candidates often decode to the same text."""
     if not data or not _PRINTED.fullmatch(data):
         return False
-    inner = data.decode("ascii")
-    return bool(confirmed(inner, depth - 1)) or any(k != "hex" for k, _, _ in base_spans(inner))
+    digest = hashlib.blake2b(data, digest_size=16).digest()
+    if digest not in seen:
+        inner = data.decode("ascii")
+        seen[digest] = any(k != "hex" for k, _, _ in base_spans(inner)) or bool(confirmed(inner, seen))
+    return seen[digest]
 
 
 class Run:
     """A run of encoded characters as one string, with the places where its lines start and end in it and in the text."""
 
-    def __init__(self, text: str, start: int, end: int, decode, unit: tuple[int, int]):
+    def __init__(self, text: str, start: int, end: int, decode, unit: tuple[int, int], heads: set[str]):
         # The letter of an escape just before the run is no part of it: no key or text starts with it in either encoding.
         start += text[start - 1 : start] == "\\" and text[start] in "rnt"
-        self.decode, (self.chars, self.bytes) = decode, unit
+        self.decode, (self.chars, self.bytes), self.heads = decode, unit, heads
         self.lines, at, parts = [], 0, []  # (start, end) in the joined string and in the text
         for a, b in self._lines(text, start, end):
             part = unescaped(text[a:b])
@@ -206,6 +208,8 @@ class Run:
     def key(self, k: int) -> tuple[str, int] | None:
         """Kind and last line of the key that starts with line k. Its own lengths say where it ends, and that has to be the end of a line."""
         start = self.lines[k][0]
+        if self.joined[start : start + 1] not in self.heads:
+            return None
         head = self.read(start, 0, 6)
         if not head or len(head) < 6:
             return None
@@ -226,19 +230,19 @@ class Run:
         data = self.decode(self.joined[start:end])
         return (kind, last) if data and (is_der_key(data) if kind == "der" else is_ssh_key(data)) else None
 
-    def text(self, k: int, depth: int) -> tuple[int | None, int]:
+    def text(self, k: int, seen: dict[bytes, bool]) -> tuple[int | None, int]:
         """The last line of the encoded text with a secret that starts with line k, if there is one: lines of one width and a shorter last one,
-        as far as they are text, or line k alone. And the last line that needs no search of its own if there is none."""
+        as far as they are text, or line k alone. And the last line whose characters have been searched with it, from line k's place on."""
         lines = self.lines
         start, first_end = lines[k][:2]
         head = self.decode(self.joined[start : start + self.chars])
         if not head or not _PRINTED.fullmatch(head):
             return None, k
         full = self.alike[k + (k + 1 < len(lines) and self.width[k] < self.width[k + 1])]
-        last, width = min(full + (full + 1 < len(lines) and self.width[full + 1] < self.width[full]), len(lines) - 1), self.width[full]
-        good, stop = start, lines[last][1]
+        last = min(full + (full + 1 < len(lines) and self.width[full + 1] < self.width[full]), len(lines) - 1)
+        good, stop, step = start, lines[last][1], 64
         while good < stop:  # as far as the bytes are printed ones
-            end = min(good + 4096, stop)
+            end, step = min(good + step, stop), min(2 * step, 65_536)
             data = self.decode(self.joined[good : end - ((end - good) % self.chars == 1)])
             m = _PRINTED.match(data) if data else None
             if data and m and m.end() == len(data):
@@ -250,20 +254,21 @@ class Run:
             return None, k
         last = bisect.bisect_right(self.places, good) - 1
         for j in sorted({last, max(last - 1, k), k}, reverse=True):
-            if _is_nested(self.decode(self.joined[start : lines[j][1]]), depth):
+            if _is_nested(self.decode(self.joined[start : lines[j][1]]), seen):
                 return j, j
-        return None, last if (first_end - start) % self.chars == 0 == width % self.chars else k
+        return None, last
 
-    def found(self, depth: int):
+    def found(self, seen: dict[bytes, bool]):
         """(kind, start, end) in the text."""
-        k, n, searched = 0, len(self.lines), -1
+        k, n = 0, len(self.lines)
+        searched = [-1] * self.chars  # the last line searched by the place in its unit where a line starts: such a line's text is the end of one searched before
         while k < n:
-            got = self.key(k)
-            if got is None and depth and k > searched:
+            got, place = self.key(k), self.lines[k][0] % self.chars
+            if got is None and k > searched[place]:
                 # A short line before a wider one is more often a word above the block than its first line.
                 above = k + 1 < n and self.lines[k][1] - self.lines[k][0] < self.lines[k + 1][1] - self.lines[k + 1][0]
-                if not (above and (self.key(k + 1) or self.text(k + 1, depth)[0] is not None)):
-                    last, searched = self.text(k, depth)
+                if not (above and (self.key(k + 1) or self.text(k + 1, seen)[0] is not None)):
+                    last, searched[place] = self.text(k, seen)
                     got = None if last is None else ("nested", last)
             if got:
                 yield got[0], self.lines[k][2], self.lines[got[1]][3]
@@ -275,9 +280,17 @@ def unhex(text: str) -> bytes | None:
     return bytes.fromhex(text) if len(text) % 2 == 0 else None
 
 
-def confirmed(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the encoded candidates that parse as keys or signed tokens, or decode to text that has some, up to ``depth`` encodings deep."""
-    out = []
+#: Characters and bytes of a unit of each encoding, and the characters that a key's first byte (a sequence's tag, the magic's "o") can start with.
+BASE64_UNIT, HEX_UNIT = ((4, 3), {"M", "b"}), ((2, 1), {"3", "6"})
+
+
+def confirmed(text: str, seen: dict[bytes, bool] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the encoded candidates that parse as keys or signed tokens, or decode to text that has some.
+
+    Encodings may lie around one another as often as they like: each decoding leaves three quarters of its characters at most, so the
+    search ends by itself, some 65 deep for the longest string. An empty text has none. ``seen`` is the search's own memory.
+    """
+    out, seen = [], {} if seen is None else seen
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
             inner = unescaped(m[2])
@@ -289,19 +302,20 @@ def confirmed(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
     for m in JWT.finditer(text) if "ey" in text else ():
         if is_signed_token(*m.groups()):
             out.append(("jwt", m.start(), m.end()))
-    def add(m: re.Match, decode, unit: tuple[int, int]) -> None:
-        out.extend([f for f in Run(text, *m.span(), decode, unit).found(depth) if not any(s <= f[1] < e for _, s, e in out)])
+
+    def add(m: re.Match, decode, unit: tuple[tuple[int, int], set[str]]) -> None:
+        out.extend([f for f in Run(text, *m.span(), decode, *unit).found(seen) if not any(s <= f[1] < e for _, s, e in out)])
 
     for m in BASE64_RUN.finditer(text):
         if m.end() - m.start() >= BASE64_LEAST:
-            add(m, unbase64, (4, 3))
+            add(m, unbase64, BASE64_UNIT)
     for m in HEX_RUN.finditer(text):
         if m.end() - m.start() >= HEX_LEAST:
-            add(m, unhex, (2, 1))
+            add(m, unhex, HEX_UNIT)
             for pattern in HEX_CASES:
                 for part in pattern.finditer(text, *m.span()):
                     if part.end() - part.start() >= HEX_LEAST and part.span() != m.span():
-                        add(part, unhex, (2, 1))
+                        add(part, unhex, HEX_UNIT)
     return out
 
 
