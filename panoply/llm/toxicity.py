@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialize, text_blocks
 
-#: The bound on what training sees: labelled rows of each class, and features that tell the classes apart.
-TRAIN_ROWS, VOCABULARY = 2000, 20_000
+#: The bound on what training sees: labelled rows of each class.
+TRAIN_ROWS = 2000
 #: Grades 0 to 3: clean, then toxic by thirds of the number of tell-tale words in it (those over ten times commoner in toxic rows).
 GRADES = 4
 WORD = re.compile(r"\w+")
@@ -108,11 +108,12 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, y int, h long, words array<string>, counts array<long>, features array<string>, ns array<long>")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", vocabulary: int = VOCABULARY) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> OrdinalModel:
     """Fits on at most ``rows`` labelled documents of each class, smallest id hash first. Without both classes no word has a weight, and every severity is near 0.
 
-    Words are counted where the texts are; what comes to the driver is, for these rows, the counts of at most ``vocabulary``
-    features. Of several texts of one id the least in byte order counts, so reruns agree.
+    Words are counted where the texts are; what comes to the driver is, for these rows, the counts of the features that tell the classes apart.
+    Each of them is in a fiftieth of the toxic rows (or in three), so there are no more than fifty average toxic texts have. Of several texts of
+    one id the least in byte order counts, so reruns agree.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     chosen = known.where("y = 0").orderBy("h", "doc_id").limit(rows).union(known.where("y = 1").orderBy("h", "doc_id").limit(rows))
@@ -126,12 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     of = lambda names: held.select("y", F.explode(names).alias("f")).groupBy("f").agg(toxic.alias("d1"), clean.alias("d0"))
     tell = of("words").where((F.col("d1") >= max(2, 0.01 * n[1])) & (F.col("d1") / n[1] > 10 * (F.col("d0") + 0.5) / n[0])).select("f")
     # Features that could only be learnt by heart stay out: those in few toxic rows, or not far commoner there.
-    vocab = of("features").where((F.col("d1") >= max(3, 0.02 * n[1])) & (F.col("d1") / n[1] > 4 * (F.col("d0") + 1) / n[0])).orderBy(F.desc("d1"), "f").limit(vocabulary).select("f")
+    vocab = of("features").where((F.col("d1") >= max(3, 0.02 * n[1])) & (F.col("d1") / n[1] > 4 * (F.col("d0") + 1) / n[0])).select("f")
     count = lambda names, counts, wanted: held.select("doc_id", F.explode(F.arrays_zip(names, counts)).alias("x")).select("doc_id", F.col(f"x.{names}").alias("f"), F.col(f"x.{counts}").alias("n")).join(wanted, "f")
     hits = count("words", "counts", tell).groupBy("doc_id").agg(F.sum("n").alias("hits"))
     sparse = count("features", "ns", vocab).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("f", "n"))).alias("fs"))
     got = held.select("doc_id", "y", "h").join(hits, "doc_id", "left").join(sparse, "doc_id", "left").orderBy("h", "doc_id").select("y", "hits", "fs.f", "fs.n").toArrow().to_pydict()
-    names = [r["f"] for r in vocab.orderBy("f").collect()]  # at most ``vocabulary``
+    names = [r["f"] for r in vocab.orderBy("f").collect()]  # few, as the docstring says
     drop(held)
     return fit([(f or [], c or []) for f, c in zip(got["f"], got["n"], strict=True)], np.array([x or 0 for x in got["hits"]], float), np.array(got["y"], np.int64), names)
 
