@@ -143,20 +143,26 @@ def even_sample(df: DataFrame, keys: list[str], order: list[str], limit: int) ->
     return ranked.where(hit).drop("_i", "_n")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
-    """df with each row's place (from 0) in its group's order.
+def running(df: DataFrame, keys: list[str], order: list, value, name: str) -> DataFrame:
+    """df with the sum of a column of whole numbers over the rows before each row in its group's order, 0 at its start.
 
-    Rows are range-sorted by group and order, and each group's rows in each range counted first, so no task sees a whole group.
+    Rows are range-sorted by group and order, and each group's rows in each range summed first, so no task sees a whole group.
     """
-    rows = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = rows.groupBy("_range", *keys).agg(F.count("*").alias("_size"))  # one row a range and group in it
+    rows = written(df.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("_range", *keys).agg(F.sum("_value").alias("_sum"))  # one row a range and group in it
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(F.col("_range").alias("_at"), *[F.col(k).alias(f"_at_{k}") for k in keys], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
-    same = F.col("_range") == F.col("_at")
+    base = sums.select(F.col("_range").alias("_at"), *[F.col(k).alias(f"_at_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    window = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(window), F.lit(0)))
+    here = F.col("_range") == F.col("_at")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
-    return inside.join(base, same).withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).select(*df.columns, name)
+        here = here & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
+    return inside.join(base, here).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """df with each row's place (from 0) in its group's order."""
+    return running(df, keys, order, F.lit(1), name)
 
 
 def session_gaps(df: DataFrame, keys: list[str], time: str, gap: str) -> DataFrame:

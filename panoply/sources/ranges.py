@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+import operator
 import re
 import struct
 from dataclasses import dataclass
@@ -9,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 # The record layouts of the binary mesh format.
 VERTEX = np.dtype([("xyz", "<f8", 3), ("normal", "<f8", 3), ("rgb", "u1", 3)])
@@ -102,37 +105,109 @@ class PlySource(DataSource):
         return _PlyReader(self.options["path"], self.options.get("element", "vertex"), int(self.options.get("part", PART)))
 
 
-def avi_frames(f) -> tuple[dict, list[tuple[int, int]]]:
-    """From an open AVI file: width, height, fps and declared frames, and each frame's (offset, size). Only chunk headers are read.
+# Entries of the two kinds of a video's index, and what a frame's chunk is called behind its stream's number.
+OLD_INDEX = np.dtype([("stream", "S2"), ("kind", "S2"), ("flags", "<u4"), ("offset", "<u4"), ("size", "<u4")])
+NEW_INDEX = np.dtype([("offset", "<u4"), ("size", "<u4")])
+SUPER_INDEX = np.dtype([("offset", "<u8"), ("size", "<u4"), ("ticks", "<u4")])
+FRAME_KINDS = (b"dc", b"db")
 
-    Files over 2 GB go on in further RIFF segments, which are walked in turn; index chunks are passed over.
-    """
-    size, info, frames = f.size(), {}, []
-    if size < 12 or f.read_at(4, 0) != b"RIFF" or f.read_at(4, 8) != b"AVI ":
-        raise ValueError("not an AVI file")
-    todo = [(0, size)]
+
+def _chunks(f, at: int, end: int):
+    """(kind, where its body starts, length) of the chunks of at..end; what lists hold comes after the list itself. Only headers are read."""
+    todo = [(at, end)]
     while todo:
         at, end = todo.pop()
         while at + 8 <= end:
             kind, length = struct.unpack("<4sI", f.read_at(8, at))
             body = at + 8
-            if kind in (b"RIFF", b"LIST"):
-                todo.append((min(body + length + length % 2, end), end))
-                at, end = body + 4, min(body + length, end)
-                continue
-            if kind == b"avih":
-                head = f.read_at(40, body)
-                per, declared = struct.unpack_from("<I", head)[0], struct.unpack_from("<I", head, 16)[0]
-                info.update(fps=1e6 / per if per else 0.0, declared_frames=declared, width=struct.unpack_from("<I", head, 32)[0], height=struct.unpack_from("<I", head, 36)[0])
-            elif kind == b"strh" and f.read_at(4, body) == b"vids":
-                scale, rate = struct.unpack("<2I", f.read_at(8, body + 20))
-                if scale and rate:
-                    info["fps"] = rate / scale
-            elif kind[2:] in (b"dc", b"db") and length:
-                frames.append((body, length))
             at = body + length + length % 2
+            if kind in (b"RIFF", b"LIST"):
+                name = f.read_at(4, body)
+                yield name, body, min(length, end - body)
+                if name != b"movi":
+                    todo.append((min(at, end), end))
+                    at, end = body + 4, min(body + length, end)
+            else:
+                yield kind, body, length
+
+
+def _walked(f, at: int, end: int) -> list[tuple[int, int]]:
+    """Frames of at..end by their chunks' headers, record lists included."""
+    return [(body, length) for kind, body, length in _chunks(f, at, end) if kind[2:] in FRAME_KINDS and length]
+
+
+def _is_frame(f, body: int, length: int, end: int) -> bool:
+    """Whether the body of a frame's chunk of this length, that ends by ``end``, starts there."""
+    head = f.read_at(8, body - 8) if body + length <= end else b""
+    return head[2:4] in FRAME_KINDS and struct.unpack("<I", head[4:])[0] == length
+
+
+def _old_index(f, body: int, length: int, movi: int) -> list[tuple[int, int]]:
+    """Frames by the index behind a file's first frames. Its offsets count from the frame list's name or from the file's start: the first entry's chunk tells."""
+    held = f.read_at(length, body)
+    held = np.frombuffer(held, OLD_INDEX, len(held) // OLD_INDEX.itemsize)
+    held = held[np.isin(held["kind"], FRAME_KINDS) & (held["size"] > 0)]
+    places, sizes = held["offset"].astype(np.int64) + 8, held["size"].tolist()
+    for base in (movi, 0):
+        if sizes and _is_frame(f, base + int(places[0]), sizes[0], f.size()):
+            return list(zip((places + base).tolist(), sizes, strict=True))
+    return []
+
+
+def _new_index(f, content: bytes) -> list[tuple[int, int]]:
+    """Frames by a stream's index of indexes, or none where it is no such index."""
+    out = []
+    if len(content) < 24 or struct.unpack_from("<HBB", content) != (4, 0, 0) or content[10:12] not in FRAME_KINDS:
+        return out
+    for offset, _, _ in np.frombuffer(content, SUPER_INDEX, min(struct.unpack_from("<I", content, 4)[0], (len(content) - 24) // 16), 24).tolist():
+        head = f.read_at(32, offset) if offset + 32 <= f.size() else b""
+        if len(head) < 32 or head[:2] != b"ix" or struct.unpack_from("<HBB", head, 8) != (2, 0, 1):
+            continue
+        n, base = struct.unpack_from("<I", head, 12)[0], struct.unpack_from("<Q", head, 20)[0]
+        held = f.read_at(8 * n, offset + 32)
+        held = np.frombuffer(held, NEW_INDEX, len(held) // 8)
+        sizes = held["size"] & 0x7FFFFFFF  # the highest bit marks frames that need others
+        out += [x for x in zip((held["offset"].astype(np.int64) + base).tolist(), sizes.tolist(), strict=True) if x[1]]
+    return out
+
+
+def avi_frames(f) -> tuple[dict, list[tuple[int, int]]]:
+    """From an open AVI file: width, height, fps and declared frames, and each frame's (offset, size).
+
+    Frames are taken from the file's index (of either kind), in a few reads; chunk headers are read one by one only where a frame list
+    has no index, or one whose first and last entry aren't found in the list, and before and behind what the index names. Files over
+    2 GB go on in further RIFF segments. Frames without bytes are none.
+    """
+    size, info, movis, indexed, streams, stream = f.size(), {}, [], [], 0, None
+    if size < 12 or f.read_at(4, 0) != b"RIFF" or f.read_at(4, 8) != b"AVI ":
+        raise ValueError("not an AVI file")
+    for kind, body, length in _chunks(f, 0, size):
+        if kind == b"avih":
+            head = f.read_at(40, body)
+            per, declared = struct.unpack_from("<I", head)[0], struct.unpack_from("<I", head, 16)[0]
+            info.update(fps=1e6 / per if per else 0.0, declared_frames=declared, width=struct.unpack_from("<I", head, 32)[0], height=struct.unpack_from("<I", head, 36)[0])
+        elif kind == b"strh":
+            stream = f.read_at(4, body)
+            streams += stream == b"vids"
+            scale, rate = struct.unpack("<2I", f.read_at(8, body + 20)) if stream == b"vids" else (0, 0)
+            if scale and rate:
+                info["fps"] = rate / scale
+        elif kind == b"indx" and stream == b"vids":
+            indexed += _new_index(f, f.read_at(length, body))
+        elif kind == b"movi":
+            movis.append((body, body + length))
+        elif kind == b"idx1" and movis and not indexed:
+            indexed += _old_index(f, body, length, movis[0][0])
     if not info or info["width"] <= 0 or info["height"] <= 0 or not info["fps"] > 0:
         raise ValueError("the video has no usable width, height or frame rate")
+    frames, indexed = [], sorted(set(indexed)) if streams == 1 else []
+    for at, end in movis:
+        inside = indexed[bisect.bisect_left(indexed, (at + 4, 0)) : bisect.bisect_left(indexed, (end, 0))]
+        if inside and _is_frame(f, *inside[0], end) and _is_frame(f, *inside[-1], end):
+            (first, _), (last, length) = inside[0], inside[-1]
+            frames += _walked(f, at + 4, first - 8) + inside + _walked(f, last + length + length % 2, end)
+        else:
+            frames += _walked(f, at + 4, end)
     return info, frames
 
 
@@ -160,8 +235,22 @@ class Frames(InputPartition):
 
 
 class _AviReader(DataSourceReader):
+    #: Comparisons that planning applies, on these columns of a kept frame (number in the video, place among the kept ones, seconds).
+    COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda a, b: a in b, IsNotNull: lambda a, b: True}
+    COLUMNS = {("source_frame",): 0, ("sequence",): 1, ("timestamp_s",): 2}
+
     def __init__(self, options: dict):
-        self.o = options
+        self.o, self.tests = options, []
+
+    def pushFilters(self, filters):
+        """Comparisons of a frame's number, place and time with numbers choose frames before any is read; Spark applies the others."""
+        for x in filters:
+            value = getattr(x, "value", None)
+            values = value if isinstance(x, In) else () if isinstance(x, IsNotNull) else (value,)
+            if type(x) in self.COMPARED and x.attribute in self.COLUMNS and all(isinstance(v, (int, float)) and not math.isnan(v) for v in values):
+                self.tests.append((type(x), self.COLUMNS[x.attribute], value))
+            else:
+                yield x
 
     def partitions(self):
         path = self.o["path"]
@@ -173,6 +262,7 @@ class _AviReader(DataSourceReader):
         kept = [(i, k, *frames[i]) for k, i in enumerate(range(first, min(last, len(frames)), stride))]
         if not kept:
             raise ValueError(f"no frames extracted from {path}")
+        kept = [x for x in kept if all(self.COMPARED[kind]((x[0], x[1], x[0] / fps)[c], value) for kind, c, value in self.tests)]
         parts, size = [[]], 0
         for x in kept:
             if size + x[3] > int(self.o.get("part", PART)) and parts[-1]:
@@ -190,7 +280,10 @@ class _AviReader(DataSourceReader):
 
 
 class AviSource(DataSource):
-    """Format panoply_avi: the frames of one motion-JPEG video at a rate (target_fps) in an interval (start_s, end_s)."""
+    """Format panoply_avi: the frames of one motion-JPEG video at a rate (target_fps) in an interval (start_s, end_s).
+
+    Filters on source_frame, sequence and timestamp_s choose the byte ranges that are read.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -204,6 +297,8 @@ class AviSource(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
+    """Makes both formats known, and lets Python sources take filters: Spark refuses to read a source that does while that is off."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     for source in (PlySource, AviSource):
         spark.dataSource.register(source)
     return spark

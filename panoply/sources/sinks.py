@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequence import numbered
-from ..session import shared_path
+from ..operators.sequence import numbered, running
+from ..session import discard, shared_path, written
 from .ranges import FACE, PROPERTIES, VERTEX
 
 #: Pair ids that are deleted at once.
@@ -95,6 +95,8 @@ def _packed(df: DataFrame, order: list[str], pack) -> str:
         store.move(part, name)
         yield pd.DataFrame({"n": [n]})
 
+    made, path = _fs(df.sparkSession, folder)
+    made.mkdirs(path)  # no rows, no tasks: the folder is there all the same
     df.orderBy(*order).mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
     return folder
 
@@ -201,16 +203,23 @@ def mesh_glb(vertices: DataFrame, triangles: DataFrame, uri: str) -> None:
 
 
 def avi(frames: DataFrame, uri: str, order: list[str], jpeg: str, fps: int, width: int, height: int) -> None:
-    """A motion-JPEG AVI of the rows' pictures in order."""
+    """A motion-JPEG AVI of the rows' pictures in order, with its index behind them. Null pictures are frames without bytes."""
     riff = lambda kind, *body: kind + struct.pack("<I", sum(map(len, body))) + b"".join(body)
-    sums = frames.agg(F.count("*").alias("n"), F.sum(F.octet_length(jpeg) + F.octet_length(jpeg) % 2 + 8).alias("size")).first()
+    picture = F.coalesce(jpeg, F.lit(b"")).alias("_jpeg")
+    long = F.octet_length("_jpeg").cast("long")
+    placed = written(running(frames.select(*order, picture), [], order, long + long % 2 + 8, "_at").select("_at", "_jpeg"), "video-frames")
+    sums = placed.agg(F.count("*").alias("n"), F.max(F.col("_at") + long + long % 2 + 8).alias("size")).first()
     main = struct.pack("<10I", round(1e6 / fps), 0, 0, 0, sums["n"], 0, 1, 0, width, height) + b"\0" * 16
     video = b"vidsMJPG" + b"\0" * 12 + struct.pack("<2I", 1, fps) + b"\0" * 28
     head = riff(b"LIST", b"hdrl", riff(b"avih", main), riff(b"LIST", b"strl", riff(b"strh", video)))
-    movi = 4 + (sums["size"] or 0)
-    start = b"RIFF" + struct.pack("<I", 4 + len(head) + 8 + movi) + b"AVI " + head + b"LIST" + struct.pack("<I", movi) + b"movi"
+    movi, index = 4 + (sums["size"] or 0), 16 * sums["n"]
+    start = b"RIFF" + struct.pack("<I", 4 + len(head) + 8 + movi + 8 + index) + b"AVI " + head + b"LIST" + struct.pack("<I", movi) + b"movi"
     chunk = lambda data: riff(b"00dc", bytes(data)) + b"\0" * (len(data) % 2)
-    joined(frames.sparkSession, uri, start, _packed(frames.select(*order, F.col(jpeg).alias("_jpeg")), order, lambda pdf: b"".join(map(chunk, pdf["_jpeg"]))))
+    entry = lambda at, size: b"00dc" + struct.pack("<3I", 0x10, 4 + at, size)  # noqa: E731  # every picture stands alone; offsets count from the list's name
+    body = _packed(placed, ["_at"], lambda pdf: b"".join(map(chunk, pdf["_jpeg"])))
+    entries = _packed(placed.select("_at", long.alias("_size")), ["_at"], lambda pdf: b"".join(map(entry, pdf["_at"], pdf["_size"])))
+    joined(frames.sparkSession, uri, start, body, b"idx1" + struct.pack("<I", index), entries)
+    discard(placed)
 
 
 def lines(df: DataFrame, uri: str, order: list[str], line, head: str = "") -> None:

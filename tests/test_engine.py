@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from panoply.functions import calibration as C
 from panoply.functions import exprs as X
@@ -357,6 +358,93 @@ def test_video_container(spark, tmp_path):
         files.video_frames(spark, f"{tmp_path}/v.avi", ExtractionConfig(start_s=9.0)).collect()
 
 
+class Counted:
+    """A file that notes how it is read."""
+
+    def __init__(self, data):
+        self.data, self.reads = data, []
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        self.reads.append((at, n))
+        return self.data[at : at + n]
+
+
+def indexed_video(n=40, second=25, broken=False):
+    """An AVI of n pictures in two segments whose index of indexes names one index a segment; sound lies between the pictures, and picture 3 has no bytes."""
+    strh = b"vidsMJPG" + b"\0" * 12 + struct.pack("<2I", 1, 10) + b"\0" * 28
+    avih = struct.pack("<10I", 100_000, 0, 0, 0, n, 0, 1, 0, 160, 120) + b"\0" * 16
+    body = lambda i: b"" if i == 3 else small_jpeg(bytes([i]) * (3 + i % 2))
+
+    def head(supers):
+        indx = struct.pack("<HBBI4s12x", 4, 0, 0, len(supers), b"00dc") + b"".join(struct.pack("<Q2I", *x) for x in supers)
+        return riff(b"LIST", b"hdrl" + riff(b"avih", avih) + riff(b"LIST", b"strl" + riff(b"strh", strh) + riff(b"indx", indx)))
+
+    out, supers, start = b"", [], 12 + len(head([(0, 0, 0)] * 2))
+    for a, b in ((0, second), (second, n)):
+        start += 12 if a else 0  # the second segment's own header
+        inside, entries = b"", []
+        for i in range(a, b):
+            inside += riff(b"01wb", b"sound")
+            entries.append((len(inside) + 8, len(body(i))))
+            inside += riff(b"00dc", body(i))
+        base = start + 12
+        index = struct.pack("<HBBI4sQ4x", 2, 0, 1, len(entries), b"00dc", base + broken) + b"".join(struct.pack("<2I", x, size | (i % 2) << 31) for i, (x, size) in enumerate(entries))
+        supers.append((base + len(inside), len(index) + 8, b - a))
+        part = riff(b"LIST", b"movi" + inside + riff(b"ix00", index))
+        start += len(part)
+        out += riff(b"RIFF", b"AVIX" + part) if a else part
+        first = len(part) if not a else first
+    return riff(b"RIFF", b"AVI " + head(supers) + out[:first]) + out[first:], [body(i) for i in range(n) if i != 3]
+
+
+def test_video_frames_by_index_and_filters(spark, tmp_path):
+    data, pictures = indexed_video()
+    f = Counted(data)
+    info, frames = ranges.avi_frames(f)
+    assert [data[a : a + n] for a, n in frames] == pictures and info["declared_frames"] == 40
+    by_index = len(f.reads)
+    g = Counted(indexed_video(broken=True)[0])
+    assert [g.data[a : a + n] for a, n in ranges.avi_frames(g)[1]] == pictures and len(g.reads) > by_index + 60  # an index that points elsewhere isn't believed
+    cut = Counted(data[: frames[30][0] + 2])  # the recording broke off: the second index is gone
+    assert ranges.avi_frames(cut)[1][:30] == frames[:30]
+    (tmp_path / "v.avi").write_bytes(data)
+    kept = lambda where: files.video_frames(spark, f"{tmp_path}/v.avi", ExtractionConfig(target_fps=5.0, start_s=0.4)).where(where)
+    every = [r.asDict() for r in kept("true").orderBy("sequence").collect()]
+    assert [r["source_frame"] for r in every] == list(range(4, 39, 2)) and [bytes(r["jpeg"]) for r in every] == pictures[4:39:2]
+    for where, test in (
+        ("source_frame >= 10 and source_frame < 20", lambda r: 10 <= r["source_frame"] < 20),
+        ("timestamp_s between 1.2 and 2.05 and filename like '%1.8%'", lambda r: 1.2 <= r["timestamp_s"] <= 2.05 and "1.8" in r["filename"]),
+        ("sequence in (0, 3, 99) or sequence = 5", lambda r: r["sequence"] in (0, 3, 5)),
+        ("sequence in (2, 3) and timestamp_s > 0.8", lambda r: r["sequence"] in (2, 3) and r["timestamp_s"] > 0.8),
+        ("timestamp_s < cast('NaN' as double) and source_frame > 30", lambda r: r["source_frame"] > 30),
+        ("source_frame = 11", lambda r: False),
+    ):
+        assert [r.asDict() for r in kept(where).orderBy("sequence").collect()] == [r for r in every if test(r)], where
+    plan = kept("source_frame >= 10 and source_frame < 12")._jdf.queryExecution().executedPlan().toString()
+    assert " Filter " not in plan and "BatchScan" in plan and "source_frame" in plan
+    reader = ranges._AviReader({"path": f"{tmp_path}/v.avi", "part": 1})
+    rest = [EqualTo(("filename",), "x")]
+    assert list(reader.pushFilters([GreaterThanOrEqual(("source_frame",), 10), LessThan(("timestamp_s",), 1.25), *rest])) == rest
+    assert [x[0] for p in reader.partitions() for x in p.frames] == [10, 11, 12]
+
+
+def test_video_sink_writes_an_index(spark, tmp_path):
+    pictures = [small_jpeg(bytes([i % 250]) * (3 + i % 2)) for i in range(300)]
+    df = spark.createDataFrame([(i // 2, bytearray(p) if i != 7 else None) for i, p in enumerate(pictures)], "k int, jpeg binary").repartition(5)
+    sinks.avi(df, f"file://{tmp_path}/v.avi", ["k"], "jpeg", 10, 160, 120)
+    f = Counted((tmp_path / "v.avi").read_bytes())
+    info, frames = ranges.avi_frames(f)
+    got = [f.data[a : a + n] for a, n in frames]
+    assert info["declared_frames"] == 300 and len(got) == 299 and len(f.reads) < 30
+    assert sorted(got) == sorted(p for i, p in enumerate(pictures) if i != 7) and [set(got[2 * k : 2 * k + 2]) for k in range(3)] == [set(pictures[2 * k : 2 * k + 2]) for k in range(3)]
+    assert frames == [x for b, n in [(b, n) for k, b, n in ranges._chunks(f, 0, f.size()) if k == b"movi"] for x in ranges._walked(f, b + 4, b + n)]
+    sinks.avi(df.limit(0), f"file://{tmp_path}/e.avi", ["k"], "jpeg", 10, 160, 120)
+    assert ranges.avi_frames(Counted((tmp_path / "e.avi").read_bytes()))[1] == []
+
+
 def test_keyframe_stream_agrees_with_the_batch_rules(spark, tmp_path):
     from panoply.plans.queries import CFG
     from panoply.plans.views import frames
