@@ -431,6 +431,14 @@ def test_video_frames_by_index_and_filters(spark, tmp_path):
     assert [x[0] for p in reader.partitions() for x in p.frames] == [10, 11, 12]
 
 
+def test_running_sums(spark):
+    rows = [(k, i, (i * 7) % 5) for k in ("a", None) for i in range(40)] + [("b", 1, None), ("b", 2, 4), ("b", 3, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(4)
+    got = {(r["k"], r["i"]): r["s"] for r in sequence.running(df, ["k"], ["i"], F.col("v"), "s").collect()}
+    assert got == {(k, i): sum(w or 0 for q, j, w in rows if q == k and j < i) for k, i, _ in rows}
+    assert sequence.running(df.limit(0), ["k"], ["i"], F.col("v"), "s").count() == 0
+
+
 def test_video_sink_writes_an_index(spark, tmp_path):
     pictures = [small_jpeg(bytes([i % 250]) * (3 + i % 2)) for i in range(300)]
     df = spark.createDataFrame([(i // 2, bytearray(p) if i != 7 else None) for i, p in enumerate(pictures)], "k int, jpeg binary").repartition(5)
