@@ -50,7 +50,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
 
     def result(i, p):
         place, lo, hi = F.lit(float(p)) * (F.col("_n") - 1), F.col(f"_l{i}"), F.col(f"_h{i}")
-        x = F.when(F.ceil(place) == F.floor(place), lo["_at"]).otherwise((F.ceil(place) - place) * lo["_at"] + (place - F.floor(place)) * hi["_at"])
+        # of equal neighbours the weighted mean may be off in its last bit, on either side of rows that have that very value
+        x = F.when((F.ceil(place) == F.floor(place)) | (lo["_at"] == hi["_at"]), lo["_at"]).otherwise((F.ceil(place) - place) * lo["_at"] + (place - F.floor(place)) * hi["_at"])
         return F.when(lo["_gap"] | hi["_gap"], F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).otherwise(x)
 
     if not keys:  # no rows give a row of nulls
