@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import calibration
 from ..functions.exprs import distance, transform_point
 from ..schemas import need
 from ..session import written
 from .neighbours import nearest_points
-from .sequence import quantiles
+from .sequence import numbered, quantiles
 
 AXES = ["x", "y", "z"]
 
@@ -127,6 +128,68 @@ def dense_summary(clouds: DataFrame, key: str, voxel: float, k: int = 20, ratio:
     return voxels(kept.drop(key), voxel, []), summary.withColumn("kept_fraction", F.col("clean_points") / F.nullif("input_points", F.lit(0)))
 
 
+#: Triples of points that a floor is looked for by, the seed of their drawing, and the points or planes that are multiplied at once.
+TRIALS, SEED, AT_ONCE = 5000, 9, 500
+
+
+def floor_planes(points: DataFrame, key: str, order: str, trials: int = TRIALS) -> DataFrame:
+    """key, points, inliers, rmse and nx, ny, nz, offset of the plane with most points near it, for each group of a cloud of any size.
+
+    The rule is calibration.floor_plane's, in passes over the rows: medians by selection, corners drawn by their place in the order,
+    counts near every triple's plane summed over tasks, and the normal from the inliers' second moments. Only planes are held whole, not points.
+    """
+    p = written(numbered(points.select(key, order, *AXES), [key], [order], "_at"), "floor-points")
+    middle = p.select(key, F.posexplode(F.array(*AXES)).alias("_i", "_c"))
+    middle = quantiles(middle, [key, "_i"], "_c", {"_m": 0.5}).groupBy(key).agg(*[F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(f"_{a}") for i, a in enumerate(AXES)])
+    d = distance([F.col(a) for a in AXES], [F.col(f"_{a}") for a in AXES])
+    spreads = quantiles(p.join(F.broadcast(middle), key).select(key, d.alias("_d")), [key], "_d", {"spread": 0.5})
+    groups = p.groupBy(key).agg(F.count("*").alias("n")).join(spreads, key).collect()  # one row a floor
+    draws = []
+    for g in groups:
+        need(g["n"] >= calibration.LEAST_POINTS, f"a floor plane needs {calibration.LEAST_POINTS} points, not {g['n']}")
+        drawn = np.random.default_rng(SEED).integers(0, g["n"], (trials, 3))
+        draws += [(g[key], int(at), t, c) for t, row in enumerate(drawn) for c, at in enumerate(row)]
+    draws = p.sparkSession.createDataFrame(draws, f"{key} {dict(p.dtypes)[key]}, _at long, _t int, _c int")
+    corners: dict = {}
+    for r in p.join(F.broadcast(draws), [key, "_at"]).select(key, "_t", "_c", *AXES).collect():  # as many as are drawn
+        corners.setdefault(r[key], np.zeros((trials, 3, 3)))[r["_t"], r["_c"]] = r["x"], r["y"], r["z"]
+    planes = {g[key]: (*calibration.planes_through(corners[g[key]]), max(calibration.NEAR * g["spread"], calibration.NEAR_LEAST)) for g in groups}
+    held = p.sparkSession.sparkContext.broadcast(planes)
+
+    def count(batches):
+        hits = {}
+        for pdf in batches:
+            for k, own in pdf.groupby(key):
+                normals, shift, near = held.value[k]
+                total, xyz = hits.setdefault(k, np.zeros(len(normals), np.int64)), own[AXES].to_numpy(float)
+                for a in range(0, len(xyz), AT_ONCE):
+                    for b in range(0, len(normals), AT_ONCE):
+                        total[b : b + AT_ONCE] += calibration.hits(xyz[a : a + AT_ONCE], normals[b : b + AT_ONCE], shift[b : b + AT_ONCE], near)
+        for k, total in hits.items():
+            yield pd.DataFrame({key: k, "_t": np.arange(len(total)), "_hits": total})
+
+    near_by = p.repartition(4 * p.sparkSession.sparkContext.defaultParallelism, order).mapInPandas(count, f"{key} {dict(p.dtypes)[key]}, _t int, _hits long")
+    near_by = near_by.groupBy(key, "_t").agg(F.sum("_hits").alias("_hits"))
+    best = {r[key]: r["b"] for r in near_by.groupBy(key).agg(F.max(F.struct("_hits", -F.col("_t"))).alias("b")).collect()}
+    chosen = []
+    for g in groups:
+        most, at = best.get(g[key], (0, 0))
+        need(most >= calibration.LEAST_INLIERS, f"no plane has {calibration.LEAST_INLIERS} points near it")
+        normals, shift, near = planes[g[key]]
+        chosen.append((g[key], *map(float, normals[-at]), float(shift[-at]), float(near), float(g["n"])))
+    chosen = p.sparkSession.createDataFrame(chosen, f"{key} {dict(p.dtypes)[key]}, _nx double, _ny double, _nz double, _shift double, _near double, _n double")
+    off = F.abs(sum((F.col(a) * F.col(f"_n{a}") for a in AXES), F.lit(0.0)) - F.col("_shift"))
+    inside = p.join(F.broadcast(chosen), key).where(off < F.col("_near"))
+    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    m = inside.groupBy(key).agg(F.max("_n").cast("long").alias("points"), F.count("*").alias("inliers"), *[F.avg(a).alias(a) for a in AXES], *[F.covar_pop(a, b).alias(a + b) for a, b in pairs])
+    rows = []
+    for r in m.collect():  # one row a floor
+        square, axes = np.linalg.eigh(np.array([[r["".join(sorted(a + b))] for b in AXES] for a in AXES]))
+        normal = axes[:, 0]
+        rows.append((r[key], r["points"], r["inliers"], float(np.sqrt(max(square[0], 0.0))), *map(float, normal), -float(normal @ [r[a] for a in AXES])))
+    return p.sparkSession.createDataFrame(rows, f"{key} {dict(p.dtypes)[key]}, points long, inliers long, rmse double, nx double, ny double, nz double, offset double")
+
+
 def density_cut(points: DataFrame, density: str, keys: list[str], quantile: float = 0.03) -> DataFrame:
     """Points whose density is not under their group's quantile."""
     cut = quantiles(points, keys, density, {"_cut": quantile})

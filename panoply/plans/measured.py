@@ -60,13 +60,10 @@ def floor_planes(spark, sf_dir):
     off = F.when(F.col("p_partkey") % 7 == 0, 40 + F.col("p_partkey") % 3).otherwise(0)
     p = p.withColumn("z", 0.5 * F.col("x") - 0.25 * F.col("y") + 10 * F.col("g") + off)
 
-    def plane(pdf):
-        normal, offset, inside, rmse = calibration.floor_plane(pdf.sort_values("p_partkey")[["x", "y", "z"]].to_numpy())
-        a, b, c = normal / -normal[2]
-        return pd.DataFrame([(pdf["g"].iloc[0], len(pdf), int(inside.sum()), rmse, a, b, offset / -normal[2])], columns=["g", "points", "inliers", "rmse", "slope_x", "slope_y", "height"])
-
-    # a group is the points of one frame's floor
-    return rounded(p.groupBy("g").applyInPandas(plane, "g long, points long, inliers long, rmse double, slope_x double, slope_y double, height double"), 5)
+    f = clouds.floor_planes(p, "g", "p_partkey")
+    up = -F.col("nz")
+    f = f.select("g", "points", "inliers", "rmse", (F.col("nx") / up).alias("slope_x"), (F.col("ny") / up).alias("slope_y"), (F.col("offset") / up).alias("height"))
+    return rounded(f, 5)
 
 
 @query("SELECT o_orderkey AS k, round(CAST(o_orderkey % 7 - 3 AS DOUBLE), 6) AS x, round(CAST(o_custkey % 5 - 2 AS DOUBLE), 6) AS y, round(4 + CAST(0.1 AS DOUBLE) * (o_orderkey % 7 - 3), 6) AS z FROM orders")
