@@ -66,6 +66,11 @@ def neighbour_moments(points: DataFrame, key: str, radius: float = 0.10, most: i
 
 def normals(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -> DataFrame:
     """key, nx, ny, nz: the direction of least variance around each point, up to sign; (0, 0, 1) with under three neighbours."""
+    return with_normals(neighbour_moments(points, key, radius, most)).select(key, "nx", "ny", "nz")
+
+
+def with_normals(moments: DataFrame) -> DataFrame:
+    """neighbour_moments() and nx, ny, nz of each row's neighbourhood: one search gives both."""
 
     def run(batches):
         for pdf in batches:
@@ -73,10 +78,10 @@ def normals(points: DataFrame, key: str, radius: float = 0.10, most: int = 40) -
             matrices = np.stack([np.stack(r, -1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], -2)
             n = np.linalg.eigh(matrices)[1][:, :, 0]
             n[pdf["neighbours"].to_numpy() < 3] = (0, 0, 1)
-            yield pd.DataFrame({key: pdf[key], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2]})
+            yield pdf.assign(nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
 
-    m = neighbour_moments(points, key, radius, most)
-    return m.mapInPandas(run, f"{key} {dict(points.dtypes)[key]}, nx double, ny double, nz double")
+    kinds = ", ".join(f"{c} {t}" for c, t in moments.dtypes)
+    return moments.mapInPandas(run, f"{kinds}, nx double, ny double, nz double")
 
 
 def seam_gate(distances: DataFrame, limit: float = 0.25, share: float = 0.50) -> DataFrame:

@@ -13,7 +13,7 @@ from .sequence import same
 
 AXES = ["x", "y", "z"]
 #: Rows of a range, which one task holds, and rows of the boxes that a range is searched by.
-ROWS, BOX = 200_000, 256
+ROWS, BOX = 100_000, 64
 #: Bits of each axis in the curve's number.
 BITS = 20
 NEAR = "array<struct<d:double,x:double,y:double,z:double>>"
@@ -33,13 +33,15 @@ def curve(low: list, high: list):
     return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
 
 
-def search(queries: np.ndarray, points: np.ndarray, k: int, radius: float) -> list[np.ndarray]:
+def search(queries: np.ndarray, points: np.ndarray, k: int, radius: float, copies: np.ndarray | None = None) -> list[np.ndarray]:
     """For each query the k nearest points within the radius as (d, x, y, z), ties in the order of the coordinates. Both come along the curve.
 
+    With ``copies`` each place counts as that many points.
+
     Neighbours along the curve make boxes; boxes of queries look at boxes of points from the nearest on, and at no more than can matter.
     """
     cut = lambda a: [a[i : i + BOX] for i in range(0, len(a), BOX)]
-    groups, out = cut(points), []
+    groups, counts, out = cut(points), cut(np.minimum(copies, k)) if copies is not None else [], []
     low, high, sizes = np.array([g.min(0) for g in groups]), np.array([g.max(0) for g in groups]), np.array([len(g) for g in groups])
     for q in cut(queries):
         gap = np.sqrt((np.maximum(0, np.maximum(low - q.max(0), q.min(0) - high)) ** 2).sum(1))
@@ -47,7 +49,8 @@ def search(queries: np.ndarray, points: np.ndarray, k: int, radius: float) -> li
         first = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1  # boxes that hold k points
         bound = _distances(q, np.concatenate([groups[g] for g in order[:first]]))
         bound = np.partition(bound, k - 1, axis=1)[:, k - 1].max() if bound.shape[1] >= k else np.inf
-        p = np.concatenate([groups[g] for g in order[gap[order] <= min(bound, radius)]] or [points[:0]])
+        reached = order[gap[order] <= min(bound, radius)]
+        p = np.concatenate([groups[g] for g in reached] or [points[:0]])
         d = _distances(q, p)
         limit = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.inf, radius)
         row, col = np.nonzero(d <= np.reshape(limit, (-1, 1)))
@@ -55,7 +58,12 @@ def search(queries: np.ndarray, points: np.ndarray, k: int, radius: float) -> li
         at = np.lexsort((*found.T[::-1], row))
         found, row = found[at], row[at]
         starts = np.searchsorted(row, np.arange(len(q) + 1))
-        out += [found[a : min(b, a + k)] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        near = [slice(a, min(b, a + k)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        if copies is None:
+            out += [found[n] for n in near]
+        else:
+            times = np.concatenate([counts[g] for g in reached] or [copies[:0]])[col][at]
+            out += [np.repeat(found[n], times[n], axis=0)[:k] for n in near]
     return out
 
 
@@ -73,56 +81,64 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
     task holds more. First each range is searched by itself; a query whose k-th distance reaches into the boxes around other ranges'
     points is then searched there too, and its lists are merged. So a query's points are looked at twice, whatever the density. Where all rows are one range, that is all. Queries or
     points with a coordinate that is null or not finite take no part. A query without a point in reach has no row.
+    Points at one place are searched as one with their number, and queries at one place once, so copies add no search.
     """
     need(k > 0 and radius > 0 and rows > 0, "count, radius and rows must be positive")
     by = by or []
     keys = [*by, key]
     sound = " and ".join(f"{a} is not null and abs({a}) < double('infinity')" for a in AXES)
-    q = queries.where(sound).select(*keys, *AXES, F.lit(True).alias("_query"))
-    p = points.where(sound).select(*by, F.lit(None).cast(queries.schema[key].dataType).alias(key), *AXES, F.lit(False).alias("_query"))
-    both = q.unionByName(p)
+    asked = queries.where(sound).select(*keys, *AXES)
+    keys = [*by, *AXES]
+    q = asked.select(*keys, F.lit(True).alias("_query"), F.lit(0).cast("long").alias("_copies")).distinct()
+    p = points.where(sound).groupBy(*keys).agg(F.count("*").alias("_copies")).select(*keys, F.lit(False).alias("_query"), "_copies")
+    both = written(q.unionByName(p), "places")
     span = both.groupBy(*by).agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES], F.count("*").alias("_n")).withColumnsRenamed({b: f"_{b}" for b in by})
     span = written(span, "span")
     total = span.agg(F.sum("_n")).first()[0] or 0
     placed = both.join(small(span), same(by)) if by else both.join(F.broadcast(span))  # without datasets span is one row
-    placed = placed.withColumn("_m", curve([F.col(f"_lo{a}") for a in AXES], [F.col(f"_hi{a}") for a in AXES])).select(*keys, *AXES, "_query", "_m")
+    placed = placed.withColumn("_m", curve([F.col(f"_lo{a}") for a in AXES], [F.col(f"_hi{a}") for a in AXES])).select(*keys, "_query", "_copies", "_m")
     several = total >= rows
     if several:
         placed = written(placed.repartitionByRange(1 + total // rows, *by, "_m").withColumn("_range", F.spark_partition_id()), "placed")
     else:
         placed = placed.withColumn("_range", F.lit(0))
-    schema = ", ".join([*(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys), "x double, y double, z double, _range int", f"near {NEAR}"])
+    schema = ", ".join([*(f"{c} {queries.schema[c].dataType.simpleString()}" for c in by), "x double, y double, z double, _range int", f"near {NEAR}"])
 
     def one(pdf):
         pdf = pdf.sort_values("_m", kind="stable")
         q = pdf[pdf["_query"]]
-        found = search(q[AXES].to_numpy(float), pdf.loc[~pdf["_query"], AXES].to_numpy(float), k, radius) if (~pdf["_query"]).any() else [np.zeros((0, 4))] * len(q)
-        out = q[[*keys, *AXES, "_range"]].copy()
+        p = pdf[~pdf["_query"]]
+        found = search(q[AXES].to_numpy(float), p[AXES].to_numpy(float), k, radius, p["_copies"].to_numpy(int)) if len(p) else [np.zeros((0, 4))] * len(q)
+        out = q[[*keys, "_range"]].copy()
         out["near"] = pd.Series([[dict(zip("dxyz", r, strict=True)) for r in f.tolist()] for f in found], index=out.index, dtype=object)
         return out
 
+    def answered(near):
+        here = near.where(F.size("near") > 0).select(*[F.col(c).alias(f"_{c}") for c in keys], "near")
+        return asked.join(here, same(keys)).select(*by, key, "near")
+
     home = written(placed.groupBy("_range", *by).applyInPandas(one, schema), "home")
     if not several:
-        return home.select(*keys, "near").where(F.size("near") > 0)
+        return answered(home)
     # one row a range and dataset
-    boxes = placed.where("not _query").groupBy("_range", *by).agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES], F.count("*").alias("_n"))
+    boxes = placed.where("not _query").groupBy("_range", *by).agg(*[f(a).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in AXES], F.sum("_copies").alias("_n"))
     boxes = written(boxes.withColumnsRenamed({"_range": "_there", **{b: f"_{b}" for b in by}}), "boxes")
     within = F.least(F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(float("inf")), F.lit(float(radius)))
     gap = F.sqrt(sum(F.pow(F.greatest(F.lit(0.0), F.col(f"_lo{a}") - F.col(a), F.col(a) - F.col(f"_hi{a}")), 2) for a in AXES))
-    open_ = home.select(*keys, *AXES, "_range", within.alias("_r"))
+    open_ = home.select(*keys, "_range", within.alias("_r"))
     # nothing near at home: the farthest corner of any box with k points bounds the distance
     far = F.sqrt(sum(F.pow(F.greatest(F.abs(F.col(f"_lo{a}") - F.col(a)), F.abs(F.col(f"_hi{a}") - F.col(a))), 2) for a in AXES))
     beside = boxes if by else F.broadcast(boxes)  # without datasets a row a range
     lost = open_.where(F.col("_r") == float("inf")).join(beside, [*same(by), F.col("_n") >= k]).groupBy(*keys).agg(F.min(far).alias("_bound")).withColumnsRenamed({c: f"_{c}" for c in keys})
-    open_ = open_.join(lost, same(keys), "left").withColumn("_r", F.least("_r", "_bound")).select(*keys, *AXES, "_range", "_r")
+    open_ = open_.join(lost, same(keys), "left").withColumn("_r", F.least("_r", "_bound")).select(*keys, "_range", "_r")
     away = open_.join(beside, [*same(by), F.col("_range") != F.col("_there"), gap <= F.col("_r")])
-    guests = written(away.select(*keys, *AXES, F.lit(True).alias("_query"), F.col("_there").alias("_range")), "guests")
+    guests = written(away.select(*keys, F.lit(True).alias("_query"), F.lit(0).cast("long").alias("_copies"), F.col("_there").alias("_range")), "guests")
     at = written(guests.select("_range", *by).distinct().withColumnsRenamed({c: f"_{c}" for c in ("_range", *by)}), "hosts")
     hosts = placed.where("not _query").join(at, same(["_range", *by]), "left_semi")
-    visit = guests.withColumn("_m", curve([F.lit(-1e9)] * 3, [F.lit(1e9)] * 3)).unionByName(hosts.select(*keys, *AXES, "_query", "_range", "_m"))
+    visit = guests.withColumn("_m", curve([F.lit(-1e9)] * 3, [F.lit(1e9)] * 3)).unionByName(hosts.select(*keys, "_query", "_copies", "_range", "_m"))
     lists = home.select(*keys, "near").unionByName(visit.groupBy("_range", *by).applyInPandas(one, schema).select(*keys, "near"))
-    merged = lists.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")).where(F.size("near") > 0)
+    merged = lists.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     merged = written(merged, "near")
-    for t in (span, placed, boxes, home, guests, at):
+    for t in (both, span, placed, boxes, home, guests, at):
         discard(t)
-    return merged
+    return answered(merged)

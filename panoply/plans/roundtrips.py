@@ -531,7 +531,7 @@ def dense_fused(spark, sf_dir):
 def normal_vectors(spark, sf_dir):
     """A normal is a unit vector, and its moment about the neighbourhood's mean is the smallest principal one, by the characteristic polynomial."""
     p = V.points(spark, sf_dir)
-    m = clouds.neighbour_moments(p, "point3d_id", 1.0).join(clouds.normals(p, "point3d_id", 1.0), "point3d_id")
+    m = clouds.with_normals(clouds.neighbour_moments(p, "point3d_id", 1.0))
     row = lambda a, b, c: F.col(a) * F.col("nx") + F.col(b) * F.col("ny") + F.col(c) * F.col("nz")
     m = m.withColumns({"mx": row("xx", "xy", "xz"), "my": row("xy", "yy", "yz"), "mz": row("xz", "yz", "zz")})
     m = m.withColumn("moment", F.col("mx") * F.col("nx") + F.col("my") * F.col("ny") + F.col("mz") * F.col("nz"))
