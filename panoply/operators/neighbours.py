@@ -13,7 +13,9 @@ from .sequence import same
 
 AXES = ["x", "y", "z"]
 #: Rows of a range, which one task holds, and rows of the boxes that a range is searched by.
-ROWS, BOX = 100_000, 64
+ROWS, BOX = 50_000, 64
+#: Points that are looked at for a bound on a box's distances.
+AHEAD = 512
 #: Bits of each axis in the curve's number.
 BITS = 20
 NEAR = "array<struct<d:double,x:double,y:double,z:double>>"
@@ -45,8 +47,8 @@ def search(queries: np.ndarray, points: np.ndarray, k: int, radius: float, copie
     low, high, sizes = np.array([g.min(0) for g in groups]), np.array([g.max(0) for g in groups]), np.array([len(g) for g in groups])
     for q in cut(queries):
         gap = np.sqrt((np.maximum(0, np.maximum(low - q.max(0), q.min(0) - high)) ** 2).sum(1))
-        order = np.argsort(gap, kind="stable")
-        first = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1  # boxes that hold k points
+        order = np.lexsort((((low + high - q.max(0) - q.min(0)) ** 2).sum(1), gap))  # many boxes overlap: of these the one around the same middle first
+        first = int(np.searchsorted(np.cumsum(sizes[order]), max(k, AHEAD))) + 1  # boxes that hold k points, and some more for a tight bound
         bound = _distances(q, np.concatenate([groups[g] for g in order[:first]]))
         bound = np.partition(bound, k - 1, axis=1)[:, k - 1].max() if bound.shape[1] >= k else np.inf
         reached = order[gap[order] <= min(bound, radius)]
@@ -102,14 +104,14 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
         placed = written(placed.repartitionByRange(1 + total // rows, *by, "_m").withColumn("_range", F.spark_partition_id()), "placed")
     else:
         placed = placed.withColumn("_range", F.lit(0))
-    schema = ", ".join([*(f"{c} {queries.schema[c].dataType.simpleString()}" for c in by), "x double, y double, z double, _range int", f"near {NEAR}"])
+    schema = ", ".join([*(f"{c} {queries.schema[c].dataType.simpleString()}" for c in by), "x double, y double, z double, _range int, _m long", f"near {NEAR}"])
 
     def one(pdf):
         pdf = pdf.sort_values("_m", kind="stable")
         q = pdf[pdf["_query"]]
         p = pdf[~pdf["_query"]]
         found = search(q[AXES].to_numpy(float), p[AXES].to_numpy(float), k, radius, p["_copies"].to_numpy(int)) if len(p) else [np.zeros((0, 4))] * len(q)
-        out = q[[*keys, "_range"]].copy()
+        out = q[[*keys, "_range", "_m"]].copy()
         out["near"] = pd.Series([[dict(zip("dxyz", r, strict=True)) for r in f.tolist()] for f in found], index=out.index, dtype=object)
         return out
 
@@ -125,17 +127,17 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
     boxes = written(boxes.withColumnsRenamed({"_range": "_there", **{b: f"_{b}" for b in by}}), "boxes")
     within = F.least(F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(float("inf")), F.lit(float(radius)))
     gap = F.sqrt(sum(F.pow(F.greatest(F.lit(0.0), F.col(f"_lo{a}") - F.col(a), F.col(a) - F.col(f"_hi{a}")), 2) for a in AXES))
-    open_ = home.select(*keys, "_range", within.alias("_r"))
+    open_ = home.select(*keys, "_range", "_m", within.alias("_r"))
     # nothing near at home: the farthest corner of any box with k points bounds the distance
     far = F.sqrt(sum(F.pow(F.greatest(F.abs(F.col(f"_lo{a}") - F.col(a)), F.abs(F.col(f"_hi{a}") - F.col(a))), 2) for a in AXES))
     beside = boxes if by else F.broadcast(boxes)  # without datasets a row a range
     lost = open_.where(F.col("_r") == float("inf")).join(beside, [*same(by), F.col("_n") >= k]).groupBy(*keys).agg(F.min(far).alias("_bound")).withColumnsRenamed({c: f"_{c}" for c in keys})
-    open_ = open_.join(lost, same(keys), "left").withColumn("_r", F.least("_r", "_bound")).select(*keys, "_range", "_r")
+    open_ = open_.join(lost, same(keys), "left").withColumn("_r", F.least("_r", "_bound")).select(*keys, "_range", "_m", "_r")
     away = open_.join(beside, [*same(by), F.col("_range") != F.col("_there"), gap <= F.col("_r")])
-    guests = written(away.select(*keys, F.lit(True).alias("_query"), F.lit(0).cast("long").alias("_copies"), F.col("_there").alias("_range")), "guests")
+    guests = written(away.select(*keys, F.lit(True).alias("_query"), F.lit(0).cast("long").alias("_copies"), F.col("_there").alias("_range"), "_m"), "guests")  # along the curve too: their boxes are small
     at = written(guests.select("_range", *by).distinct().withColumnsRenamed({c: f"_{c}" for c in ("_range", *by)}), "hosts")
     hosts = placed.where("not _query").join(at, same(["_range", *by]), "left_semi")
-    visit = guests.withColumn("_m", curve([F.lit(-1e9)] * 3, [F.lit(1e9)] * 3)).unionByName(hosts.select(*keys, "_query", "_copies", "_range", "_m"))
+    visit = guests.unionByName(hosts.select(*keys, "_query", "_copies", "_range", "_m"))
     lists = home.select(*keys, "near").unionByName(visit.groupBy("_range", *by).applyInPandas(one, schema).select(*keys, "near"))
     merged = lists.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     merged = written(merged, "near")
