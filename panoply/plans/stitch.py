@@ -13,6 +13,7 @@ from ..functions import calibration
 from ..functions import exprs as X
 from ..operators import clouds, sequence
 from ..schemas import need
+from ..session import written
 from ..sources import files
 
 
@@ -78,7 +79,8 @@ def stitch(spark: SparkSession, main: str, secondary: str, images: str, main_tap
     """
     ca, cb = calibrations or (calibrate(spark, main, images, main_tape, known_m), calibrate(spark, secondary, images, secondary_tape, known_m))
     m, scale = ca.meters_per_unit, cb.meters_per_unit / ca.meters_per_unit
-    pa, pb = (by_frame(files.poses(spark, f"{d}/images.txt")) for d in (main, secondary))
+    once = {d: written(by_frame(files.poses(spark, f"{d}/images.txt")), "poses") for d in {main, secondary}}  # read by six plans below: the text is parsed once
+    pa, pb = once[main], once[secondary]
 
     def places(p: DataFrame, wanted: list[int]) -> dict:
         got = {x["frame"]: (np.array([x["cx"], x["cy"], x["cz"]]), rotation(x["q"])) for x in p.where(F.col("frame").isin(wanted)).collect()}
