@@ -1,5 +1,6 @@
 """Results that hang on the last bit of a double."""
 
+import duckdb
 import numpy as np
 
 from panoply.functions import calibration
@@ -16,6 +17,19 @@ def test_quantile_of_equal_values_is_that_value(spark):
     assert clouds.density_cut(df, "v", ["k"]).count() == df.count()
 
 
+def test_quantile_between_neighbours_is_rounded_as_by_sql(spark):
+    rng = np.random.default_rng(3)
+    groups = {n: sorted(np.round(rng.random(n) * 300, 2).tolist()) for n in range(2, 120)}
+    df = spark.createDataFrame([(n, v) for n, vs in groups.items() for v in vs], "k long, v double")
+    shares = {"a": 0.03, "b": 0.2, "c": 0.9}
+    db = duckdb.connect()
+    for r in sequence.quantiles(df, ["k"], "v", shares).collect():
+        asked = ", ".join(f"quantile_cont(v, {p})" for p in shares.values())
+        assert (r.a, r.b, r.c) == db.execute(f"SELECT {asked} FROM (SELECT unnest(?) AS v)", [groups[r.k]]).fetchall()[0], r.k
+    nothing = spark.createDataFrame([(1, None), (2, 5.0)], "k long, v double")
+    assert sorted(map(tuple, sequence.quantiles(nothing, ["k"], "v", {"m": 0.5}).collect())) == [(1, None), (2, 5.0)]
+
+
 def test_tape_score_is_pixels_times_elongation():
     px = np.zeros((120, 160, 3), np.uint8)
     k = 758  # both bars are 30 wide: their scores differ in the last bit only
