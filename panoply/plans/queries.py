@@ -32,7 +32,9 @@ def query(sql: str | None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+    """Whole numbers as longs, doubles to these digits as the SQL rounds: the product with a power of ten is rounded, not the decimal that a double prints as."""
+    near = lambda c: F.round(F.col(c) * 10.0**digits) / 10.0**digits
+    return df.select(*[near(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
 # Trajectories

@@ -5,6 +5,7 @@ import numpy as np
 
 from panoply.functions import calibration
 from panoply.operators import clouds, sequence
+from panoply.plans.queries import rounded
 
 
 def test_quantile_of_equal_values_is_that_value(spark):
@@ -30,6 +31,14 @@ def test_quantile_between_neighbours_is_rounded_as_by_sql(spark):
     assert sorted(map(tuple, sequence.quantiles(nothing, ["k"], "v", {"m": 0.5}).collect())) == [(1, None), (2, 5.0)]
 
 
+def test_rounding_of_halves_is_that_of_the_sql(spark):
+    pairs = [(k, n) for n in (128, 640, 1280, 3840) for k in range(1, n + 1)]
+    df = spark.createDataFrame(pairs, "k long, n long").selectExpr("k", "n", "k / n AS x")
+    want = duckdb.connect().execute("SELECT round(x, 6) FROM (SELECT unnest(?) AS x)", [[k / n for k, n in pairs]]).fetchall()
+    assert {(r.k, r.n): r.x for r in rounded(df).collect()} == {p: w[0] for p, w in zip(pairs, want, strict=True)}
+    assert rounded(spark.sql("SELECT double('NaN') AS a, double('Infinity') AS b, -0.0000005D AS c, cast(NULL AS double) AS d, 7 AS e")).collect()[0][1:] == (float("inf"), -1e-06, None, 7)
+
+
 def test_tape_score_is_pixels_times_elongation():
     px = np.zeros((120, 160, 3), np.uint8)
     k = 758  # both bars are 30 wide: their scores differ in the last bit only
