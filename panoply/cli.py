@@ -128,7 +128,8 @@ def scale_report(spark, a) -> dict:
 
 @command("trajectory-report", images_txt=(str, MUST), output_dir=(str, MUST), expected_images=(int, None))
 def trajectory_report(spark, a) -> dict:
-    poses = files.poses(spark, a.images_txt, glob=os.path.basename(a.images_txt)).withColumn("model_id", F.lit(0))
+    poses = files.poses(spark, a.images_txt, glob=os.path.basename(a.images_txt))
+    poses = written(poses.withColumn("model_id", F.lit(0)), "poses")  # the report, three files and their sorts read it: the text is parsed once
     expected = spark.createDataFrame([(0, a.expected_images)], "model_id int, expected_images long") if a.expected_images else None
     report = trajectory.gates(trajectory.report(poses, expected=expected)).drop("model_id")
     flat = poses.select("image_id", "image_name", "cx", "cy", "cz")

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +29,13 @@ def lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
 def _splits(batches) -> Iterator[tuple[tuple[str, int], list[str]]]:
     """(path, split) and some of its lines, in order; a split may come in several turns."""
     for batch in batches:
-        value, path, split = (batch.column(i).to_pylist() for i in range(3))
-        at = 0
-        for i in range(1, len(value) + 1):
-            if i == len(value) or split[i] != split[at] or path[i] != path[at]:
-                yield (path[at], split[at]), value[at:i]
-                at = i
+        value, path, split = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+        if not value:
+            continue
+        turns = pc.or_(pc.not_equal(split[1:], split[:-1]), pc.not_equal(path[1:], path[:-1]))
+        ends = [*(np.flatnonzero(turns.to_numpy(zero_copy_only=False)) + 1).tolist(), len(value)]
+        for at, end in zip([0, *ends], ends, strict=False):
+            yield (path[at].as_py(), split[at].as_py()), value[at:end]
 
 
 def empty(line: str) -> bool:
@@ -52,17 +55,20 @@ def _note(batches):
         if own != key:
             if key:
                 yield row()
-            key, held = own, [0, [[HEAD, 0, None], [POINTS, 0, None]]]
+            key, held = own, [0, ((HEAD, 0, None), (POINTS, 0, None))]
         held[0] += len(values)
+        (one, n, last), (two, m, latest) = held[1]
         for line in values:
-            passed = None
-            for s in held[1]:
-                if s[0] == POINTS:
-                    s[0] = HEAD
-                else:
-                    passed = empty(line) if passed is None else passed
-                    if not passed:
-                        s[:] = POINTS, s[1] + 1, line
+            passed = (one == HEAD or two == HEAD) and empty(line)
+            if one == POINTS:
+                one = HEAD
+            elif not passed:
+                one, n, last = POINTS, n + 1, line
+            if two == POINTS:
+                two = HEAD
+            elif not passed:
+                two, m, latest = POINTS, m + 1, line
+        held[1] = (one, n, last), (two, m, latest)
     if key:
         yield row()
 
@@ -76,7 +82,7 @@ def starts(spark: SparkSession, text: DataFrame) -> dict[tuple[str, int], tuple[
     plain = lambda p: re.sub("^file:/+", "/", p)  # noqa: E731  both ways of writing a local file's URI
     out, heads = {}, dict.fromkeys(map(plain, text.inputFiles()), 0)
     path, state, head, before = None, HEAD, None, 0
-    for r in notes.orderBy("path", "split").collect():
+    for r in sorted(notes.collect(), key=lambda r: (r["path"], r["split"])):  # an orderBy would read the text twice
         if r["path"] != path:
             path, state, head, before = r["path"], HEAD, None, 0
         out[path, r["split"]] = state, head, before
@@ -125,7 +131,8 @@ def records(spark: SparkSession, path: str, glob: str | None, parse, schema: str
                 elif not empty(line):
                     state, head = POINTS, line.strip()
                     out += parse(own[0], number, head, None)
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
+            columns = zip(*out, strict=True) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return text.mapInArrow(run, schema)
 
