@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import sqlite3
+import tempfile
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -18,23 +19,15 @@ from . import posefiles, ranges
 # What a model analyzer's log says, and the type of each number.
 LOG = {"registered_images": (r"Registered images:\s+(\d+)", "long"), "points": (r"Points:\s+(\d+)", "long"), "observations": (r"Observations:\s+(\d+)", "long"), "mean_track_length": (r"Mean track length:\s+([0-9.eE+-]+)", "double"), "mean_observations_per_image": (r"Mean observations per image:\s+([0-9.eE+-]+)", "double"), "mean_reprojection_error_px": (r"Mean reprojection error:\s+([0-9.eE+-]+)px", "double")}
 
+#: Rows of a SQLite file that are taken at once.
+SQLITE_ROWS = 50_000
+
 
 def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def parsed(files: DataFrame, parse, schema: str) -> DataFrame:
-    """parse(path, content) -> DataFrame of one file's rows, for each file."""
-
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield parse(path, content)
-
-    return files.select("path", "content").mapInPandas(run, schema)
-
-
 def poses(spark: SparkSession, path: str, glob: str = "images.txt") -> DataFrame:
     """path, image_id, image_name, q, t, cx, cy, cz from pose text files, each read in as many splits as its size asks for."""
     return with_centers(posefiles.poses(spark, path, glob))
@@ -62,17 +55,24 @@ def cameras(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
-    """A query's rows from each SQLite file at path. The whole file is in one task's memory."""
+    """A query's rows from each SQLite file at path. A task copies a file to its own disk in pieces and takes the rows in turns, so memory holds neither whole."""
     columns = [c.split()[0] for c in schema.split(",")]
 
-    def parse(_, content):
-        db = sqlite3.connect(":memory:")
-        db.deserialize(bytes(content))
-        rows = db.execute(query).fetchall()
-        db.close()
-        return pd.DataFrame(rows, columns=columns)
-
-    return parsed(binary(spark, path), parse, schema)
+    def run(batches):
+        for pdf in batches:
+            for p in pdf["path"]:
+                with tempfile.TemporaryDirectory() as folder:
+                    with ranges.opened(p) as f, open(f"{folder}/db", "wb") as out:
+                        size = f.size()
+                        for at in range(0, size, ranges.READ):
+                            out.write(f.read_at(min(ranges.READ, size - at), at))
+                    db = sqlite3.connect(f"{folder}/db")
+                    found = db.execute(query)
+                    while rows := found.fetchmany(SQLITE_ROWS):
+                        yield pd.DataFrame(rows, columns=columns)
+                    db.close()
+
+    return binary(spark, path).select("path").mapInPandas(run, schema)
 
 
 def ply_vertices(spark: SparkSession, path: str, part: int = ranges.PART) -> DataFrame:
