@@ -20,6 +20,8 @@ FACE = np.dtype([("n", "u1"), ("abc", "<u4", 3)])
 PROPERTIES = [*(f"property double {a}" for a in ("x", "y", "z", "nx", "ny", "nz")), *(f"property uchar {c}" for c in ("red", "green", "blue")), "property list uchar uint vertex_indices"]
 #: Bytes of a partition, of a read inside it, and of the window in which a mesh's header has to end.
 PART, READ, HEADER = 64_000_000, 4_000_000, 65_536
+#: Parts of a mesh from which on they grow, up to a read's size: a task for each few kilobytes of a large file is mostly overhead.
+PARTS = 256
 
 
 def opened(uri: str):
@@ -68,7 +70,8 @@ class _PlyReader(DataSourceReader):
             faces = at + counts["vertex"] * VERTEX.itemsize
             if f.size() < faces + counts["face"] * FACE.itemsize:
                 raise ValueError("the file ends early")
-        step = max(1, self.part // self.kind.itemsize)
+        most = counts[self.element] * self.kind.itemsize // PARTS
+        step = max(1, max(self.part, min(most, READ)) // self.kind.itemsize)
         start = at if self.element == "vertex" else faces
         return [Records(self.path, start, i, min(step, counts[self.element] - i), counts["vertex"]) for i in range(0, counts[self.element], step)] or [Records(self.path, start, 0, 0, 0)]
 
