@@ -85,6 +85,21 @@ def before(df: DataFrame, keys: list[str], order: list[str], **values) -> DataFr
     return rows.select(*df.columns, *[F.coalesce(f"_in_{n}", f"_at_{n}").alias(n) for n in values])
 
 
+#: Rows of a range: what one task sorts at a time.
+RANGE = 1_000_000
+
+
+def ranged(df: DataFrame, keys: list[str], order: list) -> tuple[DataFrame, int]:
+    """df with the number of each row's range by group and order (_range), written; and how many ranges there are at most.
+
+    Large tables have more of them than the session's shuffle partitions, so that a task's rows don't grow with the table.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = -(-df.count() // RANGE)
+    dealt = df.repartitionByRange(ranges, *keys, *order) if ranges > usual else df.repartitionByRange(*keys, *order)
+    return written(dealt.withColumn("_range", F.spark_partition_id()), "ranges"), max(ranges, usual)
+
+
 def largest_gap(df: DataFrame, keys: list[str], order: list[str], index: str) -> DataFrame:
     """The largest difference of successive known indices in the given order; null with fewer than two."""
     d = before(df.where(F.col(index).isNotNull()).select(*dict.fromkeys([*keys, *order, index])), keys, order, _was=F.col(index))
@@ -152,12 +167,13 @@ def running(df: DataFrame, keys: list[str], order: list, value, name: str) -> Da
 
     Rows are range-sorted by group and order, and each group's rows in each range summed first, so no task sees a whole group.
     """
-    rows = written(df.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    rows, ranges = ranged(df.withColumn("_value", value), keys, order)
     sums = rows.groupBy("_range", *keys).agg(F.sum("_value").alias("_sum"))  # one row a range and group in it
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("_range").alias("_at"), *[F.col(k).alias(f"_at_{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     window = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(window), F.lit(0)))
+    dealt = rows.repartition(ranges, "_range", *keys) if ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    inside = dealt.withColumn("_inside", F.coalesce(F.sum("_value").over(window), F.lit(0)))
     here = F.col("_range") == F.col("_at")
     for k in keys:
         here = here & F.col(k).eqNullSafe(F.col(f"_at_{k}"))

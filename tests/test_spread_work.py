@@ -1,11 +1,34 @@
 """Work is dealt to many tasks, whatever the files that its rows come from."""
 
+import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 
+from panoply.operators import sequence
 from panoply.plans.measured import each
+from panoply.streaming.keyframes import in_order
 
 
 def test_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
     spark.range(200).coalesce(1).write.parquet(f"{tmp_path}/one")
     got = each(spark.read.parquet(f"{tmp_path}/one"), "id", lambda r: (TaskContext.get().partitionId(),), "task long").collect()
     assert sorted(r.id for r in got) == list(range(200)) and len({r.task for r in got}) > 4
+
+
+def test_ranges_grow_in_number_and_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "RANGE", 100)
+    df = spark.range(3000).selectExpr("id % 3 AS k", "(id * 7919) % 3000 AS o")
+    rows, ranges = sequence.ranged(df, ["k"], ["o"])
+    assert ranges == 30 and rows.groupBy("_range").count().agg({"count": "max"}).first()[0] <= 300
+    got = sequence.numbered(df, ["k"], ["o"], "i").collect()
+    for k in range(3):
+        mine = sorted((r.o, r.i) for r in got if r.k == k)
+        assert [i for _, i in mine] == list(range(1000))
+
+
+def test_a_groups_frames_in_order():
+    rng = np.random.default_rng(5)
+    parts = [pd.DataFrame({"timestamp_s": rng.integers(0, 4, n) / 2, "sequence": rng.permutation(n), "sharpness": rng.random(n)}) for n in (5, 0, 9)]
+    parts[0].loc[2, "timestamp_s"] = np.nan
+    want = pd.concat(parts).sort_values(["timestamp_s", "sequence"]).to_dict("records")
+    assert [str(r) for r in in_order(iter(parts))] == [str(r) for r in want]
