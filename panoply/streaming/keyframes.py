@@ -16,6 +16,13 @@ from ..schemas import KeyframeConfig
 OUT = "video_id long, sequence long, timestamp_s double, selected boolean, reason string"
 
 
+def in_order(batches) -> list[dict]:
+    """A group's frames by time and sequence, missing ones last, as records. Groups are many and small, and for a few rows pandas' own sort and records cost more than the rows."""
+    rows = [dict(zip(pdf.columns, r, strict=True)) for pdf in batches for r in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True)]
+    place = lambda x: (x is None or x != x, x)
+    return sorted(rows, key=lambda r: (*place(r["timestamp_s"]), *place(r["sequence"])))
+
+
 def select_stream(frames: DataFrame, cfg: KeyframeConfig, blur: float, pair: Pair | None = None) -> DataFrame:
     """Decisions as frames arrive, in time order inside each batch. State is the last selected frame alone.
 
@@ -28,9 +35,8 @@ def select_stream(frames: DataFrame, cfg: KeyframeConfig, blur: float, pair: Pai
         if state.exists:
             t, s, f = state.get
             last = {"timestamp_s": t, "sharpness": s, "feature_count": f}
-        rows = pd.concat(list(batches)).sort_values(["timestamp_s", "sequence"]).to_dict("records")
         out = []
-        for r in rows:
+        for r in in_order(batches):
             selected, reason, *_ = decide(r, last, False, blur, cfg, pair)
             out.append((key[0], r["sequence"], r["timestamp_s"], selected, reason))
             last = r if selected else last
@@ -58,7 +64,7 @@ class KeyframeProcessor(StatefulProcessor):
         held = self.last.get() if self.last.exists() else None
         last = dict(zip(("timestamp_s", "sharpness", "feature_count"), held, strict=True)) if held else None
         out = []
-        for r in pd.concat(list(rows)).sort_values(["timestamp_s", "sequence"]).to_dict("records"):
+        for r in in_order(rows):
             selected, reason, *_ = decide(r, last, False, self.blur, self.cfg, self.pair)
             out.append((key[0], r["sequence"], r["timestamp_s"], selected, reason))
             last = r if selected else last
