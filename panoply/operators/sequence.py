@@ -50,11 +50,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
 
     def result(i, p):
         place, lo, hi = F.lit(float(p)) * (F.col("_n") - 1), F.col(f"_l{i}"), F.col(f"_h{i}")
-        # of equal neighbours the weighted mean may be off in its last bit, on either side of rows that have that very value; of others
-        # it is rounded as SQL engines round it, by a fused multiply-add: once less than by two products and a sum
+        # the mean is rounded as SQL engines round it, by a fused multiply-add: once less than by two products and a sum. Of equal neighbours
+        # it is their value, but for places under a half, where the upper share is rounded too: there it may be off in its last bit, in SQL as well
         given = [F.coalesce(x["_at"], F.lit(0.0)) for x in (lo, hi)]  # the call takes no nulls
         mean = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), given[0], F.ceil(place) - place, (place - F.floor(place)) * given[1]).cast("double")
-        x = F.when((F.ceil(place) == F.floor(place)) | (lo["_at"] == hi["_at"]), lo["_at"]).when(hi["_at"].isNotNull(), mean)
+        x = F.when(F.ceil(place) == F.floor(place), lo["_at"]).when(hi["_at"].isNotNull(), mean)
         return F.when(lo["_gap"] | hi["_gap"], F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).otherwise(x)
 
     if not keys:  # no rows give a row of nulls

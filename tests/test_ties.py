@@ -31,6 +31,17 @@ def test_quantile_between_neighbours_is_rounded_as_by_sql(spark):
     assert sorted(map(tuple, sequence.quantiles(nothing, ["k"], "v", {"m": 0.5}).collect())) == [(1, None), (2, 5.0)]
 
 
+def test_quantile_of_few_equal_values_is_that_of_the_sql(spark):
+    groups = {1000 * n + k: (n, k / 100) for n in (5, 9, 15, 17) for k in range(1, 400)}
+    df = spark.createDataFrame([(g, v) for g, (n, v) in groups.items() for _ in range(n)], "k long, v double")
+    rows = "SELECT g.k, g.v FROM (SELECT unnest(?, recursive := true)) g, range(g.k // 1000)"
+    want = dict(duckdb.connect().execute(f"SELECT k, quantile_cont(v, 0.03) FROM ({rows}) GROUP BY k", [[{"k": g, "v": v} for g, (_, v) in groups.items()]]).fetchall())
+    assert any(x != groups[g][1] for g, x in want.items())  # the SQL's own last bit
+    assert {r.k: r.c for r in sequence.quantiles(df, ["k"], "v", {"c": 0.03}).collect()} == want
+    kept = {g: n for g, (n, v) in groups.items() if v >= want[g]}
+    assert {r["k"]: r["count"] for r in clouds.density_cut(df, "v", ["k"]).groupBy("k").count().collect()} == kept
+
+
 def test_rounding_of_halves_is_that_of_the_sql(spark):
     pairs = [(k, n) for n in (128, 640, 1280, 3840) for k in range(1, n + 1)]
     df = spark.createDataFrame(pairs, "k long, n long").selectExpr("k", "n", "k / n AS x")
