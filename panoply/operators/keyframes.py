@@ -53,22 +53,26 @@ def value_pair(scale: float = 1.0, reach: float = 150.0) -> Pair:
     return pair
 
 
-def decide(frame: dict, last: dict | None, is_last: bool, blur: float, cfg: KeyframeConfig, pair: Pair) -> Decision:
-    """The order of the rules is their meaning."""
-    if last is None:
-        return Decision(True, "first_frame")
-    elapsed = frame["timestamp_s"] - last["timestamp_s"]
-    seen = pair(last, frame)
+def _settled(frame: dict, elapsed: float, is_last: bool, blur: float, cfg: KeyframeConfig) -> tuple[bool, str] | None:
+    """What the rules before those on the pair decide; none if they leave it open."""
     rules = (
         (is_last, True, "last_frame"),
         (elapsed < cfg.min_interval_s, False, "reject_min_interval"),
         (elapsed >= cfg.max_interval_s, True, "selected_max_gap_fallback"),
         (frame["sharpness"] < blur, False, "reject_blur"),
         (frame["feature_count"] < cfg.min_features, False, "reject_low_features"),
-        (seen.track_ratio < cfg.min_track_ratio, False, "reject_low_overlap"),
-        (seen.motion_ratio >= cfg.motion_threshold, True, "selected_motion"),
     )
-    selected, reason = next(((s, r) for hit, s, r in rules if hit), (False, "reject_low_motion"))
+    return next(((s, r) for hit, s, r in rules if hit), None)
+
+
+def decide(frame: dict, last: dict | None, is_last: bool, blur: float, cfg: KeyframeConfig, pair: Pair) -> Decision:
+    """The order of the rules is their meaning."""
+    if last is None:
+        return Decision(True, "first_frame")
+    elapsed = frame["timestamp_s"] - last["timestamp_s"]
+    seen = pair(last, frame)
+    rules = ((seen.track_ratio < cfg.min_track_ratio, False, "reject_low_overlap"), (seen.motion_ratio >= cfg.motion_threshold, True, "selected_motion"))
+    selected, reason = _settled(frame, elapsed, is_last, blur, cfg) or next(((s, r) for hit, s, r in rules if hit), (False, "reject_low_motion"))
     return Decision(selected, reason, elapsed, *seen)
 
 
@@ -86,8 +90,12 @@ def place(r: dict) -> tuple[float, int]:
 
 
 def _following(rows: list[dict], last: dict, start: int, blur: float, cfg: KeyframeConfig, pair: Pair) -> int | None:
-    """Which row from ``start`` on is selected next after ``last``."""
-    return next((i for i in range(start, len(rows)) if decide(rows[i], last, False, blur, cfg, pair).selected), None)
+    """Which row from ``start`` on is selected next after ``last``. Frames are compared only where no other rule decides."""
+    for i in range(start, len(rows)):
+        settled = _settled(rows[i], rows[i]["timestamp_s"] - last["timestamp_s"], False, blur, cfg)
+        if settled[0] if settled else decide(rows[i], last, False, blur, cfg, pair).selected:
+            return i
+    return None
 
 
 def _exits(rows: list[dict], entries: list[dict], blur: float, cfg: KeyframeConfig, pair: Pair) -> list[tuple]:
@@ -136,7 +144,7 @@ def _blocks(frames: DataFrame, key: str, cfg: KeyframeConfig, span: int) -> tupl
     return f.drop("_b", "_from", "_end", "_next"), most
 
 
-def _lasts(rows: DataFrame, key: str, cfg: KeyframeConfig, pair: Pair, blocks: int) -> DataFrame:
+def _lasts(rows: DataFrame, key: str, cfg: KeyframeConfig, pair: Pair, blocks: int, tasks: int | None = None) -> DataFrame:
     """The key, _k, _t, _s: the frame selected last before each block but a video's first.
 
     All blocks are followed at once, each from every frame that could be that one: a successor for each pair of block and frame.
@@ -150,6 +158,8 @@ def _lasts(rows: DataFrame, key: str, cfg: KeyframeConfig, pair: Pair, blocks: i
         return pd.DataFrame(out, columns=[key, "_k", "_t", "_s", "_et", "_es"]).drop_duplicates()
 
     every = rows.withColumn("_own", F.lit(True)).unionByName(near)
+    if tasks:
+        every = every.repartition(tasks, key, "_k")
     exits = every.groupBy(key, "_k").applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, _k long, _t double, _s long, _et double, _es long")
     exits = written(exits, "exits")
     known = near.select(F.col(key).alias(f"_{key}"), F.col("_k").alias("_nk"), F.col("timestamp_s").alias("_nt"), F.col("sequence").alias("_ns")).distinct()
@@ -180,11 +190,14 @@ def select(frames: DataFrame, cfg: KeyframeConfig, key: str = "video_id", pair:
     blocks are folded at once, each from that frame. Frames without a time are left out.
     """
     need(span >= 2, "a block is two longest intervals long or more")
+    spark = frames.sparkSession
+    # pictures are few bytes for the work they make, so blocks of them are dealt to this many tasks, which aren't put together by their bytes
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) if pair else None
     pair = pair or value_pair()
     rows, blocks = _blocks(frames, key, cfg, span)
     every = rows.withColumn("_own", F.lit(True))
     if blocks > 1:
-        lasts = _lasts(rows, key, cfg, pair, blocks).select(F.col(key).alias(f"_{key}"), F.col("_k").alias("_at"), "_t", "_s")
+        lasts = _lasts(rows, key, cfg, pair, blocks, tasks).select(F.col(key).alias(f"_{key}"), F.col("_k").alias("_at"), "_t", "_s")
         held = rows.join(lasts, [*same([key]), F.col("timestamp_s") == F.col("_t"), F.col("sequence") == F.col("_s")])
         every = every.unionByName(held.withColumns({"_k": F.col("_at"), "_own": F.lit(False)}).select(*every.columns))
     names = [key, *[c.split()[0] for c in OUT.split(", ")]]
@@ -213,7 +226,7 @@ def select(frames: DataFrame, cfg: KeyframeConfig, key: str = "video_id", pair:
         if waiting is not None and waiting["_own"]:
             yield pd.DataFrame([settle(waiting, True)], columns=names)
 
-    dealt = every.repartition(key, "_k").sortWithinPartitions(key, "_k", "_own", "timestamp_s", "sequence")
+    dealt = (every.repartition(tasks, key, "_k") if tasks else every.repartition(key, "_k")).sortWithinPartitions(key, "_k", "_own", "timestamp_s", "sequence")
     return dealt.mapInPandas(fold, f"{key} {dict(frames.dtypes)[key]}, {OUT}")
 
 

@@ -32,3 +32,22 @@ def test_a_groups_frames_in_order():
     parts[0].loc[2, "timestamp_s"] = np.nan
     want = pd.concat(parts).sort_values(["timestamp_s", "sequence"]).to_dict("records")
     assert [str(r) for r in in_order(iter(parts))] == [str(r) for r in want]
+
+
+def test_blocks_of_pictures_are_dealt_to_many_tasks_and_compared_where_needed(spark):
+    from panoply.operators import keyframes
+    from panoply.schemas import KeyframeConfig
+
+    cfg = KeyframeConfig(min_interval_s=0.4, max_interval_s=1.2, motion_threshold=10.0, min_features=20)
+    rows = [(0, k, k / 5, 100.0 + 7 * (k % 9), 50) for k in range(4000)]
+    frames = spark.createDataFrame(rows, "video_id long, sequence long, timestamp_s double, sharpness double, feature_count long")
+    decided = keyframes.select(frames, cfg, pair=keyframes.value_pair())
+    assert len({r.t for r in decided.selectExpr("spark_partition_id() AS t").distinct().collect()}) > 4
+    held, compared = [dict(zip(frames.columns, r, strict=True)) for r in rows[:12]], []
+
+    def pair(last, now):
+        compared.append((last["sequence"], now["sequence"]))
+        return keyframes.Motion(20.0, 1.0)
+
+    assert keyframes._following(held, held[0], 1, 0.0, cfg, pair) == 2 and compared == [(0, 2)]
+    assert keyframes._following(held, held[0], 7, 0.0, cfg, pair) == 7 and len(compared) == 1
