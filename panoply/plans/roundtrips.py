@@ -290,7 +290,8 @@ def frame_stream(spark, sf_dir):
     for half in (0, 1):
         sinks.image_files(f.where(F.col("s_suppkey") % 2 == half).union(f.where("s_suppkey = 1").withColumn("file", F.lit(f"notes{half}.txt"))), f"{folder}/in", "file", "jpeg")
         found = files.candidates_stream(spark, f"{folder}/in").select("sequence", "timestamp_s", "filename", F.hex("content").alias("jpeg"))
-        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        with files.few_listings(spark):
+            found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 

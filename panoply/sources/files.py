@@ -6,6 +6,7 @@ import hashlib
 import sqlite3
 import tempfile
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -116,11 +117,24 @@ def _named(f: DataFrame) -> DataFrame:
     return f.withColumns({"sequence": F.regexp_extract("filename", CANDIDATE, 1).cast("long"), "timestamp_s": F.regexp_extract("filename", CANDIDATE, 2).cast("double")})
 
 
+@contextmanager
+def few_listings(spark: SparkSession):
+    """Streams over files that start inside look up a batch's files in as many tasks as there are cores. By default each file is a task, whose result the driver receives."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def candidates_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """path, content, filename, sequence, timestamp_s of candidate frames as a stream over a folder that grows.
 
     The stream's checkpoint knows which files were taken, so one that starts again neither loses nor repeats a frame. Files have to
-    appear whole: written elsewhere, or under a name that starts with a dot, and moved in. Empty files give no row.
+    appear whole: written elsewhere, or under a name that starts with a dot, and moved in. Empty files give no row. Start it inside
+    few_listings() where folders are large.
     """
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     found = reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)

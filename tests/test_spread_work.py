@@ -51,3 +51,77 @@ def test_blocks_of_pictures_are_dealt_to_many_tasks_and_compared_where_needed(sp
 
     assert keyframes._following(held, held[0], 1, 0.0, cfg, pair) == 2 and compared == [(0, 2)]
     assert keyframes._following(held, held[0], 7, 0.0, cfg, pair) == 7 and len(compared) == 1
+
+
+def test_a_streams_files_are_looked_up_in_few_tasks(spark, tmp_path):
+    from panoply.sources import files
+
+    (tmp_path / "in").mkdir()
+    for i in range(60):
+        (tmp_path / "in" / f"frame_{i:05d}_t00000.{i}00.jpg").write_bytes(b"x")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    with files.few_listings(spark):
+        out = files.candidates_stream(spark, f"{tmp_path}/in").select("sequence").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        q = out.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    seen = spark.sparkContext.statusTracker()
+    tasks = [seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup(str(q.runId)) for s in seen.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) < 60 and spark.read.parquet(f"{tmp_path}/out").count() == 60
+    assert spark.conf.get(key) == before
+
+
+def test_ordered_stream_asks_little_of_its_state():
+    from pyspark.sql import Row
+
+    from panoply.operators.keyframes import value_pair
+    from panoply.plans.queries import CFG
+    from panoply.streaming.keyframes import OrderedKeyframes
+
+    class Held:
+        def __init__(self):
+            self.timers, self.rows, self.value = [], [], None
+
+        registerTimer = property(lambda self: self.timers.append)  # noqa: N815  the interface's names
+        getValueState = getListState = lambda self, *_: self  # noqa: N815
+        appendList = property(lambda self: self.rows.extend)  # noqa: N815
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+    class Last(Held):
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+    class Time:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    p, held = OrderedKeyframes(CFG, 20.0, value_pair(), 100.0), Held()
+    p.init(held)
+    p.last = Last()
+    rows = [Row(at=t * 1000, sequence=t, timestamp_s=float(t), sharpness=50.0, feature_count=30) for t in (3, 1, 2)]
+    assert list(p.handleInputRows((7,), iter(rows), None)) == [] and held.timers == [3001]
+    got = list(p.handleExpiredTimer((7,), Time(5000), None))
+    assert [(r.video_id, r.sequence, r.reason) for r in got] == [(7, 1, "first_frame"), (7, 2, "reject_min_interval")]
+    assert held.timers == [3001, 103_000] and [r[1] for r in held.rows] == [3]
+
+
+def test_ordered_stream_agrees_with_the_sql(spark):
+    import duckdb
+
+    from panoply.plans.catalog import QUERIES, SQL
+
+    db = duckdb.connect()
+    db.execute("CREATE VIEW events AS FROM '/root/testdata/sf0.001/events.parquet'")
+    want = db.execute(SQL["keyframe_stream_ordered"]).fetchall()
+    assert sorted(map(tuple, QUERIES["keyframe_stream_ordered"](spark, "/root/testdata/sf0.001").collect())) == sorted(want)
