@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,7 +85,8 @@ class OrderedKeyframes(StatefulProcessor):
     """Frames that may arrive in any order inside the watermark's delay, decided in the order of their times.
 
     A video's frames wait until the watermark has passed them. The newest of those waits on, as it may be the last: it is, once the
-    watermark stands ``idle_s`` beyond it. Then the video ends; a frame after that starts a new one.
+    watermark stands ``idle_s`` beyond it. Then the video ends; a frame after that starts a new one. Rows, not pandas, as a video has
+    few in a batch; a timer for that wait is only set once a newest frame waits alone, as calls to the state cost the most.
     """
 
     def __init__(self, cfg: KeyframeConfig, blur: float, pair: Pair, idle_s: float):
@@ -97,29 +98,27 @@ class OrderedKeyframes(StatefulProcessor):
         self.waiting = handle.getListState("waiting", f"at long, sequence long, {STATE}")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
-        new = [(int(r["at"]), int(r["sequence"]), float(r["timestamp_s"]), float(r["sharpness"]), int(r["feature_count"])) for pdf in rows for r in pdf.to_dict("records")]
+        new = [(int(r["at"]), int(r["sequence"]), float(r["timestamp_s"]), float(r["sharpness"]), int(r["feature_count"])) for r in rows]
         self.waiting.appendList(new)
-        latest = max(r[0] for r in new)
-        self.handle.registerTimer(latest + 1)
-        self.handle.registerTimer(latest + self.idle)
+        self.handle.registerTimer(max(r[0] for r in new) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: (r[2], r[1])) if self.waiting.exists() else []
+        rows = sorted(self.waiting.get(), key=lambda r: (r[2], r[1]))
         ready = [r for r in rows if r[0] <= passed]
         ends = bool(ready) and len(ready) == len(rows) and passed >= ready[-1][0] + self.idle
         if ready and len(ready) == len(rows) and not ends:
-            ready.pop()
+            self.handle.registerTimer(ready.pop()[0] + self.idle)
         if not ready:
             return
-        held = self.last.get() if self.last.exists() else None
+        held = self.last.get()
         last = dict(zip(("timestamp_s", "sharpness", "feature_count"), held, strict=True)) if held else None
         out = []
         for i, (_, sequence, time, sharpness, features) in enumerate(ready):
             r = {"timestamp_s": time, "sharpness": sharpness, "feature_count": features}
             selected, reason, *_ = decide(r, last, ends and i == len(ready) - 1, self.blur, self.cfg, self.pair)
-            out.append((key[0], sequence, time, selected, reason))
+            out.append(Row(video_id=key[0], sequence=sequence, timestamp_s=time, selected=selected, reason=reason))
             last = r if selected else last
         if ends:
             self.last.clear()
@@ -127,7 +126,7 @@ class OrderedKeyframes(StatefulProcessor):
         else:
             self.last.update((last["timestamp_s"], last["sharpness"], last["feature_count"]))
             self.waiting.put(rows[len(ready) :])
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        yield from out
 
     def close(self):
         pass
@@ -139,7 +138,7 @@ def ordered_stream(frames: DataFrame, cfg: KeyframeConfig, blur: float, time: st
     The blur threshold is given, as a stream has no global percentile. State is in RocksDB (see rocks()).
     """
     f = frames.withWatermark(time, late).withColumn("at", F.unix_millis(time))
-    return f.groupBy("video_id").transformWithStateInPandas(OrderedKeyframes(cfg, blur, pair or value_pair(), idle_s), OUT, "append", "EventTime")
+    return f.groupBy("video_id").transformWithState(OrderedKeyframes(cfg, blur, pair or value_pair(), idle_s), OUT, "append", "EventTime")
 
 
 @contextmanager
