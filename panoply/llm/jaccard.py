@@ -191,7 +191,8 @@ def _pairs(key, n, node, prev_n, prev, same):
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str, size: int) -> DataFrame:
     """The pairs (a, b) of sets that are truly linked, by intersecting their token sets; written.
 
-    The sets come from one text each: the texts of the nodes' first documents are read again, and only theirs are shuffled.
+    The sets come from one text each: the texts of the nodes' first documents are read again, and only their sets are shuffled.
+    Both sides of the pairs take them from the same shuffle.
     """
     asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "first"), "asked")
     known, n = asked.select(F.col("first").alias("_first")).distinct(), asked.count()
@@ -211,7 +212,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str, siz
     own = docs.select(docs["doc_id"].cast("long").alias("_id"), docs[text].cast("string").alias("_text"))
     texts = own.join(known, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("_text")
     found = texts.mapInArrow(sets, "node long, set binary").join(asked.select("node"), "node", "left_semi")
-    found = materialize(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    found = found.groupBy("node").agg(F.first("set").alias("set"))
 
     def test(batches):
         for batch in batches:
@@ -221,7 +222,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str, siz
     side = lambda k: found.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     out = materialize(both.mapInArrow(test, "a long, b long"), "linked-sets")
-    drop(asked), drop(found)
+    drop(asked)
     return out
 
 
@@ -302,22 +303,29 @@ def _compare(forest: bool):
     return run
 
 
-def _across(shared: DataFrame, rows: DataFrame, comps: DataFrame, forest: bool) -> tuple[DataFrame, bool]:
+def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, n, node, comp, _n, _s: buckets whose sets are in different components, with their size and slices; written.
+
+    Of buckets that hold the same sets, told by their number and two XORs of 64 bits, one stays, of the largest band: they give the same pairs.
+    """
+    m = shared.select("key", "n", "node").join(comps, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("comp"))
+    held = [F.count("*").alias("_n"), F.bit_xor("node").alias("_x"), F.bit_xor(F.xxhash64("node")).alias("_y")]
+    mixed = m.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), *held).where("_lo <> _hi")
+    mixed = mixed.groupBy("_n", "_x", "_y").agg(F.max_by("key", F.struct(F.col("key").bitwiseAND(63), "key")).alias("key"))
+    return materialize(m.join(mixed.select("key", "_n", F.ceil(F.col("_n") / TILE).cast("long").alias("_s")), "key"), "mixed")
+
+
+def _across(m: DataFrame, sketches: DataFrame, forest: bool) -> tuple[DataFrame, bool]:
     """a, b: co-bucketed sets of different components that the sketches leave open, and whether these are all of them.
 
     Buckets of over TILE sets are compared in tiles of two of their slices.
     """
-    m = shared.select("key", "n", "node").join(comps, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = m.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("key", "_n", F.ceil(F.col("_n") / TILE).cast("long").alias("_s"))
-    m = materialize(m.join(mixed, "key"), "mixed")
-    known = rows.where("sketch is not null").select("node", "sketch").join(m.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     slices = F.pmod(F.xxhash64("node"), F.col("_s"))
-    m2 = m.join(known, "node").withColumn("slice", slices).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1)))
+    m2 = m.join(sketches, "node").withColumn("slice", slices).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1)))
     m2 = m2.select("key", (F.least("slice", "_t") * F.col("_s") + F.greatest("slice", "_t")).alias("tile"), "slice", "node", "n", "comp", "sketch")
     out = m2.repartition("key", "tile").sortWithinPartitions("key", "tile", "n", "node").mapInArrow(_compare(forest), "a long, b long").distinct()
     out = materialize(out, "open")
     largest_one = m.agg(F.max("_n")).first()[0] or 0
-    drop(m)
     return out, not forest or largest_one <= SMALL
 
 
@@ -325,8 +333,8 @@ def components(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Data
     """doc_id, n_shingles, component_id: the size of each row's set and the smallest doc_id reachable over links of Jaccard 0.8 or more.
 
     Copies of a set are one node. A first round verifies, for each node, its likeliest neighbour in the buckets; later rounds
-    only look at buckets whose members are still in different components, and the last one verifies every pair there that
-    the sketches leave open, so no connection is lost. Null text counts as empty; an empty set is linked with nothing and is its
+    only look at buckets whose members are still in different components, each among those that the round before left, and the
+    last one verifies every pair there that the sketches leave open, so no connection is lost. Null text counts as empty; an empty set is linked with nothing and is its
     own component. A null doc_id keeps its row and names a component only if no other id is there; repeated rows stay. Only
     doc_id and the text column are read. Two sets with the same 64-bit digest are an error, found by a second digest.
     """
@@ -334,13 +342,21 @@ def components(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Data
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("proof").alias("_p"), F.max("proof").alias("_q"))
     clash = F.when(F.col("_p") != F.col("_q"), F.raise_error(F.lit("two sets share a digest")).cast("long"))
     nodes = materialize(nodes.select(F.coalesce(clash, F.col("node")).alias("node"), "first", "copies"), "set-nodes")
-    sent = rows.where("sketch is not null").select(F.explode("keys").alias("key"), "n", "node")
-    shared = materialize(sent.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours, "key long, n long, node long, prev long"), "shared")
+    sent = rows.where("sketch is not null").select(F.explode("keys").alias("key"), "node", "n")  # the two random columns side by side compress better
+    met = sent.repartition("key").sortWithinPartitions("key", "n", "node").select("key", "n", "node")
+    shared = materialize(met.mapInArrow(_neighbours, "key long, n long, node long, prev long"), "shared")
     best = shared.where("prev is not null").groupBy("node", "prev").agg(F.count("*").alias("_c")).groupBy("node").agg(F.max_by("prev", F.struct("_c", "prev")).alias("prev"))
     edges = [verified(docs, nodes, best.select(F.col("node").alias("a"), F.col("prev").alias("b")), text, size)]
+    sketches = None
     for forest in (True, False):
         comps = connected(edges[0] if len(edges) == 1 else edges[0].union(edges[1]))
-        more, every = _across(shared, rows, comps, forest)
+        mixed = _mixed(shared, comps)
+        drop(shared)
+        if sketches is None:
+            known = rows.where("sketch is not null").select("node", "sketch").join(mixed.select("node").distinct(), "node", "left_semi")
+            sketches = materialize(known.dropDuplicates(["node"]), "sketches")
+        more, every = _across(mixed, sketches, forest)
+        shared = mixed
         if not more.isEmpty():
             edges.append(verified(docs, nodes, more, text, size))
         if every or len(edges) < 2:
@@ -353,7 +369,7 @@ def components(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Data
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("_rows"))
     named = placed.join(ids, "root").select("node", "component_id", "copies")
     out = _attach(rows.select("doc_id", "n", "node"), named)
-    for t in (shared, placed):
+    for t in (shared, sketches, placed):
         drop(t)
     return out
 

@@ -88,6 +88,28 @@ def test_components_with_tiles_and_large_buckets(spark, corpus, monkeypatch):
     assert found(spark, docs) == groups(docs)
 
 
+def test_buckets_of_the_same_sets_are_compared_once(spark, corpus, monkeypatch):
+    """Of buckets with the same members one is kept, a later round takes only those that the round before left, and token sets are not written."""
+    buckets, tags = [], []
+    write = jaccard.materialize
+
+    def spy(df, tag):
+        out = write(df, tag)
+        tags.append(tag)
+        if tag == "mixed":
+            held = {}
+            for r in out.select("key", "node").collect():
+                held.setdefault(r.key, []).append(r.node)
+            buckets.append({k: frozenset(v) for k, v in held.items()})
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    assert found(spark, corpus) == groups(corpus)
+    assert buckets[0] and all(len(set(b.values())) == len(b) for b in buckets)
+    assert all(later.items() <= earlier.items() for earlier, later in zip(buckets, buckets[1:]))
+    assert "sets" not in tags
+
+
 def test_open_pairs_of_large_groups(corpus):
     """In one task: groups over SMALL give every pair that the sketches leave open, or one for two components."""
     import pyarrow as pa
