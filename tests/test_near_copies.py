@@ -1,5 +1,9 @@
 """Neighbours of clouds with many points at one place."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,3 +35,32 @@ def test_normals_come_with_their_moments(spark):
     df = spark.range(30).select("id", (F.col("id") % 6).cast("double").alias("x"), F.floor(F.col("id") / 6).cast("double").alias("y"), F.lit(2.0).alias("z"))
     for r in clouds.with_normals(clouds.neighbour_moments(df, "id", 2.0)).collect():
         assert abs(abs(r.nz) - 1) < 1e-9 and r.zz == 0 and r.neighbours >= 3
+
+
+def test_a_range_is_searched_in_little_memory(tmp_path):
+    """A worker that may take 1 GB finds forty neighbours of each of 40,000 points: lists are handed on in parts, not held all at once."""
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from panoply.operators.neighbours import nearest_points
+spark = SparkSession.builder.master("local[1]").config("spark.executor.pyspark.memory", "1g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", FOLDER).getOrCreate()
+df = spark.range(40_000).select("id", *[F.rand(s).alias(a) for s, a in enumerate("xyz")])
+df.write.parquet(FOLDER + "/points")
+df = spark.read.parquet(FOLDER + "/points")
+print("found", nearest_points(df, df, "id", 40, rows=10**6).agg(F.sum(F.size("near"))).first()[0])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", code.replace("FOLDER", repr(str(tmp_path)))], env=env, capture_output=True, text=True, timeout=300)
+    assert "found 1600000" in run.stdout, run.stderr[-2000:]
+
+
+def test_a_range_that_many_queries_reach_into(spark):
+    """Queries far from the few points all visit the same range, by several tasks; the lists are those of brute force."""
+    rng = np.random.default_rng(8)
+    points = np.round(rng.random((90, 3)), 3)
+    asked = np.round(rng.random((400, 3)) * 9, 3)
+    frame = lambda a: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)], "id long, x double, y double, z double")
+    got = {r.id: r.d for r in nearest_points(frame(asked), frame(points), "id", 7, rows=50).select("id", "near.d").collect()}
+    assert len(got) == 400
+    for i, q in enumerate(asked):
+        assert np.allclose(got[i], np.sort(np.sqrt(((points - q) ** 2).sum(1)))[:7], rtol=0, atol=1e-12), i
