@@ -136,7 +136,7 @@ def trajectory_report(spark, a) -> dict:
     sinks.csv(flat, f"{a.output_dir}/trajectory.csv", ["image_name"])
     points = flat.select("image_name", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), *[F.lit(v).alias(n) for n, v in (("red", 40), ("green", 140), ("blue", 255))])
     sinks.ascii_ply(points, f"{a.output_dir}/trajectory.ply", ["image_name"])
-    pixels = sinks.raster(points, ["red", "green", "blue"], "image_name", 1200, 800)
+    pixels = sinks.projected(points.withColumnRenamed("image_name", "order"), ["order"], 1200, 800)
     sinks.write_bytes(spark, f"{a.output_dir}/trajectory.png", sinks.png(sinks.canvas(pixels, 1200, 800, 248, ((30, 120, 220), (30, 170, 30), (220, 30, 30)))))
     return sinks.json_report(spark, report, f"{a.output_dir}/report.json")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequence import numbered, running
+from ..operators.sequence import before, numbered, running
 from ..session import discard, shared_path, written
 from .ranges import FACE, PROPERTIES, VERTEX
 
@@ -249,44 +249,80 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def raster(points: DataFrame, colours: list[str], order: str, width: int, height: int, margin: int = 80) -> DataFrame:
-    """px, py and the colours of a picture's pixels: points (x, y, z) on the plane of their first two principal axes, to one scale; of several on a pixel the last in order stays.
+def projected(points: DataFrame, columns: list[str], width: int, height: int, margin: int = 80) -> DataFrame:
+    """px, py and the columns of every point (x, y, z): its pixel on the plane of the cloud's first two principal axes, to one scale.
 
-    Axes come from the second moments and the frame from the projected box, so the points stay where they are and at most
-    width x height rows come out.
+    Axes come from the second moments and the frame from the projected box, so the points stay where they are.
     """
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
     m = points.agg(*[F.avg(a).alias(a) for a in "xyz"], *[F.covar_pop(a, b).alias(a + b) for a, b in pairs], F.count("*").alias("n")).first()
     if not m["n"]:
-        return points.select(F.lit(0).alias("px"), F.lit(0).alias("py"), *colours, F.col(order).alias("order"))
+        return points.select(F.lit(0).alias("px"), F.lit(0).alias("py"), *columns)
     square = np.array([[m["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
     axes = np.linalg.eigh(square)[1][:, ::-1]
     along = lambda k: sum((F.lit(float(axes[i, k])) * (F.col(a) - m[a]) for i, a in enumerate("xyz")), F.lit(0.0))
-    flat = points.select(along(0).alias("_u"), along(1).alias("_v"), *colours, order)
+    flat = points.select(along(0).alias("_u"), along(1).alias("_v"), *columns)
     b = flat.agg(F.min("_u").alias("u0"), F.max("_u").alias("u1"), F.min("_v").alias("v0"), F.max("_v").alias("v1")).first()
     scale = min((width - 2 * margin) / max(b["u1"] - b["u0"], 1e-12), (height - 2 * margin) / max(b["v1"] - b["v0"], 1e-12))
     pixel = lambda c, start, most: F.greatest(F.lit(0), F.least(F.lit(most - 1), F.rint(start + c * scale))).cast("int")
     px, py = pixel(F.col("_u") - b["u0"], F.lit(float(margin)), width), pixel(-(F.col("_v") - b["v0"]), F.lit(float(height - margin)), height)
-    return flat.groupBy(px.alias("px"), py.alias("py")).agg(F.max_by(F.struct(*colours), order).alias("_c"), F.max(order).alias("_o")).select("px", "py", *[F.col(f"_c.{c}").alias(c) for c in colours], F.col("_o").alias("order"))
+    return flat.select(px.alias("px"), py.alias("py"), *columns)
+
+
+def raster(points: DataFrame, colours: list[str], order: str, width: int, height: int, margin: int = 80) -> DataFrame:
+    """px, py and the colours of a picture's pixels: projected() points; of several on a pixel the last in order stays, as it would be painted over the others.
+
+    So at most width x height rows come out. A path needs every point: see canvas().
+    """
+    flat = projected(points, [*colours, order], width, height, margin)
+    return flat.groupBy("px", "py").agg(F.max_by(F.struct(*colours), order).alias("_c"), F.max(order).alias("_o")).select("px", "py", *[F.col(f"_c.{c}").alias(c) for c in colours], F.col("_o").alias("order"))
+
+
+#: Pixels of lines that are drawn at once.
+DRAWN_AT_ONCE = 1_000_000
+
+
+def line_pixels(ends: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A picture's mask of lines (x0, y0, x1, y1), three pixels thick."""
+    mask = np.zeros((height, width), bool)
+    steps = np.maximum(np.abs(ends[:, 2:] - ends[:, :2]).max(1, initial=0), 1)
+    upto = np.cumsum(steps + 1)
+    cuts = np.searchsorted(upto, np.arange(DRAWN_AT_ONCE, upto[-1] if len(upto) else 0, DRAWN_AT_ONCE))
+    for own, n in zip(np.split(ends, cuts), np.split(steps, cuts), strict=True):
+        first = np.cumsum(n + 1) - (n + 1)
+        at = np.arange((n + 1).sum()) - np.repeat(first, n + 1)
+        xs, ys = (np.rint(np.repeat(own[:, i], n + 1) + at * np.repeat((own[:, i + 2] - own[:, i]) / n, n + 1)).astype(int) for i in (0, 1))
+        for d in (-1, 0, 1):
+            mask[np.clip(ys + d, 0, height - 1), xs] = mask[ys, np.clip(xs + d, 0, width - 1)] = True
+    return mask
 
 
 def canvas(pixels: DataFrame, width: int, height: int, background: int, path: tuple | None = None) -> np.ndarray:
-    """The picture of raster()'s pixels on a plain ground; with ``path``, (line colour, start colour, end colour), they are joined in order and the ends marked."""
-    rows = pixels.orderBy("order").toPandas()
+    """The picture of raster()'s pixels on a plain ground; with ``path``, (line colour, start colour, end colour), all points are joined in order and the ends marked.
+
+    A path's points (px, py, order) may be any number: each pair of successive pixels is drawn once, by the task that has it, and the driver takes the pixels that are on a line.
+    """
     out = np.full((height, width, 3), background, np.uint8)
-    x, y = rows["px"].to_numpy(), rows["py"].to_numpy()
     if not path:
-        out[y, x] = rows[["red", "green", "blue"]].to_numpy()
+        rows = pixels.orderBy("order").toPandas()
+        out[rows["py"].to_numpy(), rows["px"].to_numpy()] = rows[["red", "green", "blue"]].to_numpy()
         return out
-    line, start, end = path
-    for k in range(len(x) - 1):
-        n = int(max(abs(x[k + 1] - x[k]), abs(y[k + 1] - y[k]), 1)) + 1
-        xs, ys = np.rint(np.linspace(x[k], x[k + 1], n)).astype(int), np.rint(np.linspace(y[k], y[k + 1], n)).astype(int)
-        for d in (-1, 0, 1):
-            out[np.clip(ys + d, 0, height - 1), xs] = out[ys, np.clip(xs + d, 0, width - 1)] = line
+    line, *marks = path
+    pixels = pixels.select("px", "py", "order")
+    steps = before(pixels, [], ["order"], _was=F.struct("px", "py")).where("_was is not null").select("_was.px", "_was.py", F.col("px").alias("x1"), F.col("py").alias("y1")).distinct()
+
+    def draw(batches):
+        mask = np.zeros((height, width), bool)
+        for pdf in batches:
+            mask |= line_pixels(pdf.to_numpy(np.int64), width, height)
+        yield pd.DataFrame({"at": np.flatnonzero(mask)})
+
+    out.reshape(-1, 3)[steps.mapInPandas(draw, "at long").distinct().toArrow()["at"].to_numpy()] = line
+    ends = pixels.agg(*[f(F.struct("px", "py"), "order") for f in (F.min_by, F.max_by)]).first()
     rows_at, columns_at = np.mgrid[:height, :width]
-    for k, colour in ((0, start), (-1, end)) if len(x) else ():
-        out[(columns_at - x[k]) ** 2 + (rows_at - y[k]) ** 2 <= 100] = colour
+    for at, colour in zip(ends, marks, strict=True):
+        if at:
+            out[(columns_at - at["px"]) ** 2 + (rows_at - at["py"]) ** 2 <= 100] = colour
     return out
 
 

@@ -125,3 +125,31 @@ def test_ordered_stream_agrees_with_the_sql(spark):
     db.execute("CREATE VIEW events AS FROM '/root/testdata/sf0.001/events.parquet'")
     want = db.execute(SQL["keyframe_stream_ordered"]).fetchall()
     assert sorted(map(tuple, QUERIES["keyframe_stream_ordered"](spark, "/root/testdata/sf0.001").collect())) == sorted(want)
+
+
+def test_a_path_that_comes_back_to_its_pixels_is_drawn_whole(spark, monkeypatch):
+    """A star: the path is at its middle before each of its tips, and every way there is on the picture."""
+    from panoply.sources import sinks
+
+    rng = np.random.default_rng(7)
+    tips = np.column_stack([rng.normal(0, (8, 3), (40, 2)), np.zeros(40)])
+    path = np.stack([np.zeros((40, 3)), tips], axis=1).reshape(-1, 3)
+    df = spark.createDataFrame([(f"{i:03d}", *map(float, p)) for i, p in enumerate(path)], "order string, x double, y double, z double").repartition(5, "x")
+    points = sinks.projected(df, ["order"], 120, 80, 10)
+    at = np.array([(r.px, r.py) for r in points.orderBy("order").collect()])
+    want, line = np.full((80, 120, 3), 248, np.uint8), (1, 2, 3)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        n = max(*abs(b - a), 1) + 1
+        xs, ys = (np.rint(np.linspace(a[i], b[i], n)).astype(int) for i in (0, 1))
+        for d in (-1, 0, 1):
+            want[np.clip(ys + d, 0, 79), xs] = want[ys, np.clip(xs + d, 0, 119)] = line
+    rows, columns = np.mgrid[:80, :120]
+    for (x, y), colour in ((at[0], (4, 5, 6)), (at[-1], (7, 8, 9))):
+        want[(columns - x) ** 2 + (rows - y) ** 2 <= 100] = colour
+    monkeypatch.setattr(sinks, "DRAWN_AT_ONCE", 50)
+    assert (sinks.canvas(points, 120, 80, 248, (line, (4, 5, 6), (7, 8, 9))) == want).all()
+    ends = np.column_stack([at[:-1], at[1:]])
+    mask = sinks.line_pixels(ends, 120, 80)
+    assert (mask | (want != 248).any(axis=2) == (want != 248).any(axis=2)).all() and not sinks.line_pixels(ends[:0], 120, 80).any()
+    empty = sinks.canvas(sinks.projected(df.limit(0), ["order"], 120, 80), 120, 80, 248, (line, line, line))
+    assert (empty == 248).all()
