@@ -36,7 +36,7 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, by: list[str] | Non
 
 def neighbour_distance(points: DataFrame, key: str, k: int = 20, by: list[str] | None = None) -> DataFrame:
     """keys, mean_distance: each point's mean distance to the k nearest points of its dataset, itself included (all points if fewer)."""
-    found = nearest_points(points, points, key, k, by=by)
+    found = nearest_points(points, points, key, k, by=by, places=False)
     total = F.aggregate("near", F.lit(0.0), lambda t, p: t + p["d"])
     return found.select(*(by or []), key, (total / F.size("near")).alias("mean_distance"))
 

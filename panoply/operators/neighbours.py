@@ -22,7 +22,6 @@ AHEAD, SLICE = 512, 8192
 AT_ONCE = 50_000
 #: Bits of each axis in the curve's number.
 BITS = 20
-NEAR = "array<struct<d:double,x:double,y:double,z:double>>"
 
 
 def curve(low: list, high: list):
@@ -99,8 +98,8 @@ def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(d)
 
 
-def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radius: float = float("inf"), by: list[str] | None = None, rows: int = ROWS) -> DataFrame:
-    """The keys (``by`` and ``key``) and near: each query's k nearest points of its dataset within the radius, nearest first, as structs (d, x, y, z).
+def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radius: float = float("inf"), by: list[str] | None = None, rows: int = ROWS, places: bool = True) -> DataFrame:
+    """The keys (``by`` and ``key``) and near: each query's k nearest points of its dataset within the radius, nearest first, as structs (d, x, y, z); or (d) without ``places``.
 
     Rows are range-sorted by dataset and place on a Morton curve into ranges of some ``rows`` rows, so dense places take more ranges and no
     task holds more. First each range is searched by itself; a query whose k-th distance reaches into the boxes around other ranges'
@@ -128,7 +127,8 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
         placed = written(placed.repartitionByRange(1 + total // rows, *by, "_m", *AXES).withColumn("_range", F.spark_partition_id()), "placed")
     else:
         placed = placed.withColumn("_range", F.lit(0))
-    schema = ", ".join([*(f"{c} {queries.schema[c].dataType.simpleString()}" for c in by), "x double, y double, z double, _range int, _m long, _reach double", f"near {NEAR}"])
+    fields = ["d", *AXES] if places else ["d"]
+    schema = ", ".join([*(f"{c} {queries.schema[c].dataType.simpleString()}" for c in by), "x double, y double, z double, _range int, _m long, _reach double", f"near array<struct<{', '.join(f'{c}:double' for c in fields)}>>"])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in ("_m", *AXES)])
@@ -150,7 +150,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, key: str, k: int, radi
         upto = np.concatenate([[0], np.cumsum(sizes)])
         kth = np.full(len(sizes), np.inf)
         kth[sizes == k] = found[upto[1:][sizes == k] - 1, 0]
-        near = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in found.T], list("dxyz")))
+        near = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(fields))], fields))
         own = own.slice(start, len(sizes)).combine_chunks().to_batches()[0]
         columns = {c: own.column(c) for c in own.schema.names} | dict(zip(AXES, map(pa.array, q[start : start + len(sizes)].T), strict=True)) | {"_reach": pa.array(kth), "near": near}
         return pa.RecordBatch.from_pydict({c: columns[c] for c in (*keys, "_range", "_m", "_reach", "near")})

@@ -64,3 +64,16 @@ def test_a_range_that_many_queries_reach_into(spark):
     assert len(got) == 400
     for i, q in enumerate(asked):
         assert np.allclose(got[i], np.sort(np.sqrt(((points - q) ** 2).sum(1)))[:7], rtol=0, atol=1e-12), i
+
+
+def test_mean_distances_carry_no_places(spark):
+    """The neighbours' coordinates are not sent along where only distances are asked for; the means are those of brute force."""
+    xyz = np.round(np.random.default_rng(9).random((150, 3)), 2)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "id long, x double, y double, z double")
+    found = nearest_points(df, df, "id", 20, rows=40, places=False)
+    assert found.schema["near"].dataType.simpleString() == "array<struct<d:double>>"
+    want = {i: np.sort(np.sqrt(((xyz - p) ** 2).sum(1)))[:20] for i, p in enumerate(xyz)}
+    got = {r.id: r.d for r in found.select("id", "near.d").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=0, atol=1e-12) for i in want)
+    means = clouds.neighbour_distance(df, "id")
+    assert all(abs(r.mean_distance - want[r.id].mean()) < 1e-12 for r in means.collect())
