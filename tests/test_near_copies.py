@@ -77,3 +77,27 @@ def test_mean_distances_carry_no_places(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=0, atol=1e-12) for i in want)
     means = clouds.neighbour_distance(df, "id")
     assert all(abs(r.mean_distance - want[r.id].mean()) < 1e-12 for r in means.collect())
+
+
+def test_visitors_of_one_range_are_dealt_to_several_tasks(spark, monkeypatch):
+    """A thousand queries beside few points reach into the same ranges; no group of a task's visitors is much larger than a range."""
+    from panoply.operators import neighbours
+
+    held, keep = {}, neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, tag: held.setdefault(tag, keep(df, tag)))
+    monkeypatch.setattr(neighbours, "discard", lambda df: None)
+    places = [(i, *map(float, p)) for i, p in enumerate(np.random.default_rng(2).random((1000, 3)))]
+    asked = spark.createDataFrame(places, "id long, x double, y double, z double")
+    assert nearest_points(asked, asked.where("id < 60"), "id", 20, rows=100).count() == 1000
+    guests = held["guests"]
+    visits = [r["count"] for r in guests.groupBy(*[c for c in ("_range", "_part") if c in guests.columns]).count().collect()]
+    assert sum(visits) > 2000 and max(visits) <= 300
+
+
+def test_outliers_of_a_cloud_in_several_ranges(spark, monkeypatch):
+    xyz = np.vstack([np.random.default_rng(3).random((200, 3)), [[4, 4, 4], [9, 0, 0], [-3, 2, 1]]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "id long, x double, y double, z double")
+    few = lambda *a, **k: nearest_points(*a, **k, rows=60)
+    monkeypatch.setattr(clouds, "nearest_points", few)
+    d = np.array([np.sort(np.sqrt(((xyz - p) ** 2).sum(1)))[:20].mean() for p in xyz])
+    assert {r.id for r in clouds.without_outliers(df, "id").collect()} == set(np.flatnonzero(d < d.mean() + 2.5 * d.std(ddof=1)).tolist())
